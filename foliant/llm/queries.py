@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
-from foliant.llm.common import table
+import uuid
+
+import public_tokenizers
+
+from foliant.llm import lm_scoring, quality_classifier, quality_rules, token_files
+from foliant.llm.common import shared_dir, table
 from foliant.llm.exact_dedup import dedup_report
 from foliant.llm.mixing import mix_report
+from foliant.llm.packing import pack
+
+
+def op1_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_repair_tokens(spark, sf_dir):
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, path)
+
+
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_mix_curriculum(spark, sf_dir):
@@ -15,9 +35,22 @@ def op7_exact_dedup(spark, sf_dir):
     return dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark, sf_dir):
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"), lm_scoring.good_documents(table(spark, sf_dir, "labels")))
+
+
+def op10_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_repair_tokens": op2_repair_tokens,
+    "op4_quality_rules": op4_quality_rules,
     "op6_mix_curriculum": op6_mix_curriculum,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 SQL = {
