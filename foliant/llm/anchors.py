@@ -21,6 +21,25 @@ DEPTH, CELL_BITS = 2, 26
 BLOCK_BITS = 16
 
 
+class RangeHash:
+    """128-bit hashes of any stretch of entries, equal for equal stretches wherever they stand."""
+
+    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+    def __init__(self, h: np.ndarray):
+        self.sums, self.backs = [], []
+        for k, base in enumerate(self.BASES):
+            power = np.cumprod(np.concatenate(([U64(1)], np.full(len(h), U64(base)))), dtype=U64)
+            back = np.cumprod(np.concatenate(([U64(1)], np.full(len(h), U64(pow(base, -1, 1 << 64))))), dtype=U64)
+            own = mix(h, 11 + k)
+            self.sums.append(np.concatenate(([U64(0)], np.cumsum(own * power[:-1], dtype=U64))))
+            self.backs.append(back)
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = (stop - start).astype(U64)
+        return tuple(mix((s[stop] - s[start]) * b[start] + n, 13).view(np.int64) for s, b in zip(self.sums, self.backs))
+
+
 @dataclass
 class Anchors:
     """Over all texts of a batch: place and gram hash of each anchor, first and last window it stands for, its text."""
@@ -44,12 +63,19 @@ def least_in_windows(v: np.ndarray, n: int) -> np.ndarray:
     return at
 
 
-def find_anchors(h: np.ndarray, starts: np.ndarray, window: int, gram: int) -> Anchors:
-    """Anchors of texts whose entries have the hashes ``h``; text t holds entries starts[t] to starts[t + 1]."""
+def find_anchors(h: np.ndarray, starts: np.ndarray, window: int, gram: int, ranges: RangeHash | None = None) -> Anchors:
+    """Anchors of texts whose entries have the hashes ``h``; text t holds entries starts[t] to starts[t + 1].
+
+    With ``ranges`` the grams' hashes come from there, which pays off for long grams.
+    """
     none = np.zeros(0, np.int64)
     if len(h) < window:
         return Anchors(none, none.astype(U64), none, none, none)
-    v = mix(gram_hashes(h, gram), 7)
+    if ranges is None:
+        v = mix(gram_hashes(h, gram), 7)
+    else:
+        i = np.arange(len(h) - gram + 1)
+        v = ranges.of(i, i + gram)[0].view(U64)
     owner = least_in_windows(v, window - gram + 1)
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(owner)]
     valid = np.flatnonzero(np.arange(len(owner)) + window <= starts[1:][text])
@@ -60,25 +86,6 @@ def find_anchors(h: np.ndarray, starts: np.ndarray, window: int, gram: int) -> A
     return Anchors(at, v[at], valid[begin], valid[end], text[valid[begin]])
 
 
-class RangeHash:
-    """128-bit hashes of any stretch of entries, equal for equal stretches wherever they stand."""
-
-    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-    def __init__(self, h: np.ndarray):
-        self.sums, self.backs = [], []
-        for k, base in enumerate(self.BASES):
-            power = np.cumprod(np.concatenate(([U64(1)], np.full(len(h), U64(base)))), dtype=U64)
-            back = np.cumprod(np.concatenate(([U64(1)], np.full(len(h), U64(pow(base, -1, 1 << 64))))), dtype=U64)
-            own = mix(h, 11 + k)
-            self.sums.append(np.concatenate(([U64(0)], np.cumsum(own * power[:-1], dtype=U64))))
-            self.backs.append(back)
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = (stop - start).astype(U64)
-        return tuple(mix((s[stop] - s[start]) * b[start] + n, 13).view(np.int64) for s, b in zip(self.sums, self.backs))
-
-
 def cells_of(gram: np.ndarray, row: int) -> np.ndarray:
     return (mix(gram, 101 + row) >> U64(64 - CELL_BITS)).astype(np.int64)
 

@@ -6,7 +6,7 @@ import uuid
 
 import public_tokenizers
 
-from foliant.llm import lm_scoring, quality_classifier, quality_rules, token_files
+from foliant.llm import lm_scoring, minhash, quality_classifier, quality_rules, suffix_dedup, token_files, window_dedup
 from foliant.llm.common import shared_dir, table
 from foliant.llm.exact_dedup import dedup_report
 from foliant.llm.mixing import mix_report
@@ -23,10 +23,18 @@ def op2_repair_tokens(spark, sf_dir):
     return token_files.read(spark, path)
 
 
+def op3_circulant_minhash(spark, sf_dir):
+    return minhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_countmin_windows(spark, sf_dir):
+    return window_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_curriculum(spark, sf_dir):
     return mix_report(table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,10 @@ def op7_exact_dedup(spark, sf_dir):
     return dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op8_prefix_doubling(spark, sf_dir):
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark, sf_dir):
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"), lm_scoring.good_documents(table(spark, sf_dir, "labels")))
 
@@ -46,9 +58,12 @@ def op10_quality_classifier(spark, sf_dir):
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_repair_tokens": op2_repair_tokens,
+    "op3_circulant_minhash": op3_circulant_minhash,
     "op4_quality_rules": op4_quality_rules,
+    "op5_countmin_windows": op5_countmin_windows,
     "op6_mix_curriculum": op6_mix_curriculum,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_prefix_doubling": op8_prefix_doubling,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_classifier": op10_quality_classifier,
 }
