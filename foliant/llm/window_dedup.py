@@ -25,6 +25,8 @@ from foliant.llm.arrow import result, slices
 from foliant.llm.common import batch_hashes, split_words, stored
 
 WINDOW, GRAM = 20, 8
+#: A key with more than one row in so many is decided on the map side.
+HEAVY = 1000
 NULL_ID = -(1 << 63)
 
 
@@ -34,10 +36,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def earliest(rows: DataFrame, key: list[str], start: str) -> DataFrame:
-    """Add ``first``: the (id, start) that comes first among the rows with one key. Aggregated before it is joined back,
-    so that a key with very many rows is neither sorted nor held in one task."""
-    firsts = rows.groupBy(*key).agg(F.min(F.struct("id", F.col(start).alias("start"))).alias("first"))
-    return rows.join(firsts, key)
+    """Add ``first``: the (id, start) that comes first among the rows with one key; ``rows`` is a stored table.
+
+    Aggregated before it is joined back. Keys that hold more than one row in HEAVY, fewer than HEAVY of them, are
+    broadcast, so that no key's rows meet in one task.
+    """
+    total = rows.count()
+    firsts = stored(rows.groupBy(*key).agg(F.min(F.struct("id", F.col(start).alias("start"))).alias("first"), F.count("*").alias("__n")))
+    heavy = F.col("__n") * HEAVY > total
+    tagged = rows.join(F.broadcast(firsts.filter(heavy).drop("__n")), key, "left")
+    rest = tagged.filter("first IS NULL").drop("first").join(firsts.filter(~heavy).drop("__n"), key)
+    return tagged.filter("first IS NOT NULL").unionByName(rest)
 
 
 def is_later(start: str) -> Column:
