@@ -33,7 +33,16 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._foliant_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored tables once all that was made from them is stored itself."""
+    for t in tables:
+        jpath = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._foliant_path)
+        jpath.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

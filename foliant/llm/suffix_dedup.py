@@ -2,7 +2,7 @@
 
 The suffixes that are ranked start at anchors (see anchors.py): one position in about 39, and every 100 bytes hold one. A
 sketch of the anchors' grams drops suffixes that are unique from the start. Then, with phrases (from one anchor to the next)
-in the place of letters, Spark sorts pairs of ranks at the offsets 1, 2 and 4: the rank over 2h phrases from an anchor is
+in the place of letters, Spark sorts pairs of ranks at the offsets 1 and 2: the rank over 2h phrases from an anchor is
 the rank of (its rank over h, the rank over h of the anchor h further). Pairs that occur once are unique and drop out.
 
 An anchor stands for the 100-byte windows between two places; two overlapping ranks that reach from before the first to
@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from foliant.llm.anchors import Anchors, RangeHash, find_anchors, maybe_repeated, merged_sketch, sketch_rows
 from foliant.llm.arrow import result, slices
-from foliant.llm.common import U64, mix, stored
+from foliant.llm.common import U64, discard, mix, stored
 from foliant.llm.window_dedup import covered, earliest, is_later, keyed, per_document
 
 WINDOW, GRAM = 100, 24
 SLICE = 2 << 20
 #: Offsets of the doubling, in phrases.
-OFFSETS = (1, 2, 4)
+OFFSETS = (1, 2)
 #: Grams with more unsettled anchors than this are settled window by window.
 HOT = 2000
 LETTER = mix(np.arange(256, dtype=np.uint64), 5)
@@ -72,33 +72,46 @@ def phrase_rows(a: Anchors, ranges: RangeHash, starts: np.ndarray, window: int,
     }
 
 
-def doubled(rows: DataFrame, offset: int) -> DataFrame:
-    """From ranks over ``offset`` phrases to ranks over twice as many, as a column of its own; null where unique.
+def with_next(rows: DataFrame, offset: int) -> DataFrame:
+    """Add ``next``: the rank over ``offset`` phrases of the anchor so many further on; null where there is none."""
+    ahead, old = Window.partitionBy("id", "th").orderBy("j"), f"rank{offset}"
+    found = F.lit(None).cast("long")
+    for k in range(1, offset + 1):  # anchors between may have dropped out, so it is one of the next ones
+        found = F.coalesce(found, F.when(F.lead("j", k).over(ahead) == F.col("j") + offset, F.lead(old, k).over(ahead)))
+    return rows.withColumn("next", found)
+
+
+def ranks_of_pairs(pairs: DataFrame, old: str, new: str) -> DataFrame:
+    """Spark counts and sorts the distinct pairs; their numbers in that order are the new ranks. Unique pairs get none."""
+    known = pairs.filter(F.col(old).isNotNull() & F.col("next").isNotNull())
+    often = known.groupBy(F.col(old).alias("a"), F.col("next").alias("b")).agg(F.count("*").alias("n")).filter("n > 1")
+    return often.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias(new))
 
-    Spark counts and sorts the distinct pairs; their numbers in that order are the new ranks.
-    """
-    old, new = f"rank{offset}", f"rank{2 * offset}"
-    ahead = Window.partitionBy("id", "th").orderBy("j")
-    pairs = rows.withColumn("__j", F.lead("j", offset).over(ahead)).withColumn("__next", F.lead(old, offset).over(ahead))
-    pairs = pairs.withColumn("__next", F.when(F.col("__j") == F.col("j") + offset, F.col("__next"))).drop("__j")
-    # an anchor between may have dropped out: look for the right one among those nearer
-    for k in range(offset - 1, 0, -1):
-        pairs = pairs.withColumn("__next", F.when(F.lead("j", k).over(ahead) == F.col("j") + offset, F.lead(old, k).over(ahead)).otherwise(F.col("__next")))
-    pairs = stored(pairs)
-    ranks = pairs.filter(F.col(old).isNotNull() & F.col("__next").isNotNull()).groupBy(F.col(old).alias("__a"), F.col("__next").alias("__b")).agg(F.count("*").alias("__n"))
-    ranks = stored(ranks.filter("__n > 1").orderBy("__a", "__b").select("__a", "__b", F.monotonically_increasing_id().alias(new)))
-    return pairs.join(ranks, (F.col(old) == F.col("__a")) & (F.col("__next") == F.col("__b")), "left").drop("__a", "__b", "__next")
+
+def doubled(rows: DataFrame) -> DataFrame:
+    """Ranks over 2, 4, ... phrases as columns of their own, from ``rank1``; a stored table."""
+    held: list[DataFrame] = []
+    for offset in OFFSETS:
+        old, new = f"rank{offset}", f"rank{2 * offset}"
+        pairs = stored(with_next(rows, offset))
+        discard(*held)
+        ranks = stored(ranks_of_pairs(pairs, old, new))
+        rows = pairs.join(ranks, (F.col(old) == F.col("a")) & (F.col("next") == F.col("b")), "left").drop("a", "b", "next")
+        held = [pairs, ranks]
+    out = stored(rows)
+    discard(*held)
+    return out
 
 
 def named(rows: DataFrame) -> DataFrame:
     """c1, c2: the name of each anchor's stretch from two overlapping ranks, or a name of its own where there is none."""
-    items = rows.groupBy("id", "th").agg(F.collect_list(F.struct("j", "gram", "left", "right", "at", "lo", "n", "rank1", "rank2", "rank4", "rank8")).alias("items"))
+    items = rows.groupBy("id", "th").agg(F.collect_list(F.struct("j", "gram", "left", "right", "at", "lo", "n", "rank1", "rank2", "rank4")).alias("items"))
 
     def run(batches):
         for b in batches:
             flat = b["items"].flatten()
             doc = np.repeat(np.arange(b.num_rows), b["items"].value_lengths().to_numpy())
-            get = {f: flat.field(f) for f in ("j", "gram", "left", "right", "at", "lo", "n", "rank1", "rank2", "rank4", "rank8")}
+            get = {f: flat.field(f) for f in ("j", "gram", "left", "right", "at", "lo", "n", "rank1", "rank2", "rank4")}
             num = {f: x.to_numpy(zero_copy_only=False).astype(np.int64) for f, x in get.items() if not f.startswith("rank")}
             order = np.lexsort((num["j"], doc))
             doc, num = doc[order], {f: x[order] for f, x in num.items()}
@@ -106,10 +119,10 @@ def named(rows: DataFrame) -> DataFrame:
             reach = num["left"] + num["right"]
             c1 = (mix(key.astype(U64) ^ b["id"].to_numpy()[doc].view(U64), 3) ^ b["th"].to_numpy()[doc].view(U64)).view(np.int64)
             c2 = num["j"].copy()
-            for h in (1, 2, 4, 8):
+            for h in (1, 2, 4):
                 rank = get[f"rank{h}"].take(pa.array(order))
                 ok_rank, value = rank.is_valid().to_numpy(zero_copy_only=False), rank.fill_null(0).to_numpy(zero_copy_only=False)
-                use = np.flatnonzero((reach >= h) & (reach < 2 * h if h < 8 else reach <= 16) & (num["left"] < 100) & (num["right"] < 100))
+                use = np.flatnonzero((reach >= h) & (reach < 2 * h if h < 4 else reach <= 8) & (num["left"] < 100) & (num["right"] < 100))
                 found = []
                 for far in (-num["left"][use], num["right"][use] - h):
                     want = key[use] + far
@@ -186,10 +199,10 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 names=["id", "th", "j", "gram", "left", "right", "at", "lo", "n", "rank1"])
 
     ranked = texts.select("id", "th", "text").mapInArrow(rows, "id long, th long, j int, gram long, left int, right int, at int, lo int, n int, rank1 long")
-    for offset in OFFSETS:
-        ranked = doubled(ranked, offset)
+    ranked = doubled(ranked)
     found = stored(named(ranked))
-    found = stored(earliest(found, ["c1", "c2"], "lo"))
+    discard(ranked)
+    found = earliest(found, ["c1", "c2"], "lo")
     later = found.filter(is_later("lo")).select("id", "th", "lo", "n")
     spread = found.groupBy("gram").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.sum(F.when(~is_later("lo"), 1).otherwise(0)).alias("rows"))
     spread = spread.filter("a <> b").select("gram", (F.col("rows") > HOT).alias("hot"))
@@ -219,7 +232,7 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     own = stored(single.mapInArrow(spans, "id long, th long, gram long, lo int, n int, span binary, w1 long, w2 long"))
     sorted_ = own.filter("span IS NOT NULL").select("gram", "id", "lo", "n", "th", "span").repartition("gram").sortWithinPartitions("gram", "id", "lo")
     some = sorted_.mapInArrow(lambda batches: repeats_in_stream(batches, window), "id long, th long, lo int, n int")
-    hot = earliest(own.filter("span IS NULL").select("w1", "w2", "id", "th", "lo"), ["w1", "w2"], "lo").filter(is_later("lo")).select("id", "th", "lo", F.lit(1).alias("n"))
+    hot = earliest(stored(own.filter("span IS NULL").select("w1", "w2", "id", "th", "lo")), ["w1", "w2"], "lo").filter(is_later("lo")).select("id", "th", "lo", F.lit(1).alias("n"))
     return later.unionByName(some).unionByName(hot)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.anchors import RangeHash, find_anchors, maybe_repeated, merged_sketch, sketch_rows
 from foliant.llm.arrow import result, slices
-from foliant.llm.common import batch_hashes, split_words, stored
+from foliant.llm.common import batch_hashes, discard, split_words, stored
 
 WINDOW, GRAM = 20, 8
 #: A key with more than one row in so many is decided on the map side.
@@ -36,17 +36,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def earliest(rows: DataFrame, key: list[str], start: str) -> DataFrame:
-    """Add ``first``: the (id, start) that comes first among the rows with one key; ``rows`` is a stored table.
+    """A stored table: ``rows``, a stored table that this one takes the place of, with ``first``, the (id, start) that comes
+    first among the rows with one key.
 
     Aggregated before it is joined back. Keys that hold more than one row in HEAVY, fewer than HEAVY of them, are
     broadcast, so that no key's rows meet in one task.
     """
     total = rows.count()
-    firsts = stored(rows.groupBy(*key).agg(F.min(F.struct("id", F.col(start).alias("start"))).alias("first"), F.count("*").alias("__n")))
+    firsts = stored(rows.groupBy(*key).agg(F.min(F.struct("id", F.col(start).alias("start"))).alias("first"), F.count("*").alias("__n")).filter("__n > 1"))
     heavy = F.col("__n") * HEAVY > total
     tagged = rows.join(F.broadcast(firsts.filter(heavy).drop("__n")), key, "left")
-    rest = tagged.filter("first IS NULL").drop("first").join(firsts.filter(~heavy).drop("__n"), key)
-    return tagged.filter("first IS NOT NULL").unionByName(rest)
+    rest = tagged.filter("first IS NULL").drop("first").join(firsts.filter(~heavy).drop("__n"), key, "left")
+    alone = F.struct("id", F.col(start).alias("start"))
+    out = stored(tagged.filter("first IS NOT NULL").unionByName(rest.withColumn("first", F.coalesce("first", alone))))
+    discard(rows, firsts)
+    return out
 
 
 def is_later(start: str) -> Column:
@@ -107,7 +111,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 names=["gram", "c1", "c2", "id", "th", "lo", "n"])
 
     found = stored(texts.select("id", "th", "text").mapInArrow(rows, "gram long, c1 long, c2 long, id long, th long, lo int, n int"))
-    found = stored(earliest(found, ["c1", "c2"], "lo"))
+    found = earliest(found, ["c1", "c2"], "lo")
     later = found.filter(is_later("lo")).select("id", "th", "lo", "n")
     open_rows = per_document(unsettled(found, ["c1", "c2"]), "lo", "n")
 
