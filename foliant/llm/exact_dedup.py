@@ -48,8 +48,9 @@ def mark_copies(rows: DataFrame, id_col: str = "doc_id", digest: str = "__digest
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    marked = mark_copies(docs.withColumn("__digest", digest_of(F.col(text_col))), id_col, support=support)
-    return marked.filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(docs.columns)]  # whatever their names, they clash with none here
+    marked = mark_copies(docs.select(*own, F.col(id_col).alias("__id"), digest_of(F.col(text_col)).alias("__digest")), "__id", support=support)
+    return marked.filter("__kept").select(*[F.col(f"x{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:

@@ -199,6 +199,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Of rows with the id that stays, all but one go if they are repeated.
     """
     report = near_copies(docs).filter("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")).distinct()
-    rows = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NULL_ID))).join(report, "__id", "left_semi")
-    one = Window.partitionBy("__id").orderBy(F.xxhash64("text"))
-    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(docs.columns)]  # whatever their names, they clash with none here
+    rows = docs.select(*own, F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.xxhash64("text").alias("__text")).join(report, "__id", "left_semi")
+    one = Window.partitionBy("__id").orderBy("__text")
+    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*[F.col(f"x{k}").alias(c) for k, c in enumerate(docs.columns)])
