@@ -1,7 +1,7 @@
 """LM scoring by cross-entropy difference.
 
 Two word-bigram models of the same form, one of the target texts and one of the background (all documents), share
-one vocabulary: the ``VOCABULARY`` most frequent words of all documents, with one class for other words. A
+one vocabulary: the most frequent words of all documents, at most ``VOCABULARY``, with one class for other words. A
 model mixes its bigram estimate with its smoothed unigram estimate:
 
     p(w | v) = MIX * pairs(v, w) / seen(v) + (1 - MIX) * (count(w) + 1) / (total + types)
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.arrow import result, slices, sums
-from foliant.llm.common import U64, mix, split_words
+from foliant.llm.common import U64, discard, mix, split_words, stored
 
 VOCABULARY = 50_000
 BUCKETS = 1 << 20
@@ -73,8 +73,22 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> Ids:
-    """The most frequent words, ties by the word; ids from 2 in that order. At most ``size`` rows reach the driver."""
-    rows = word_counts(texts).orderBy(F.col("n").desc(), "word").limit(size).collect()
+    """The most frequent words, at most ``size``; ids from 2 in the order of count, ties by the word.
+
+    A histogram of the counts in steps of about 1 % (at most 64 * 64 rows) says from which step on the words are taken, so
+    that of equally frequent words all are in or none is, and no task sends more than its part of them to the driver.
+    """
+    counted = stored(word_counts(texts))
+    level = F.floor(F.log2("n") * 64)
+    held, least = 0, None
+    for r in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level):
+        held += r.words
+        if held > size:
+            break
+        least = r.level
+    rows = [] if least is None else counted.filter(level >= least).collect()
+    discard(counted)
+    rows.sort(key=lambda r: (-r.n, bytes(r.word)))
     return Ids({bytes(r.word): k for k, r in enumerate(rows, 2)})
 
 
@@ -86,6 +100,10 @@ class Bigrams:
         self.context = np.zeros(types, np.int64) if context is None else context
         self.pair = np.zeros(BUCKETS, np.int64) if pair is None else pair
 
+    def cells(self) -> np.ndarray:
+        """All counts in one row: words, contexts, pairs."""
+        return np.concatenate((self.word, self.context, self.pair))
+
     def add(self, token, before):
         if len(token):
             self.word += np.bincount(token, minlength=len(self.word))
@@ -113,31 +131,30 @@ def count_bigrams(docs: DataFrame, ids, types: int) -> tuple[Bigrams, Bigrams]:
             wanted = np.repeat(b["is_target"].to_numpy(zero_copy_only=False), np.diff(starts))
             models[0].add(token, before)
             models[1].add(token[wanted], before[wanted])
-        for kind in ("word", "context", "pair"):
-            all_, some = getattr(models[0], kind), getattr(models[1], kind)
-            at = np.flatnonzero(all_)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), pa.array(at, pa.int32()), pa.array(all_[at], pa.int64()), pa.array(some[at], pa.int64())], names=["kind", "cell", "n_all", "n_target"])
-
-    rows = docs.select("text", "is_target").mapInArrow(count, "kind string, cell int, n_all long, n_target long")
-    rows = rows.groupBy("kind", "cell").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
-    background, target = Bigrams(types), Bigrams(types)
-    got = rows.toArrow()
-    kinds = got["kind"].to_numpy()
-    for kind in ("word", "context", "pair"):
-        here = kinds == kind
-        at = got["cell"].to_numpy()[here]
-        getattr(background, kind)[at] = got["n_all"].to_numpy()[here]
-        getattr(target, kind)[at] = got["n_target"].to_numpy()[here]
-    return background, target
+        all_, some = (m.cells() for m in models)
+        at = np.flatnonzero(all_)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(all_[at], pa.int64()), pa.array(some[at], pa.int64())], names=["cell", "n_all", "n_target"])
+
+    rows = docs.select("text", "is_target").mapInArrow(count, "cell int, n_all long, n_target long")
+    got = rows.groupBy("cell").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target")).toArrow()
+    at, models = got["cell"].to_numpy(), []
+    for column in ("n_all", "n_target"):
+        flat = np.zeros(2 * types + BUCKETS, np.int64)
+        flat[at] = got[column].to_numpy()
+        models.append(Bigrams(types, flat[:types], flat[types : 2 * types], flat[2 * types :]))
+    return models[0], models[1]
 
 
 def lm_scores(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """Per document: n_tokens, loss_target, loss_background, loss_difference. ``target_ids``: doc_id of target texts."""
+    """Per document: n_tokens, loss_target, loss_background, loss_difference. ``target_ids``: doc_id of target texts.
+
+    The target ids grow with the corpus, so they are merged with the documents at every size, never broadcast.
+    """
     sc = docs.sparkSession.sparkContext
     words = vocabulary(docs)
     types, ids = len(words) + 2, sc.broadcast(words)
     wanted = target_ids.select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    flagged = docs.select("doc_id", "text").join(wanted, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    flagged = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     models = sc.broadcast(count_bigrams(flagged, ids, types))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("loss_difference", pa.float64())])
 
