@@ -122,19 +122,20 @@ class Model:
 def sample_rows(docs: DataFrame, grades: DataFrame, train_rows: int, dims: int, chars: bool) -> list:
     """Feature rows of at most ``train_rows`` graded documents, those with the smallest hash of their id.
 
-    ``grades`` has doc_id and grade; only these bounded rows reach the driver, as sparse vectors.
+    ``grades`` has doc_id and grade; only these bounded rows reach the driver, as sparse vectors in binary columns
+    (int32 places, float32 values), so that no Python number is made for an entry.
     """
     picked = grades.dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(train_rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("place", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("place", pa.binary()), ("value", pa.binary())])
 
     def vectors(batches):
         for b in slices(batches, "text"):
             rows = sparse_rows(features(b["text"].to_pylist(), dims, chars))
-            yield result(schema, b["doc_id"], b["grade"], [p.astype(np.int32) for p, _ in rows], [v.astype(np.float32) for _, v in rows])
+            yield result(schema, b["doc_id"], b["grade"], [p.astype("<i4").tobytes() for p, _ in rows], [v.astype("<f4").tobytes() for _, v in rows])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
     # bounded: train_rows documents
-    return sorted(texts.mapInArrow(vectors, "doc_id long, grade int, place array<int>, value array<float>").collect(), key=lambda r: (r.doc_id, r.grade))[:train_rows]
+    return sorted(texts.mapInArrow(vectors, "doc_id long, grade int, place binary, value binary").collect(), key=lambda r: (r.doc_id, r.grade))[:train_rows]
 
 
 def fit(rows: list, n_grades: int, dims: int, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-5) -> Model:
@@ -147,11 +148,10 @@ def fit(rows: list, n_grades: int, dims: int, rounds: int = 200, rate: float = 0
     grade = np.array([r.grade for r in used], dtype=np.int64)
     if len(set(grade.tolist())) < 2:
         return Model(np.zeros(dims, np.float32), np.full(n_grades - 1, -50.0))
-    n = np.array([len(r.place) for r in used])
-    place = np.concatenate([np.asarray(r.place, np.int32) for r in used])
-    value = np.concatenate([np.asarray(r.value, np.float32) for r in used])
-    row = np.repeat(np.arange(len(used)), n)
-    live, place = np.unique(place, return_inverse=True)
+    row = np.repeat(np.arange(len(used), dtype=np.int32), [len(r.place) // 4 for r in used])
+    value = np.frombuffer(b"".join(r.value for r in used), "<f4")
+    live, place = np.unique(np.frombuffer(b"".join(r.place for r in used), "<i4"), return_inverse=True)
+    place = place.astype(np.int32)
     k = n_grades - 1
     param = np.zeros(len(live) + k)
     start = [np.log((np.mean(grade <= j) + 1e-3) / (np.mean(grade > j) + 1e-3)) for j in range(k)]
@@ -185,7 +185,7 @@ def calibrate(model: Model, held: list, rounds: int = 50) -> Model:
     """Platt's scaling on rows the fit hasn't seen: one slope and one shift for all thresholds, by Newton steps."""
     if len({r.grade for r in held}) < 2:
         return model
-    score = np.array([float(np.dot(model.weights[np.asarray(r.place)], r.value)) for r in held])
+    score = np.array([float(np.dot(model.weights[np.frombuffer(r.place, "<i4")], np.frombuffer(r.value, "<f4"))) for r in held])
     grade = np.array([r.grade for r in held])
     z = (score[:, None] - model.thresholds[None, :]).ravel()
     y = (grade[:, None] > np.arange(len(model.thresholds))[None, :]).ravel().astype(float)
