@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
 
     def tokenise(batches):
         for b in slices(batches, "text"):
-            flat, n = encoder(vocabulary).encode(b["text"].to_pylist())
+            flat, n = encoder(vocabulary).encode(b["text"])
             ends = np.cumsum(n)
             rows = []
             for doc, start, stop in zip(b["doc_id"].to_pylist(), ends - n, ends):

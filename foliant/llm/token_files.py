@@ -45,54 +45,59 @@ SCHEMA = pa.schema([("shard", pa.int64()), ("doc_ids", pa.binary()), ("symbol_en
 SQL_SCHEMA = "shard long, doc_ids binary, symbol_ends binary, rules binary, lengths binary, symbols binary, wide boolean, terminals long, n_ids long"
 
 
-def frequent_pairs(code: np.ndarray, room: int) -> np.ndarray:
-    """The codes of the pairs to replace now, most frequent first, ties by code."""
+def frequent_pairs(code: np.ndarray, none: int, room: int) -> np.ndarray:
+    """The codes of the pairs to replace now, most frequent first, ties by code; ``none`` stands for no pair."""
     ordered = np.sort(code)
+    ordered = ordered[: np.searchsorted(ordered, ordered.dtype.type(none))]
+    if not len(ordered):
+        return ordered
     at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     n = np.diff(np.concatenate((at, [len(ordered)])))
     often = n >= LEAST
-    pairs, n = ordered[at][often], n[often]
+    pairs, n = ordered[at[often]], n[often]
     return pairs[np.argsort(-n, kind="stable")][:room]
 
 
 def compress(ids: np.ndarray, last: np.ndarray, terminals: int = TERMINALS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, which symbols end a document) for ids and the ids that end one."""
-    symbol, rules = ids.astype(np.uint64), np.zeros((0, 2), np.uint64)
-    limit = (1 << 16) - terminals if terminals < 1 << 16 else 1 << 20
+    """(symbols, rules, which symbols end a document) for ids and the ids that end one.
+
+    Symbols have 16 bits while the vocabulary allows it, a pair's code twice as many; the code of all ones is no
+    pair, since the largest symbol is never given away.
+    """
+    bits, kind, wide = (16, np.uint16, np.uint32) if terminals < 1 << 16 else (32, np.uint32, np.uint64)
+    limit = (1 << 16) - 1 - terminals if bits == 16 else 1 << 20
+    none = (1 << 2 * bits) - 1
+    factor, shift = (wide(0x9E3779B1), wide(12)) if bits == 16 else (wide(0x9E3779B97F4A7C15), wide(44))
+    slot = lambda c: (c * factor >> shift).astype(np.int64)
+    home = np.empty(1 << 20, np.int16)
+    symbol, rules = ids.astype(kind), np.zeros((0, 2), np.uint64)
     for _ in range(ROUNDS):
         if len(symbol) < 2 or len(rules) >= limit:
             break
-        code = symbol[:-1] << np.uint64(32) | symbol[1:]
-        small = (symbol[:-1] << np.uint64(16) | symbol[1:]).astype(np.uint32) if terminals < 1 << 16 else code
-        inside = ~last[:-1]
-        found = frequent_pairs(small[inside], min(PER_ROUND, limit - len(rules)))
-        if not len(found):
-            break
+        code = symbol[:-1].astype(wide) << wide(bits) | symbol[1:]
+        code[last[:-1]] = none
+        found = frequent_pairs(code, none, min(PER_ROUND, limit - len(rules)))
         # a hash table of the pairs; of two in one slot the more frequent stays
-        slot = lambda c: ((c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        home = np.full(1 << 20, -1, np.int32)
-        home[slot(found)[::-1]] = np.arange(len(found), dtype=np.int32)[::-1]
-        stay = home[slot(found)] == np.arange(len(found))
-        found = found[stay]
         home.fill(-1)
-        home[slot(found)] = np.arange(len(found), dtype=np.int32)
-        which = home[slot(small)]
-        at = np.flatnonzero((which >= 0) & inside & (found[np.maximum(which, 0)] == small))
+        home[slot(found)[::-1]] = np.arange(len(found), dtype=np.int16)[::-1]
+        which = home[slot(code)]
+        at = np.flatnonzero(which >= 0)
+        at = at[found[which[at]] == code[at]]
         if not len(at):
             break
         # of overlapping pairs every second one is replaced, from the left
         start = np.concatenate(([True], at[1:] != at[:-1] + 1))
         run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
         at = at[(np.arange(len(at)) - run) % 2 == 0]
-        used, number = np.unique(which[at], return_inverse=True)
-        first = {int(w): int(p) for w, p in zip(which[at][::-1], at[::-1])}
-        here = np.array([first[int(w)] for w in used])
-        pair = np.stack([symbol[here], symbol[here + 1]], 1)
-        symbol[at] = (terminals + len(rules) + number).astype(np.uint64)
+        replaced = which[at]
+        used = np.bincount(replaced, minlength=len(found)) > 0
+        pair = found[used].astype(np.uint64)
+        symbol[at] = (terminals + len(rules) - 1 + np.cumsum(used))[replaced]
         last[at] = last[at + 1]
         stays = np.ones(len(symbol), bool)
         stays[at + 1] = False
-        symbol, last, rules = symbol[stays], last[stays], np.concatenate((rules, pair))
+        symbol, last = symbol[stays], last[stays]
+        rules = np.concatenate((rules, np.stack([pair >> np.uint64(bits), pair & np.uint64((1 << bits) - 1)], 1)))
     return symbol, rules, last
 
 
@@ -174,7 +179,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = END, terminals
         first, k = TaskContext.get().partitionId() << 20, 0
         held, parts, size = [], [], 0
         for b in slices(batches, "text"):
-            flat, n_ids = encoder(vocabulary).encode(b["text"].to_pylist())
+            flat, n_ids = encoder(vocabulary).encode(b["text"])
             ends = np.cumsum(n_ids)
             for doc, a, z in zip(b["doc_id"].to_pylist(), ends - n_ids, ends):
                 held.append(doc)

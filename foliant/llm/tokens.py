@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from foliant.llm.arrow import flatten
 
@@ -17,6 +20,8 @@ from foliant.llm.arrow import flatten
 MAX_PIECES = 1_400_000
 #: Where a text may be cut.
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: Texts with other white space than single blanks and line feeds between words.
+ODD = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
 #: A key after these is the piece as it stands; other keys stand for a line's first word with its line feed, or a word with a blank before it.
 RAW = "  "
 
@@ -43,25 +48,37 @@ class Encoder(dict):
         self.fresh.append(piece[len(RAW) :] if piece.startswith(RAW) else piece if piece[:1] == "\n" else " " + piece)
         return n
 
-    def numbers(self, text: str, into: list) -> int:
-        """Append the numbers of the text's pieces; says how many."""
-        own = text.replace("\n", " \n").split(" ")
-        plain = len("".join(text.split())) + text.count(" ") + text.count("\n") == len(text)
-        if plain and "" not in own and "\n" not in own:  # single blanks and line feeds between words
-            into.append(self[RAW + own[0]])
-            into.extend(map(self.__getitem__, own[1:]))
-        else:
-            own = CUT.split(text)
-            into.extend(self[RAW + p] for p in own)
-        return len(own)
-
-    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' pieces in a row, and each text's number of pieces.
+
+        Plain texts are split and their distinct words found by Arrow, so that Python sees each word of a batch once.
+        """
+        plain = pc.invert(pc.or_(pc.match_substring_regex(texts, ODD), pc.equal(texts, ""))).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(plain)), "\n", " \n"), " ")
+        coded = split.flatten().dictionary_encode()
+        n = split.value_lengths().to_numpy().astype(np.int64)
+        index, first = coded.indices.to_numpy(), np.cumsum(n) - n
+        inner = np.ones(len(index), bool)
+        inner[first] = False
+        met = np.flatnonzero(np.bincount(index[inner], minlength=len(coded.dictionary)))
+        known = np.full(len(coded.dictionary), -1, np.int64)
+        known[met] = [self[w] for w in coded.dictionary.take(pa.array(met)).to_pylist()]
+        own = known[index]
+        own[first] = [self[RAW + w] for w in coded.take(pa.array(first)).cast(pa.string()).to_pylist()]
+        if plain.all():
+            return own, n
+        odd = [[self[RAW + p] for p in CUT.split(t)] if t else [] for t in texts.filter(pa.array(~plain)).to_pylist()]
+        n_pieces = np.empty(len(plain), np.int64)
+        n_pieces[plain], n_pieces[~plain] = n, list(map(len, odd))
+        number, of_plain = np.empty(n_pieces.sum(), np.int64), np.repeat(plain, n_pieces)
+        number[of_plain], number[~of_plain] = own, [k for ks in odd for k in ks]
+        return number, n_pieces
+
+    def encode(self, texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (null: none), and each text's number of ids."""
         if len(self) > MAX_PIECES:
             self.reset()
-        numbers, n_pieces = [], []
-        for text in texts:
-            n_pieces.append(self.numbers(text, numbers) if text else 0)
+        number, n_pieces = self.numbers(pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), ""))
         if self.fresh:
             found = []
             for k in range(0, len(self.fresh), 20_000):
@@ -69,9 +86,8 @@ class Encoder(dict):
             length = np.fromiter(map(len, found), np.int64, len(found))
             self.offset = np.concatenate((self.offset, len(self.flat) + np.cumsum(length) - length))
             self.length = np.concatenate((self.length, length))
-            self.flat = np.concatenate((self.flat, np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum()))))
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))))
             self.fresh = []
-        number = np.array(numbers, np.int64)
         ends = np.concatenate(([0], np.cumsum(self.length[number])))
         at = np.concatenate(([0], np.cumsum(n_pieces))).astype(np.int64)
         return self.flat[flatten(number, self.offset, self.length)], np.diff(ends[at])
