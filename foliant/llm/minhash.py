@@ -6,7 +6,8 @@ give candidates: a pair at the similarity 0.85 shares no band with probability (
 
 Documents with equal shingle sets are one class. In each bucket the classes are compared with one hub, the class with most
 bucket neighbours, on their full shingle sets. Where a bucket still holds several components, the classes whose shingles
-could allow a link (counted exactly: shingles that no other candidate has can't be shared) are compared across components.
+could allow a link are compared across components. The bound is exact: two classes share at most the lesser of what each
+has in common with a hub, and outside the hub at most the lesser number of shingles that some other candidate has too.
 
 Defined results: null and empty texts have no shingles and are linked with nothing, not even each other; a text of fewer
 words than a shingle is one shingle; repeated rows each get their row, in one component; a null id is the
@@ -101,12 +102,12 @@ def describe(docs: DataFrame) -> DataFrame:
     return out.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets are similar enough; ``texts`` has id and text.
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes with the number of shingles they share, and whether that makes a link; ``texts`` has id and text.
 
     A pair goes to the text of its second class, then to that of the first; each task holds two sets at a time.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("linked", pa.bool_())])
 
     def confirm(batches):
         held, own = None, set()
@@ -117,13 +118,12 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     held, own = x, shingles(left)
                 other = shingles(right)
                 both = len(own & other)
-                if 100 * both >= PERCENT * (len(own) + len(other) - both):
-                    out.append((x, y))
+                out.append((x, y, both, 100 * both >= PERCENT * (len(own) + len(other) - both)))
             yield result(schema, *zip(*out)) if out else pa.RecordBatch.from_pylist([], schema=schema)
 
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long, both long, linked boolean")
 
 
 def shingle_rows(texts: DataFrame) -> DataFrame:
@@ -151,7 +151,8 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").join(candidates, "id")
     texts = stored(texts.dropDuplicates(["id"]))
     star = buckets.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    edges = stored(linked(star, texts))
+    tested = stored(compared(star, texts))
+    edges = tested.filter("linked").select("a", "b")
     first = components(edges)
     # buckets that still hold more than one component
     named = buckets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -163,19 +164,31 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     total = classes.select("id", "n_shingles").join(still.select("id").distinct(), "id", "left_semi")
     alone = shared.filter("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    # of its open hubs, a class's own reference is the one with most neighbours; near copies of one text mostly have the same
+    to_hub = tested.select(F.col("a").alias("hub"), F.col("b").alias("id"), "both")
+    degrees = ranked.select(F.col("id").alias("hub"), "degree").distinct().join(still.select("hub").distinct(), "hub", "left_semi")
+    reference = degrees.join(to_hub, "hub").groupBy("id").agg(F.max_by(F.struct("hub", "both"), F.struct("degree", "hub")).alias("ref"))
     bound = total.join(alone, "id", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
-    alive = stored(bound.filter(F.col("most") * 100 >= F.col("n_shingles") * PERCENT).select("id", "n_shingles", "most"))
-    able = still.join(alive, "id")
+    alive = bound.filter(F.col("most") * 100 >= F.col("n_shingles") * PERCENT).join(reference, "id", "left")
+    alive = stored(alive.select("id", "n_shingles", "most", F.coalesce("ref.hub", "id").alias("ref"), F.coalesce("ref.both", "n_shingles").alias("ref_both")))
     hub_of = still.filter("id = hub").select("band", "key", F.col("component").alias("hub_component"))
-    able = stored(able.join(hub_of, ["band", "key"], "left"))
-    out = able.filter("component <> hub_component OR hub_component IS NULL")
-    other = able.select("band", "key", *[F.col(c).alias(f"o_{c}") for c in ("id", "component", "n_shingles", "most")])
-    both = F.least("most", "o_most", "n_shingles", "o_n_shingles")
-    possible = (F.col("component") != F.col("o_component")) & (both * 100 >= (F.col("n_shingles") + F.col("o_n_shingles") - both) * PERCENT)
+    able = still.join(alive, "id").join(hub_of, ["band", "key"]).join(to_hub, ["hub", "id"], "left").withColumn("both", F.coalesce("both", "n_shingles"))
+    able = stored(able.select("band", "key", "id", "hub", "component", "hub_component", "n_shingles", "most", "both", "ref", "ref_both"))
+    out = able.filter("component <> hub_component")
+    other = able.filter("id <> hub").select("band", "key", *[F.col(c).alias(f"o_{c}") for c in ("id", "component", "n_shingles", "most", "both", "ref", "ref_both")])
+
+    def enough(common: str):
+        """Whether two classes could be linked, by what they share with one open hub (column ``common``)."""
+        inside = F.least(common, f"o_{common}")
+        beside = F.greatest(F.lit(0), F.least(F.col("most") - F.col(common), F.col("o_most") - F.col(f"o_{common}")))
+        shared = F.least(inside + beside, "n_shingles", "o_n_shingles")
+        return shared * 100 >= (F.col("n_shingles") + F.col("o_n_shingles") - shared) * PERCENT
+
+    possible = (F.col("component") != F.col("o_component")) & enough("both") & ((F.col("ref") != F.col("o_ref")) | enough("ref_both"))
     across = out.join(other, ["band", "key"]).filter(possible)
     across = across.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(linked(across.join(tested, ["a", "b"], "left_anti"), texts))
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stored(compared(across.join(done, ["a", "b"], "left_anti"), texts).filter("linked").select("a", "b"))
     if rest.isEmpty():
         return first
     return components(edges.unionByName(rest))
