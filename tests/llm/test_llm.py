@@ -1,6 +1,7 @@
 """Each operator against brute force on a small fixture with nulls, empty and long texts, ties and repeated rows."""
 
 import collections
+import uuid
 import hashlib
 import random
 import zlib
@@ -114,20 +115,21 @@ def test_packing_plan_is_whole_and_never_worse_than_best_fit():
 
 def test_token_files(spark, docs, rows, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"  # a new one for each run: the shared folder outlives it
     for name, d in (("some", docs), ("none", empty)):
-        token_files.write(d, f"{shared_dir(spark)}/{name}", path, shard_ids=500)
+        token_files.write(d, f"{folder}/{name}", path, shard_ids=500)
     t, want = Tokenizer.from_file(path), collections.Counter()
     for i, text, *_ in rows:
         ids = (t.encode(text, add_special_tokens=False).ids if text else []) + [2]
         want[i, tuple(ids)] += 1
-    got = token_files.read(spark, f"{shared_dir(spark)}/some", with_ids=True).orderBy("start").collect()
+    got = token_files.read(spark, f"{folder}/some", with_ids=True).orderBy("start").collect()
     assert collections.Counter((g.doc_id, tuple(g.ids)) for g in got) == want
     at = 0
     for g in got:
         assert g.start == at and g.n_tokens == len(g.ids)
         at += g.n_tokens
     assert [g.doc_id for g in got] == sorted(g.doc_id for g in got)
-    assert token_files.read(spark, f"{shared_dir(spark)}/none").count() == 0
+    assert token_files.read(spark, f"{folder}/none").count() == 0
 
 
 def test_repair_random_access():
