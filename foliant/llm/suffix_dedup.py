@@ -204,8 +204,8 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     discard(ranked)
     found = earliest(found, ["c1", "c2"], "lo")
     later = found.filter(is_later("lo")).select("id", "th", "lo", "n")
-    spread = found.groupBy("gram").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.sum(F.when(~is_later("lo"), 1).otherwise(0)).alias("rows"))
-    spread = spread.filter("a <> b").select("gram", (F.col("rows") > HOT).alias("hot"))
+    spread = found.groupBy("gram").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("c1", "c2")], F.sum(F.when(~is_later("lo"), 1).otherwise(0)).alias("rows"))
+    spread = spread.filter("min_c1 <> max_c1 OR min_c2 <> max_c2").select("gram", (F.col("rows") > HOT).alias("hot"))
     unsettled = found.filter(~is_later("lo")).join(spread, "gram").select("id", "th", "gram", "lo", "n", "hot")
 
     def spans(batches):

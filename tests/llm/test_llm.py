@@ -196,6 +196,18 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch, hot):
     assert suffix_dedup.without_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_passages_that_go_on_in_two_ways(spark):
+    rng, rows = random.Random(8), []
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    for _ in range(120):
+        passage, x, y = some(rng.randint(200, 500)), some(300), some(300)
+        rows += [(len(rows) + k, passage + end, None, "x") for k, end in enumerate((x, x, y, y))]
+    want = removed(lambda t: t.encode(), 100, rows)
+    for g in suffix_dedup.without_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect():
+        own, flags = want[g.doc_id]
+        assert (g.doc_id, g.n_removed, g.kept_sha256) == (g.doc_id, sum(flags), hashlib.sha256(bytes(b for b, f in zip(own, flags) if not f)).hexdigest())
+
+
 def labelled(spark):
     good = [(k, f"the report on item {k} was read by many people and found clear " * 6, 1, 0) for k in range(60)]
     poor = [(100 + k, f"BUY!! NOW!! ### {k} *** $$$ WIN!! FREE!! && " * 8, 0, 0) for k in range(60)]
