@@ -11,7 +11,7 @@ has in common with a hub, and outside the hub at most the lesser number of shing
 
 Defined results: null and empty texts have no shingles and are linked with nothing, not even each other; a text of fewer
 words than a shingle is one shingle; repeated rows each get their row, in one component; a null id is the
-smallest long inside and null in the result; an empty table gives an empty table.
+smallest long inside and null in the result; rows that share an id (null too) are told apart by their texts; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.arrow import result, slices
-from foliant.llm.common import WordHashes, gram_hashes, mix, stored
+from foliant.llm.common import WORD, WordHashes, gram_hashes, mix, stored
 from foliant.llm.components import components
-from foliant.llm.window_dedup import NULL_ID
+from foliant.llm.window_dedup import NULL_ID, keyed
 
 SHINGLE, BANDS, ROWS = 5, 28, 4
 STEP = 0x9E3779B9
@@ -77,8 +77,8 @@ def hashed_sets(texts: list, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, id, n_shingles, set_hash (of the sorted set, null if empty) and the hash of each band."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, id, th (hash of the text), n_shingles, set_hash (of the sorted set, null if empty) and the hash of each band."""
+    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in slices(batches, "text", 2 << 20):
@@ -96,10 +96,9 @@ def describe(docs: DataFrame) -> DataFrame:
                 for k, row in zip(full, h.view(np.int64)):
                     bands[k] = row
                     keys[k] = hashlib.blake2b(flat[ends[k] - n[k] : ends[k]].tobytes(), digest_size=16).digest()
-            yield result(schema, b["doc_id"], n, keys, bands)
+            yield result(schema, b["doc_id"], b["id"], b["th"], n, keys, bands)
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
-    return out.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    return keyed(docs).mapInArrow(run, "doc_id long, id long, th long, n_shingles long, set_hash binary, bands array<long>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -138,7 +137,7 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
 
 
 def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, component) of classes that are linked with others. ``classes``: id, n_shingles, bands."""
+    """(id, component) of classes that are linked with others. ``classes``: id (a number of its own), rep (id and th of its text), n_shingles, bands."""
     keys = classes.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = keys.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     members = stored(keys.join(sizes, ["band", "key"]))
@@ -148,7 +147,8 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     hubs = ranked.groupBy("band", "key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
     buckets = stored(ranked.join(hubs, ["band", "key"]).select("id", "band", "key", "hub"))
     candidates = buckets.select("id").distinct()
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").join(candidates, "id")
+    wanted = classes.join(candidates, "id").select(F.col("id").alias("class"), F.col("rep.id").alias("id"), F.col("rep.th").alias("th"))
+    texts = keyed(docs).join(wanted, ["id", "th"]).select(F.col("class").alias("id"), "text")
     texts = stored(texts.dropDuplicates(["id"]))
     star = buckets.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     tested = stored(compared(star, texts))
@@ -194,25 +194,32 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return components(edges.unionByName(rest))
 
 
+def near_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
+    """set_hash, component and ``least``: the (id, th) that comes first in the component; one row per class, stored."""
+    firsts = described.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    firsts = stored(firsts.withColumn("id", F.monotonically_increasing_id()))
+    linked = class_links(firsts.drop("set_hash"), docs)
+    named = stored(firsts.join(linked, "id", "left").select("set_hash", "rep", F.coalesce("component", "id").alias("component")))
+    return stored(named.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select("set_hash", "component", "least"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id it is linked with, over any number of links), kept."""
     described = stored(describe(docs))
-    firsts = described.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    firsts = stored(firsts)
-    linked_classes = class_links(firsts.drop("set_hash"), docs)
-    named = firsts.select("set_hash", "id").join(linked_classes, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
+    named = near_classes(docs, described).select("set_hash", F.col("least.id").alias("component"))
     rows = described.select("doc_id", "id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.coalesce("component", "id")
     return rows.select("doc_id", "n_shingles", F.nullif(component, F.lit(NULL_ID)).alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns: one of each group, those without words too.
+    """The documents that stay, with all their columns: one of each group, the first by id and text, and all without words.
 
-    Of rows with the id that stays, all but one go if they are repeated.
+    Of repeated rows (one id, one text) with words one stays.
     """
-    report = near_copies(docs).filter("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")).distinct()
+    stay = near_classes(docs, stored(describe(docs))).select(F.col("least.id").alias("__id"), F.col("least.th").alias("__th")).distinct()
     own = [F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(docs.columns)]  # whatever their names, they clash with none here
-    rows = docs.select(*own, F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.xxhash64("text").alias("__text")).join(report, "__id", "left_semi")
-    one = Window.partitionBy("__id").orderBy("__text")
-    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*[F.col(f"x{k}").alias(c) for k, c in enumerate(docs.columns)])
+    rows = docs.select(F.struct(*own).alias("__row"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.xxhash64("text").alias("__th"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("__words"))
+    one = rows.filter("__words").join(stay, ["__id", "__th"], "left_semi").groupBy("__id", "__th").agg(F.first("__row").alias("__row"))
+    out = one.select("__row").unionByName(rows.filter("NOT __words").select("__row"))
+    return out.select(*[F.col(f"__row.x{k}").alias(c) for k, c in enumerate(docs.columns)])

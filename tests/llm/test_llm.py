@@ -162,6 +162,22 @@ def test_near_copies(docs, rows, empty):
     assert minhash.near_copies(empty).count() == 0
 
 
+def test_near_copies_of_null_and_reused_ids(spark):
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(150)) for _ in range(8)]
+    ids = [None, None, None, 7, 7, None, 9, 9]
+    rows = [(i, t, None, f"{k}") for k, (i, t) in enumerate(zip(ids, base))]
+    rows += [(i, t + " end", None, f"{k} near") for k, (i, t) in enumerate(zip([20, 21, None, 22, 5, 9, 23, None], base))]  # each a near copy of one text
+    rows += [(9, base[0], None, "equal"), (None, None, None, "none"), (None, " ", None, "blank"), (7, "", None, "empty")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = minhash.drop_near_copies(docs)
+    got = [r.text for r in kept.collect()]
+    assert kept.columns == docs.columns and sorted((t or "").removesuffix(" end").strip() for t in got) == sorted(base + [""] * 3)
+    least = {t: min((i for i, u, *_ in rows if (u or "").removesuffix(" end") == t), key=lambda i: -1 if i is None else i) for t in base}
+    want = collections.Counter((i, least.get((t or "").removesuffix(" end"), i)) for i, t, *_ in rows)
+    assert collections.Counter((g.doc_id, g.component_id) for g in minhash.near_copies(docs).collect()) == want
+
+
 def removed(entries, window, rows):
     """doc_id -> flags of what a window that starts earlier covers."""
     first, out = {}, {}
