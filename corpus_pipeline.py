@@ -14,6 +14,9 @@ from foliant.llm.mixing import mix
 from foliant.llm.packing import pack
 from foliant.llm.quality_rules import keep_good
 
+#: What two documents share of their word shingles, in percent of all that either has, from which on they are near copies.
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark, docs, sf_dir):
     """Documents that fail the base rule or the classifier go."""
@@ -26,8 +29,8 @@ def exact_stage(spark, docs, sf_dir):
 
 
 def near_stage(spark, docs, sf_dir):
-    """One document of each group of near copies stays."""
-    return drop_near_copies(docs)
+    """One document of each group of near copies (from NEAR_PERCENT of shared shingles on) stays."""
+    return drop_near_copies(docs, NEAR_PERCENT)
 
 
 def mixing_stage(spark, docs, sf_dir):

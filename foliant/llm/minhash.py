@@ -2,7 +2,7 @@
 
 A shingle's hash passes a first permutation of the 32-bit integers; coordinate k of the signature is the least value
 of one second permutation shifted circularly by k steps (C-MinHash, Li and Li, 2021). BANDS bands of ROWS coordinates
-give candidates: a pair at the similarity 0.85 shares no band with probability (1 - 0.85**4)**28 < 2e-9.
+give candidates: a pair at the similarity 0.85 shares no band with probability (1 - 0.85**4)**28 < 2e-9, one at 0.80 < 5e-7.
 
 Documents with equal shingle sets are one class. In each bucket the classes are compared with one hub, the class with most
 bucket neighbours, on their full shingle sets. Where a bucket still holds several components, the classes whose shingles
@@ -30,7 +30,7 @@ from foliant.llm.window_dedup import NULL_ID, keyed
 
 SHINGLE, BANDS, ROWS = 5, 28, 4
 STEP = 0x9E3779B9
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= percent * union, by default this one.
 PERCENT = 85
 
 
@@ -101,7 +101,7 @@ def describe(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, id long, th long, n_shingles long, set_hash binary, bands array<long>")
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes with the number of shingles they share, and whether that makes a link; ``texts`` has id and text.
 
     A pair goes to the text of its second class, then to that of the first; each task holds two sets at a time.
@@ -117,7 +117,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     held, own = x, shingles(left)
                 other = shingles(right)
                 both = len(own & other)
-                out.append((x, y, both, 100 * both >= PERCENT * (len(own) + len(other) - both)))
+                out.append((x, y, both, 100 * both >= percent * (len(own) + len(other) - both)))
             yield result(schema, *zip(*out)) if out else pa.RecordBatch.from_pylist([], schema=schema)
 
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -136,7 +136,7 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, shingle long")
 
 
-def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+def class_links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(id, component) of classes that are linked with others. ``classes``: id (a number of its own), rep (id and th of its text), n_shingles, bands."""
     keys = classes.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = keys.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -151,7 +151,7 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = keyed(docs).join(wanted, ["id", "th"]).select(F.col("class").alias("id"), "text")
     texts = stored(texts.dropDuplicates(["id"]))
     star = buckets.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    tested = stored(compared(star, texts))
+    tested = stored(compared(star, texts, percent))
     edges = tested.filter("linked").select("a", "b")
     first = components(edges)
     # buckets that still hold more than one component
@@ -169,7 +169,7 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     degrees = ranked.select(F.col("id").alias("hub"), "degree").distinct().join(still.select("hub").distinct(), "hub", "left_semi")
     reference = degrees.join(to_hub, "hub").groupBy("id").agg(F.max_by(F.struct("hub", "both"), F.struct("degree", "hub")).alias("ref"))
     bound = total.join(alone, "id", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
-    alive = bound.filter(F.col("most") * 100 >= F.col("n_shingles") * PERCENT).join(reference, "id", "left")
+    alive = bound.filter(F.col("most") * 100 >= F.col("n_shingles") * percent).join(reference, "id", "left")
     alive = stored(alive.select("id", "n_shingles", "most", F.coalesce("ref.hub", "id").alias("ref"), F.coalesce("ref.both", "n_shingles").alias("ref_both")))
     hub_of = still.filter("id = hub").select("band", "key", F.col("component").alias("hub_component"))
     able = still.join(alive, "id").join(hub_of, ["band", "key"]).join(to_hub, ["hub", "id"], "left").withColumn("both", F.coalesce("both", "n_shingles"))
@@ -182,42 +182,42 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
         inside = F.least(common, f"o_{common}")
         beside = F.greatest(F.lit(0), F.least(F.col("most") - F.col(common), F.col("o_most") - F.col(f"o_{common}")))
         shared = F.least(inside + beside, "n_shingles", "o_n_shingles")
-        return shared * 100 >= (F.col("n_shingles") + F.col("o_n_shingles") - shared) * PERCENT
+        return shared * 100 >= (F.col("n_shingles") + F.col("o_n_shingles") - shared) * percent
 
     possible = (F.col("component") != F.col("o_component")) & enough("both") & ((F.col("ref") != F.col("o_ref")) | enough("ref_both"))
     across = out.join(other, ["band", "key"]).filter(possible)
     across = across.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(compared(across.join(done, ["a", "b"], "left_anti"), texts).filter("linked").select("a", "b"))
+    rest = stored(compared(across.join(done, ["a", "b"], "left_anti"), texts, percent).filter("linked").select("a", "b"))
     if rest.isEmpty():
         return first
     return components(edges.unionByName(rest))
 
 
-def near_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
+def near_classes(docs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
     """set_hash, component and ``least``: the (id, th) that comes first in the component; one row per class, stored."""
     firsts = described.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     firsts = stored(firsts.withColumn("id", F.monotonically_increasing_id()))
-    linked = class_links(firsts.drop("set_hash"), docs)
+    linked = class_links(firsts.drop("set_hash"), docs, percent)
     named = stored(firsts.join(linked, "id", "left").select("set_hash", "rep", F.coalesce("component", "id").alias("component")))
     return stored(named.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select("set_hash", "component", "least"))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id it is linked with, over any number of links), kept."""
     described = stored(describe(docs))
-    named = near_classes(docs, described).select("set_hash", F.col("least.id").alias("component"))
+    named = near_classes(docs, described, percent).select("set_hash", F.col("least.id").alias("component"))
     rows = described.select("doc_id", "id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.coalesce("component", "id")
     return rows.select("doc_id", "n_shingles", F.nullif(component, F.lit(NULL_ID)).alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with all their columns: one of each group, the first by id and text, and all without words.
 
     Of repeated rows (one id, one text) with words one stays.
     """
-    stay = near_classes(docs, stored(describe(docs))).select(F.col("least.id").alias("__id"), F.col("least.th").alias("__th")).distinct()
+    stay = near_classes(docs, stored(describe(docs)), percent).select(F.col("least.id").alias("__id"), F.col("least.th").alias("__th")).distinct()
     own = [F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(docs.columns)]  # whatever their names, they clash with none here
     rows = docs.select(F.struct(*own).alias("__row"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.xxhash64("text").alias("__th"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("__words"))
     one = rows.filter("__words").join(stay, ["__id", "__th"], "left_semi").groupBy("__id", "__th").agg(F.first("__row").alias("__row"))

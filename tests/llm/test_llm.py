@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -178,6 +179,17 @@ def test_near_copies_of_null_and_reused_ids(spark):
     assert collections.Counter((g.doc_id, g.component_id) for g in minhash.near_copies(docs).collect()) == want
 
 
+def test_near_stage_takes_pairs_from_80_percent(spark):
+    words = [f"w{k}" for k in range(154)]  # 150 shingles; each new word makes 5 others: 135 of 165
+    other = [f"new{k}" if k in (40, 80, 120) else w for k, w in enumerate(words)]
+    far = [f"far{k}" if k % 30 == 10 else w for k, w in enumerate(words)]
+    a, b, c = (minhash.shingles(" ".join(t)) for t in (words, other, far))
+    assert 0.80 < len(a & b) / len(a | b) < 0.85 and len(a & c) / len(a | c) < 0.80 and len(b & c) / len(b | c) < 0.80
+    docs = spark.createDataFrame([(k, " ".join(t), None, "x") for k, t in enumerate((words, other, far))], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, None).collect()) == [0, 2]
+    assert minhash.drop_near_copies(docs).count() == 3
+
+
 def removed(entries, window, rows):
     """doc_id -> flags of what a window that starts earlier covers."""
     first, out = {}, {}
