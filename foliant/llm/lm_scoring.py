@@ -1,14 +1,15 @@
 """LM scoring by cross-entropy difference.
 
 Two word-bigram models of the same form, one of the target texts and one of the background (all documents), share
-one vocabulary: the most frequent words of all documents, at most ``VOCABULARY``, with one class for other words. A
-model mixes its bigram estimate with its smoothed unigram estimate:
+one vocabulary: all words of all documents. A model mixes its bigram estimate with its smoothed unigram estimate:
 
     p(w | v) = MIX * pairs(v, w) / seen(v) + (1 - MIX) * (count(w) + 1) / (total + types)
 
-Bigram counts sit in ``BUCKETS`` cells by a hash of the pair, so that a model's size is a parameter while the counts
-cover every text. A document's score is the mean over its tokens of loss under the target minus loss under the
-background: the lower, the more it is like the target.
+All counts are exact and stay in Spark: words and pairs (by 64-bit hashes of both words) are grouped, and the rows of each
+document's pairs are joined with the pairs' counts. A pair without a row there occurs once, so in this document only. What
+is broadcast is bounded: counts of the FREQUENT most frequent words and at most HEAVY hot pairs, whose rows are dealt over
+SALTS partitions; other words' counts are joined. A document's score is the mean over its tokens of loss under the target
+minus loss under the background: the lower, the more it is like the target.
 
 Defined results: null and empty texts have 0 tokens and null losses; a target with no texts leaves the smoothed
 uniform model; repeated rows each get their row; an empty table gives an empty table.
@@ -16,159 +17,168 @@ uniform model; repeated rows each get their row; an empty table gives an empty t
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.arrow import result, slices, sums
-from foliant.llm.common import U64, discard, mix, split_words, stored
+from foliant.llm.arrow import slices
+from foliant.llm.common import batch_hashes, split_words, stored
 
-VOCABULARY = 50_000
-BUCKETS = 1 << 20
+#: Words whose counts each task holds; a matter of speed alone.
+FREQUENT = 1 << 19
+#: Pairs with more than one token in so many are dealt over SALTS partitions.
+HEAVY, SALTS = 1000, 64
 MIX = 0.7
 #: Stands before the first word of a text.
-BEGIN, OTHER = 0, 1
-
-
-class Ids(dict):
-    """word -> id; words outside the vocabulary are OTHER."""
+BEGIN = 0
+COUNTS = ("n_all", "n_target", "c_all", "c_target")
 
-    def __missing__(self, word):
-        return OTHER
 
-
-def token_ids(texts, ids: Ids) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each token, of the one before it, and the places where each text's tokens begin, and their end."""
     words, starts = split_words(texts)
-    return np.fromiter((ids[w] for ws in words for w in ws), np.int64, int(starts[-1])), starts
-
-
-def contexts(token: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    index, _, h = batch_hashes(words)
+    token = h[index].view(np.int64)
     before = np.concatenate(([BEGIN], token[:-1])) if len(token) else token
-    first = starts[:-1][np.diff(starts) > 0]
-    before[first] = BEGIN
-    return before
+    before[starts[:-1][np.diff(starts) > 0]] = BEGIN
+    return token, before, starts
 
 
-def cells(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return (mix((before << 32 | token).astype(np.uint64)) & U64(BUCKETS - 1)).astype(np.int64)
+def sums_by(keys: tuple[np.ndarray, ...], *values: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The distinct rows of ``keys`` and the sums of ``values`` over each."""
+    if not len(keys[0]):
+        return list(keys), [v[:0] for v in values]
+    order = np.lexsort(keys)
+    keys = [k[order] for k in keys]
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    return [k[at] for k in keys], [np.add.reduceat(v[order], at) for v in values]
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n): counts of each task, then of all."""
+def grouped(texts: DataFrame, pairs: bool) -> DataFrame:
+    """Counts over all texts: of words (w, COUNTS), c for their use as a context; or of pairs (v, w, n_all, n_target)."""
+    names = ["v", "w", "n_all", "n_target"] if pairs else ["w", *COUNTS]
 
     def count(batches):
-        seen: Counter = Counter()
         for b in slices(batches, "text"):
-            for t in b["text"].to_pylist():
-                seen.update(t.encode().split() if t else ())
-            if len(seen) > 1 << 20:  # bounded memory: partial counts may leave at any time
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
-                seen = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            token, before, starts = token_hashes(b["text"].to_pylist())
+            one, wanted = np.ones(len(token), np.int64), np.repeat(b["is_target"].to_numpy(zero_copy_only=False), np.diff(starts)).astype(np.int64)
+            if pairs:
+                keys, values = sums_by((before, token), one, wanted)
+            else:
+                none = np.zeros_like(one)
+                keys, values = sums_by((np.concatenate((token, before)),), *[np.concatenate(x) for x in ((one, none), (wanted, none), (none, one), (none, wanted))])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*keys, *values)], names=names)
 
-    return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = texts.select("text", "is_target").mapInArrow(count, ", ".join(f"{n} long" for n in names))
+    return rows.groupBy(*names[: 1 + pairs]).agg(*[F.sum(n).alias(n) for n in names[1 + pairs :]])
 
 
-def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> Ids:
-    """The most frequent words, at most ``size``; ids from 2 in the order of count, ties by the word.
+def frequent(counted: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of at most ``size`` of the most frequent words, sorted, and their counts (words, 4).
 
-    A histogram of the counts in steps of about 1 % (at most 64 * 64 rows) says from which step on the words are taken, so
-    that of equally frequent words all are in or none is, and no task sends more than its part of them to the driver.
+    A histogram of the counts in steps of about 1 % says from which step on words are taken.
     """
-    counted = stored(word_counts(texts))
-    level = F.floor(F.log2("n") * 64)
+    level = F.floor(F.log2(F.greatest("n_all", "c_all")) * 64)
     held, least = 0, None
     for r in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level):
         held += r.words
         if held > size:
             break
         least = r.level
-    rows = [] if least is None else counted.filter(level >= least).collect()
-    discard(counted)
-    rows.sort(key=lambda r: (-r.n, bytes(r.word)))
-    return Ids({bytes(r.word): k for k, r in enumerate(rows, 2)})
-
-
-class Bigrams:
-    """Counts of one model: tokens, contexts and hashed pairs."""
-
-    def __init__(self, types: int, word=None, context=None, pair=None):
-        self.word = np.zeros(types, np.int64) if word is None else word
-        self.context = np.zeros(types, np.int64) if context is None else context
-        self.pair = np.zeros(BUCKETS, np.int64) if pair is None else pair
-
-    def cells(self) -> np.ndarray:
-        """All counts in one row: words, contexts, pairs."""
-        return np.concatenate((self.word, self.context, self.pair))
+    got = counted.filter(level >= least if least is not None else F.lit(False)).toArrow()
+    order = np.argsort(got["w"].to_numpy())
+    return got["w"].to_numpy()[order], np.stack([got[c].to_numpy() for c in COUNTS], axis=1)[order]
 
-    def add(self, token, before):
-        if len(token):
-            self.word += np.bincount(token, minlength=len(self.word))
-            self.context += np.bincount(before, minlength=len(self.context))
-            self.pair += np.bincount(cells(before, token), minlength=BUCKETS)
 
-    def losses(self, token, before) -> np.ndarray:
-        total = self.word.sum()
-        near = self.pair[cells(before, token)] / np.maximum(self.context[before], 1)
-        return -np.log(MIX * np.minimum(near, 1) + (1 - MIX) * (self.word[token] + 1) / (total + len(self.word)))
-
-
-def count_bigrams(docs: DataFrame, ids, types: int) -> tuple[Bigrams, Bigrams]:
-    """(background, target) counts over all rows; ``docs`` has text and is_target.
-
-    Every task sums its own counts, Spark sums the tasks' non-zero cells, and the driver gets the two models,
-    whose size is fixed by VOCABULARY and BUCKETS.
-    """
-
-    def count(batches):
-        models = Bigrams(types), Bigrams(types)
-        for b in slices(batches, "text"):
-            token, starts = token_ids(b["text"].to_pylist(), ids.value)
-            before = contexts(token, starts)
-            wanted = np.repeat(b["is_target"].to_numpy(zero_copy_only=False), np.diff(starts))
-            models[0].add(token, before)
-            models[1].add(token[wanted], before[wanted])
-        all_, some = (m.cells() for m in models)
-        at = np.flatnonzero(all_)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(all_[at], pa.int64()), pa.array(some[at], pa.int64())], names=["cell", "n_all", "n_target"])
-
-    rows = docs.select("text", "is_target").mapInArrow(count, "cell int, n_all long, n_target long")
-    got = rows.groupBy("cell").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target")).toArrow()
-    at, models = got["cell"].to_numpy(), []
-    for column in ("n_all", "n_target"):
-        flat = np.zeros(2 * types + BUCKETS, np.int64)
-        flat[at] = got[column].to_numpy()
-        models.append(Bigrams(types, flat[:types], flat[types : 2 * types], flat[2 * types :]))
-    return models[0], models[1]
+def looked_up(held: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is held, and its row of counts."""
+    words, counts = held
+    if not len(words):
+        return np.zeros(len(key), bool), np.zeros((len(key), 4), np.int64)
+    at = np.minimum(np.searchsorted(words, key), len(words) - 1)
+    return words[at] == key, counts[at]
 
 
 def lm_scores(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """Per document: n_tokens, loss_target, loss_background, loss_difference. ``target_ids``: doc_id of target texts.
+    """Per document: doc_id, n_tokens, loss_target, loss_background, loss_difference. ``target_ids``: doc_id of target texts.
 
     The target ids grow with the corpus, so they are merged with the documents at every size, never broadcast.
     """
     sc = docs.sparkSession.sparkContext
-    words = vocabulary(docs)
-    types, ids = len(words) + 2, sc.broadcast(words)
     wanted = target_ids.select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    flagged = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    models = sc.broadcast(count_bigrams(flagged, ids, types))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("loss_difference", pa.float64())])
-
-    def score(batches):
-        background, target = models.value
+    flagged = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    texts = stored(flagged.withColumn("row", F.monotonically_increasing_id()))
+    words = stored(grouped(texts, pairs=False))
+    types, total, total_target = words.agg(F.count(F.when(F.col("n_all") > 0, 1)), F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).head()
+    types += 2
+    held = sc.broadcast(frequent(words, FREQUENT))
+    pairs = stored(grouped(texts, pairs=True).filter("n_all > 1"))
+    hot_rows = pairs.filter(F.col("n_all") * HEAVY > total)
+    hot = sc.broadcast({(r.v, r.w) for r in hot_rows.select("v", "w").collect()})
+
+    def own(batches):
         for b in slices(batches, "text"):
-            token, starts = token_ids(b["text"].to_pylist(), ids.value)
-            before = contexts(token, starts)
+            token, before, starts = token_hashes(b["text"].to_pylist())
             n = np.diff(starts)
-            lost = [sums(m.losses(token, before), starts) / np.maximum(n, 1) for m in (target, background)]
-            columns = [pa.array(x, pa.float64(), mask=n == 0) for x in (lost[0], lost[1], lost[0] - lost[1])]
-            yield result(schema, b["doc_id"], n, *columns)
+            (v, w, text), (many,) = sums_by((before, token, np.repeat(np.arange(len(n)), n)), np.ones(len(token), np.int64))
+            salt, row = np.zeros(len(v), np.int32), b["row"].to_numpy()[text]
+            for k in np.flatnonzero(np.isin(v, [x for x, _ in hot.value]) & np.isin(w, [y for _, y in hot.value])) if hot.value else ():
+                if (int(v[k]), int(w[k])) in hot.value:
+                    salt[k] = row[k] % SALTS
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v), pa.array(w), pa.array(salt), pa.array(row), pa.array(many.astype(np.int32)), b["is_target"].take(pa.array(text))], names=["v", "w", "salt", "row", "many", "is_target"])
+
+    rows = texts.select("row", "text", "is_target").mapInArrow(own, "v long, w long, salt int, row long, many int, is_target boolean")
+    salts = F.when(F.col("n_all") * HEAVY > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    counts = pairs.select("v", "w", F.explode(salts).alias("salt"), F.col("n_all").alias("p_all"), F.col("n_target").alias("p_target"))
+    # a pair without a row occurs once: here
+    met = rows.join(counts.hint("merge"), ["v", "w", "salt"], "left").withColumns({"p_all": F.coalesce("p_all", F.lit(1)), "p_target": F.coalesce("p_target", F.col("is_target").cast("long"))})
+    unknown = ["v", "w", "many", "p_all", "p_target", "n_all", "n_target", "c_all", "c_target"]
+
+    def losses(batches):
+        for b in batches:
+            v, w, row, many, p_all, p_target = (b[c].to_numpy() for c in ("v", "w", "row", "many", "p_all", "p_target"))
+            (has_w, of_w), (has_v, of_v) = looked_up(held.value, w), looked_up(held.value, v)
+            lost = []
+            for k, (p, all_) in enumerate(((p_all, total), (p_target, total_target))):
+                lost.append(-many * np.log(MIX * p / np.maximum(of_v[:, 2 + k], 1) + (1 - MIX) * (of_w[:, k] + 1) / (all_ + types)))
+            both = has_w & has_v
+            (done,), (background, target) = sums_by((row[both],), lost[0][both], lost[1][both])
+            rest = np.flatnonzero(~both)
+            empty, n = np.zeros(len(done)), len(done)
+            out = [pa.array(np.concatenate((done, row[rest])))] + [pa.array(np.concatenate((x, np.zeros(len(rest))))) for x in (background, target)]
+            gone = np.concatenate((np.ones(n, bool), np.zeros(len(rest), bool)))
+            for x, no in [(v, None), (w, None), (many.astype(np.int64), None), (p_all, None), (p_target, None), (of_w[:, 0], ~has_w), (of_w[:, 1], ~has_w), (of_v[:, 2], ~has_v), (of_v[:, 3], ~has_v)]:
+                mask = gone if no is None else np.concatenate((np.ones(n, bool), no[rest]))
+                out.append(pa.array(np.concatenate((empty.astype(np.int64), x[rest])), pa.int64(), mask=mask))
+            yield pa.RecordBatch.from_arrays(out, names=["row", "background", "target", *unknown])
+
+    parts = stored(met.select("v", "w", "row", "many", "p_all", "p_target").mapInArrow(losses, "row long, background double, target double, " + ", ".join(f"{c} long" for c in unknown)))
+    rest = parts.filter("v IS NOT NULL")
+    for key, (x, y) in (("w", ("n_all", "n_target")), ("v", ("c_all", "c_target"))):
+        found = words.select(F.col("w").alias(key), F.col(x).alias("x"), F.col(y).alias("y"))
+        late = rest.filter(f"{x} IS NULL").join(found.hint("merge"), key).withColumns({x: F.col("x"), y: F.col("y")}).drop("x", "y")
+        rest = rest.filter(f"{x} IS NOT NULL").unionByName(late)
+
+    def loss(p, context, n, all_):
+        return -F.col("many") * F.log(MIX * F.col(p) / F.greatest(context, F.lit(1)) + (1 - MIX) * (F.col(n) + 1) / (all_ + types))
+
+    late = rest.select("row", loss("p_all", "c_all", "n_all", total).alias("background"), loss("p_target", "c_target", "n_target", total_target).alias("target"))
+    lost = parts.filter("v IS NULL").select("row", "background", "target").unionByName(late).groupBy("row").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+    def tokens(batches):
+        for b in slices(batches, "text"):
+            n = [len(t.encode().split()) if t else 0 for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], pa.array(n, pa.int64())], names=["row", "doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double, loss_difference double")
+    sizes = texts.select("row", "doc_id", "text").mapInArrow(tokens, "row long, doc_id long, n_tokens long")
+    out = sizes.join(lost, "row", "left").select("doc_id", "n_tokens", (F.col("target") / F.col("n_tokens")).alias("loss_target"), (F.col("background") / F.col("n_tokens")).alias("loss_background"))
+    return out.withColumn("loss_difference", F.col("loss_target") - F.col("loss_background"))
 
 
 def good_documents(labels: DataFrame) -> DataFrame:

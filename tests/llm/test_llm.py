@@ -295,3 +295,22 @@ def test_lm_scoring(spark, empty):
         want = np.mean([target(v, w) - background(v, w) for v, w in zip(["<s>", *words], words)])
         assert g.n_tokens == len(words) and abs(g.loss_difference - want) < 0.02
     assert lm_scoring.lm_scores(empty, labels).count() == 0
+
+
+def test_lm_scoring_counts_every_pair_and_word(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 20_000, raising=False)
+    rng = np.random.default_rng(4)
+    words = np.where(rng.random((1500, 1000)) < 0.1, 1, rng.integers(1, 80_000, (1500, 1000)))
+    rows = [(k, " ".join(f"w{x}" for x in own)) for k, own in enumerate(words)] + [(3, " "), (None, "w1 w2")]
+    pairs = [list(zip(["<s>", *t.split()], t.split())) for _, t in rows]
+    models = []
+    for own in (pairs[0:1500:3], pairs):
+        two, ctx, one = collections.Counter(p for d in own for p in d), collections.Counter(v for d in own for v, _ in d), collections.Counter(w for d in own for _, w in d)
+        models.append((two, ctx, one, sum(one.values())))
+    types = len(models[1][2]) + 2
+    assert types > 60_000 and len(models[1][0]) > 1 << 20
+    got = {g.doc_id: g for g in lm_scoring.lm_scores(spark.createDataFrame(rows[:1500] + rows[1501:], "doc_id long, text string"), spark.createDataFrame([(k,) for k in range(0, 1500, 3)], "doc_id long")).collect()}
+    for (i, _), d in zip(rows, pairs):
+        if d:
+            want = [np.mean([-np.log(0.7 * two[v, w] / max(ctx[v], 1) + 0.3 * (one[w] + 1) / (total + types)) for v, w in d]) for two, ctx, one, total in models]
+            assert got[i].n_tokens == len(d) and abs(got[i].loss_target - want[0]) < 1e-9 and abs(got[i].loss_background - want[1]) < 1e-9
