@@ -2,8 +2,11 @@
 
 Of the grams (k entries in a row) in a window, the one with the least hash is the window's anchor, the leftmost on a tie.
 The choice depends on the window's content alone, so equal windows have equal anchors at equal places, and an anchor
-stands for a stretch of neighbouring windows. ``Sketch`` counts anchors: a count-min sketch whose cells the tasks fill
+stands for a stretch of neighbouring windows. The sketch counts anchors: a count-min sketch whose cells the tasks fill
 and Spark merges; it never says less than the true count, so a window whose anchor is counted once is unique.
+
+The sketch has about four cells for each anchor, up to 2**MAX_BITS a row (64 MB in all, on every executor). That is enough
+for some 10 GB of text; on more it lets ever more unique anchors pass. Results stay the same, the tables grow.
 """
 
 from __future__ import annotations
@@ -12,32 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from foliant.llm.common import U64, gram_hashes, mix
+from foliant.llm.common import U64, mix
 
-#: Rows and cells a row of the sketch; as bits, 8 MB a row on every executor, whatever the input.
-DEPTH, CELL_BITS = 2, 26
+#: Rows of the sketch, and the powers of two between which the cells of a row are.
+DEPTH, MIN_BITS, MAX_BITS = 2, 20, 28
 BLOCK_BITS = 16
-
-
-class RangeHash:
-    """128-bit hashes of any stretch of entries, equal for equal stretches wherever they stand."""
-
-    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-    def __init__(self, h: np.ndarray):
-        self.sums, self.backs = [], []
-        for k, base in enumerate(self.BASES):
-            power = np.cumprod(np.concatenate(([U64(1)], np.full(len(h), U64(base)))), dtype=U64)
-            back = np.cumprod(np.concatenate(([U64(1)], np.full(len(h), U64(pow(base, -1, 1 << 64))))), dtype=U64)
-            own = mix(h, 11 + k)
-            self.sums.append(np.concatenate(([U64(0)], np.cumsum(own * power[:-1], dtype=U64))))
-            self.backs.append(back)
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = (stop - start).astype(U64)
-        return tuple(mix((s[stop] - s[start]) * b[start] + n, 13).view(np.int64) for s, b in zip(self.sums, self.backs))
+#: The low bits of a key hold a place, so so many windows are looked at together.
+PLACE = U64((1 << 24) - 1)
+CHUNK = 1 << 22
 
 
 @dataclass
@@ -50,56 +39,68 @@ class Anchors:
     last: np.ndarray
     text: np.ndarray
 
+    def picked(self, which: np.ndarray) -> Anchors:
+        return Anchors(*(x[which] for x in (self.at, self.gram, self.first, self.last, self.text)))
+
 
 def least_in_windows(v: np.ndarray, n: int) -> np.ndarray:
-    """Place of the leftmost least entry in each n entries in a row."""
-    at = np.arange(len(v))
-    have = 1
-    while have < n:
-        step = min(have, n - have)
-        left, right = at[: len(at) - step], at[step:]
-        at = np.where(v[left] <= v[right], left, right)
-        have += step
-    return at
-
-
-def find_anchors(h: np.ndarray, starts: np.ndarray, window: int, gram: int, ranges: RangeHash | None = None) -> Anchors:
-    """Anchors of texts whose entries have the hashes ``h``; text t holds entries starts[t] to starts[t + 1].
-
-    With ``ranges`` the grams' hashes come from there, which pays off for long grams.
-    """
-    none = np.zeros(0, np.int64)
-    if len(h) < window:
-        return Anchors(none, none.astype(U64), none, none, none)
-    if ranges is None:
-        v = mix(gram_hashes(h, gram), 7)
-    else:
-        i = np.arange(len(h) - gram + 1)
-        v = ranges.of(i, i + gram)[0].view(U64)
+    """Place of the leftmost entry that is least (in its upper 40 bits) in each n entries in a row."""
+    out = np.empty(max(0, len(v) - n + 1), np.int64)
+    for c in range(0, len(out), CHUNK):
+        stop = min(c + CHUNK, len(out))
+        key = (v[c : stop + n - 1] & ~PLACE) | np.arange(stop + n - 1 - c, dtype=U64)
+        have = 1
+        while have < n:
+            step = min(have, n - have)
+            key = np.minimum(key[:-step], key[step:])
+            have += step
+        out[c:stop] = (key & PLACE).astype(np.int64) + c
+    return out
+
+
+def find_anchors(v: np.ndarray, starts: np.ndarray, window: int, gram: int) -> Anchors:
+    """Anchors of texts; text t holds the entries starts[t] to starts[t + 1], and ``v`` has a hash for each gram of them all."""
     owner = least_in_windows(v, window - gram + 1)
-    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(owner)]
-    valid = np.flatnonzero(np.arange(len(owner)) + window <= starts[1:][text])
-    if not len(valid):
+    if not len(owner):
+        none = np.zeros(0, np.int64)
         return Anchors(none, none.astype(U64), none, none, none)
-    at, begin = np.unique(owner[valid], return_index=True)
-    end = np.concatenate((begin[1:], [len(valid)])) - 1
-    return Anchors(at, v[at], valid[begin], valid[end], text[valid[begin]])
+    edge = np.zeros(len(owner) + 1, np.int32)  # windows that reach over the end of a text
+    np.add.at(edge, np.minimum(np.maximum(starts[:-1], starts[1:] - window + 1), len(owner)), 1)
+    np.add.at(edge, np.minimum(starts[1:], len(owner)), -1)
+    over = np.cumsum(edge[:-1]) > 0
+    cut = owner[1:] != owner[:-1]
+    first, last = ~over, ~over
+    first[1:] &= cut | over[:-1]
+    last[:-1] &= cut | over[1:]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    return Anchors(owner[first], v[owner[first]], first, last, np.searchsorted(starts, first, side="right") - 1)
 
 
-def cells_of(gram: np.ndarray, row: int) -> np.ndarray:
-    return (mix(gram, 101 + row) >> U64(64 - CELL_BITS)).astype(np.int64)
+def names_of(raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit hash of each stretch of ``raw``, as two columns; equal for equal stretches wherever they stand."""
+    found = b"".join([xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip(begin.tolist(), end.tolist())])
+    both = np.frombuffer(found, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def cell_bits(n_anchors: int) -> int:
+    return min(MAX_BITS, max(MIN_BITS, (4 * n_anchors).bit_length()))
+
+
+def cells_of(gram: np.ndarray, row: int, bits: int) -> np.ndarray:
+    return (mix(gram, 101 + row) >> U64(64 - bits)).astype(np.int64)
 
 
 SKETCH_SCHEMA = "block int, once binary, more binary"
 
 
-def sketch_rows(grams: list[np.ndarray]) -> pa.RecordBatch:
+def sketch_rows(grams: list[np.ndarray], bits: int) -> pa.RecordBatch:
     """A task's own sketch: for each block of cells, the cells counted once and more often, as 16-bit offsets."""
     all_ = np.concatenate(grams) if grams else np.zeros(0, U64)
     blocks, once, more = [], [], []
     for row in range(DEPTH):
-        cell, n = np.unique(cells_of(all_, row), return_counts=True)
-        block = (row << (CELL_BITS - BLOCK_BITS)) + (cell >> BLOCK_BITS)
+        cell, n = np.unique(cells_of(all_, row, bits), return_counts=True)
+        block = (row << (bits - BLOCK_BITS)) + (cell >> BLOCK_BITS)
         for b, c, k in _by_block(block, (cell & ((1 << BLOCK_BITS) - 1)).astype("<u2"), n):
             blocks.append(b)
             once.append(c[k == 1].tobytes())
@@ -136,11 +137,11 @@ def _bits(out):
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "bits"])
 
 
-def merged_sketch(rows: DataFrame) -> np.ndarray:
-    """The bits of all cells, from the tasks' sketch rows; DEPTH * 2**CELL_BITS bits reach the driver at most."""
-    bits = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary")
-    whole = np.zeros((DEPTH << (CELL_BITS - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8)
-    for r in bits.toLocalIterator():
+def merged_sketch(rows: DataFrame, bits: int) -> np.ndarray:
+    """The bits of all cells, from the tasks' sketch rows; DEPTH * 2**bits bits reach the driver at most."""
+    cells = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary")
+    whole = np.zeros((DEPTH << (bits - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8)
+    for r in cells.toLocalIterator():
         whole[r.block] = np.frombuffer(r.bits, np.uint8)
     return whole.reshape(DEPTH, -1)
 
@@ -149,6 +150,18 @@ def maybe_repeated(sketch: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """False only for anchors that occur once."""
     yes = np.ones(len(gram), bool)
     for row in range(DEPTH):
-        cell = cells_of(gram, row)
+        cell = cells_of(gram, row, sketch.shape[1].bit_length() + 2)
         yes &= (sketch[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
     return yes
+
+
+def broadcast_sketch(docs: DataFrame, anchors, per_anchor: int):
+    """The sketch of all texts of ``docs``, on every executor. ``anchors``: record batches -> grams of each; one anchor in about ``per_anchor`` bytes."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    bits = cell_bits(size // per_anchor)
+
+    def sketch(batches):
+        yield sketch_rows(list(anchors(batches)), bits)
+
+    return spark.sparkContext.broadcast(merged_sketch(docs.select("text").mapInArrow(sketch, SKETCH_SCHEMA), bits))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +20,10 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset on a local master (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_foliant_scratch", None)
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = spark._foliant_scratch = "file://" + tempfile.mkdtemp(prefix="foliant-")
     return base.rstrip("/")
@@ -39,10 +45,13 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of stored tables once all that was made from them is stored itself."""
+    """Delete the files of stored tables once all that was made from them is stored itself, and let Spark drop shuffle files that nothing refers to any more."""
     for t in tables:
         jpath = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._foliant_path)
         jpath.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,22 +78,6 @@ def running_totals(df: DataFrame, group: list[str], block: str, order: list, val
     return joined.withColumn(out, (F.col("__own") + F.col("__base")).cast("long")).drop("__own", "__base", *[f"__g_{c}" for c in [*group, block]])
 
 
-class WordHashes(dict):
-    """bytes -> position in ``hashes``; new words are hashed once (64-bit, the same on every machine)."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.new)
-        self.new.append(xxhash.xxh3_64_intdigest(word))
-        return n
-
-    def array(self) -> np.ndarray:
-        return np.array(self.new, dtype=U64)
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (multiply and xor-shift)."""
     x = x ^ U64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
@@ -93,17 +86,35 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def split_words(texts) -> tuple[list[list[bytes]], np.ndarray]:
-    """Words of each text (null: none) and the places where each text's words begin, and their end."""
-    words = [t.encode().split() if t else [] for t in texts]
-    return words, np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
-
-
-def batch_hashes(words: list[list[bytes]]) -> tuple[np.ndarray, WordHashes, np.ndarray]:
-    """For all words of a batch: their index among the distinct words, those words, and those words' hashes."""
-    seen = WordHashes()
-    index = np.fromiter((seen[w] for ws in words for w in ws), dtype=np.int64, count=sum(map(len, words)))
-    return index, seen, seen.array()
+@dataclass
+class Words:
+    """All words of a batch: each one's number among the distinct words, where each text's begin (and the end), the distinct words and their hashes."""
+
+    index: np.ndarray
+    starts: np.ndarray
+    distinct: list[bytes]
+    hashes: np.ndarray
+
+    def tokens(self) -> np.ndarray:
+        """A 64-bit hash for each word, the same on every machine."""
+        return self.hashes[self.index]
+
+
+def batch_words(texts: pa.Array, lower: bool = False) -> Words:
+    """Words of each text (null: none); with ``lower``, A-Z are made lower case. Python sees each distinct word of a batch once."""
+    whole = pc.fill_null(texts, "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(whole) if lower else whole)
+    coded = split.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    index, n = coded.indices.to_numpy().astype(np.int64), split.value_lengths().to_numpy().astype(np.int64)
+    if b"" in distinct:  # before the first and behind the last blank of a text
+        gone = distinct.index(b"")
+        stays = index != gone
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[stays], minlength=len(n))
+        index = index[stays]
+        index -= index > gone
+        distinct.pop(gone)
+    return Words(index, np.concatenate(([0], np.cumsum(n))), distinct, np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), U64, len(distinct)))
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:

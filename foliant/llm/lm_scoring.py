@@ -1,184 +1,171 @@
 """LM scoring by cross-entropy difference.
 
-Two word-bigram models of the same form, one of the target texts and one of the background (all documents), share
-one vocabulary: all words of all documents. A model mixes its bigram estimate with its smoothed unigram estimate:
+Two word-bigram models of one form, one of the target texts and one of the background (all documents), share one vocabulary: all
+words of all documents. They are matched: both mix the same estimates with the same weights, whatever their sizes.
 
-    p(w | v) = MIX * pairs(v, w) / seen(v) + (1 - MIX) * (count(w) + 1) / (total + types)
+    u(w)     = (1 - FLOOR) * count(w) / total + FLOOR / types
+    p(w | v) = MIX * pairs(v, w) / count(v) + (1 - MIX) * u(w);     u(w) alone where the model never saw v
 
-All counts are exact and stay in Spark: words and pairs (by 64-bit hashes of both words) are grouped, and the rows of each
-document's pairs are joined with the pairs' counts. A pair without a row there occurs once, so in this document only. What
-is broadcast is bounded: counts of the FREQUENT most frequent words and at most HEAVY hot pairs, whose rows are dealt over
-SALTS partitions; other words' counts are joined. A document's score is the mean over its tokens of loss under the target
+All counts are exact, cover all documents and grow with them. Texts are put into blocks of about BLOCK_BYTES. A block gives one
+row for each distinct word or pair in it, with a 64-bit hash as its key; a window over each key, which has one row for a block at
+most, tells every block the counts of the whole corpus, unless all of them are its own. A block's texts and counts then meet
+in one task and give the losses. Nothing is broadcast. A document's score is the mean over its tokens of loss under the target
 minus loss under the background: the lower, the more it is like the target.
 
-Defined results: null and empty texts have 0 tokens and null losses; a target with no texts leaves the smoothed
-uniform model; repeated rows each get their row; an empty table gives an empty table.
+Defined results: null and empty texts have 0 tokens and null losses; a target with no texts leaves the uniform
+distribution; repeated rows each get their row; an empty table gives an empty table. Of 10**9 different words and pairs,
+two share a hash with a probability of 3 %; their counts are then added.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.arrow import slices
-from foliant.llm.common import batch_hashes, split_words, stored
+from foliant.llm.arrow import slices, sums
+from foliant.llm.common import U64, batch_words, discard, mix, stored
 
-#: Words whose counts each task holds; a matter of speed alone.
-FREQUENT = 1 << 19
-#: Pairs with more than one token in so many are dealt over SALTS partitions.
-HEAVY, SALTS = 1000, 64
-MIX = 0.7
+BLOCK_BYTES = 12 << 20
+MIX, FLOOR = 0.7, 0.05
 #: Stands before the first word of a text.
-BEGIN = 0
-COUNTS = ("n_all", "n_target", "c_all", "c_target")
-
-
-def token_hashes(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each token, of the one before it, and the places where each text's tokens begin, and their end."""
-    words, starts = split_words(texts)
-    index, _, h = batch_hashes(words)
-    token = h[index].view(np.int64)
-    before = np.concatenate(([BEGIN], token[:-1])) if len(token) else token
-    before[starts[:-1][np.diff(starts) > 0]] = BEGIN
-    return token, before, starts
-
-
-def sums_by(keys: tuple[np.ndarray, ...], *values: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The distinct rows of ``keys`` and the sums of ``values`` over each."""
-    if not len(keys[0]):
-        return list(keys), [v[:0] for v in values]
-    order = np.lexsort(keys)
-    keys = [k[order] for k in keys]
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    at = np.flatnonzero(new)
-    return [k[at] for k in keys], [np.add.reduceat(v[order], at) for v in values]
-
-
-def grouped(texts: DataFrame, pairs: bool) -> DataFrame:
-    """Counts over all texts: of words (w, COUNTS), c for their use as a context; or of pairs (v, w, n_all, n_target)."""
-    names = ["v", "w", "n_all", "n_target"] if pairs else ["w", *COUNTS]
+BEGIN = U64(0)
+PAIR = U64(0x9FB21C651E98DF25)
+ROWS = 1 << 18
 
-    def count(batches):
+
+def key_of_words(token: np.ndarray) -> np.ndarray:
+    return (mix(token, 21) & ~U64(1)).view(np.int64)
+
+
+def key_of_pairs(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return (mix(mix(before, 22) * PAIR + token, 23) | U64(1)).view(np.int64)
+
+
+def packed(rows: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+    """A block as one row: its texts as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for r in rows:
+            out.write_batch(r)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
+
+def into_blocks(flagged: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, rows): texts in blocks of about ``block_bytes``; a longer text is a block of its own."""
+
+    def pack(batches):
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
         for b in slices(batches, "text"):
-            token, before, starts = token_hashes(b["text"].to_pylist())
-            one, wanted = np.ones(len(token), np.int64), np.repeat(b["is_target"].to_numpy(zero_copy_only=False), np.diff(starts)).astype(np.int64)
-            if pairs:
-                keys, values = sums_by((before, token), one, wanted)
-            else:
-                none = np.zeros_like(one)
-                keys, values = sums_by((np.concatenate((token, before)),), *[np.concatenate(x) for x in ((one, none), (wanted, none), (none, one), (none, wanted))])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*keys, *values)], names=names)
+            held.append(b)
+            size += pc.sum(pc.binary_length(b["text"])).as_py() or 0
+            if size >= block_bytes:
+                yield packed(held, number)
+                number, held, size = number + 1, [], 0
+        if held:
+            yield packed(held, number)
+
+    return flagged.select("doc_id", "text", "is_target").mapInArrow(pack, "block long, rows binary")
+
+
+class Grams:
+    """The words and pairs of a block: per token the key of the word, of the word before it and of both."""
+
+    def __init__(self, blob):
+        self.table = pa.ipc.open_stream(blob).read_all()
+        words = batch_words(self.table["text"].combine_chunks())
+        self.starts, token = words.starts, words.tokens()
+        before = np.concatenate(([BEGIN], token[:-1])) if len(token) else token
+        begins = self.starts[:-1][np.diff(self.starts) > 0]
+        before[begins] = BEGIN
+        self.word, self.pair = key_of_words(token), key_of_pairs(before, token)
+        self.before, self.n_begins = key_of_words(before), len(begins)
+        wanted = self.table["is_target"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        self.wanted = np.repeat(wanted, np.diff(self.starts))
+        target_begins = int((wanted & (np.diff(self.starts) > 0)).sum())
+        first = key_of_words(np.array([BEGIN]))
+        self.kinds = [  # keys and, for the target, those keys among them
+            (np.concatenate((self.word, np.repeat(first, self.n_begins))), np.concatenate((self.word[self.wanted], np.repeat(first, target_begins)))),
+            (self.pair, self.pair[self.wanted])]
+
+    def counts(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, sorted, how often each occurs, and how often in the target."""
+        keys, wanted = self.kinds[kind]
+        known, n = np.unique(keys, return_counts=True)
+        target, m = np.unique(wanted, return_counts=True)
+        of_target = np.zeros(len(known), np.int64)
+        of_target[np.searchsorted(known, target)] = m
+        return known, n, of_target
+
+
+def gram_rows(blocks: DataFrame) -> DataFrame:
+    """(key, block, n, n_target): a row for each distinct word or pair of a block."""
 
-    rows = texts.select("text", "is_target").mapInArrow(count, ", ".join(f"{n} long" for n in names))
-    return rows.groupBy(*names[: 1 + pairs]).agg(*[F.sum(n).alias(n) for n in names[1 + pairs :]])
+    def count(batches):
+        for b in batches:
+            for number, blob in zip(b["block"].to_pylist(), b["rows"]):
+                grams = Grams(blob.as_buffer())
+                for kind in (0, 1):
+                    key, n, target = grams.counts(kind)
+                    for k in range(0, len(key), ROWS):
+                        part = [x[k : k + ROWS] for x in (key, n, target)]
+                        yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(np.full(len(part[0]), number)), pa.array(part[1]), pa.array(part[2])], names=["key", "block", "n", "n_target"])
 
+    return blocks.mapInArrow(count, "key long, block long, n long, n_target long")
 
-def frequent(counted: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of at most ``size`` of the most frequent words, sorted, and their counts (words, 4).
 
-    A histogram of the counts in steps of about 1 % says from which step on words are taken.
-    """
-    level = F.floor(F.log2(F.greatest("n_all", "c_all")) * 64)
-    held, least = 0, None
-    for r in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level):
-        held += r.words
-        if held > size:
-            break
-        least = r.level
-    got = counted.filter(level >= least if least is not None else F.lit(False)).toArrow()
-    order = np.argsort(got["w"].to_numpy())
-    return got["w"].to_numpy()[order], np.stack([got[c].to_numpy() for c in COUNTS], axis=1)[order]
-
-
-def looked_up(held: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each key is held, and its row of counts."""
-    words, counts = held
-    if not len(words):
-        return np.zeros(len(key), bool), np.zeros((len(key), 4), np.int64)
-    at = np.minimum(np.searchsorted(words, key), len(words) - 1)
-    return words[at] == key, counts[at]
-
-
-def lm_scores(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+def lm_scores(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_tokens, loss_target, loss_background, loss_difference. ``target_ids``: doc_id of target texts.
 
     The target ids grow with the corpus, so they are merged with the documents at every size, never broadcast.
     """
-    sc = docs.sparkSession.sparkContext
     wanted = target_ids.select("doc_id").distinct().withColumn("is_target", F.lit(True))
     flagged = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    texts = stored(flagged.withColumn("row", F.monotonically_increasing_id()))
-    words = stored(grouped(texts, pairs=False))
-    types, total, total_target = words.agg(F.count(F.when(F.col("n_all") > 0, 1)), F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).head()
-    types += 2
-    held = sc.broadcast(frequent(words, FREQUENT))
-    pairs = stored(grouped(texts, pairs=True).filter("n_all > 1"))
-    hot_rows = pairs.filter(F.col("n_all") * HEAVY > total)
-    hot = sc.broadcast({(r.v, r.w) for r in hot_rows.select("v", "w").collect()})
-
-    def own(batches):
-        for b in slices(batches, "text"):
-            token, before, starts = token_hashes(b["text"].to_pylist())
-            n = np.diff(starts)
-            (v, w, text), (many,) = sums_by((before, token, np.repeat(np.arange(len(n)), n)), np.ones(len(token), np.int64))
-            salt, row = np.zeros(len(v), np.int32), b["row"].to_numpy()[text]
-            for k in np.flatnonzero(np.isin(v, [x for x, _ in hot.value]) & np.isin(w, [y for _, y in hot.value])) if hot.value else ():
-                if (int(v[k]), int(w[k])) in hot.value:
-                    salt[k] = row[k] % SALTS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v), pa.array(w), pa.array(salt), pa.array(row), pa.array(many.astype(np.int32)), b["is_target"].take(pa.array(text))], names=["v", "w", "salt", "row", "many", "is_target"])
-
-    rows = texts.select("row", "text", "is_target").mapInArrow(own, "v long, w long, salt int, row long, many int, is_target boolean")
-    salts = F.when(F.col("n_all") * HEAVY > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    counts = pairs.select("v", "w", F.explode(salts).alias("salt"), F.col("n_all").alias("p_all"), F.col("n_target").alias("p_target"))
-    # a pair without a row occurs once: here
-    met = rows.join(counts.hint("merge"), ["v", "w", "salt"], "left").withColumns({"p_all": F.coalesce("p_all", F.lit(1)), "p_target": F.coalesce("p_target", F.col("is_target").cast("long"))})
-    unknown = ["v", "w", "many", "p_all", "p_target", "n_all", "n_target", "c_all", "c_target"]
-
-    def losses(batches):
-        for b in batches:
-            v, w, row, many, p_all, p_target = (b[c].to_numpy() for c in ("v", "w", "row", "many", "p_all", "p_target"))
-            (has_w, of_w), (has_v, of_v) = looked_up(held.value, w), looked_up(held.value, v)
-            lost = []
-            for k, (p, all_) in enumerate(((p_all, total), (p_target, total_target))):
-                lost.append(-many * np.log(MIX * p / np.maximum(of_v[:, 2 + k], 1) + (1 - MIX) * (of_w[:, k] + 1) / (all_ + types)))
-            both = has_w & has_v
-            (done,), (background, target) = sums_by((row[both],), lost[0][both], lost[1][both])
-            rest = np.flatnonzero(~both)
-            empty, n = np.zeros(len(done)), len(done)
-            out = [pa.array(np.concatenate((done, row[rest])))] + [pa.array(np.concatenate((x, np.zeros(len(rest))))) for x in (background, target)]
-            gone = np.concatenate((np.ones(n, bool), np.zeros(len(rest), bool)))
-            for x, no in [(v, None), (w, None), (many.astype(np.int64), None), (p_all, None), (p_target, None), (of_w[:, 0], ~has_w), (of_w[:, 1], ~has_w), (of_v[:, 2], ~has_v), (of_v[:, 3], ~has_v)]:
-                mask = gone if no is None else np.concatenate((np.ones(n, bool), no[rest]))
-                out.append(pa.array(np.concatenate((empty.astype(np.int64), x[rest])), pa.int64(), mask=mask))
-            yield pa.RecordBatch.from_arrays(out, names=["row", "background", "target", *unknown])
-
-    parts = stored(met.select("v", "w", "row", "many", "p_all", "p_target").mapInArrow(losses, "row long, background double, target double, " + ", ".join(f"{c} long" for c in unknown)))
-    rest = parts.filter("v IS NOT NULL")
-    for key, (x, y) in (("w", ("n_all", "n_target")), ("v", ("c_all", "c_target"))):
-        found = words.select(F.col("w").alias(key), F.col(x).alias("x"), F.col(y).alias("y"))
-        late = rest.filter(f"{x} IS NULL").join(found.hint("merge"), key).withColumns({x: F.col("x"), y: F.col("y")}).drop("x", "y")
-        rest = rest.filter(f"{x} IS NOT NULL").unionByName(late)
-
-    def loss(p, context, n, all_):
-        return -F.col("many") * F.log(MIX * F.col(p) / F.greatest(context, F.lit(1)) + (1 - MIX) * (F.col(n) + 1) / (all_ + types))
-
-    late = rest.select("row", loss("p_all", "c_all", "n_all", total).alias("background"), loss("p_target", "c_target", "n_target", total_target).alias("target"))
-    lost = parts.filter("v IS NULL").select("row", "background", "target").unionByName(late).groupBy("row").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-    def tokens(batches):
-        for b in slices(batches, "text"):
-            n = [len(t.encode().split()) if t else 0 for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], pa.array(n, pa.int64())], names=["row", "doc_id", "n_tokens"])
-
-    sizes = texts.select("row", "doc_id", "text").mapInArrow(tokens, "row long, doc_id long, n_tokens long")
-    out = sizes.join(lost, "row", "left").select("doc_id", "n_tokens", (F.col("target") / F.col("n_tokens")).alias("loss_target"), (F.col("background") / F.col("n_tokens")).alias("loss_background"))
-    return out.withColumn("loss_difference", F.col("loss_target") - F.col("loss_background"))
+    blocks = stored(into_blocks(flagged, block_bytes))
+    discard()
+    same = Window.partitionBy("key")
+    whole = gram_rows(blocks).withColumns({"all": F.sum("n").over(same), "all_target": F.sum("n_target").over(same), "head": F.col("block") == F.min("block").over(same)})
+    is_word = F.col("key").bitwiseAND(F.lit(1)) == 0
+    # a pair or word that a block has alone needs no row, but each word keeps one
+    whole = stored(whole.filter((F.col("all") > F.col("n")) | (is_word & F.col("head"))).select("block", "key", "all", "all_target", F.when(is_word, F.col("head")).alias("head")))
+    begin = int(key_of_words(np.array([BEGIN]))[0])
+    types, total, total_target = whole.filter(F.col("head") & (F.col("key") != begin)).agg(F.count("*"), F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum("all_target"), F.lit(0))).head()
+    discard()
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64())])
+
+    def score(own: pa.Table, found: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return schema.empty_table()
+        grams = Grams(own["rows"][0].as_buffer())
+        order = np.argsort(found["key"].to_numpy())
+        key, counts = found["key"].to_numpy()[order], [found[c].to_numpy()[order] for c in ("all_target", "all")]
+        looked = []
+        for kind in (0, 1):
+            known, n, target = grams.counts(kind)
+            both = [target, n]
+            if len(key):
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1) if len(known) else np.zeros(0, np.int64)
+                here = known[at] == key if len(known) else np.zeros(len(key), bool)
+                for mine, of_all in zip(both, counts):
+                    mine[at[here]] = of_all[here]
+            looked.append((known, both))
+        of_word, of_before = (np.searchsorted(looked[0][0], x) for x in (grams.word, grams.before))
+        of_pair = np.searchsorted(looked[1][0], grams.pair)
+        n_tokens, losses = np.diff(grams.starts), []
+        for k, all_ in enumerate((total_target, total)):
+            one, two = looked[0][1][k], looked[1][1][k]
+            single = (1 - FLOOR) * one[of_word] / all_ + FLOOR / types if all_ else np.full(len(of_word), 1 / max(types, 1))
+            context = one[of_before]
+            p = np.where(context > 0, MIX * two[of_pair] / np.maximum(context, 1) + (1 - MIX) * single, single)
+            losses.append(sums(-np.log(p), grams.starts) / np.maximum(n_tokens, 1))
+        none = n_tokens == 0
+        return pa.table([grams.table["doc_id"], pa.array(n_tokens), *[pa.array(x, mask=none) for x in losses]], schema=schema)
+
+    scored = blocks.groupBy("block").cogroup(whole.select("block", "key", "all", "all_target").groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double")
+    return scored.withColumn("loss_difference", F.col("loss_target") - F.col("loss_background"))
 
 
 def good_documents(labels: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """MinHash near-dedup with circulant permutations.
 
 A shingle's hash passes a first permutation of the 32-bit integers; coordinate k of the signature is the least value
-of one second permutation shifted circularly by k steps (C-MinHash, Li and Li, 2021). BANDS bands of ROWS coordinates
+of a second one, the same for all k, after a circular shift by k steps (C-MinHash, Li and Li, 2021). BANDS bands of ROWS coordinates
 give candidates: a pair at the similarity 0.85 shares no band with probability (1 - 0.85**4)**28 < 2e-9, one at 0.80 < 5e-7.
 
-Documents with equal shingle sets are one class. In each bucket the classes are compared with one hub, the class with most
+Documents with equal shingle sets (by a 128-bit hash of the sorted 64-bit hashes: two different sets among 10**9 meet with a
+probability below 10**-9, given that no shingles do) are one class. In each bucket the classes are compared with one hub, the class with most
 bucket neighbours, on their full shingle sets. Where a bucket still holds several components, the classes whose shingles
 could allow a link are compared across components. The bound is exact: two classes share at most the lesser of what each
 has in common with a hub, and outside the hub at most the lesser number of shingles that some other candidate has too.
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.arrow import result, slices
-from foliant.llm.common import WORD, WordHashes, gram_hashes, mix, stored
+from foliant.llm.common import WORD, batch_words, gram_hashes, mix, stored
 from foliant.llm.components import components
 from foliant.llm.window_dedup import NULL_ID, keyed
 
 SHINGLE, BANDS, ROWS = 5, 28, 4
 STEP = 0x9E3779B9
+#: The two permutations.
+FIRST, SECOND = (0x7FEB352D, 0x846CA68B), (0x21F0AAAD, 0xD35A2D97)
 #: Links have 100 * intersection >= percent * union, by default this one.
 PERCENT = 85
 
@@ -46,10 +49,10 @@ def shingles(text: str | None, n: int = SHINGLE) -> set[bytes]:
     return {b" ".join(words[k : k + n]) for k in range(len(words) - n + 1)}
 
 
-def scramble(x: np.ndarray) -> np.ndarray:
-    """A permutation of the 32-bit integers."""
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
-    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+def permuted(x: np.ndarray, odd: tuple[int, int]) -> np.ndarray:
+    """A permutation of the 32-bit integers, another one for each pair of odd factors."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(odd[0])
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(odd[1])
     return x ^ (x >> np.uint32(16))
 
 
@@ -57,22 +60,19 @@ def signature(first: np.ndarray, cuts: np.ndarray, n: int) -> np.ndarray:
     """(texts, n) least values; ``first`` has the first permutation's values, text t's from cuts[t] on."""
     out = np.empty((len(cuts), n), np.uint32)
     for k in range(n):
-        out[:, k] = np.minimum.reduceat(scramble(first + np.uint32(k * STEP & 0xFFFFFFFF)), cuts)
+        out[:, k] = np.minimum.reduceat(permuted(first + np.uint32(k * STEP & 0xFFFFFFFF), SECOND), cuts)
     return out
 
 
-def hashed_sets(texts: list, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def hashed_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit shingle hashes of all texts in a row, sorted in each, and each text's number of them."""
-    seen = WordHashes()
-    words = [shingle_words(t) for t in texts]
-    index = np.fromiter((seen[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
-    token = seen.array()[index]
-    grams = {k: gram_hashes(token, k) for k in range(1, n + 1)}
-    sets, at = [], 0
-    for ws in words:
-        k = min(n, len(ws))
-        sets.append(np.unique(mix(grams[k][at : at + len(ws) - k + 1], k)) if k else token[:0])
-        at += len(ws)
+    words = batch_words(texts, lower=True)
+    token, starts = words.tokens(), words.starts
+    grams = {k: mix(gram_hashes(token, k), k) for k in range(1, n + 1)}
+    sets = []
+    for a, b in zip(starts[:-1], starts[1:]):
+        k = min(n, b - a)
+        sets.append(np.unique(grams[k][a : b - k + 1]) if k else token[:0])
     return np.concatenate(sets) if sets else token[:0], np.array([len(s) for s in sets], np.int64)
 
 
@@ -81,14 +81,14 @@ def describe(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        for b in slices(batches, "text", 2 << 20):
-            flat, n = hashed_sets(b["text"].to_pylist())
+        for b in slices(batches, "text"):
+            flat, n = hashed_sets(b["text"])
             ends = np.cumsum(n)
             full = np.flatnonzero(n)
             bands: list = [None] * len(n)
             keys: list = [None] * len(n)
             if len(full):
-                first = scramble((flat ^ (flat >> np.uint64(32))).astype(np.uint32))
+                first = permuted((flat ^ (flat >> np.uint64(32))).astype(np.uint32), FIRST)
                 s = signature(first, (ends - n)[full], BANDS * ROWS).reshape(len(full), BANDS, ROWS).astype(np.uint64)
                 h = np.zeros(s.shape[:2], np.uint64)
                 for r in range(ROWS):
@@ -129,8 +129,8 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
     """(id, shingle) with 64-bit hashes, one row per distinct shingle of a text."""
 
     def run(batches):
-        for b in slices(batches, "text", 2 << 20):
-            flat, n = hashed_sets(b["text"].to_pylist())
+        for b in slices(batches, "text"):
+            flat, n = hashed_sets(b["text"])
             yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(flat.view(np.int64))], names=["id", "shingle"])
 
     return texts.select("id", "text").mapInArrow(run, "id long, shingle long")

@@ -29,7 +29,7 @@ from foliant.llm.tokens import encoder
 CAPACITY = 2048
 END = 0
 BLOCKS = 64
-#: Beyond so many rows the broadcast of the plan would be refused; a plan has a few rows for each size.
+#: Beyond so many rows the broadcast of the plan would be refused; a plan has a few rows for each size, so it isn't reached.
 MAX_PLAN = 2_000_000
 
 
@@ -74,7 +74,7 @@ class Sizes:
 
     def take(self, size: int, n: int = 1) -> None:
         self.left[size] -= n
-        if not self.left[size]:
+        if self.left[size] == 0:
             del self.left[size]
             self.order.pop(bisect_left(self.order, size))
 
@@ -87,9 +87,10 @@ class Sizes:
         k = bisect_left(self.order, bound + 1)
         return self.order[k - 1] if k else None
 
-    def smallest(self, n: int) -> list[int]:
+    def smallest(self, n: int, above: int = 0) -> list[int]:
+        """The ``n`` smallest pieces that are larger than ``above``."""
         out = []
-        for s in self.order:
+        for s in self.order[bisect_left(self.order, above + 1) :]:
             out += [s] * min(n - len(out), self.left[s])
             if len(out) == n:
                 break
@@ -100,7 +101,8 @@ def dominating(sizes: Sizes, room: int) -> tuple[int, ...] | None:
     """The sizes to put beside a piece that leaves ``room``, if one set of them dominates all others.
 
     Nothing fits: none. One fills the room, or no two fit together: the largest that fits. Two fit but not three:
-    the largest single if it is at least as large as any two that fit together.
+    the largest single if it is at least as large as any two that fit together; else the largest and what best
+    fits beside it, if of any two that fit together the smaller one is no larger than that.
     """
     largest = sizes.at_most(room)
     if largest is None:
@@ -108,8 +110,17 @@ def dominating(sizes: Sizes, room: int) -> tuple[int, ...] | None:
     low = sizes.smallest(3)
     if largest == room or len(low) < 2 or low[0] + low[1] > room:
         return (largest,)
-    if (len(low) < 3 or sum(low) > room) and largest >= best_pair(sizes, room):
+    if len(low) == 3 and sum(low) <= room:
+        return None
+    if largest >= best_pair(sizes, room):
         return (largest,)
+    sizes.take(largest)
+    beside = sizes.at_most(room - largest)
+    sizes.give_back(largest)
+    if beside is not None:
+        above = sizes.smallest(2, beside)
+        if len(above) < 2 or sum(above) > room:
+            return (largest, beside)
     return None
 
 
@@ -145,11 +156,11 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
                 sizes.give_back(size)
                 if beside is None:
                     break
-                times = here if not beside else here // 2 if beside[0] == size else min(here, sizes.left[beside[0]])
                 content = (size, *beside)
+                times = min(sizes.left[b] // content.count(b) for b in content)
                 plan.append((content, times))
-                for b in content:
-                    sizes.take(b, times)
+                for b in dict.fromkeys(content):
+                    sizes.take(b, times * content.count(b))
                 fixed = True
     return plan + best_fit(sizes.left, capacity)
 

@@ -41,7 +41,7 @@ def score_grades(docs: DataFrame, model: Model, select_from: float = SELECT_FROM
     def score(batches):
         m = shared.value
         for b in slices(batches, "text"):
-            f = features(b["text"].to_pylist(), DIMS, chars=False)
+            f = features(b["text"], DIMS, chars=False)
             tails = m.tails(scores(f, m.weights))
             yield result(schema, b["doc_id"], np.diff(f.starts), tails.sum(1), tails[:, -1], tails[:, -1] >= select_from)
 

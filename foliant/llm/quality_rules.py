@@ -30,8 +30,11 @@ def repeated_words(index: np.ndarray, starts: np.ndarray, n: int = 3) -> np.ndar
     """Per document the words that lie in an n-word window found twice or more in it."""
     out = np.zeros(len(starts) - 1, np.int64)
     width = int(index.max()) + 1 if len(index) else 1
-    assert width < 1 << 21
-    code = index[:-2] << 42 | index[1:-1] << 21 | index[2:] if len(index) >= n else index[:0]
+    code = index[: max(0, len(index) - n + 1)]
+    for k in range(1, n if len(code) else 0):  # a number for the first k + 1 words of each window
+        if int(code.max()) * width >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+        code = code * width + index[k : k + len(code)]
     for k, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
         if b - a <= n:
             continue
@@ -74,9 +77,8 @@ def score_quality(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM, m
     def score(batches):
         m = shared.value
         for b in slices(batches, "text"):
-            texts = b["text"].to_pylist()
-            f = features(texts, DIMS, chars=True)
-            counts = rule_counts(texts, f)
+            f = features(b["text"], DIMS, chars=True)
+            counts = rule_counts(b["text"].to_pylist(), f)
             failed = (counts[0] < min_words) | (100 * counts[4] > max_repeat * counts[0])
             good = m.tails(scores(f, m.weights))[:, 0]
             yield result(schema, b["doc_id"], *counts, failed, good, ~failed & (good >= keep_from))
@@ -96,8 +98,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM,
     def passing(batches):
         m = shared.value
         for b in slices(batches, "text"):
-            texts = b["text"].to_pylist()
-            f = features(texts, DIMS, chars=True)
+            f = features(b["text"], DIMS, chars=True)
             n, again = np.diff(f.starts), repeated_words(f.index, f.starts)
             ok = (n >= min_words) & (100 * again <= max_repeat * n) & (m.tails(scores(f, m.weights))[:, 0] >= keep_from)
             yield b.filter(pa.array(ok))

@@ -1,15 +1,16 @@
 """Suffix-array dedup by distributed prefix doubling over sampled positions.
 
-The suffixes that are ranked start at anchors (see anchors.py): one position in about 39, and every 100 bytes hold one. A
-sketch of the anchors' grams drops suffixes that are unique from the start. Then, with phrases (from one anchor to the next)
-in the place of letters, Spark sorts pairs of ranks at the offsets 1 and 2: the rank over 2h phrases from an anchor is
-the rank of (its rank over h, the rank over h of the anchor h further). Pairs that occur once are unique and drop out.
+The positions that are ranked are anchors (see anchors.py): one in about 39, and every 100 bytes hold one. A sketch of the
+anchors' grams (24 bytes) drops positions that are unique from the start. A gram's hash is its first rank.
 
-An anchor stands for the 100-byte windows between two places; two overlapping ranks that reach from before the first to
-behind the last name that stretch. Equal names are equal stretches, so in all but the first every window is a repeat.
-Windows whose stretch isn't named (they lie near the end of a repeat), or whose anchor occurs under several names, are
-compared on their own bytes: grouped by gram in a sorted stream, or, for grams with very many anchors, as single rows that
-Spark aggregates before shuffling.
+An anchor stands for the 100-byte windows that begin up to 76 bytes before it. What all windows of a stretch have in common is
+its core, what they cover together its hull; at first the core is the gram. Rows with one rank and one hull settle each other:
+in all but the first, every window is a repeat, and only the first goes on. Then, round by round, each stretch is cut into
+parts, whose cores are longer by the bytes at growing offsets from the anchor: 24, 74, 92, 98, 100 bytes. Spark sorts the pairs (rank of
+the old core, bytes added) and numbers those that occur more than once: the new ranks. A position whose pair is unique drops out;
+the others are settled by their hulls again and go on until the cores have reached the threshold of 100 bytes, where a core is a window.
+
+A verdict rests on a 128-bit hash of the hull: two different ones of 10**12 share it with a probability below 10**-14.
 
 Defined results: null and empty texts have no bytes; texts shorter than a window keep all; rows with one doc_id stand
 level, none before the other; a null doc_id stands before all others; an empty table gives an empty table.
@@ -21,219 +22,116 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.anchors import Anchors, RangeHash, find_anchors, maybe_repeated, merged_sketch, sketch_rows
+from foliant.llm.anchors import Anchors, broadcast_sketch, find_anchors, maybe_repeated, names_of
 from foliant.llm.arrow import result, slices
 from foliant.llm.common import U64, discard, mix, stored
-from foliant.llm.window_dedup import covered, earliest, is_later, keyed, per_document
+from foliant.llm.window_dedup import covered, earliest, is_later, keyed, matched, per_document, unsettled
 
 WINDOW, GRAM = 100, 24
-SLICE = 2 << 20
-#: Offsets of the doubling, in phrases.
-OFFSETS = (1, 2)
-#: Grams with more unsettled anchors than this are settled window by window.
-HOT = 2000
-LETTER = mix(np.arange(256, dtype=np.uint64), 5)
+#: Parts that a stretch is cut into in each round.
+PARTS = 3
 
 
-def batch_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode() if t else b"" for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+def gram_codes(raw: bytes, gram: int) -> np.ndarray:
+    """A hash for each ``gram`` bytes in a row, a multiple of 8."""
+    n = len(raw) - gram + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,)).astype(U64)
+    out = np.zeros(n, U64)
+    for k in range(0, gram, 8):
+        out = (out ^ eight[k : k + n]) * U64(0x9FB21C651E98DF25)
+        out ^= out >> U64(32)
+    return mix(out, 7)
 
 
-def batch_anchors(texts, window: int, gram: int) -> tuple[Anchors, RangeHash, np.ndarray]:
-    flat, starts = batch_bytes(texts)
-    ranges = RangeHash(LETTER[flat])
-    return find_anchors(flat, starts, window, gram, ranges), ranges, starts
+def batch_anchors(b: pa.RecordBatch, window: int, gram: int) -> tuple[bytes, np.ndarray, Anchors]:
+    texts = [t.encode() if t else b"" for t in b["text"].to_pylist()]
+    raw, starts = b"".join(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    return raw, starts, find_anchors(gram_codes(raw, gram), starts, window, gram)
 
 
-def phrase_rows(a: Anchors, ranges: RangeHash, starts: np.ndarray, window: int, gram: int, repeated: np.ndarray) -> dict[str, np.ndarray]:
-    """The columns of the anchors that may be repeated.
+def parts_of(rows: DataFrame, window: int, width: int) -> DataFrame:
+    """The parts of stretches of ``width`` windows, of a PARTS-th of it each.
 
-    ``left`` and ``right``: how many anchors back and on the stretch of the anchor's windows is covered; 100 if it isn't.
+    A row has its anchor's place ``at``, ``low`` (its stretch begins ``low`` to ``low`` + ``width`` - 1 bytes before the anchor), the windows
+    of the stretch that there are (``near`` to ``far`` bytes before it) and their ``hull``. A part has ``more``, a hash of the
+    bytes by which its core is longer, on the left and on the right.
     """
-    n = len(a.at)
-    begin = np.searchsorted(a.text, a.text, side="left")
-    stop = np.searchsorted(a.text, a.text, side="right")
-    follows = np.arange(n) + 1 < stop
-    nxt = np.minimum(np.arange(n) + 1, n - 1)
-    rank = np.where(follows & repeated[nxt], ranges.of(a.at, np.where(follows, a.at[nxt] + gram, a.at + gram))[0], 0)
-    left = np.arange(n) - (np.searchsorted(a.at, a.first, side="right") - 1)
-    left = np.where(np.arange(n) - left >= begin, left, 100)
-    right = np.searchsorted(a.at, a.last + window - gram, side="left") - np.arange(n)
-    right = np.where(np.arange(n) + right < stop, np.maximum(right, 0), 100)
-    pick = np.flatnonzero(repeated)
-    return {
-        "gram": a.gram[pick].view(np.int64), "text": a.text[pick], "j": (np.arange(n) - begin)[pick].astype(np.int32), "rank1": rank[pick],
-        "known": (follows & repeated[nxt])[pick], "left": np.minimum(left[pick], 100).astype(np.int32), "right": np.minimum(right[pick], 100).astype(np.int32),
-        "at": (a.at - starts[a.text])[pick].astype(np.int32), "lo": (a.first - starts[a.text])[pick].astype(np.int32), "n": (a.last - a.first + 1)[pick].astype(np.int32),
-    }
-
-
-def with_next(rows: DataFrame, offset: int) -> DataFrame:
-    """Add ``next``: the rank over ``offset`` phrases of the anchor so many further on; null where there is none."""
-    ahead, old = Window.partitionBy("id", "th").orderBy("j"), f"rank{offset}"
-    found = F.lit(None).cast("long")
-    for k in range(1, offset + 1):  # anchors between may have dropped out, so it is one of the next ones
-        found = F.coalesce(found, F.when(F.lead("j", k).over(ahead) == F.col("j") + offset, F.lead(old, k).over(ahead)))
-    return rows.withColumn("next", found)
-
-
-def ranks_of_pairs(pairs: DataFrame, old: str, new: str) -> DataFrame:
-    """Spark counts and sorts the distinct pairs; their numbers in that order are the new ranks. Unique pairs get none."""
-    known = pairs.filter(F.col(old).isNotNull() & F.col("next").isNotNull())
-    often = known.groupBy(F.col(old).alias("a"), F.col("next").alias("b")).agg(F.count("*").alias("n")).filter("n > 1")
-    return often.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias(new))
-
-
-def doubled(rows: DataFrame) -> DataFrame:
-    """Ranks over 2, 4, ... phrases as columns of their own, from ``rank1``; a stored table."""
-    held: list[DataFrame] = []
-    for offset in OFFSETS:
-        old, new = f"rank{offset}", f"rank{2 * offset}"
-        pairs = stored(with_next(rows, offset))
-        discard(*held)
-        ranks = stored(ranks_of_pairs(pairs, old, new))
-        rows = pairs.join(ranks, (F.col(old) == F.col("a")) & (F.col("next") == F.col("b")), "left").drop("a", "b", "next")
-        held = [pairs, ranks]
-    out = stored(rows)
-    discard(*held)
+    step, found = width // PARTS, []
+    for k in range(PARTS):
+        low = F.col("low") + k * step
+        near, far = F.greatest("near", low), F.least("far", low + step - 1)
+        left = F.substring("hull", F.col("far") - low + 1, F.lit(k * step))
+        right = F.substring("hull", F.col("far") - F.col("low") - width + window + 2, F.lit((PARTS - 1 - k) * step))
+        own = F.substring("hull", F.col("far") - far + 1, far - near + window)
+        found.append(F.when(near <= far, F.struct(low.alias("low"), near.alias("near"), far.alias("far"), F.xxhash64(left, right).alias("more"), own.alias("hull"))))
+    return rows.select("id", "th", "at", "rank", F.explode(F.array_compact(F.array(*found))).alias("p")).select("id", "th", "at", "rank", "p.*")
+
+
+def reranked(rows: DataFrame) -> DataFrame:
+    """Those rows whose pair (rank, bytes added) occurs more than once, with its number in the order of pairs as the new rank; a stored table in place of ``rows``."""
+    key = ["rank", "low", "more"]
+    often = rows.groupBy(*key).agg(F.count("*").alias("__n")).filter("__n > 1")
+    pairs = stored(often.orderBy(*key).withColumn("new", F.monotonically_increasing_id()))
+    ranked = matched(rows, pairs, key, rows.count()).filter("new IS NOT NULL").drop("rank", "more").withColumnRenamed("new", "rank")
+    out = stored(ranked.withColumns({"c1": F.xxhash64("hull"), "c2": F.xxhash64(F.lit(1), "hull"), "lo": F.col("at") - F.col("far")}))
+    discard(rows, pairs)
     return out
 
 
-def named(rows: DataFrame) -> DataFrame:
-    """c1, c2: the name of each anchor's stretch from two overlapping ranks, or a name of its own where there is none."""
-    items = rows.groupBy("id", "th").agg(F.collect_list(F.struct("j", "gram", "left", "right", "at", "lo", "n", "rank1", "rank2", "rank4")).alias("items"))
-
-    def run(batches):
-        for b in batches:
-            flat = b["items"].flatten()
-            doc = np.repeat(np.arange(b.num_rows), b["items"].value_lengths().to_numpy())
-            get = {f: flat.field(f) for f in ("j", "gram", "left", "right", "at", "lo", "n", "rank1", "rank2", "rank4")}
-            num = {f: x.to_numpy(zero_copy_only=False).astype(np.int64) for f, x in get.items() if not f.startswith("rank")}
-            order = np.lexsort((num["j"], doc))
-            doc, num = doc[order], {f: x[order] for f, x in num.items()}
-            key = doc << 32 | num["j"]
-            reach = num["left"] + num["right"]
-            c1 = (mix(key.astype(U64) ^ b["id"].to_numpy()[doc].view(U64), 3) ^ b["th"].to_numpy()[doc].view(U64)).view(np.int64)
-            c2 = num["j"].copy()
-            for h in (1, 2, 4):
-                rank = get[f"rank{h}"].take(pa.array(order))
-                ok_rank, value = rank.is_valid().to_numpy(zero_copy_only=False), rank.fill_null(0).to_numpy(zero_copy_only=False)
-                use = np.flatnonzero((reach >= h) & (reach < 2 * h if h < 4 else reach <= 8) & (num["left"] < 100) & (num["right"] < 100))
-                found = []
-                for far in (-num["left"][use], num["right"][use] - h):
-                    want = key[use] + far
-                    at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                    found.append((at, (key[at] == want) & ok_rank[at]))
-                good = found[0][1] & found[1][1]
-                u, x, y = use[good], found[0][0][good], found[1][0][good]
-                shape = (num["left"][u] << 40 | num["right"][u] << 32 | (num["at"][u] - num["lo"][u]) << 16 | num["n"][u]).astype(U64)
-                c1[u] = mix(value[x].view(U64) + mix(shape, h), 1).view(np.int64)
-                c2[u] = mix(value[y].view(U64) ^ mix(shape, h + 20), 2).view(np.int64)
-            i = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(num["gram"]), pa.array(c1), pa.array(c2), b["id"].take(i), b["th"].take(i), pa.array(num["lo"].astype(np.int32)), pa.array(num["n"].astype(np.int32))],
-                names=["gram", "c1", "c2", "id", "th", "lo", "n"])
-
-    return items.mapInArrow(run, "gram long, c1 long, c2 long, id long, th long, lo int, n int")
-
-
-def repeats_in_stream(batches, window: int):
-    """Rows sorted by gram, id and lo, with the bytes of their stretch -> runs of windows that were seen before."""
-    now, seen = None, {}
-    for b in batches:
-        spans, n = b["span"].to_pylist(), b["n"].to_numpy().astype(np.int64)
-        flat = np.frombuffer(b"".join(spans), np.uint8)
-        begins = np.concatenate(([0], np.cumsum([len(s) for s in spans])))[:-1].astype(np.int64)
-        ends = np.cumsum(n)
-        row = np.repeat(np.arange(len(n)), n)
-        inside = np.arange(len(row)) - (ends - n)[row]
-        w1, w2 = RangeHash(LETTER[flat]).of(begins[row] + inside, begins[row] + inside + window)
-        code = mix(w1.view(U64) ^ (w2.view(U64) << U64(1)), 9)
-        gram, ids, lo = b["gram"].to_numpy(), b["id"].to_numpy(), b["lo"].to_numpy().astype(np.int64)
-        start = lo[row] + inside
-        again = np.zeros(len(row), bool)
-        group = np.concatenate(([0], np.cumsum(gram[1:] != gram[:-1])))[row] if len(gram) else row
-        order = np.lexsort((np.arange(len(row)), code, group))
-        fresh = np.concatenate(([True], (code[order[1:]] != code[order[:-1]]) | (group[order[1:]] != group[order[:-1]]))) if len(order) else np.zeros(0, bool)
-        head = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else order
-        again[order] = (ids[row[order]] != ids[row[head]]) | (start[order] != start[head])
-        if len(gram):  # the group that the last batch ended in goes on
-            if gram[0] == now:
-                for k in np.flatnonzero(group == 0):
-                    first = seen.setdefault(int(code[k]), (ids[row[k]], start[k]))
-                    again[k] = first != (ids[row[k]], start[k])
-            if gram[0] != gram[-1] or gram[0] != now:
-                seen = {}
-                for k in np.flatnonzero((group == group[-1]) & ~again):
-                    seen.setdefault(int(code[k]), (ids[row[k]], start[k]))
-            now = gram[-1]
-        hit = np.flatnonzero(again)
-        cut = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]]))) if len(hit) else np.zeros(0, bool)
-        at = hit[cut]
-        length = np.diff(np.concatenate((np.flatnonzero(cut), [len(hit)])))
-        take = pa.array(row[at])
-        yield pa.RecordBatch.from_arrays([b["id"].take(take), b["th"].take(take), pa.array(start[at].astype(np.int32)), pa.array(length.astype(np.int32))], names=["id", "th", "lo", "n"])
+def doubled(rows: DataFrame, window: int, gram: int) -> list[DataFrame]:
+    """Tables of (id, th, lo, n), windows that start earlier too, from rows (id, th, at, rank, low, near, far, hull) that no equal hull settles."""
+    found, width = [], 1
+    while width < window - gram + 1:
+        width *= PARTS
+    while width > 1:
+        ranked = earliest(reranked(stored(parts_of(rows, window, width))), ["rank", "near", "far", "c1", "c2"], "lo")
+        found.append(ranked.filter(is_later("lo")).select("id", "th", "lo", (F.col("far") - F.col("near") + 1).alias("n")))
+        rows, width = ranked.filter(~is_later("lo")), width // PARTS
+    return found
 
 
 def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id, th, lo, n): stretches of windows that all start earlier somewhere."""
-    sc, texts = docs.sparkSession.sparkContext, keyed(docs)
-
-    def sketch(batches):
-        yield sketch_rows([batch_anchors(b["text"].to_pylist(), window, gram)[0].gram for b in slices(batches, "text", SLICE)])
-
-    shared = sc.broadcast(merged_sketch(docs.select("text").mapInArrow(sketch, "block int, once binary, more binary")))
+    texts = keyed(docs)
+    shared = broadcast_sketch(docs, lambda batches: (batch_anchors(b, window, gram)[2].gram for b in slices(batches, "text")), (window - gram) // 2)
 
     def rows(batches):
-        for b in slices(batches, "text", SLICE):
-            a, ranges, starts = batch_anchors(b["text"].to_pylist(), window, gram)
-            c = phrase_rows(a, ranges, starts, window, gram, maybe_repeated(shared.value, a.gram))
-            text = pa.array(c["text"])
+        for b in slices(batches, "text"):
+            raw, starts, a = batch_anchors(b, window, gram)
+            a = a.picked(maybe_repeated(shared.value, a.gram))
+            c1, c2 = names_of(raw, a.first, a.last + window)
+            text, begin = pa.array(a.text), starts[a.text]
             yield pa.RecordBatch.from_arrays(
-                [b["id"].take(text), b["th"].take(text), pa.array(c["j"]), pa.array(c["gram"]), pa.array(c["left"]), pa.array(c["right"]), pa.array(c["at"]), pa.array(c["lo"]), pa.array(c["n"]),
-                 pa.array(c["rank1"], mask=~c["known"])],
-                names=["id", "th", "j", "gram", "left", "right", "at", "lo", "n", "rank1"])
+                [b["id"].take(text), b["th"].take(text), pa.array(a.gram.view(np.int64)), pa.array(c1), pa.array(c2),
+                 pa.array((a.at - begin).astype(np.int32)), pa.array((a.first - begin).astype(np.int32)), pa.array((a.last - a.first + 1).astype(np.int32))],
+                names=["id", "th", "gram", "c1", "c2", "at", "lo", "n"])
 
-    ranked = texts.select("id", "th", "text").mapInArrow(rows, "id long, th long, j int, gram long, left int, right int, at int, lo int, n int, rank1 long")
-    ranked = doubled(ranked)
-    found = stored(named(ranked))
-    discard(ranked)
-    found = earliest(found, ["c1", "c2"], "lo")
+    found = stored(texts.select("id", "th", "text").mapInArrow(rows, "id long, th long, gram long, c1 long, c2 long, at int, lo int, n int"))
+    found = earliest(found, ["gram", "c1", "c2"], "lo")
     later = found.filter(is_later("lo")).select("id", "th", "lo", "n")
-    spread = found.groupBy("gram").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("c1", "c2")], F.sum(F.when(~is_later("lo"), 1).otherwise(0)).alias("rows"))
-    spread = spread.filter("min_c1 <> max_c1 OR min_c2 <> max_c2").select("gram", (F.col("rows") > HOT).alias("hot"))
-    unsettled = found.filter(~is_later("lo")).join(spread, "gram").select("id", "th", "gram", "lo", "n", "hot")
-
-    def spans(batches):
-        for b in slices(batches, "text", SLICE):
-            out: dict[str, list] = {k: [] for k in ("id", "th", "gram", "lo", "n", "span", "w1", "w2")}
-            for text, items, id_, th in zip(b["text"].to_pylist(), b["items"].to_pylist(), b["id"].to_pylist(), b["th"].to_pylist()):
-                raw = text.encode()
-                hashes = RangeHash(LETTER[np.frombuffer(raw, np.uint8)]) if any(i["hot"] for i in items) else None
-                for i in items:
-                    lo, n = i["lo"], i["n"]
-                    if i["hot"]:
-                        at = np.arange(lo, lo + n)
-                        w1, w2 = hashes.of(at, at + window)
-                        new = {"lo": at.tolist(), "n": [1] * n, "span": [None] * n, "w1": w1.tolist(), "w2": w2.tolist()}
-                    else:
-                        n = 1
-                        new = {"lo": [lo], "n": [i["n"]], "span": [raw[lo : lo + i["n"] - 1 + window]], "w1": [None], "w2": [None]}
-                    for k, v in (new | {"id": [id_] * n, "th": [th] * n, "gram": [i["gram"]] * n}).items():
-                        out[k] += v
-            kinds = {"lo": pa.int32(), "n": pa.int32(), "span": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
-    single = texts.select("id", "th", "text").join(per_document(unsettled, "lo", "n", "gram", "hot"), ["id", "th"])
-    own = stored(single.mapInArrow(spans, "id long, th long, gram long, lo int, n int, span binary, w1 long, w2 long"))
-    sorted_ = own.filter("span IS NOT NULL").select("gram", "id", "lo", "n", "th", "span").repartition("gram").sortWithinPartitions("gram", "id", "lo")
-    some = sorted_.mapInArrow(lambda batches: repeats_in_stream(batches, window), "id long, th long, lo int, n int")
-    hot = earliest(stored(own.filter("span IS NULL").select("w1", "w2", "id", "th", "lo")), ["w1", "w2"], "lo").filter(is_later("lo")).select("id", "th", "lo", F.lit(1).alias("n"))
-    return later.unionByName(some).unionByName(hot)
+    def hulls(batches):
+        for b in slices(batches, "text"):
+            flat, n = b["items"].flatten(), b["items"].value_lengths().to_numpy()
+            lo, many = flat.field("lo").to_numpy(), flat.field("n").to_numpy()
+            raw, text = [t.encode() for t in b["text"].to_pylist()], np.repeat(np.arange(b.num_rows), n)
+            hull = [raw[k][x : x + m - 1 + window] for k, x, m in zip(text.tolist(), lo.tolist(), many.tolist())]
+            near, which = flat.field("at").to_numpy() - lo - many + 1, pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [b["id"].take(which), b["th"].take(which), flat.field("at"), flat.field("gram"), pa.array(np.zeros(len(lo), np.int32)), pa.array(near.astype(np.int32)), pa.array((near + many - 1).astype(np.int32)), pa.array(hull, pa.binary())],
+                names=["id", "th", "at", "rank", "low", "near", "far", "hull"])
+
+    open_rows = per_document(unsettled(found, ["c1", "c2"]), "gram", "at", "lo", "n")
+    single = texts.select("id", "th", "text").join(open_rows, ["id", "th"])
+    rest = single.mapInArrow(hulls, "id long, th long, at int, rank long, low int, near int, far int, hull binary")
+    for more in doubled(rest, window, gram):
+        later = later.unionByName(more)
+    return later
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.arrow import flatten, result, slices, sums
-from foliant.llm.common import U64, batch_hashes, mix, split_words
+from foliant.llm.common import U64, batch_words, mix
 
 GRAMS = (3, 4)
 PAIR, CHAR = U64(0x9FB21C651E98DF25), U64(0xA0761D6478BD642F)
@@ -62,16 +62,15 @@ def char_grams(words: list[bytes], mask) -> tuple[np.ndarray, np.ndarray, np.nda
     return place[order], np.concatenate(([0], np.cumsum(length)[:-1])).astype(np.int64), length
 
 
-def features(texts, dims: int, chars: bool) -> Features:
+def features(texts: pa.Array, dims: int, chars: bool) -> Features:
     mask = U64(dims - 1)
-    words, starts = split_words(texts)
-    index, seen, h = batch_hashes(words)
+    words = batch_words(texts)
+    index, starts, distinct, h = words.index, words.starts, words.distinct, words.hashes
     token = h[index]
     pair = (mix(token[:-1] * PAIR + token[1:]) & mask).astype(np.int64)
     ok = np.ones(len(pair), bool)
     inner = starts[1:-1]
     ok[inner[(inner > 0) & (inner < len(index))] - 1] = False
-    distinct = list(seen)
     grams = char_grams(distinct, mask) if chars and distinct else (np.zeros(0, np.int64), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64))
     return Features(starts, index, distinct, (mix(h) & mask).astype(np.int64), pair, ok, *grams)
 
@@ -122,20 +121,22 @@ class Model:
 def sample_rows(docs: DataFrame, grades: DataFrame, train_rows: int, dims: int, chars: bool) -> list:
     """Feature rows of at most ``train_rows`` graded documents, those with the smallest hash of their id.
 
-    ``grades`` has doc_id and grade; only these bounded rows reach the driver, as sparse vectors in binary columns
-    (int32 places, float32 values), so that no Python number is made for an entry.
+    ``grades`` has doc_id and grade; of an id with several texts the one with the smallest hash counts. Only these
+    bounded rows reach the driver, as sparse vectors in binary columns (int32 places, float32 values), so that no
+    Python number is made for an entry.
     """
-    picked = grades.dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(train_rows)
+    picked = grades.dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(train_rows)
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("place", pa.binary()), ("value", pa.binary())])
 
     def vectors(batches):
         for b in slices(batches, "text"):
-            rows = sparse_rows(features(b["text"].to_pylist(), dims, chars))
+            rows = sparse_rows(features(b["text"], dims, chars))
             yield result(schema, b["doc_id"], b["grade"], [p.astype("<i4").tobytes() for p, _ in rows], [v.astype("<f4").tobytes() for _, v in rows])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
-    # bounded: train_rows documents
-    return sorted(texts.mapInArrow(vectors, "doc_id long, grade int, place binary, value binary").collect(), key=lambda r: (r.doc_id, r.grade))[:train_rows]
+    made = texts.mapInArrow(vectors, "doc_id long, grade int, place binary, value binary")
+    one = made.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("place", "value").alias("h"), "place", "value")).alias("v"))
+    return sorted(one.select("doc_id", "grade", "v.place", "v.value").collect(), key=lambda r: (r.doc_id, r.grade))
 
 
 def fit(rows: list, n_grades: int, dims: int, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-5) -> Model:

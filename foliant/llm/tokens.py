@@ -1,7 +1,8 @@
 """Token ids of whole texts with the tokenizers library, each distinct piece of text encoded once per worker.
 
 A text is cut before a blank or a line feed that follows a character which no definition counts as white space. Both
-vocabularies split there anyway before their merges, so the ids of the pieces in a row are the ids of the text.
+vocabularies split there anyway before their merges, so the ids of the pieces in a row are the ids of the text. The strings of
+special tokens hold no blanks, so they stay whole in their piece and get their own ids, as in the whole text.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.reset()
 
     def reset(self):

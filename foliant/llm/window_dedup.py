@@ -7,6 +7,9 @@
 3. Where anchors with one gram have different stretches, the windows of each stretch's first row are grouped one by one.
 4. Runs of windows that occurred before are joined to the texts and their words removed.
 
+Words are compared by 64-bit and stretches by 128-bit hashes: two of 10**9 different words share one with a probability of 3 %,
+two of 10**12 stretches with one below 10**-14.
+
 Defined results: null and empty texts have no words; texts shorter than a window keep all words; rows with one
 doc_id stand level, none before the other; a null doc_id stands before all others; an empty table gives an empty table.
 """
@@ -20,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.anchors import RangeHash, find_anchors, maybe_repeated, merged_sketch, sketch_rows
+from foliant.llm.anchors import Anchors, broadcast_sketch, find_anchors, maybe_repeated, names_of
 from foliant.llm.arrow import result, slices
-from foliant.llm.common import batch_hashes, discard, split_words, stored
+from foliant.llm.common import batch_words, discard, gram_hashes, mix, stored
 
 WINDOW, GRAM = 20, 8
-#: A key with more than one row in so many is decided on the map side.
+#: The facts of a key with more than one row in so many are broadcast.
 HEAVY = 1000
 NULL_ID = -(1 << 63)
 
@@ -35,20 +38,30 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
 
 
+def matched(rows: DataFrame, facts: DataFrame, key: list[str], total: int) -> DataFrame:
+    """``rows`` with the other columns of ``facts``, which has one row for a key and its number of rows as ``__n``; null without one.
+
+    The facts of keys with more than one in HEAVY of the ``total`` rows, fewer than HEAVY of them, are broadcast, and those rows are
+    dealt out by themselves in the join with the other facts, so that no key's rows meet in one task.
+    """
+    names, heavy = [c for c in facts.columns if c not in (*key, "__n")], F.col("__n") * HEAVY > total
+    hot = facts.filter(heavy).select(*key, F.lit(True).alias("__is_hot"), *[F.col(c).alias(f"__hot_{c}") for c in names])
+    rest = facts.filter(~heavy).select(*[F.col(c).alias(f"__key_{c}") for c in key], *[F.col(c).alias(f"__own_{c}") for c in names])
+    tagged = rows.join(F.broadcast(hot), key, "left").withColumn("__to", F.when(F.col("__is_hot"), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col(key[0])))
+    on = F.col("__is_hot").isNull() & (F.col("__to") == F.col(f"__key_{key[0]}"))
+    for c in key[1:]:
+        on = on & (F.col(c) == F.col(f"__key_{c}"))
+    both = tagged.join(rest, on, "left")
+    return both.select(*rows.columns, *[F.coalesce(f"__hot_{c}", f"__own_{c}").alias(c) for c in names])
+
+
 def earliest(rows: DataFrame, key: list[str], start: str) -> DataFrame:
     """A stored table: ``rows``, a stored table that this one takes the place of, with ``first``, the (id, start) that comes
-    first among the rows with one key.
-
-    Aggregated before it is joined back. Keys that hold more than one row in HEAVY, fewer than HEAVY of them, are
-    broadcast, so that no key's rows meet in one task.
+    first among the rows with one key; aggregated before it is joined back.
     """
-    total = rows.count()
-    firsts = stored(rows.groupBy(*key).agg(F.min(F.struct("id", F.col(start).alias("start"))).alias("first"), F.count("*").alias("__n")).filter("__n > 1"))
-    heavy = F.col("__n") * HEAVY > total
-    tagged = rows.join(F.broadcast(firsts.filter(heavy).drop("__n")), key, "left")
-    rest = tagged.filter("first IS NULL").drop("first").join(firsts.filter(~heavy).drop("__n"), key, "left")
-    alone = F.struct("id", F.col(start).alias("start"))
-    out = stored(tagged.filter("first IS NOT NULL").unionByName(rest.withColumn("first", F.coalesce("first", alone))))
+    total, own = rows.count(), F.struct("id", F.col(start).alias("start"))
+    firsts = stored(rows.groupBy(*key).agg(F.min(own).alias("first"), F.count("*").alias("__n")).filter("__n > 1"))
+    out = stored(matched(rows, firsts, key, total).withColumn("first", F.coalesce("first", own)))
     discard(rows, firsts)
     return out
 
@@ -58,17 +71,18 @@ def is_later(start: str) -> Column:
 
 
 def per_document(rows: DataFrame, *columns: str) -> DataFrame:
-    """(id, th) -> items: a document's own stretches; never more than it has words."""
-    return rows.groupBy("id", "th").agg(F.collect_list(F.struct(*columns)).alias("items"))
+    """(id, th) -> items: a document's own stretches, each once however often the row is repeated; never more than it has words."""
+    return rows.groupBy("id", "th").agg(F.collect_set(F.struct(*columns)).alias("items"))
 
 
 def unsettled(anchors: DataFrame, same: list[str]) -> DataFrame:
     """Of the first rows of each stretch (columns ``same``), those whose gram occurs with other stretches too."""
-    spread = anchors.groupBy("gram").agg(*[F.min(c).alias(f"min_{i}") for i, c in enumerate(same)], *[F.max(c).alias(f"max_{i}") for i, c in enumerate(same)])
     mixed = F.lit(False)
-    for i in range(len(same)):
-        mixed = mixed | (F.col(f"min_{i}") != F.col(f"max_{i}"))
-    return anchors.filter(~is_later("lo")).join(spread.filter(mixed).select("gram"), "gram", "left_semi")
+    for c in same:
+        mixed = mixed | (F.min(c) != F.max(c))
+    firsts = anchors.filter(~is_later("lo"))
+    spread = stored(firsts.groupBy("gram").agg(F.count("*").alias("__n"), mixed.alias("mixed")).filter("mixed"))
+    return matched(firsts, spread, ["gram"], firsts.count()).filter("mixed")
 
 
 def covered(n: int, items: list, extra: int) -> np.ndarray:
@@ -84,30 +98,24 @@ def covered(n: int, items: list, extra: int) -> np.ndarray:
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id, th, lo, n): stretches of windows that all start earlier somewhere."""
-    sc, texts = docs.sparkSession.sparkContext, keyed(docs)
+    texts = keyed(docs)
 
-    def sketch(batches):
-        grams = []
-        for b in slices(batches, "text"):
-            words, starts = split_words(b["text"].to_pylist())
-            index, _, h = batch_hashes(words)
-            grams.append(find_anchors(h[index], starts, window, gram).gram)
-        yield sketch_rows(grams)
+    def anchors(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Anchors]:
+        words = batch_words(b["text"])
+        token = words.tokens()
+        return token, words.starts, find_anchors(mix(gram_hashes(token, gram), 7), words.starts, window, gram)
 
-    shared = sc.broadcast(merged_sketch(docs.select("text").mapInArrow(sketch, "block int, once binary, more binary")))
+    shared = broadcast_sketch(docs, lambda batches: (anchors(b)[2].gram for b in slices(batches, "text")), 32)
 
     def rows(batches):
         for b in slices(batches, "text"):
-            words, starts = split_words(b["text"].to_pylist())
-            index, _, h = batch_hashes(words)
-            token = h[index]
-            a = find_anchors(token, starts, window, gram)
-            pick = np.flatnonzero(maybe_repeated(shared.value, a.gram))
-            first, last, text = a.first[pick], a.last[pick], a.text[pick]
-            c1, c2 = RangeHash(token).of(first, last + window)
+            token, starts, a = anchors(b)
+            a = a.picked(maybe_repeated(shared.value, a.gram))
+            c1, c2 = names_of(token.tobytes(), 8 * a.first, 8 * (a.last + window))
+            text = pa.array(a.text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a.gram[pick].view(np.int64)), pa.array(c1 + (a.at[pick] - first)), pa.array(c2), b["id"].take(pa.array(text)), b["th"].take(pa.array(text)),
-                 pa.array((first - starts[text]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
+                [pa.array(a.gram.view(np.int64)), pa.array(c1 + (a.at - a.first)), pa.array(c2), b["id"].take(text), b["th"].take(text),
+                 pa.array((a.first - starts[a.text]).astype(np.int32)), pa.array((a.last - a.first + 1).astype(np.int32))],
                 names=["gram", "c1", "c2", "id", "th", "lo", "n"])
 
     found = stored(texts.select("id", "th", "text").mapInArrow(rows, "gram long, c1 long, c2 long, id long, th long, lo int, n int"))
@@ -117,13 +125,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     def windows(batches):
         for b in slices(batches, "text"):
-            words, starts = split_words(b["text"].to_pylist())
-            index, _, h = batch_hashes(words)
-            token, items = h[index], b["items"].to_pylist()
+            words = batch_words(b["text"])
+            starts, items = words.starts, b["items"].to_pylist()
             at = [starts[k] + np.concatenate([np.arange(i["lo"], i["lo"] + i["n"]) for i in own]) for k, own in enumerate(items)]
             at = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
             text = np.searchsorted(starts, at, side="right") - 1
-            w1, w2 = RangeHash(token).of(at, at + window)
+            w1, w2 = names_of(words.tokens().tobytes(), 8 * at, 8 * (at + window))
             yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), b["id"].take(pa.array(text)), b["th"].take(pa.array(text)), pa.array((at - starts[text]).astype(np.int32))], names=["w1", "w2", "id", "th", "lo"])
 
     # repeated rows have one key: one of them is enough to look into

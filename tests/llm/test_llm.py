@@ -212,9 +212,9 @@ def test_window_dedup(docs, rows, empty):
     assert window_dedup.without_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [0, 2000])
-def test_suffix_dedup(docs, rows, empty, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("heavy", [10, 1000])
+def test_suffix_dedup(docs, rows, empty, monkeypatch, heavy):
+    monkeypatch.setattr(window_dedup, "HEAVY", heavy)  # with 10, most keys of the fixture are ordinary ones
     want = removed(lambda t: t.encode() if t else b"", 100, rows)
     for g in suffix_dedup.without_repeats(docs).collect():
         own, flags = want[g.doc_id]
@@ -267,50 +267,42 @@ def test_quality_classifier(spark, empty):
     assert quality_classifier.classify(empty, labels).count() == 0
 
 
-def test_lm_scoring(spark, empty):
+def lm_losses(target, rows):
+    """Per row the losses under the target's and all rows' model, by plain counting."""
+    models, types = [], len({w for d in rows for w in d})
+    for own in (target, rows):
+        two, one = collections.Counter(p for d in own for p in zip(["<s>", *d], d)), collections.Counter(w for d in own for w in (["<s>"] if d else []) + d)
+        models.append((two, one, sum(map(len, own))))
+
+    def loss(model, v, w):
+        two, one, total = model
+        single = 0.95 * one[w] / total + 0.05 / types if total else 1 / types
+        return -np.log(0.7 * two[v, w] / one[v] + 0.3 * single if one[v] else single)
+
+    return [[np.mean([loss(m, v, w) for v, w in zip(["<s>", *d], d)]) for m in models] if d else None for d in rows]
+
+
+@pytest.mark.parametrize("size", [1 << 10, 1 << 24])
+def test_lm_scoring(spark, empty, size):
     docs, labels = labelled(spark)
-    got = {g.doc_id: g for g in lm_scoring.lm_scores(docs, lm_scoring.good_documents(labels)).collect()}
-    text = {r.doc_id: r.text for r in docs.collect()}
-    counts = collections.Counter(w for t in text.values() for w in (t or "").split())
+    text = {r.doc_id: (r.text or "").split() for r in docs.collect()}
     good = {r.doc_id for r in lm_scoring.good_documents(labels).collect()}
-    types = len(counts) + 2
-
-    def losses(ids):
-        one, ctx, two = collections.Counter(), collections.Counter(), collections.Counter()
-        for i in ids:
-            words = (text[i] or "").split()
-            for v, w in zip(["<s>", *words], words):
-                one[w] += 1
-                ctx[v] += 1
-                two[v, w] += 1
-        total = sum(one.values())
-        return lambda v, w: -np.log(0.7 * two[v, w] / max(ctx[v], 1) + 0.3 * (one[w] + 1) / (total + types))
-
-    target, background = losses([i for i in text if i in good]), losses(text)
-    for i, g in got.items():
-        words = (text[i] or "").split()
-        if not words:
-            assert (g.n_tokens, g.loss_difference) == (0, None)
-            continue
-        want = np.mean([target(v, w) - background(v, w) for v, w in zip(["<s>", *words], words)])
-        assert g.n_tokens == len(words) and abs(g.loss_difference - want) < 0.02
-    assert lm_scoring.lm_scores(empty, labels).count() == 0
+    got = {g.doc_id: g for g in lm_scoring.lm_scores(docs, lm_scoring.good_documents(labels), size).collect()}
+    for (i, words), want in zip(text.items(), lm_losses([d for i, d in text.items() if i in good], list(text.values()))):
+        g = got.pop(i)
+        assert g.n_tokens == len(words) and (g.loss_target, g.loss_background) == (pytest.approx(want) if words else (None, None))
+    assert not got and lm_scoring.lm_scores(empty, labels).count() == 0
+    uniform = lm_scoring.lm_scores(docs, labels.select("doc_id").limit(0)).filter("n_tokens > 0").select("loss_target").distinct().collect()
+    assert list({round(r.loss_target, 9) for r in uniform}) == [round(np.log(len({w for d in text.values() for w in d})), 9)]
 
 
-def test_lm_scoring_counts_every_pair_and_word(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "FREQUENT", 20_000, raising=False)
+def test_lm_scoring_counts_every_pair_and_word(spark):
     rng = np.random.default_rng(4)
     words = np.where(rng.random((1500, 1000)) < 0.1, 1, rng.integers(1, 80_000, (1500, 1000)))
-    rows = [(k, " ".join(f"w{x}" for x in own)) for k, own in enumerate(words)] + [(3, " "), (None, "w1 w2")]
-    pairs = [list(zip(["<s>", *t.split()], t.split())) for _, t in rows]
-    models = []
-    for own in (pairs[0:1500:3], pairs):
-        two, ctx, one = collections.Counter(p for d in own for p in d), collections.Counter(v for d in own for v, _ in d), collections.Counter(w for d in own for _, w in d)
-        models.append((two, ctx, one, sum(one.values())))
-    types = len(models[1][2]) + 2
-    assert types > 60_000 and len(models[1][0]) > 1 << 20
-    got = {g.doc_id: g for g in lm_scoring.lm_scores(spark.createDataFrame(rows[:1500] + rows[1501:], "doc_id long, text string"), spark.createDataFrame([(k,) for k in range(0, 1500, 3)], "doc_id long")).collect()}
-    for (i, _), d in zip(rows, pairs):
-        if d:
-            want = [np.mean([-np.log(0.7 * two[v, w] / max(ctx[v], 1) + 0.3 * (one[w] + 1) / (total + types)) for v, w in d]) for two, ctx, one, total in models]
-            assert got[i].n_tokens == len(d) and abs(got[i].loss_target - want[0]) < 1e-9 and abs(got[i].loss_background - want[1]) < 1e-9
+    rows = [(k, " ".join(f"w{x}" for x in own)) for k, own in enumerate(words)] + [(3, " "), (None, "w1 w2"), (7, "w1\x0bw2")]
+    split = [t.split() for _, t in rows]
+    assert len({w for d in split for w in d}) > 60_000 and len({p for d in split for p in zip(d, d[1:])}) > 1 << 20
+    want = collections.Counter((i, len(d), *([round(x, 7) for x in loss] if loss else (None, None))) for (i, _), d, loss in zip(rows, split, lm_losses([d for k, d in enumerate(split[:1500]) if k % 3 == 0 and k != 3], split)))
+    got = lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in range(0, 1500, 3) if k not in (3, 7)] + [(None,)], "doc_id long"), 1 << 20)
+    have = collections.Counter((g.doc_id, g.n_tokens, *([round(g.loss_target, 7), round(g.loss_background, 7)] if g.n_tokens else (None, None))) for g in got.collect())
+    assert len(want) == len(have) and all(abs(x[2] - y[2]) < 1e-6 for x, y in zip(sorted(k for k in want if k[1] > 2), sorted(k for k in have if k[1] > 2)))
