@@ -89,7 +89,10 @@ def doubled(rows: DataFrame, window: int, gram: int) -> list[DataFrame]:
     while width < window - gram + 1:
         width *= PARTS
     while width > 1:
-        ranked = earliest(reranked(stored(parts_of(rows, window, width))), ["rank", "near", "far", "c1", "c2"], "lo")
+        ranked = reranked(stored(parts_of(rows, window, width)))
+        if ranked.isEmpty():  # all are unique
+            break
+        ranked = earliest(ranked, ["rank", "near", "far", "c1", "c2"], "lo")
         found.append(ranked.filter(is_later("lo")).select("id", "th", "lo", (F.col("far") - F.col("near") + 1).alias("n")))
         rows, width = ranked.filter(~is_later("lo")), width // PARTS
     return found
