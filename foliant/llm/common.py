@@ -44,14 +44,18 @@ def stored(df: DataFrame) -> DataFrame:
     return table
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files that nothing refers to any more, those of tables that are stored by now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of stored tables once all that was made from them is stored itself, and let Spark drop shuffle files that nothing refers to any more."""
+    """Delete the files of stored tables once all that was made from them is stored itself, and shuffle files that nothing refers to any more."""
     for t in tables:
         jpath = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._foliant_path)
         jpath.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
-    gc.collect()
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+    free_shuffles(tables[0].sparkSession)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

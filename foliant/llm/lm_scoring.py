@@ -6,10 +6,10 @@ words of all documents. They are matched: both mix the same estimates with the s
     u(w)     = (1 - FLOOR) * count(w) / total + FLOOR / types
     p(w | v) = MIX * pairs(v, w) / count(v) + (1 - MIX) * u(w);     u(w) alone where the model never saw v
 
-All counts are exact, cover all documents and grow with them. Texts are put into blocks of about BLOCK_BYTES. A block gives one
-row for each distinct word or pair in it, with a 64-bit hash as its key; a window over each key, which has one row for a block at
-most, tells every block the counts of the whole corpus, unless all of them are its own. A block's texts and counts then meet
-in one task and give the losses. Nothing is broadcast. A document's score is the mean over its tokens of loss under the target
+All counts are exact, cover all documents and grow with them. Texts are put into blocks of about BLOCK_BYTES. A block's distinct
+words and pairs, by 64-bit hashes, are sorted and cut into ranges, as many as the corpus has BUCKET_BYTES; a range of all blocks is
+added up in one task, which tells each block the counts of the whole corpus where they aren't all its own. A block has a word or pair once
+in its range, so none weighs on one task. A block's texts and counts then meet in one task and give the losses. Nothing is broadcast. A document's score is the mean over its tokens of loss under the target
 minus loss under the background: the lower, the more it is like the target.
 
 Defined results: null and empty texts have 0 tokens and null losses; a target with no texts leaves the uniform
@@ -23,39 +23,38 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.arrow import slices, sums
-from foliant.llm.common import U64, batch_words, discard, mix, stored
+from foliant.llm.common import U64, batch_words, free_shuffles, mix, stored
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
 MIX, FLOOR = 0.7, 0.05
 #: Stands before the first word of a text.
 BEGIN = U64(0)
 PAIR = U64(0x9FB21C651E98DF25)
-ROWS = 1 << 18
 
 
 def key_of_words(token: np.ndarray) -> np.ndarray:
-    return (mix(token, 21) & ~U64(1)).view(np.int64)
+    return mix(token, 21) & ~U64(1)
 
 
 def key_of_pairs(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return (mix(mix(before, 22) * PAIR + token, 23) | U64(1)).view(np.int64)
+    return mix(mix(before, 22) * PAIR + token, 23) | U64(1)
 
 
-def packed(rows: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+def packed(rows: list[pa.RecordBatch], number: int, size: int) -> pa.RecordBatch:
     """A block as one row: its texts as a compressed Arrow stream."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         for r in rows:
             out.write_batch(r)
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "size", "rows"])
 
 
 def into_blocks(flagged: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, rows): texts in blocks of about ``block_bytes``; a longer text is a block of its own."""
+    """(block, size, rows): texts in blocks of about ``block_bytes``; a longer text is a block of its own."""
 
     def pack(batches):
         number, held, size = TaskContext.get().partitionId() << 24, [], 0
@@ -63,61 +62,88 @@ def into_blocks(flagged: DataFrame, block_bytes: int) -> DataFrame:
             held.append(b)
             size += pc.sum(pc.binary_length(b["text"])).as_py() or 0
             if size >= block_bytes:
-                yield packed(held, number)
+                yield packed(held, number, size)
                 number, held, size = number + 1, [], 0
         if held:
-            yield packed(held, number)
+            yield packed(held, number, size)
 
-    return flagged.select("doc_id", "text", "is_target").mapInArrow(pack, "block long, rows binary")
+    return flagged.select("doc_id", "text", "is_target").mapInArrow(pack, "block long, size long, rows binary")
 
 
 class Grams:
-    """The words and pairs of a block: per token the key of the word, of the word before it and of both."""
+    """The words and pairs of a block: the key of each token's word, of the word before it and of both; all keys, sorted, with their counts."""
 
     def __init__(self, blob):
         self.table = pa.ipc.open_stream(blob).read_all()
         words = batch_words(self.table["text"].combine_chunks())
         self.starts, token = words.starts, words.tokens()
-        before = np.concatenate(([BEGIN], token[:-1])) if len(token) else token
-        begins = self.starts[:-1][np.diff(self.starts) > 0]
-        before[begins] = BEGIN
-        self.word, self.pair = key_of_words(token), key_of_pairs(before, token)
-        self.before, self.n_begins = key_of_words(before), len(begins)
-        wanted = self.table["is_target"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
-        self.wanted = np.repeat(wanted, np.diff(self.starts))
-        target_begins = int((wanted & (np.diff(self.starts) > 0)).sum())
-        first = key_of_words(np.array([BEGIN]))
-        self.kinds = [  # keys and, for the target, those keys among them
-            (np.concatenate((self.word, np.repeat(first, self.n_begins))), np.concatenate((self.word[self.wanted], np.repeat(first, target_begins)))),
-            (self.pair, self.pair[self.wanted])]
-
-    def counts(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys, sorted, how often each occurs, and how often in the target."""
-        keys, wanted = self.kinds[kind]
-        known, n = np.unique(keys, return_counts=True)
-        target, m = np.unique(wanted, return_counts=True)
-        of_target = np.zeros(len(known), np.int64)
-        of_target[np.searchsorted(known, target)] = m
-        return known, n, of_target
-
-
-def gram_rows(blocks: DataFrame) -> DataFrame:
-    """(key, block, n, n_target): a row for each distinct word or pair of a block."""
+        before, filled = np.concatenate(([BEGIN], token))[: len(token)], np.diff(self.starts) > 0
+        before[self.starts[:-1][filled]] = BEGIN
+        self.word, self.pair, self.before = key_of_words(token), key_of_pairs(before, token), key_of_words(before)
+        target = self.table["is_target"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        begin, wanted = key_of_words(np.array([BEGIN])), np.repeat(target, np.diff(self.starts))
+        self.keys, self.n = np.unique(np.concatenate((self.word, self.pair, np.repeat(begin, filled.sum()))), return_counts=True)
+        found, n = np.unique(np.concatenate((self.word[wanted], self.pair[wanted], np.repeat(begin, (filled & target).sum()))), return_counts=True)
+        self.n_target = np.zeros(len(self.keys), np.int64)
+        self.n_target[np.searchsorted(self.keys, found)] = n
+
+    def cuts(self, buckets: int) -> np.ndarray:
+        """Where each of so many ranges of keys begins, and the end."""
+        return np.searchsorted((self.keys >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1, dtype=U64))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of whole numbers, all lowest bytes first, so that empty upper bytes take no room once compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def from_planes(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def gram_rows(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, keys, n, n_target): a row for each range of keys of a block; keys as differences."""
 
     def count(batches):
         for b in batches:
             for number, blob in zip(b["block"].to_pylist(), b["rows"]):
-                grams = Grams(blob.as_buffer())
-                for kind in (0, 1):
-                    key, n, target = grams.counts(kind)
-                    for k in range(0, len(key), ROWS):
-                        part = [x[k : k + ROWS] for x in (key, n, target)]
-                        yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(np.full(len(part[0]), number)), pa.array(part[1]), pa.array(part[2])], names=["key", "block", "n", "n_target"])
+                g = Grams(blob.as_buffer())
+                cuts, rows = g.cuts(buckets), []
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = slice(cuts[k], cuts[k + 1])
+                    rows.append((k, number, planes(np.diff(g.keys[own], prepend=U64(0))), planes(g.n[own].astype("<u4")), planes(g.n_target[own].astype("<u4"))))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "block", "keys", "n", "n_target"])
 
-    return blocks.mapInArrow(count, "key long, block long, n long, n_target long")
+    return blocks.mapInArrow(count, "bucket int, block long, keys binary, n binary, n_target binary")
 
 
-def lm_scores(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def counted(grams: DataFrame) -> DataFrame:
+    """(block, bucket, elsewhere, n, n_target): which keys of a block's range other blocks have too, as bits, and the counts of those.
+
+    The first row of a range has its number of words, and of all tokens and target tokens (0 in other rows).
+    """
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("elsewhere", pa.binary()), ("n", pa.binary()), ("n_target", pa.binary()), ("types", pa.int64()), ("total", pa.int64()), ("total_target", pa.int64())])
+    begin = key_of_words(np.array([BEGIN]))[0]
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        parts = [np.cumsum(from_planes(x, "<u8"), dtype=U64) for x in rows["keys"].to_pylist()]
+        n, target = (np.concatenate([from_planes(x, "<u4") for x in rows[c].to_pylist()]).astype(np.int64) for c in ("n", "n_target"))
+        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        all_, all_target = (np.bincount(at, x).astype(np.int64) for x in (n, target))
+        word = (keys & U64(1) == 0) & (keys != begin)
+        facts, out, start = (int(word.sum()), int(all_[word].sum()), int(all_target[word].sum())), [], 0
+        for block, bucket, part in zip(rows["block"].to_pylist(), rows["bucket"].to_pylist(), parts):
+            mine = at[start : start + len(part)]
+            more = all_[mine] > n[start : start + len(part)]
+            out.append((block, bucket, np.packbits(more).tobytes(), planes(all_[mine[more]]), planes(all_target[mine[more]]), *facts))
+            facts, start = (0, 0, 0), start + len(part)
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+
+    return grams.groupBy("bucket").applyInArrow(add_up, "block long, bucket int, elsewhere binary, n binary, n_target binary, types long, total long, total_target long")
+
+
+def lm_scores(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per document: doc_id, n_tokens, loss_target, loss_background, loss_difference. ``target_ids``: doc_id of target texts.
 
     The target ids grow with the corpus, so they are merged with the documents at every size, never broadcast.
@@ -125,46 +151,32 @@ def lm_scores(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_B
     wanted = target_ids.select("doc_id").distinct().withColumn("is_target", F.lit(True))
     flagged = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     blocks = stored(into_blocks(flagged, block_bytes))
-    discard()
-    same = Window.partitionBy("key")
-    whole = gram_rows(blocks).withColumns({"all": F.sum("n").over(same), "all_target": F.sum("n_target").over(same), "head": F.col("block") == F.min("block").over(same)})
-    is_word = F.col("key").bitwiseAND(F.lit(1)) == 0
-    # a pair or word that a block has alone needs no row, but each word keeps one
-    whole = stored(whole.filter((F.col("all") > F.col("n")) | (is_word & F.col("head"))).select("block", "key", "all", "all_target", F.when(is_word, F.col("head")).alias("head")))
-    begin = int(key_of_words(np.array([BEGIN]))[0])
-    types, total, total_target = whole.filter(F.col("head") & (F.col("key") != begin)).agg(F.count("*"), F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum("all_target"), F.lit(0))).head()
-    discard()
+    buckets = (blocks.agg(F.sum("size")).head()[0] or 0) // bucket_bytes + 1
+    free_shuffles(docs.sparkSession)
+    whole = stored(counted(gram_rows(blocks, buckets)))
+    types, total, total_target = whole.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "total", "total_target")]).head()
+    free_shuffles(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64())])
 
     def score(own: pa.Table, found: pa.Table) -> pa.Table:
         if not own.num_rows:
             return schema.empty_table()
-        grams = Grams(own["rows"][0].as_buffer())
-        order = np.argsort(found["key"].to_numpy())
-        key, counts = found["key"].to_numpy()[order], [found[c].to_numpy()[order] for c in ("all_target", "all")]
-        looked = []
-        for kind in (0, 1):
-            known, n, target = grams.counts(kind)
-            both = [target, n]
-            if len(key):
-                at = np.minimum(np.searchsorted(known, key), len(known) - 1) if len(known) else np.zeros(0, np.int64)
-                here = known[at] == key if len(known) else np.zeros(len(key), bool)
-                for mine, of_all in zip(both, counts):
-                    mine[at[here]] = of_all[here]
-            looked.append((known, both))
-        of_word, of_before = (np.searchsorted(looked[0][0], x) for x in (grams.word, grams.before))
-        of_pair = np.searchsorted(looked[1][0], grams.pair)
-        n_tokens, losses = np.diff(grams.starts), []
-        for k, all_ in enumerate((total_target, total)):
-            one, two = looked[0][1][k], looked[1][1][k]
-            single = (1 - FLOOR) * one[of_word] / all_ + FLOOR / types if all_ else np.full(len(of_word), 1 / max(types, 1))
-            context = one[of_before]
-            p = np.where(context > 0, MIX * two[of_pair] / np.maximum(context, 1) + (1 - MIX) * single, single)
-            losses.append(sums(-np.log(p), grams.starts) / np.maximum(n_tokens, 1))
+        g = Grams(own["rows"][0].as_buffer())
+        cuts, n, n_target = g.cuts(buckets), g.n.copy(), g.n_target
+        for bucket, more, all_, all_target in zip(*(found[c].to_pylist() for c in ("bucket", "elsewhere", "n", "n_target"))):
+            here = cuts[bucket] + np.flatnonzero(np.unpackbits(np.frombuffer(more, np.uint8), count=cuts[bucket + 1] - cuts[bucket]))
+            n[here], n_target[here] = from_planes(all_, "<i8"), from_planes(all_target, "<i8")
+        of_word, of_before, of_pair = (np.searchsorted(g.keys, x) for x in (g.word, g.before, g.pair))
+        n_tokens, losses = np.diff(g.starts), []
+        for count, all_ in ((n_target, total_target), (n, total)):
+            single = (1 - FLOOR) * count[of_word] / all_ + FLOOR / types if all_ else np.full(len(of_word), 1 / max(types, 1))
+            context = count[of_before]
+            p = np.where(context > 0, MIX * count[of_pair] / np.maximum(context, 1) + (1 - MIX) * single, single)
+            losses.append(sums(-np.log(p), g.starts) / np.maximum(n_tokens, 1))
         none = n_tokens == 0
-        return pa.table([grams.table["doc_id"], pa.array(n_tokens), *[pa.array(x, mask=none) for x in losses]], schema=schema)
+        return pa.table([g.table["doc_id"], pa.array(n_tokens), *[pa.array(x, mask=none) for x in losses]], schema=schema)
 
-    scored = blocks.groupBy("block").cogroup(whole.select("block", "key", "all", "all_target").groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double")
+    scored = blocks.groupBy("block").cogroup(whole.drop("types", "total", "total_target").groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double")
     return scored.withColumn("loss_difference", F.col("loss_target") - F.col("loss_background"))
 
 

@@ -287,7 +287,7 @@ def test_lm_scoring(spark, empty, size):
     docs, labels = labelled(spark)
     text = {r.doc_id: (r.text or "").split() for r in docs.collect()}
     good = {r.doc_id for r in lm_scoring.good_documents(labels).collect()}
-    got = {g.doc_id: g for g in lm_scoring.lm_scores(docs, lm_scoring.good_documents(labels), size).collect()}
+    got = {g.doc_id: g for g in lm_scoring.lm_scores(docs, lm_scoring.good_documents(labels), size, size).collect()}
     for (i, words), want in zip(text.items(), lm_losses([d for i, d in text.items() if i in good], list(text.values()))):
         g = got.pop(i)
         assert g.n_tokens == len(words) and (g.loss_target, g.loss_background) == (pytest.approx(want) if words else (None, None))
