@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
     schema = pa.schema(fields)
 
     def tokenise(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 4 << 20):
             flat, n = encoder(vocabulary).encode(b["text"])
             ends = np.cumsum(n)
             rows = []

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 
 from foliant.llm import lm_scoring, minhash, quality_classifier, quality_rules, suffix_dedup, token_files, window_dedup
-from foliant.llm.common import shared_dir, table
+from foliant.llm.common import delete_on_exit, shared_dir, table
 from foliant.llm.exact_dedup import dedup_report
 from foliant.llm.mixing import mix_report
 from foliant.llm.packing import pack
@@ -18,7 +18,7 @@ def op1_best_fit_packing(spark, sf_dir):
 
 
 def op2_repair_tokens(spark, sf_dir):
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = delete_on_exit(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read(spark, path)
 

@@ -1,7 +1,8 @@
 """Token files compressed by Re-Pair.
 
 Documents are range-sorted by id, encoded, and cut into shards of about ``SHARD_IDS`` ids. In each shard the most
-frequent pairs of neighbouring ids are replaced by nonterminals, again and again, never across the end of a document.
+frequent pairs of neighbouring ids are replaced by nonterminals, again and again, never across the end of a document, until
+no pair occurs twice or the symbols (16 bits with this vocabulary) are used up.
 A shard is one row of a Parquet file (so the write is committed by Spark and works on any file system):
 
     shard          partition << 20 | number in it; rises with doc_id
@@ -10,7 +11,7 @@ A shard is one row of a Parquet file (so the write is committed by Spark and wor
     rules          uint32 pairs: nonterminal terminals + k stands for pair k
     lengths        uint32s: number of ids each nonterminal expands to
     symbols        uint16s, or uint32s if ``wide``
-    terminals, n_ids
+    terminals, n_ids, first_id, last_id
 
 All integers are little-endian. ``Shard.document`` decodes one document by its symbols alone; ``Shard.ids_at`` finds a stretch
 of ids by the expansion lengths.
@@ -30,19 +31,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.arrow import result, slices
+from foliant.llm.arrow import flatten, result, slices
 from foliant.llm.common import running_totals
 from foliant.llm.tokens import encoder
 
-SHARD_IDS = 1 << 20
+SHARD_IDS, PART_BYTES = 1 << 20, 16 << 20
 END = 2
 TERMINALS = 49_408
-#: Pairs replaced in one round, rounds, and how often a pair must occur.
-PER_ROUND, ROUNDS, LEAST = 2048, 6, 12
+#: Pairs replaced in one round, and how often a pair must occur.
+PER_ROUND, LEAST = 4096, 2
 NULL_ID = -(1 << 63)
 
-SCHEMA = pa.schema([("shard", pa.int64()), ("doc_ids", pa.binary()), ("symbol_ends", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary()), ("wide", pa.bool_()), ("terminals", pa.int64()), ("n_ids", pa.int64())])
-SQL_SCHEMA = "shard long, doc_ids binary, symbol_ends binary, rules binary, lengths binary, symbols binary, wide boolean, terminals long, n_ids long"
+SCHEMA = pa.schema([("shard", pa.int64()), ("doc_ids", pa.binary()), ("symbol_ends", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary()), ("wide", pa.bool_()), ("terminals", pa.int64()), ("n_ids", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
+SQL_SCHEMA = "shard long, doc_ids binary, symbol_ends binary, rules binary, lengths binary, symbols binary, wide boolean, terminals long, n_ids long, first_id long, last_id long"
 
 
 def frequent_pairs(code: np.ndarray, none: int, room: int) -> np.ndarray:
@@ -71,9 +72,7 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int = TERMINALS) -> t
     slot = lambda c: (c * factor >> shift).astype(np.int64)
     home = np.empty(1 << 20, np.int16)
     symbol, rules = ids.astype(kind), np.zeros((0, 2), np.uint64)
-    for _ in range(ROUNDS):
-        if len(symbol) < 2 or len(rules) >= limit:
-            break
+    while len(symbol) > 1 and len(rules) < limit:
         code = symbol[:-1].astype(wide) << wide(bits) | symbol[1:]
         code[last[:-1]] = none
         found = frequent_pairs(code, none, min(PER_ROUND, limit - len(rules)))
@@ -114,6 +113,13 @@ def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray
     return s.astype(np.uint32)
 
 
+def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
+    """The same for a whole shard: each rule is expanded once, and every symbol's ids are copied from there."""
+    flat = np.concatenate((np.arange(terminals, dtype=np.uint32), expand(np.arange(terminals, terminals + len(rules)), rules, terminals)))
+    length = np.concatenate((np.ones(terminals, np.int64), lengths))
+    return flat[flatten(symbols, np.cumsum(length) - length, length)]
+
+
 def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     """Ids each nonterminal expands to; a pair refers to earlier ones only."""
     out = np.zeros(len(rules), np.int64)
@@ -165,20 +171,19 @@ def shard_row(number: int, docs: list, parts: list[np.ndarray], terminals: int)
     wide = bool(terminals + len(rules) > 1 << 16)
     ends = np.flatnonzero(last).astype("<i8") + 1
     known = np.array([NULL_ID if d is None else d for d in docs], "<i8")
-    one = [number, known.tobytes(), ends.tobytes(), rules.astype("<u4").tobytes(), rule_lengths(rules, terminals).astype("<u4").tobytes(), symbols.astype("<u4" if wide else "<u2").tobytes(), wide, terminals, len(ids)]
+    one = [number, known.tobytes(), ends.tobytes(), rules.astype("<u4").tobytes(), rule_lengths(rules, terminals).astype("<u4").tobytes(), symbols.astype("<u4" if wide else "<u2").tobytes(), wide, terminals, len(ids), int(known[0]), int(known[-1])]
     return result(SCHEMA, *[[x] for x in one])
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end: int = END, terminals: int = TERMINALS, shard_ids: int = SHARD_IDS) -> None:
-    """Encode ``docs`` and write the token file at ``path`` in ascending doc_id order."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Encode ``docs`` and write the token file at ``path`` in ascending doc_id order, in partitions of about PART_BYTES of text."""
+    n = (docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // PART_BYTES + 1
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def shards(batches):
         first, k = TaskContext.get().partitionId() << 20, 0
         held, parts, size = [], [], 0
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 4 << 20):
             flat, n_ids = encoder(vocabulary).encode(b["text"])
             ends = np.cumsum(n_ids)
             for doc, a, z in zip(b["doc_id"].to_pylist(), ends - n_ids, ends):
@@ -194,6 +199,23 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = END, terminals
     ordered.mapInArrow(shards, SQL_SCHEMA).write.parquet(path)
 
 
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of some documents: shards whose range of ids can't hold one are passed over by Parquet's statistics, and only their symbols are expanded."""
+    wanted = sorted(set(doc_ids))
+    near = F.lit(False)
+    for d in wanted:
+        near = near | ((F.col("first_id") <= d) & (F.col("last_id") >= d))
+
+    def look_up(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                s = Shard.read(row)
+                here = np.flatnonzero(np.isin(s.doc_ids, wanted))
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[here]), pa.array([s.document(k).astype(np.int32) for k in here], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return spark.read.schema(SQL_SCHEMA).parquet(path).filter(near).mapInArrow(look_up, "doc_id long, ids array<int>")
+
+
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """One row per document of a token file: doc_id, start, n_tokens, ids_crc32 (and its ids if asked for)."""
     fields = [("doc_id", pa.int64()), ("shard", pa.int64()), ("inside", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
@@ -207,7 +229,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 s = Shard.read(row)
-                ids = expand(s.symbols, s.rules, s.terminals).astype("<u4")
+                ids = expand_all(s.symbols, s.rules, s.lengths, s.terminals).astype("<u4")
                 ends = np.cumsum(s.symbol_lengths())[s.symbol_ends - 1]
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 own = [ids[a:z] for a, z in zip(starts, ends)]

@@ -23,8 +23,33 @@ MAX_PIECES = 1_400_000
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: Texts with other white space than single blanks and line feeds between words.
 ODD = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
+#: 1 for a blank and a line feed, 2 for bytes with which the other white space begins.
+KIND = np.zeros(256, np.uint8)
+KIND[[0x20, 0x0A]] = 1
+KIND[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = 2
 #: A key after these is the piece as it stands; other keys stand for a line's first word with its line feed, or a word with a blank before it.
 RAW = "  "
+#: How vocabularies write the end of a word, or a blank at its beginning.
+WORD_END, BLANK = "</w>", "\u0120"
+
+
+def odd_texts(texts: pa.Array) -> np.ndarray:
+    """Which texts are empty or match ODD; the expression is tried on those alone that hold a byte of it or two blanks in a row."""
+    size = pc.binary_length(texts).to_numpy().astype(np.int64)
+    flat = np.frombuffer(b"".join(t for t in texts.cast(pa.binary()).to_pylist()), np.uint8)
+    ends = np.cumsum(size)
+    kind = KIND[flat]
+    maybe = np.concatenate(([0], np.cumsum(kind == 2)))
+    blank = kind == 1
+    twice = np.concatenate(([0], np.cumsum(blank[1:] & blank[:-1]), [0]))[: len(flat) + 1]
+    begin, full = ends - size, size > 0
+    odd = ~full
+    odd |= maybe[ends] > maybe[begin]
+    inner = np.maximum(ends - 1, begin)
+    odd[full] |= (twice[inner] > twice[begin])[full] | blank[begin[full]] | blank[ends[full] - 1]
+    look = np.flatnonzero(odd & full)
+    odd[look] = pc.match_substring_regex(texts.take(pa.array(look)), ODD).to_numpy(zero_copy_only=False)
+    return odd
 
 
 class Encoder(dict):
@@ -36,6 +61,10 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.edge_ends = any(t.endswith(WORD_END) for t in tokens)
+        self.edge = np.zeros(max(tokens.values()) + 1, bool)
+        self.edge[[k for t, k in tokens.items() if (t.endswith(WORD_END) if self.edge_ends else t.startswith(BLANK))]] = True
         self.reset()
 
     def reset(self):
@@ -53,7 +82,7 @@ class Encoder(dict):
 
         Plain texts are split and their distinct words found by Arrow, so that Python sees each word of a batch once.
         """
-        plain = pc.invert(pc.or_(pc.match_substring_regex(texts, ODD), pc.equal(texts, ""))).to_numpy(zero_copy_only=False)
+        plain = ~odd_texts(texts)
         split = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(plain)), "\n", " \n"), " ")
         coded = split.flatten().dictionary_encode()
         n = split.value_lengths().to_numpy().astype(np.int64)
@@ -74,20 +103,45 @@ class Encoder(dict):
         number[of_plain], number[~of_plain] = own, [k for ks in odd for k in ks]
         return number, n_pieces
 
+    def learn(self) -> None:
+        """Encode the pieces met for the first time.
+
+        Blank and letters a-z is one unit of either vocabulary, so such pieces are encoded in a row; its ids that end a word (or begin
+        one) say which piece they belong to. Should their number be another than that of the pieces, each is encoded by itself.
+        """
+        plain = pc.match_substring_regex(pa.array(self.fresh), "^ [a-z]+$").to_numpy(zero_copy_only=False)
+        alone, order, found = np.flatnonzero(~plain).tolist(), [], []
+        lengths, plain = np.zeros(len(self.fresh), np.int64), np.flatnonzero(plain)
+        together = np.array_split(plain, len(plain) // 500 + 1)
+        for own, e in zip(together, self.tokenizer.encode_batch_fast(["".join([self.fresh[k] for k in own.tolist()]) for own in together], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            edge = np.flatnonzero(self.edge[ids])
+            if len(edge) != len(own):
+                alone += own.tolist()
+                continue
+            lengths[own] = np.diff(edge, prepend=-1) if self.edge_ends else np.diff(edge, append=len(ids))
+            order.append(own)
+            found.append(ids)
+        for k in range(0, len(alone), 20_000):
+            part = alone[k : k + 20_000]
+            rows = [e.ids for e in self.tokenizer.encode_batch_fast([self.fresh[x] for x in part], add_special_tokens=False)]
+            lengths[part] = np.fromiter(map(len, rows), np.int64, len(rows))
+            order.append(np.array(part))
+            found.append(np.fromiter(chain.from_iterable(rows), np.uint32, int(lengths[part].sum())))
+        order = np.concatenate(order)
+        offset = np.empty(len(order), np.int64)
+        offset[order] = len(self.flat) + np.cumsum(lengths[order]) - lengths[order]
+        self.offset, self.length = np.concatenate((self.offset, offset)), np.concatenate((self.length, lengths))
+        self.flat = np.concatenate((self.flat, *found))
+        self.fresh = []
+
     def encode(self, texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (null: none), and each text's number of ids."""
         if len(self) > MAX_PIECES:
             self.reset()
         number, n_pieces = self.numbers(pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), ""))
         if self.fresh:
-            found = []
-            for k in range(0, len(self.fresh), 20_000):
-                found += [e.ids for e in self.tokenizer.encode_batch_fast(self.fresh[k : k + 20_000], add_special_tokens=False)]
-            length = np.fromiter(map(len, found), np.int64, len(found))
-            self.offset = np.concatenate((self.offset, len(self.flat) + np.cumsum(length) - length))
-            self.length = np.concatenate((self.length, length))
-            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))))
-            self.fresh = []
+            self.learn()
         ends = np.concatenate(([0], np.cumsum(self.length[number])))
         at = np.concatenate(([0], np.cumsum(n_pieces))).astype(np.int64)
         return self.flat[flatten(number, self.offset, self.length)], np.diff(ends[at])

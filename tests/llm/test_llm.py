@@ -8,12 +8,13 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foliant.llm import exact_dedup, lm_scoring, minhash, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_files, window_dedup
+from foliant.llm import exact_dedup, lm_scoring, minhash, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_files, tokens, window_dedup
 from foliant.llm.common import shared_dir
 
 SCHEMA = "doc_id long, text string, source string, __row string"
@@ -131,6 +132,19 @@ def test_token_files(spark, docs, rows, empty):
         at += g.n_tokens
     assert [g.doc_id for g in got] == sorted(g.doc_id for g in got)
     assert token_files.read(spark, f"{folder}/none").count() == 0
+    some = token_files.read_documents(spark, f"{folder}/some", [rows[5][0], rows[12][0], 10**9]).collect()
+    assert {(g.doc_id, tuple(g.ids)) for g in some} == {k for k in want if k[0] in (rows[5][0], rows[12][0])}
+
+
+def test_pieces_give_the_ids_of_whole_texts():
+    rng = random.Random(2)
+    parts = ["<|endoftext|>", "<|startoftext|>", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "word", "Word", "é", "it's", "42", "x,y", "<|", "abcdefgh", "е", "\r\n", "zz"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, "", "a " * 2000, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}x" for k in range(2000))]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        whole = Tokenizer.from_file(public_tokenizers.path(name))
+        ids, n = tokens.Encoder(public_tokenizers.path(name)).encode(pa.array(texts, pa.string()))
+        ends = np.cumsum(n)
+        assert [ids[z - k : z].tolist() for z, k in zip(ends, n)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_repair_random_access():
