@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from foliant.llm.arrow import slices, sums
 from foliant.llm.common import U64, batch_words, free_shuffles, mix, stored
 
-BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 MIX, FLOOR = 0.7, 0.05
 #: Stands before the first word of a text.
 BEGIN = U64(0)

@@ -7,7 +7,8 @@ target say how much of the source's demand has been met, and the inverse of the
 into the time of the run at which the document is due. The result is range-sorted by that time.
 
 Defined results: null text has size 0 and takes nothing; null sources are one source, the last; repeated rows
-each count; an empty table gives an empty table; ties in the order fall to id, then size.
+each count; an empty table gives an empty table; ties in the order fall to id, then size. Sources are ranked in one
+task, which suits up to some millions of them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WORD, running_totals, stored
+from foliant.llm.common import WORD, free_shuffles, running_totals, stored
 
 #: (time, factor) knots for heavy, middle and light sources: heavy ones early, light ones late. Each has mean 1.
 RAMPS = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
@@ -75,15 +76,14 @@ def time_of(share: Column, slot: Column, schedules=RAMPS) -> Column:
     return picked
 
 
-def plan_mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, schedules=RAMPS, id_col="doc_id", source_col="source", text_col="text", keep: Sequence[str] = ()) -> DataFrame:
+def plan_mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, schedules=RAMPS, keep: Sequence[str] = ()) -> DataFrame:
     """One row per document: size, slot, source_size, target, words before it in its source, words taken.
 
     The document at which a source's last, partial epoch ends counts with the words up to there.
-    ``schedules`` repeat as ``weights`` do.
+    ``schedules`` repeat as ``weights`` do; ``keep`` names further columns to carry.
     """
     rows = stored(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("order_key"), *[F.col(f"`{c}`").alias(f"__x_{c}") for c in keep],
+        "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order_key"), *keep,
     ).withColumn("block", F.substring("order_key", 1, BLOCK_DIGITS)))
     rows_at = running_totals(rows, ["source"], "block", [F.col("order_key"), F.col("doc_id").asc_nulls_first(), F.col("size")], "size", "before")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
@@ -115,10 +115,16 @@ def mix_report(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, schedule
 def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, schedules=RAMPS) -> DataFrame:
     """The documents of the mix, whole, each as often as it is taken, in training order, with the columns of ``docs``.
 
-    The document at which the last epoch ends is in it if the epoch reaches its middle.
+    The document at which the last epoch ends is in it if the epoch reaches its middle. The plan is made without the
+    texts; they are joined with it once, by the number of their row.
     """
-    plan = plan_mix(docs, weights, max_epochs, schedules, keep=docs.columns)
+    own = [F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(docs.columns)]  # whatever their names, they clash with none here
+    rows = stored(docs.select(*own, F.monotonically_increasing_id().alias("__number")))
+    needed = [F.col(f"x{docs.columns.index(c)}").alias(c) for c in ("doc_id", "source", "text")]
+    plan = plan_mix(rows.select(*needed, "__number"), weights, max_epochs, schedules, keep=["__number"])
     copies = (F.col("epochs") + F.when((F.col("part") * 2 >= F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).cast("int")
-    rows = plan.filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    rows = rows.withColumn("__due", _due(plan, schedules, F.col("__copy"))).orderBy("__due", "doc_id")
-    return rows.select(*[F.col(f"`__x_{c}`").alias(c) for c in docs.columns])
+    taken = plan.filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    taken = stored(taken.select("__number", "doc_id", _due(plan, schedules, F.col("__copy")).alias("__due")))
+    free_shuffles(docs.sparkSession)
+    out = rows.join(taken, "__number").orderBy("__due", "doc_id")
+    return out.select(*[F.col(f"x{k}").alias(c) for k, c in enumerate(docs.columns)])
