@@ -96,3 +96,21 @@ def field_status(value: Column, score: Column, n_evidence: Column) -> Column:
 def breaks_tolerance(expected: Column, stated: Column) -> Column:
     """Two amounts differ by more than a cent and by more than one percent of the stated one."""
     return F.abs(expected - stated) > F.greatest(F.lit(0.01), F.abs(stated) * 0.01)
+
+
+#: Kinds of files by extension.
+MIME = {
+    "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "txt": "text/plain", "csv": "text/csv", "json": "application/json",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+}
+
+
+def mime_type(name: Column) -> Column:
+    kinds = F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])
+    return F.coalesce(F.element_at(kinds, F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))), F.lit("application/octet-stream"))
+
+
+def parse_options(text: Column) -> Column:
+    """Options as a map of strings; what isn't a JSON object gives an empty one."""
+    broken = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+    return F.when(F.size(broken) > 0, F.from_json(text, "map<string,string>")).otherwise(F.create_map().cast("map<string,string>"))

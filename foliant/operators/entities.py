@@ -30,27 +30,30 @@ LABELLED = (
 MONEY_TYPES, RATE_TYPES, DATE_TYPES = ("MONEY", "Subtotal", "Grand_Total"), ("PERCENT", "VAT_Rate"), ("DATE", "Date")
 
 
-def matches(text: Column) -> Column:
-    """All matches of all patterns as one array, so that a text is read once and exploded once."""
+def matches(text: Column, kinds: tuple[str, ...] | None = None) -> Column:
+    """All matches of all patterns (or of those of some ``kinds``) as one array, so that a text is read once and exploded once."""
+    wanted = lambda kind: kinds is None or kind in kinds
 
     def found(kind: str, number: int, values: Column) -> Column:
         return F.transform(values, lambda v, k: F.struct(F.lit(kind).alias("entity_type"), F.lit(number).alias("pattern_idx"), k.alias("match_idx"), v.alias("raw_value")))
 
-    many = [found(kind, k, F.regexp_extract_all(text, F.lit(p), F.lit(g))) for k, (kind, p, g) in enumerate(PATTERNS)]
+    many = [found(kind, k, F.regexp_extract_all(text, F.lit(p), F.lit(g))) for k, (kind, p, g) in enumerate(PATTERNS) if wanted(kind)]
     ones = []
     for k, (kind, p) in enumerate(LABELLED, len(PATTERNS)):
+        if not wanted(kind):
+            continue
         value = F.btrim(F.regexp_extract(text, p, 1), F.lit(" :;,.\t"))
         value = digits(value) if kind == "Tax_Code" else value
         ones.append(found(kind, k, F.when(text.rlike(p), F.array(value)).otherwise(F.array().cast("array<string>"))))
     return F.concat(*many, *ones)
 
 
-def entities(lines: DataFrame) -> DataFrame:
+def entities(lines: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """One row per entity with its normalised value as number, date or text; of repeats on a page the first stays.
 
     ``lines``: doc_id, line_no, page_number, text.
     """
-    rows = lines.select("doc_id", "page_number", "line_no", F.explode(matches(F.col("text"))).alias("e")).select("doc_id", "page_number", "line_no", "e.*")
+    rows = lines.select("doc_id", "page_number", "line_no", F.explode(matches(F.col("text"), kinds)).alias("e")).select("doc_id", "page_number", "line_no", "e.*")
     w = Window.partitionBy("doc_id", "page_number", "entity_type", "raw_value").orderBy("line_no", "pattern_idx", "match_idx")
     rows = rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
     kind, raw = F.col("entity_type"), F.col("raw_value")
@@ -74,8 +77,9 @@ def amount_edges(known: DataFrame) -> DataFrame:
     return left.join(right, "doc_id").select("doc_id", "subject", F.lit("has_amount").alias("predicate"), "object")
 
 
-def last_number(found: DataFrame, kind: str, out: str) -> DataFrame:
-    """The last entity of a kind that is a number, per document."""
+def last_numbers(found: DataFrame, **kinds: str) -> DataFrame:
+    """Per document, for each kind, the last entity of it that is a number, under the name given for the kind."""
     place = F.struct("page_number", "line_no", "pattern_idx", "match_idx")
     value = F.coalesce("number", parse_money(F.col("raw_value")))
-    return found.filter((F.col("entity_type") == kind) & value.isNotNull()).groupBy("doc_id").agg(F.max_by(value, place).alias(out))
+    return found.withColumn("__value", value).filter("__value IS NOT NULL").groupBy("doc_id").agg(
+        *[F.max_by("__value", F.when(F.col("entity_type") == kind, place)).alias(name) for kind, name in kinds.items()])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import values as V
+from foliant.operators import audit as A
 from foliant.operators import entities as E
 from foliant.plans.documents import P, lines
 from foliant.sources.tables import table
@@ -87,10 +88,16 @@ def amount_edges(spark, d):
     return E.amount_edges(E.facts(invoice_entities(spark, d))).groupBy("doc_id").agg(F.count("*").alias("n_edges"), F.min("predicate").alias("predicate"))
 
 
+def entity_reviews(spark, d):
+    """Labelled values of low confidence; how sure a value is depends on its document and kind here."""
+    rows = labelled_values(spark, d).withColumn("confidence", ((F.col("doc_id") + F.length("entity_type")) % 10) / 10)
+    return A.entity_reviews(rows.withColumnRenamed("value", "raw_value").select("doc_id", "entity_type", "raw_value", "confidence"))
+
+
 def vat(spark, d):
     """Subtotal, grand total and rate of each invoice; a missing rate is inferred where it would be 0 to 30 percent."""
-    found = invoice_entities(spark, d)
-    rows = E.last_number(found, "Subtotal", "subtotal").join(E.last_number(found, "Grand_Total", "total"), "doc_id").join(E.last_number(found, "VAT_Rate", "rate"), "doc_id", "left")
+    found = E.entities(invoice_lines(spark, d), ("Subtotal", "Grand_Total", "VAT_Rate"))
+    rows = E.last_numbers(found, Subtotal="subtotal", Grand_Total="total", VAT_Rate="rate").filter("subtotal IS NOT NULL AND total IS NOT NULL")
     guess = F.col("total") / F.col("subtotal") - 1
     guess = F.when(F.col("rate").isNull() & (F.col("subtotal") != 0) & (guess >= 0) & (guess <= 0.30), guess)
     rows = rows.withColumn("inferred", guess).withColumn("used", F.coalesce("rate", "inferred"))
@@ -117,6 +124,7 @@ QUERIES = {
     "vat_arithmetic": lambda s, d: vat(s, d).select("doc_id", "subtotal", "total", "status"),
     "vat_inference": lambda s, d: vat(s, d).filter("inferred IS NOT NULL").select("doc_id", F.round("inferred", 4).alias("inferred")),
     "conflicting_facts": conflicting_facts,
+    "entity_reviews": entity_reviews,
 }
 
 VAT = INVOICES + """, g AS (SELECT *, CASE WHEN rate IS NULL AND subtotal <> 0 AND total / subtotal - 1 BETWEEN 0 AND 0.30 THEN total / subtotal - 1 END AS inferred FROM v),
@@ -124,6 +132,12 @@ VAT = INVOICES + """, g AS (SELECT *, CASE WHEN rate IS NULL AND subtotal <> 0 A
   c AS (SELECT *, CASE WHEN used IS NULL THEN 'uncertain' WHEN abs(subtotal + subtotal * used - total) > greatest(0.01, abs(total) * 0.01) THEN 'invalid' ELSE 'valid' END AS status FROM u)
 """
 
+LABELLED = INVOICES + """, t AS (SELECT doc_id, 2 AS line_no, 'Grand_Total' AS entity_type, subtotal AS x FROM v UNION ALL SELECT doc_id, 3, 'Grand_Total', total FROM v WHERE total <> subtotal UNION ALL SELECT doc_id, 2, 'Subtotal', subtotal FROM v),
+  labelled AS (SELECT doc_id, line_no, entity_type, CAST(x AS VARCHAR) AS value FROM t
+    UNION ALL SELECT doc_id, 1, 'Invoice_Number', number FROM v UNION ALL SELECT doc_id, 1, 'Date', day FROM v UNION ALL SELECT doc_id, 1, 'Tax_Code', tax_code FROM v
+    UNION ALL SELECT doc_id, 1, 'VAT_Rate', CAST(rate AS VARCHAR) FROM v WHERE rate IS NOT NULL)
+"""
+
 SQL = {
     "money_roundtrip": DUCK_CENTS + f" SELECT o_orderkey, {DUCK_AMOUNT} AS shown, CASE WHEN o_orderkey % 4 = 2 THEN CAST(cents // 100 AS DOUBLE) ELSE cents / 100 END AS amount FROM o",
     "percent_roundtrip": "SELECT l_orderkey, l_linenumber, round(round(l_tax * 100) / 100, 6) AS rate FROM lineitem",
@@ -131,6 +145,9 @@ SQL = {
         THEN strftime(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)), '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders""",
     "entity_emails": P + r""", m AS (SELECT doc_id, page_number, line_no, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS raw_value FROM lines)
         SELECT doc_id, page_number, min(line_no) AS line_no, raw_value FROM m GROUP BY doc_id, page_number, raw_value""",
+    "entities_labelled": LABELLED + "SELECT * FROM labelled",
+    "entity_reviews": LABELLED + """SELECT doc_id, entity_type, value AS raw_value, (doc_id + length(entity_type)) % 10 / 10 AS confidence, CASE WHEN entity_type IN ('Grand_Total', 'Subtotal') THEN 'high' ELSE 'normal' END AS priority
+      FROM labelled WHERE (doc_id + length(entity_type)) % 10 < 7""",
     "fact_edges": INVOICES + "SELECT doc_id, CAST(CASE WHEN subtotal = total THEN 1 ELSE 2 END AS BIGINT) AS n_edges, 'has_amount' AS predicate FROM v",
     "vat_arithmetic": VAT + "SELECT doc_id, subtotal, total, status FROM c",
     "vat_inference": VAT + "SELECT doc_id, round(inferred, 4) AS inferred FROM c WHERE inferred IS NOT NULL",

@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from foliant.plans import documents, invoices, jobs, tables
+from foliant.plans import documents, invoices, jobs, layout, tables
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = {n: f for m in (documents, invoices, jobs, tables) for n, f in m.QUERIES.items()}
-SQL = {n: t for m in (documents, invoices, jobs, tables) for n, t in m.SQL.items()}
+QUERIES = {n: f for m in (documents, invoices, jobs, layout, tables) for n, f in m.QUERIES.items()}
+SQL = {n: t for m in (documents, invoices, jobs, layout, tables) for n, t in m.SQL.items()}
 
 
 @pytest.fixture(scope="module")
