@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``max_bytes`` of ``column``; a longer value is a batch of its own."""
+    """The same rows in batches of about ``max_bytes`` of ``column``; a longer value is a batch of its own. Memory that Arrow holds unused goes back at the end, since workers live on."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(size.astype(np.int64))
@@ -20,6 +20,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 <<
             stop = max(start + 1, int(np.searchsorted(ends, done + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:

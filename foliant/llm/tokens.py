@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from foliant.llm.arrow import flatten
 
 #: A worker forgets its pieces beyond so many.
-MAX_PIECES = 1_400_000
+MAX_PIECES = 500_000
 #: Where a text may be cut.
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: Texts with other white space than single blanks and line feeds between words.
