@@ -31,23 +31,28 @@ KIND[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] =
 RAW = "  "
 #: How vocabularies write the end of a word, or a blank at its beginning.
 WORD_END, BLANK = "</w>", "\u0120"
+#: Pieces that may be encoded in a row: letters, then punctuation (where tokens end words), or no white space but the first blank.
+UNITS = r"^[ \n](?P<word>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<mark>[#$%&*|.,;:!?()-]*)$"
+STRETCH = r"^ [!-;=-~\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+$"
+
+
+def strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
 
 
 def odd_texts(texts: pa.Array) -> np.ndarray:
     """Which texts are empty or match ODD; the expression is tried on those alone that hold a byte of it or two blanks in a row."""
     size = pc.binary_length(texts).to_numpy().astype(np.int64)
-    flat = np.frombuffer(b"".join(t for t in texts.cast(pa.binary()).to_pylist()), np.uint8)
-    ends = np.cumsum(size)
-    kind = KIND[flat]
-    maybe = np.concatenate(([0], np.cumsum(kind == 2)))
-    blank = kind == 1
-    twice = np.concatenate(([0], np.cumsum(blank[1:] & blank[:-1]), [0]))[: len(flat) + 1]
-    begin, full = ends - size, size > 0
-    odd = ~full
-    odd |= maybe[ends] > maybe[begin]
-    inner = np.maximum(ends - 1, begin)
-    odd[full] |= (twice[inner] > twice[begin])[full] | blank[begin[full]] | blank[ends[full] - 1]
-    look = np.flatnonzero(odd & full)
+    odd, full = size == 0, np.flatnonzero(size)
+    if len(full):
+        flat = np.frombuffer(b"".join(texts.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint8)
+        ends = np.cumsum(size)[full]
+        begin, kind = ends - size[full], KIND[flat]
+        blank = kind == 1
+        twice = np.append(blank[1:] & blank[:-1], False)
+        twice[ends - 1] = False
+        odd[full] = np.logical_or.reduceat((kind == 2) | twice, begin) | blank[begin] | blank[ends - 1]
+    look = np.flatnonzero(odd & (size > 0))
     odd[look] = pc.match_substring_regex(texts.take(pa.array(look)), ODD).to_numpy(zero_copy_only=False)
     return odd
 
@@ -65,6 +70,7 @@ class Encoder(dict):
         self.edge_ends = any(t.endswith(WORD_END) for t in tokens)
         self.edge = np.zeros(max(tokens.values()) + 1, bool)
         self.edge[[k for t, k in tokens.items() if (t.endswith(WORD_END) if self.edge_ends else t.startswith(BLANK))]] = True
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A\u00c0") == "a\u00e0"
         self.reset()
 
     def reset(self):
@@ -74,7 +80,7 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> int:
         self[piece] = n = len(self)
-        self.fresh.append(piece[len(RAW) :] if piece.startswith(RAW) else piece if piece[:1] == "\n" else " " + piece)
+        self.fresh.append(" " + piece if piece[:1] > " " else piece[len(RAW) :] if piece[:2] == RAW else piece if piece[:1] == "\n" else " " + piece)
         return n
 
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,9 +97,9 @@ class Encoder(dict):
         inner[first] = False
         met = np.flatnonzero(np.bincount(index[inner], minlength=len(coded.dictionary)))
         known = np.full(len(coded.dictionary), -1, np.int64)
-        known[met] = [self[w] for w in coded.dictionary.take(pa.array(met)).to_pylist()]
+        known[met] = list(map(self.__getitem__, strings(coded.dictionary.take(pa.array(met)))))
         own = known[index]
-        own[first] = [self[RAW + w] for w in coded.take(pa.array(first)).cast(pa.string()).to_pylist()]
+        own[first] = [self[RAW + w] for w in strings(coded.take(pa.array(first)).cast(pa.string()))]
         if plain.all():
             return own, n
         odd = [[self[RAW + p] for p in CUT.split(t)] if t else [] for t in texts.filter(pa.array(~plain)).to_pylist()]
@@ -103,36 +109,57 @@ class Encoder(dict):
         number[of_plain], number[~of_plain] = own, [k for ks in odd for k in ks]
         return number, n_pieces
 
-    def learn(self) -> None:
-        """Encode the pieces met for the first time.
+    def alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row and the number of each piece's, every piece encoded by itself."""
+        rows = [e.ids for k in range(0, len(pieces), 20_000) for e in self.tokenizer.encode_batch_fast(pieces[k : k + 20_000], add_special_tokens=False)]
+        n = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter(chain.from_iterable(rows), np.uint32, int(n.sum())), n
+
+    def together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for strings whose ids end in one that ends a word, or begin with one that begins a word, after a blank, with no other such id.
 
-        Blank and letters a-z is one unit of either vocabulary, so such pieces are encoded in a row; its ids that end a word (or begin
-        one) say which piece they belong to. Should their number be another than that of the pieces, each is encoded by itself.
+        They are encoded in rows of 500, and those ids say where each string's ids are. In a row with another number of such ids each is encoded by itself.
         """
-        plain = pc.match_substring_regex(pa.array(self.fresh), "^ [a-z]+$").to_numpy(zero_copy_only=False)
-        alone, order, found = np.flatnonzero(~plain).tolist(), [], []
-        lengths, plain = np.zeros(len(self.fresh), np.int64), np.flatnonzero(plain)
-        together = np.array_split(plain, len(plain) // 500 + 1)
-        for own, e in zip(together, self.tokenizer.encode_batch_fast(["".join([self.fresh[k] for k in own.tolist()]) for own in together], add_special_tokens=False)):
+        rows = [[" " + u for u in units[k : k + 500]] for k in range(0, len(units), 500)]
+        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
             edge = np.flatnonzero(self.edge[ids])
-            if len(edge) != len(own):
-                alone += own.tolist()
-                continue
-            lengths[own] = np.diff(edge, prepend=-1) if self.edge_ends else np.diff(edge, append=len(ids))
-            order.append(own)
+            n = np.diff(edge, prepend=-1) if self.edge_ends else np.diff(edge, append=len(ids))
+            if len(edge) != len(row):
+                ids, n = self.alone(row)
             found.append(ids)
-        for k in range(0, len(alone), 20_000):
-            part = alone[k : k + 20_000]
-            rows = [e.ids for e in self.tokenizer.encode_batch_fast([self.fresh[x] for x in part], add_special_tokens=False)]
-            lengths[part] = np.fromiter(map(len, rows), np.int64, len(rows))
-            order.append(np.array(part))
-            found.append(np.fromiter(chain.from_iterable(rows), np.uint32, int(lengths[part].sum())))
-        order = np.concatenate(order)
-        offset = np.empty(len(order), np.int64)
-        offset[order] = len(self.flat) + np.cumsum(lengths[order]) - lengths[order]
-        self.offset, self.length = np.concatenate((self.offset, offset)), np.concatenate((self.length, lengths))
-        self.flat = np.concatenate((self.flat, *found))
+            sizes.append(n)
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def learn(self) -> None:
+        """Encode the pieces met for the first time.
+
+        Where tokens end words, white space has no ids, and letters and the punctuation after them are units of their own: each distinct unit is
+        encoded once, in lower case if the vocabulary has no other. Where blanks begin tokens, a piece without other white space is one unit.
+        """
+        fresh = pa.array(self.fresh, pa.string())
+        if self.edge_ends:
+            split = pc.extract_regex(fresh, UNITS)
+            fits = split.is_valid().to_numpy(zero_copy_only=False)
+            split = split.filter(pa.array(fits))
+            halves = pa.concat_arrays([pc.struct_field(split, "word"), pc.struct_field(split, "mark")])
+            coded = (pc.utf8_lower(halves) if self.lowers else halves).dictionary_encode()
+            units, of_piece = strings(coded.dictionary), coded.indices.to_numpy().reshape(2, -1)
+            solid = np.array([bool(u) for u in units], bool)
+            ids, sizes = self.together([u for u in units if u])
+            n = np.zeros(len(units), np.int64)
+            n[solid] = sizes
+            ids, n = ids[flatten(of_piece.T.ravel(), np.cumsum(n) - n, n)], n[of_piece].sum(axis=0)
+        else:
+            fits = pc.match_substring_regex(fresh, STRETCH).to_numpy(zero_copy_only=False)
+            ids, n = self.together([p[1:] for p in strings(fresh.filter(pa.array(fits)))])
+        others, n_others = self.alone(strings(fresh.filter(pa.array(~fits))))
+        lengths, offset = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        lengths[fits], lengths[~fits] = n, n_others
+        offset[fits], offset[~fits] = np.cumsum(n) - n, len(ids) + np.cumsum(n_others) - n_others
+        self.offset, self.length = np.concatenate((self.offset, len(self.flat) + offset)), np.concatenate((self.length, lengths))
+        self.flat = np.concatenate((self.flat, ids, others))
         self.fresh = []
 
     def encode(self, texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
