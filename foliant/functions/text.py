@@ -33,9 +33,10 @@ def is_noise(text: Column, least: int = 6, symbols: float = 0.40, consonants: fl
     n = F.length(letters)
     hard = F.length(F.regexp_replace(letters, f"[{VOWELS}]", ""))
     kinds = F.size(F.array_distinct(F.split(letters, "")))
-    unpronounceable = (n >= least) & (hard / n >= consonants) & (kinds <= F.greatest(F.lit(3), F.floor(n / 2)))
-    one = F.size(F.array_distinct(F.split(value, ""))) == 1
-    return (F.length(value) >= least) & ((odd / solid > symbols) | unpronounceable | one)
+    few = kinds <= F.greatest(F.lit(3), F.floor(n / 2))
+    # the dear tests come last and only where the cheap ones leave it open
+    unpronounceable = F.when((n >= least) & (hard / n >= consonants), few).otherwise(False)
+    return F.when(F.length(value) < least, False).when(odd / solid > symbols, True).when(unpronounceable, True).otherwise(value.rlike(r"(?s)^(.)\1*$"))
 
 
 #: Keyword rules that name a sheet; the first rule with two hits wins.

@@ -30,25 +30,30 @@ def unique_headers(cells: DataFrame) -> DataFrame:
     return rows.select("table_id", "col_idx", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).alias("header"))
 
 
-def header_row(rows: DataFrame) -> DataFrame:
-    """(table_id, header_idx): the first of the first three rows that is at least half and two cells full, else the first."""
-    place = F.row_number().over(Window.partitionBy("table_id").orderBy("row_idx"))
+def with_header(rows: DataFrame) -> DataFrame:
+    """Rows with their table's header_idx and header: the first of the first three rows that is at least half and two cells full, else the first.
+
+    Windows over the table alone, so that its rows are dealt once.
+    """
+    table = Window.partitionBy("table_id")
+    place = F.row_number().over(table.orderBy("row_idx"))
     full = F.size(F.filter("cells", lambda x: x != ""))
-    good = F.when((F.col("place") <= 3) & (full >= F.greatest(F.lit(2), F.floor(F.size("cells") / 2))), F.col("row_idx"))
-    return rows.withColumn("place", place).groupBy("table_id").agg(F.coalesce(F.min(good), F.min("row_idx")).alias("header_idx"))
+    good = F.when((F.col("__place") <= 3) & (full >= F.greatest(F.lit(2), F.floor(F.size("cells") / 2))), F.col("row_idx"))
+    rows = rows.withColumn("__place", place).withColumn("header_idx", F.coalesce(F.min(good).over(table), F.min("row_idx").over(table))).drop("__place")
+    return rows.withColumn("header", F.first(F.when(F.col("row_idx") == F.col("header_idx"), F.col("cells")), ignorenulls=True).over(table))
 
 
 def drop_repeated_headers(rows: DataFrame) -> DataFrame:
     """Rows from the header on, without later rows that equal it but for case."""
-    header = header_row(rows).join(rows, "table_id").filter("row_idx = header_idx").select("table_id", "header_idx", F.transform("cells", F.lower).alias("header"))
-    both = rows.join(header, "table_id").filter("row_idx >= header_idx")
-    return both.filter((F.col("row_idx") == F.col("header_idx")) | (F.transform("cells", F.lower) != F.col("header"))).drop("header", "header_idx")
+    again = F.transform("cells", F.lower) == F.transform("header", F.lower)
+    kept = with_header(rows).filter((F.col("row_idx") == F.col("header_idx")) | ((F.col("row_idx") > F.col("header_idx")) & ~again))
+    return kept.drop("header", "header_idx")
 
 
 def collapse_lines(rows: DataFrame) -> DataFrame:
     """Rows that hold a description only join the row before, but never the header: (table_id, item_no, description, cells)."""
     w = Window.partitionBy("table_id").orderBy("row_idx")
-    rest_empty = ~F.exists(F.slice("cells", 2, 10_000), lambda x: F.trim(x) != "")
+    rest_empty = ~F.exists(F.slice("cells", F.lit(2), F.size("cells")), lambda x: F.trim(x) != "")
     rows = rows.withColumn("place", F.row_number().over(w))
     new = F.when((F.col("place") > 2) & rest_empty & (F.trim(F.col("cells")[0]) != ""), 0).otherwise(1)
     rows = rows.withColumn("item_no", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -82,21 +87,18 @@ def table_quality(cells: DataFrame) -> DataFrame:
 ROLES = {"quantity": ("qty", "quantity", "soluong"), "price": ("unitprice", "price", "dongia"), "total": ("linetotal", "total", "amount", "thanhtien")}
 
 
-def role_columns(headers: DataFrame) -> DataFrame:
-    """(table_id, quantity, price, total): the first column of each role; a column may have several."""
-    key = header_key(F.col("text"))
-    hit = {role: F.min(F.when(F.greatest(*[key.contains(a) for a in names]), F.col("col_idx"))) for role, names in ROLES.items()}
-    return headers.groupBy("table_id").agg(*[c.alias(role) for role, c in hit.items()])
+def role_column(header: Column, role: str) -> Column:
+    """Place, from 0, of the first header of a role; a header may have several roles; null if none has it."""
+    is_role = lambda x: F.greatest(*[header_key(x).contains(a) for a in ROLES[role]])
+    return F.array_min(F.transform(header, lambda x, k: F.when(is_role(x), k)))
 
 
-def line_arithmetic(cells: DataFrame) -> DataFrame:
-    """Per line of a table whether quantity times price is its total: (table_id, row_idx, quantity, price, total, conflict)."""
-    roles = role_columns(cells.filter("row_idx = 0")).dropna()
-    rows = cells.filter("row_idx > 0").join(roles, "table_id")
-    pick = lambda role: F.max(F.when(F.col("col_idx") == F.col(role), parse_money(F.col("text"))))
-    lines = rows.groupBy("table_id", "row_idx").agg(*[pick(r).alias(f"{r}_value") for r in ROLES]).dropna()
-    wrong = breaks_tolerance(F.col("quantity_value") * F.col("price_value"), F.col("total_value"))
-    return lines.select("table_id", "row_idx", F.col("quantity_value").alias("quantity"), F.col("price_value").alias("price"), F.col("total_value").alias("total"), wrong.alias("conflict"))
+def line_arithmetic(rows: DataFrame) -> DataFrame:
+    """Per line under a table's header whether quantity times price is its total: (table_id, row_idx, quantity, price, total, conflict)."""
+    under = with_header(rows).filter("row_idx > header_idx")
+    roles = under.select("table_id", "row_idx", "cells", *[role_column(F.col("header"), r).alias(r) for r in ROLES]).dropna(subset=list(ROLES))
+    lines = roles.select("table_id", "row_idx", *[parse_money(F.get("cells", F.col(r))).alias(r) for r in ROLES]).dropna(subset=list(ROLES))
+    return lines.withColumn("conflict", breaks_tolerance(F.col("quantity") * F.col("price"), F.col("total")))
 
 
 def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:

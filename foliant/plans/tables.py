@@ -19,13 +19,13 @@ def lines(spark, d):
 
 def rows(spark, d):
     """Rows as arrays: a header, then for each line its cells, and under every third a continuation line; headers come twice."""
-    body = lines(spark, d).select(
-        F.col("l_orderkey").alias("table_id"), (F.col("n") * 10).alias("row_idx"),
-        F.array(F.concat(F.lit(" "), "p_name"), F.col("l_quantity").cast("int").cast("string"), F.format_number("p_retailprice", 2), F.format_number("l_extendedprice", 2)).alias("cells"), "n")
-    more = body.filter("n % 3 = 0").select("table_id", (F.col("row_idx") + 1).alias("row_idx"), F.array(F.lit("with  support")).alias("cells"))
-    heads = body.select("table_id").distinct().select("table_id", F.explode(F.array(F.lit(0), F.lit(15))).alias("row_idx"))
-    heads = heads.select("table_id", "row_idx", F.when(F.col("row_idx") == 0, F.array(*map(F.lit, ("Description", "Qty", "Unit Price", "Line Total")))).otherwise(F.array(*map(F.lit, ("DESCRIPTION", "qty", "Unit price", "Line total")))).alias("cells"))
-    return body.drop("n").unionByName(more).unionByName(heads)
+    row = lambda at, *cells: F.struct(at.alias("row_idx"), F.array(*cells).alias("cells"))
+    at = F.col("n") * 10
+    body = row(at, F.concat(F.lit(" "), "p_name"), F.col("l_quantity").cast("int").cast("string"), F.format_number("p_retailprice", 2), F.format_number("l_extendedprice", 2))
+    more = F.when(F.col("n") % 3 == 0, row(at + 1, F.lit("with  support")))
+    heads = [F.when(F.col("n") == 1, row(F.lit(k), *map(F.lit, names))) for k, names in ((0, ("Description", "Qty", "Unit Price", "Line Total")), (15, ("DESCRIPTION", "qty", "Unit price", "Line total")))]
+    made = F.filter(F.array(body, more, *heads), lambda r: r.isNotNull())
+    return lines(spark, d).select(F.col("l_orderkey").alias("table_id"), F.explode(made).alias("r")).select("table_id", "r.row_idx", "r.cells")
 
 
 def cells(spark, d):
@@ -95,7 +95,7 @@ QUERIES = {
     "width_cosine": width_cosine,
     "header_similarity": header_similarity,
     "table_quality": lambda s, d: T.table_quality(cells(s, d)),
-    "line_item_arithmetic": lambda s, d: T.line_arithmetic(cells(s, d)),
+    "line_item_arithmetic": lambda s, d: T.line_arithmetic(T.drop_repeated_headers(T.pad_rows(rows(s, d)))),
     "table_continuation": continued,
     "sheet_names": sheet_names,
 }
