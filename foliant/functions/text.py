@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def clean(text: Column) -> Column:
     """Runs of white space, the no-break space included, become one blank; ends are trimmed; null becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[^\S ]\s*|\s\s+", " "))
 
 
 def digits(text: Column) -> Column:
@@ -24,19 +26,28 @@ def header_key(text: Column) -> Column:
 VOWELS = "aeiouàáảãạăắằẳẵặâấầẩẫậèéẻẽẹêếềểễệìíỉĩịòóỏõọôốồổỗộơớờởỡợùúủũụưứừửữựỳýỷỹỵ"
 
 
-def is_noise(text: Column, least: int = 6, symbols: float = 0.40, consonants: float = 0.85) -> Column:
-    """Text that is mostly symbols, unpronounceable with few distinct letters, or one character again and again."""
-    value = clean(text)
-    solid = F.length(F.regexp_replace(value, " ", ""))
-    odd = F.length(F.regexp_replace(value, r"[\p{L}\p{N}_\s]", ""))
-    letters = F.lower(F.regexp_replace(value, r"[^\p{L}]", ""))
-    n = F.length(letters)
-    hard = F.length(F.regexp_replace(letters, f"[{VOWELS}]", ""))
-    kinds = F.size(F.array_distinct(F.split(letters, "")))
-    few = kinds <= F.greatest(F.lit(3), F.floor(n / 2))
-    # the dear tests come last and only where the cheap ones leave it open
-    unpronounceable = F.when((n >= least) & (hard / n >= consonants), few).otherwise(False)
-    return F.when(F.length(value) < least, False).when(odd / solid > symbols, True).when(unpronounceable, True).otherwise(value.rlike(r"(?s)^(.)\1*$"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it and wherever the optimizer moves a filter."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def is_noise(text: Column, least: int = 6, symbols: float = 0.40, consonants: float = 0.85, cleaned: bool = False) -> Column:
+    """Text that is mostly symbols, unpronounceable with few distinct letters, or one character again and again. ``cleaned``: the text comes from ``clean``."""
+
+    def of_letters(letters: Column) -> Column:
+        n = F.length(letters)
+        hard = F.length(F.regexp_replace(letters, f"[{VOWELS}]+", ""))
+        kinds = F.size(F.array_distinct(F.split(letters, "")))
+        # the number of kinds is dear and only taken where the share of consonants leaves it open
+        return F.when((n >= least) & (hard / n >= consonants), kinds <= F.greatest(F.lit(3), F.floor(n / 2))).otherwise(False)
+
+    def of_value(value: Column) -> Column:
+        solid = F.length(F.replace(value, F.lit(" "), F.lit("")))
+        odd = F.length(F.regexp_replace(value, r"[\p{L}\p{N}_\s]+", ""))
+        letters = F.lower(F.regexp_replace(value, r"[^\p{L}]+", ""))
+        return F.when(F.length(value) < least, False).when(odd / solid > symbols, True).when(let(letters, of_letters), True).otherwise(value.rlike(r"(?s)^(.)\1*$"))
+
+    return let(text if cleaned else clean(text), of_value)
 
 
 #: Keyword rules that name a sheet; the first rule with two hits wins.

@@ -24,11 +24,11 @@ def pages(spark, d):
 
 
 def noise_lines(spark, d):
-    return lines(spark, d).filter(is_noise(F.col("text"))).select("doc_id", "line_no", "text")
+    return lines(spark, d).filter(is_noise(F.col("text"), cleaned=True)).select("doc_id", "line_no", "text")
 
 
 def kept_lines(spark, d):
-    return lines(spark, d).filter(~is_noise(F.col("text"))).groupBy("doc_id").agg(F.count("*").alias("n_kept"))
+    return lines(spark, d).filter(~is_noise(F.col("text"), cleaned=True)).groupBy("doc_id").agg(F.count("*").alias("n_kept"))
 
 
 def duplicate_docs(spark, d):
@@ -52,7 +52,7 @@ def text_sheet_rows(spark, d):
 
 
 def placeholder_text(spark, d):
-    kept = lines(spark, d).filter(~is_noise(F.col("text")))
+    kept = lines(spark, d).filter(~is_noise(F.col("text"), cleaned=True))
     text = L.page_texts(kept).select("doc_id", "page_number", F.col("text").alias("kept_text"))
     every = pages(spark, d).select("doc_id", "page_number")
     return every.join(text, ["doc_id", "page_number"], "left").select("doc_id", "page_number", F.coalesce("kept_text", F.lit("[no text layer]")).alias("text"))
