@@ -86,8 +86,8 @@ def scores(f: Features, weights: np.ndarray) -> np.ndarray:
     return sums(token, f.starts) / np.sqrt(np.maximum(np.diff(f.starts), 1))
 
 
-def sparse_rows(f: Features) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, values) of each document of the batch, for fitting."""
+def sparse_rows(f: Features, counts: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, values) of each document of the batch, for fitting; ``counts``: not divided by the root of its number of words."""
     rows = []
     for a, b in zip(f.starts[:-1], f.starts[1:]):
         ws = f.index[a:b]
@@ -99,7 +99,7 @@ def sparse_rows(f: Features) -> list[tuple[np.ndarray, np.ndarray]]:
             at.append(f.gram[flatten(ws, f.gram_offset, f.gram_length)])
             value.append(np.repeat(1 / np.maximum(f.gram_length[ws], 1), f.gram_length[ws]))
         place, back = np.unique(np.concatenate(at), return_inverse=True)
-        rows.append((place, np.bincount(back, np.concatenate(value), len(place)) / np.sqrt(max(b - a, 1))))
+        rows.append((place, np.bincount(back, np.concatenate(value), len(place)) / (1 if counts else np.sqrt(max(b - a, 1)))))
     return rows
 
 
@@ -111,6 +111,8 @@ class Model:
     thresholds: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
+    #: Squares of the places' strengths, where rows are weighed by them.
+    squares: np.ndarray | None = None
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each k, one column each."""
@@ -118,7 +120,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def sample_rows(docs: DataFrame, grades: DataFrame, train_rows: int, dims: int, chars: bool) -> list:
+def sample_rows(docs: DataFrame, grades: DataFrame, train_rows: int, dims: int, chars: bool, counts: bool = False) -> list:
     """Feature rows of at most ``train_rows`` graded documents, those with the smallest hash of their id.
 
     ``grades`` has doc_id and grade; of an id with several texts the one with the smallest hash counts. Only these
@@ -130,7 +132,7 @@ def sample_rows(docs: DataFrame, grades: DataFrame, train_rows: int, dims: int,
 
     def vectors(batches):
         for b in slices(batches, "text"):
-            rows = sparse_rows(features(b["text"], dims, chars))
+            rows = sparse_rows(features(b["text"], dims, chars), counts)
             yield result(schema, b["doc_id"], b["grade"], [p.astype("<i4").tobytes() for p, _ in rows], [v.astype("<f4").tobytes() for _, v in rows])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
@@ -139,13 +141,54 @@ def sample_rows(docs: DataFrame, grades: DataFrame, train_rows: int, dims: int,
     return sorted(one.select("doc_id", "grade", "v.place", "v.value").collect(), key=lambda r: (r.doc_id, r.grade))
 
 
+@dataclass
+class Weighed:
+    """A row whose values are weighed by the strengths of their places."""
+
+    grade: int
+    place: bytes
+    value: bytes
+
+
+def fitted(rows: list) -> list:
+    """The rows that ``fit`` learns from; every fourth is left for the calibration."""
+    return [r for i, r in enumerate(rows) if i % 4 != 3]
+
+
+def strengths(rows: list, n_grades: int, dims: int, least: int = 5) -> np.ndarray:
+    """How well each place tells grades apart: the largest absolute log ratio, over all thresholds, of its shares of rows above
+    and below; 0 for places in fewer than ``least`` of the rows that are fitted."""
+    below, above = np.zeros((n_grades - 1, dims)), np.zeros((n_grades - 1, dims))
+    total = np.zeros((2, n_grades - 1))
+    for r in fitted(rows):
+        place = np.frombuffer(r.place, "<i4")
+        below[r.grade :, place] += 1
+        above[: r.grade, place] += 1
+        total[0, r.grade :] += 1
+        total[1, : r.grade] += 1
+    ratio = np.abs(np.log((above + 1) / (total[1, :, None] + 2)) - np.log((below + 1) / (total[0, :, None] + 2))).max(axis=0)
+    return np.where(below[0] + above[0] >= least, ratio, 0).astype(np.float32)
+
+
+def weighed(r, strength: np.ndarray) -> Weighed:
+    """Counts times strengths, over the root of the sum of counts times squared strengths: words that say nothing don't dilute the others."""
+    w, n = strength[np.frombuffer(r.place, "<i4")].astype(np.float64), np.frombuffer(r.value, "<f4")
+    return Weighed(r.grade, r.place, (n * w / np.sqrt(max((n * w * w).sum(), 1e-9))).astype("<f4").tobytes())
+
+
+def weighed_scores(f: Features, model: Model) -> np.ndarray:
+    """Scores of whole documents for a model of weighed rows, whose weights hold the strengths."""
+    n = np.maximum(np.diff(f.starts), 1)
+    return scores(f, model.weights) * n**0.25 / np.sqrt(np.maximum(scores(f, model.squares), 1e-9))
+
+
 def fit(rows: list, n_grades: int, dims: int, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-5) -> Model:
     """Maximum likelihood by Adam steps over all rows; thresholds stay in order as a start plus positive gaps.
 
     With no rows, or one grade only, all weights are 0 and every tail is 1.
     """
     held = [r for i, r in enumerate(rows) if i % 4 == 3]
-    used = [r for i, r in enumerate(rows) if i % 4 != 3]
+    used = fitted(rows)
     grade = np.array([r.grade for r in used], dtype=np.int64)
     if len(set(grade.tolist())) < 2:
         return Model(np.zeros(dims, np.float32), np.full(n_grades - 1, -50.0))

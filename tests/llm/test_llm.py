@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foliant.llm import exact_dedup, lm_scoring, minhash, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_files, tokens, window_dedup
+from foliant.llm import exact_dedup, lm_scoring, minhash, mixing, packing, quality_classifier, quality_rules, suffix_dedup, textmodel, token_files, tokens, window_dedup
 from foliant.llm.common import shared_dir
 
 SCHEMA = "doc_id long, text string, source string, __row string"
@@ -320,3 +320,26 @@ def test_lm_scoring_counts_every_pair_and_word(spark):
     got = lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in range(0, 1500, 3) if k not in (3, 7)] + [(None,)], "doc_id long"), 1 << 20)
     have = collections.Counter((g.doc_id, g.n_tokens, *([round(g.loss_target, 7), round(g.loss_background, 7)] if g.n_tokens else (None, None))) for g in got.collect())
     assert len(want) == len(have) and all(abs(x[2] - y[2]) < 1e-6 for x, y in zip(sorted(k for k in want if k[1] > 2), sorted(k for k in have if k[1] > 2)))
+
+
+def test_classifiers_on_ratings_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    fit, held = labels.filter(half == 0), labels.filter(half == 1)
+    model = quality_classifier.fit_grades(docs, quality_classifier.grades_of(fit))
+    rows = quality_classifier.score_grades(docs.join(held.select("doc_id"), "doc_id", "left_semi"), model).join(quality_classifier.grades_of(held), "doc_id").groupBy("grade").agg(F.avg(F.col("selected").cast("int")).alias("share"), F.avg("expected_grade").alias("expected"))
+    share, expected = ({r.grade: r[c] for r in rows.collect()} for c in ("share", "expected"))
+    assert share[2] > 0.98 and share[1] < 0.5 and share[0] < 0.2 and expected[0] < expected[1] < expected[2]
+
+
+def test_strengths_tell_grades_apart():
+    row = lambda grade, *places: textmodel.Weighed(grade, np.array(places, "<i4").tobytes(), np.ones(len(places), "<f4").tobytes())
+    rows = [row(k % 2, 0, 1 + k % 2) for k in range(40)] + [row(1, 3)]
+    got = textmodel.strengths(rows, 2, 4)
+    used = textmodel.fitted(rows)
+    for place in range(3):
+        n = [sum(r.grade == g and place in np.frombuffer(r.place, "<i4") for r in used) for g in (0, 1)]
+        all_ = [sum(r.grade == g for r in used) for g in (0, 1)]
+        assert got[place] == pytest.approx(abs(np.log((n[1] + 1) / (all_[1] + 2)) - np.log((n[0] + 1) / (all_[0] + 2))), rel=1e-5)
+    assert got[3] == 0 and got[1] > 1 < got[2]
+    assert not textmodel.strengths([], 3, 4).any()
