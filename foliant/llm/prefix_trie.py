@@ -89,14 +89,14 @@ def numbered(ids: bytes) -> np.ndarray:
 class Shard:
     """The nodes of a range of conversations. ``ids`` and ``sizes`` have the turns of one row after the other's."""
 
-    def __init__(self, conv_id: np.ndarray, length: np.ndarray, ids: bytes, sizes: np.ndarray):
+    def __init__(self, conv_id: np.ndarray, length: np.ndarray, ids: bytes, sizes: np.ndarray, columns: int = BAND):
         begin, rank = np.cumsum(length) - length, numbered(ids)
         n, deepest = len(conv_id), int(length.max(initial=0))
         order, group, self.starts = np.lexsort((conv_id, length > 0)), np.zeros(n, np.int64), []
         alive = np.arange(n)
-        for band in range(0, deepest, BAND):
+        for band in range(0, deepest, columns):
             # positions (in the order so far) of the rows that go on, and the opening that each has
-            width = min(BAND, deepest - band)
+            width = min(columns, deepest - band)
             at, rows = alive, order[alive]
             column = band + np.arange(width)
             inside = column < length[rows][:, None]
@@ -177,7 +177,7 @@ class Shard:
         return out
 
 
-def shard_nodes(rows: DataFrame, shards: int) -> DataFrame:
+def shard_nodes(rows: DataFrame, shards: int, band: int = BAND) -> DataFrame:
     """The rows of all shards (see SCHEMA). ``rows``: a stored table of conv_id, ids, sizes."""
 
     def build(batches):
@@ -188,14 +188,14 @@ def shard_nodes(rows: DataFrame, shards: int) -> DataFrame:
             ids += b["ids"].to_pylist()
             sizes.append(b["sizes"].flatten().to_numpy())
         if conv and sum(map(len, conv)):
-            shard = Shard(np.concatenate(conv), np.concatenate(length).astype(np.int64), b"".join(ids), np.concatenate(sizes))
+            shard = Shard(np.concatenate(conv), np.concatenate(length).astype(np.int64), b"".join(ids), np.concatenate(sizes), band)
             for t in shard.tables(TaskContext.get().partitionId()):
                 yield from t.to_batches(max_chunksize=1 << 16)
 
     return rows.repartitionByRange(shards, "ids", "conv_id").mapInArrow(build, SQL_SCHEMA)
 
 
-def recombined(rows: pa.Table) -> pa.Table:
+def recombined(rows: pa.Table, fan_in: int) -> pa.Table:
     """Open nodes of neighbouring shards: equal ones become one; those off the edges of the range are closed and added to the node above."""
     rows = rows.to_pylist()
     low, high, nodes = min(r["shard"] for r in rows), max(r["shard"] for r in rows), {}
@@ -207,7 +207,7 @@ def recombined(rows: pa.Table) -> pa.Table:
         for c in ("n_convs", "n_children", "n_leaves", "saved_tokens"):
             n[c] += r[c]
     for n in sorted(nodes.values(), key=lambda n: -n["depth"]):
-        n["shard"] = low // FAN_IN
+        n["shard"] = low // fan_in
         if not (n["first"] or n["last"]):
             close(n, nodes)
     return pa.Table.from_pylist(list(nodes.values()), schema=SCHEMA)
@@ -229,18 +229,18 @@ def closed(rows: pa.Table) -> pa.Table:
     """The last open nodes: those on the edges of all there is."""
     if not rows.num_rows:
         return rows
-    nodes = {n["path"]: n for n in recombined(rows).to_pylist()}
+    nodes = {n["path"]: n for n in recombined(rows, 1).to_pylist()}
     for n in sorted(nodes.values(), key=lambda n: -n["depth"]):
         if n["kind"] == OPEN:
             close(n, nodes)
     return pa.Table.from_pylist(list(nodes.values()), schema=SCHEMA)
 
 
-def whole_from_open(opened: DataFrame) -> DataFrame:
+def whole_from_open(opened: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """The nodes that shards share, each once, from the open nodes of shards."""
     found, now = [], opened.select(*SCHEMA.names)
-    while (now.agg(F.max("shard")).head()[0] or 0) >= FAN_IN:
-        level = stored(now.groupBy(F.floor(F.col("shard") / FAN_IN).alias("__range")).applyInArrow(recombined, SQL_SCHEMA))
+    while (now.agg(F.max("shard")).head()[0] or 0) >= fan_in:
+        level = stored(now.groupBy(F.floor(F.col("shard") / fan_in).alias("__range")).applyInArrow(lambda rows: recombined(rows, fan_in), SQL_SCHEMA))
         found.append(level.filter(F.col("kind") == WHOLE))
         now = level.filter(F.col("kind") == OPEN)
     out = now.groupBy(F.lit(0).alias("__range")).applyInArrow(closed, SQL_SCHEMA)
@@ -269,13 +269,13 @@ def hashes_of_ends(pieces: DataFrame) -> DataFrame:
     return pieces.repartition("path").sortWithinPartitions("path", "shard", "size").select("path", "ends").mapInArrow(stream, "path binary, sha string")
 
 
-def prefix_trie(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def prefix_trie(rows: DataFrame, shard_bytes: int = SHARD_BYTES, band: int = BAND, fan_in: int = FAN_IN) -> DataFrame:
     """A row for each distinct opening of the conversations (conv_id, ids, sizes), the empty one included; columns as in the module's query."""
     rows = stored(rows)
     shards = (rows.agg(F.sum(F.octet_length("ids") + 16)).head()[0] or 0) // shard_bytes + 1
-    made = stored(shard_nodes(rows, shards))
+    made = stored(shard_nodes(rows, shards, band))
     kind = F.col("kind")
-    shared = stored(whole_from_open(made.filter(kind == OPEN)).select("depth", "path", "above", "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"))
+    shared = stored(whole_from_open(made.filter(kind == OPEN), fan_in).select("depth", "path", "above", "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"))
     facts, numbers = ["depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"], F.lit(NOTHING)
     parents = shared.select(F.col("path").alias("__path"), F.col("conv_id").alias("__conv"))
     ends = hashes_of_ends(made.filter(kind == ENDS)).select(F.col("path").alias("__end"), "sha")
@@ -290,5 +290,6 @@ def prefix_trie(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     return own.unionByName(inner.withColumnRenamed("ends", "ends_sha256").select("conv_id", *facts, "ends_sha256"))
 
 
-def conversation_trie(conversations: DataFrame, family: int = 5, most: int = 9, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    return prefix_trie(rebuilt(conversations, family, most), shard_bytes)
+def conversation_trie(conversations: DataFrame, family: int = 5, most: int = 9, **sizes: int) -> DataFrame:
+    """The trie of the rebuilt conversations; ``sizes``: those of prefix_trie."""
+    return prefix_trie(rebuilt(conversations, family, most), **sizes)
