@@ -116,9 +116,12 @@ class Text:
 
     def words(self) -> pa.DictionaryArray:
         """All words as text."""
-        n = self.end - self.begin
-        flat = self.raw[flatten(np.arange(len(n)), self.begin, n)]
+        n, flat = self.end - self.begin, []
+        for k in range(0, len(n), CHUNK):
+            own = slice(k, k + CHUNK)
+            flat.append(self.raw[flatten(np.arange(len(n[own])), self.begin[own], n[own])])
         offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int64)
+        flat = np.concatenate(flat) if flat else self.raw[:0]
         return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(flat)).dictionary_encode()
 
 

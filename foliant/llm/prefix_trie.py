@@ -101,7 +101,7 @@ class Shard:
             column = band + np.arange(width)
             inside = column < length[rows][:, None]
             matrix = np.where(inside, rank[np.minimum(begin[rows][:, None] + column, len(rank) - 1)], -1)
-            sort = np.lexsort((conv_id[rows], *matrix.T[::-1], group))
+            sort = np.lexsort((conv_id[rows], length[rows] > band + width, *matrix.T[::-1], group))  # those that end with the band stand first
             order[at], matrix, inside = rows[sort], matrix[sort], inside[sort]
             change = np.ones(matrix.shape, bool)
             change[1:] = matrix[1:] != matrix[:-1]

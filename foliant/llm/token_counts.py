@@ -102,8 +102,8 @@ def frequent_pieces(docs: DataFrame, room: int = COUNTERS) -> Frequent:
             found.add(keys.take(pa.array(used)), n[used])
         yield found.row(TaskContext.get().partitionId())
 
-    def add_up(key, rows: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([merged(rows, room).row(key[0].as_py())])
+    def add_up(rows: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([merged(rows, room).row(rows["task"][0].as_py())])
 
     rows = stored(docs.select("text").mapInArrow(count, SUMMARY))
     while rows.count() > FAN_IN:
