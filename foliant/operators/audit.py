@@ -66,16 +66,16 @@ def merged_settings(*layers: Column) -> Column:
     return reduce(over, layers)
 
 
-def audit_rows(**kinds: DataFrame) -> DataFrame:
+def audit_rows(order: list[str] | None = None, **kinds: DataFrame) -> DataFrame:
     """The union of documents, facts, edges, blocks and cells as audit rows; evidence as JSON.
 
-    Each has doc_id, page_number, object_id, raw_value, confidence, engine and evidence (a struct).
+    Each has doc_id, page_number, object_id, raw_value, confidence, engine, evidence (a struct), and the columns of ``order`` if they are wanted.
     """
     out = None
     for kind, d in kinds.items():
-        rows = d.select("doc_id", F.lit(kind).alias("kind"), F.col("page_number").cast("int").alias("page_number"), F.col("object_id").cast("string").alias("object_id"), "raw_value", F.round("confidence", 4).alias("confidence"), "engine", F.to_json("evidence").alias("evidence"))
+        rows = d.select("doc_id", F.lit(kind).alias("kind"), F.col("page_number").cast("int").alias("page_number"), F.col("object_id").cast("string").alias("object_id"), "raw_value", F.round("confidence", 4).alias("confidence"), "engine", F.to_json("evidence").alias("evidence"), *(order or []))
         out = rows if out is None else out.unionByName(rows)
-    return out.select(*AUDIT)
+    return out.select(*AUDIT, *(order or []))
 
 
 def entity_reviews(entities: DataFrame, below: float = 0.70) -> DataFrame:

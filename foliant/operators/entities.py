@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import digits
+from foliant.functions.text import digits, let
 from foliant.functions.values import parse_date, parse_money, parse_percent
 
 #: Patterns matched as often as they occur, in this order, with the group that is the value.
@@ -30,37 +30,99 @@ LABELLED = (
 MONEY_TYPES, RATE_TYPES, DATE_TYPES = ("MONEY", "Subtotal", "Grand_Total"), ("PERCENT", "VAT_Rate"), ("DATE", "Date")
 
 
+#: What a text must hold for a pattern to have a chance: a mark, or one of some parts of words in lower case; cheaper than the pattern itself.
+NEEDS = {
+    "EMAIL": "@", "URL": "://", "PERCENT": "%", "VAT_Rate": "%", "INVOICE_NUMBER": ("nv", "ho"), "Invoice_Number": ("nv", "ho"), "PHONE": r"[0-9]", "DATE": r"[0-9]", "Date": r"[0-9]", "Tax_Code": r"[0-9]",
+    "MONEY": r"(?U)\d", "Subtotal": ("total", "nh"), "Grand_Total": ("total", "ng"),
+}
+#: Stricter patterns, with the group that is the value: numbers of invoices hold a digit, a total is no subtotal, currency marks may stand first and end an amount.
+STRICT = {
+    "INVOICE_NUMBER": (r"(?iu)\b(?:invoice|inv|hoá đơn|hoa don)\b\s*(?:no\b|number\b)?[\s.:#]*((?=[A-Z/-]*\d)[A-Z0-9][A-Z0-9/-]{2,})", 1),
+    "Invoice_Number": (r"(?iu)\b(?:invoice\b\s*(?:no\b|number\b|#)?|inv\b\.?|ho[aó]\s*đơn\s*(?:số|so)?)\s*[.:#-]?\s*((?=[A-Z./-]*\d)[A-Z0-9][A-Z0-9./-]{2,})", 1),
+    "Grand_Total": (r"(?iu)(?<!sub)(?<!sub-)(?:grand\s*total|total\s*due|total|tổng\s*cộng|tong\s*cong|tổng\s*tiền|tong\s*tien)\s*[:#-]?\s*([^\n|]+)", 1),
+    "MONEY": (r"(?U)(?<!\w)(?:[₫$€£]\s?(?:\d{1,3}(?:[.,]\d{3})+|\d+)(?:[.,]\d{1,2})?|(?:\d{1,3}(?:[.,]\d{3})+|\d+)(?:[.,]\d{1,2})?\s?(?:(?:VND|VNĐ|VNn|VNN|USD|EUR|GBP)\b|[₫$€£]))", 0),
+}
+FOUND = "array<struct<entity_type:string,pattern_idx:int,match_idx:int,raw_value:string>>"
+
+
+def _chance(kind: str, text: Column, low: Column) -> Column:
+    need = NEEDS[kind]
+    if isinstance(need, tuple):
+        return F.greatest(*[low.contains(part) for part in need])
+    return text.contains(need) if need in ("@", "://", "%") else text.rlike(need)
+
+
+def _value(kind: str, value: Column) -> Column:
+    value = F.btrim(value, F.lit(" :;,.\t"))
+    return digits(value) if kind == "Tax_Code" else value
+
+
 def matches(text: Column, kinds: tuple[str, ...] | None = None) -> Column:
     """All matches of all patterns (or of those of some ``kinds``) as one array, so that a text is read once and exploded once."""
-    wanted = lambda kind: kinds is None or kind in kinds
 
-    def found(kind: str, number: int, values: Column) -> Column:
-        return F.transform(values, lambda v, k: F.struct(F.lit(kind).alias("entity_type"), F.lit(number).alias("pattern_idx"), k.alias("match_idx"), v.alias("raw_value")))
+    def found(kind: str, number: int, values: Column, text: Column, low: Column) -> Column:
+        rows = F.transform(values, lambda v, k: F.struct(F.lit(kind).alias("entity_type"), F.lit(number).alias("pattern_idx"), k.alias("match_idx"), v.alias("raw_value")))
+        return F.when(_chance(kind, text, low), rows).otherwise(F.array().cast(FOUND))
+
+    def of(text: Column, low: Column) -> Column:
+        every = [found(kind, k, F.regexp_extract_all(text, F.lit(p), F.lit(g)), text, low) for k, (kind, p, g) in enumerate(PATTERNS) if kinds is None or kind in kinds]
+        for k, (kind, p) in enumerate(LABELLED, len(PATTERNS)):
+            if kinds is None or kind in kinds:
+                every.append(found(kind, k, F.when(text.rlike(p), F.array(_value(kind, F.regexp_extract(text, p, 1)))).otherwise(F.array().cast("array<string>")), text, low))
+        return F.concat(*every)
+
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), lambda both: of(both["text"], both["low"]))
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """(start, size) of all matches of a pattern without empty matches, from what it splits the text into."""
+    between, held = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int>>").alias("out"))
+
+    def step(s: Column, pair: Column) -> Column:
+        begin, size = s["at"] + F.length(pair["between"]), F.coalesce(F.length(pair["held"]), F.lit(0))
+        return F.struct((begin + size).alias("at"), F.when(pair["held"].isNotNull(), F.concat(s["out"], F.array(F.struct(begin.alias("start"), size.alias("size"))))).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(F.arrays_zip(between.alias("between"), held.alias("held")), start, step)["out"]
+
+
+def strict_matches(text: Column) -> Column:
+    """Matches of the stricter patterns of which none overlaps another: from the left, the longest at a place, on a tie the labelled one."""
+    every = []
+    for k, (kind, p, g) in enumerate([*PATTERNS, *[(kind, p, 1) for kind, p in LABELLED]]):
+        p, g = STRICT.get(kind, (p, g))
+        values = F.arrays_zip(spans(text, p).alias("span"), F.regexp_extract_all(text, F.lit(p), F.lit(g)).alias("value"))
+        label = k >= len(PATTERNS)
+        rows = F.transform(values, lambda v, n, kind=kind, k=k, label=label: F.struct(
+            v["span"]["start"].alias("start"), (-v["span"]["size"]).alias("less"), F.lit(0 if label else 1).alias("plain"), F.lit(k).alias("pattern_idx"), n.alias("match_idx"),
+            F.lit(kind).alias("entity_type"), (_value(kind, v["value"]) if label else v["value"]).alias("raw_value")))
+        every.append(F.when(text.rlike(p), rows).otherwise(F.slice(rows, 1, 0)))
+    taken = F.struct(F.lit(0).alias("end"), F.array().cast(FOUND).alias("out"))
+
+    def take(s: Column, m: Column) -> Column:
+        own = F.struct(*[m[c].alias(c) for c in ("entity_type", "pattern_idx", "match_idx", "raw_value")])
+        free = m["start"] >= s["end"]
+        return F.struct(F.when(free, m["start"] - m["less"]).otherwise(s["end"]).alias("end"), F.when(free, F.concat(s["out"], F.array(own))).otherwise(s["out"]).alias("out"))
 
-    many = [found(kind, k, F.regexp_extract_all(text, F.lit(p), F.lit(g))) for k, (kind, p, g) in enumerate(PATTERNS) if wanted(kind)]
-    ones = []
-    for k, (kind, p) in enumerate(LABELLED, len(PATTERNS)):
-        if not wanted(kind):
-            continue
-        value = F.btrim(F.regexp_extract(text, p, 1), F.lit(" :;,.\t"))
-        value = digits(value) if kind == "Tax_Code" else value
-        ones.append(found(kind, k, F.when(text.rlike(p), F.array(value)).otherwise(F.array().cast("array<string>"))))
-    return F.concat(*many, *ones)
+    return F.aggregate(F.array_sort(F.concat(*every)), taken, take)["out"]
 
 
-def entities(lines: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+def entities(lines: DataFrame, kinds: tuple[str, ...] | None = None, carry: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
     """One row per entity with its normalised value as number, date or text; of repeats on a page the first stays.
 
-    ``lines``: doc_id, line_no, page_number, text.
+    ``lines``: doc_id, line_no, page_number, text, and the columns to ``carry`` along. ``strict``: stricter patterns without overlaps.
     """
-    rows = lines.select("doc_id", "page_number", "line_no", F.explode(matches(F.col("text"), kinds)).alias("e")).select("doc_id", "page_number", "line_no", "e.*")
-    w = Window.partitionBy("doc_id", "page_number", "entity_type", "raw_value").orderBy("line_no", "pattern_idx", "match_idx")
-    rows = rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    found = strict_matches(F.col("text")) if strict else matches(F.col("text"), kinds)
+    rows = lines.select("doc_id", "page_number", "line_no", *carry, F.explode(found).alias("e")).select("doc_id", "page_number", "line_no", *carry, "e.*")
+    if strict and kinds is not None:
+        rows = rows.filter(F.col("entity_type").isin(*kinds))
+    first = F.min_by(F.struct("line_no", "pattern_idx", "match_idx", *carry), F.struct("line_no", "pattern_idx", "match_idx"))
+    rows = rows.groupBy("doc_id", "page_number", "entity_type", "raw_value").agg(first.alias("first")).select("doc_id", "page_number", "entity_type", "raw_value", "first.*")
     kind, raw = F.col("entity_type"), F.col("raw_value")
     number = F.when(kind.isin(*MONEY_TYPES), parse_money(raw)).when(kind.isin(*RATE_TYPES), parse_percent(raw))
     day = F.when(kind.isin(*DATE_TYPES), parse_date(raw))
     text = F.when(kind.isin(*MONEY_TYPES), None).when(kind.isin(*RATE_TYPES) & number.isNotNull(), None).when(day.isNotNull(), F.date_format(day, "yyyy-MM-dd")).otherwise(F.trim(raw))
-    return rows.withColumn("number", number).withColumn("normal_text", text)
+    return rows.withColumn("number", number).withColumn("normal_text", text).withColumn("labelled", F.col("pattern_idx") >= len(PATTERNS))
 
 
 def facts(found: DataFrame) -> DataFrame:

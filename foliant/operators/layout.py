@@ -86,15 +86,22 @@ def cluster_lines(top: np.ndarray, bottom: np.ndarray, x0: np.ndarray, tolerance
 
 
 def visual_lines(fragments: DataFrame, tolerance: float | None = None) -> DataFrame:
-    """(doc_id, page_number, line_no, text): fragments of a page in lines whose centres move with what joins them; one group is a page."""
+    """(doc_id, page_number, line_no, text): fragments of a page in lines whose centres move with what joins them; one group is a page.
+
+    Fragments on one place are taken by their lower edge, then by their text; a null text is empty, a null place is 0.
+    """
 
     def run(page: pa.Table) -> pa.Table:
+        page = page.sort_by([(c, "ascending") for c in ("top", "x0", "bottom", "text")])  # fragments on one place have an order of their own
         top, bottom, x0 = (page[c].to_numpy() for c in ("top", "bottom", "x0"))
         line = cluster_lines(top, bottom, x0, tolerance)
-        text, order = page["text"].to_pylist(), np.lexsort((x0, line))
-        rows = {k: " ".join(text[i] for i in order if line[i] == k) for k in range(int(line.max()) + 1)}
+        order = np.lexsort((np.arange(len(x0)), x0, line))
+        ends = np.flatnonzero(np.diff(line[order], append=-1)) + 1
+        text, begin = page["text"].take(pa.array(order)).to_pylist(), np.concatenate(([0], ends[:-1]))
+        rows = [" ".join(text[a:z]) for a, z in zip(begin.tolist(), ends.tolist())]
         n = len(rows)
-        return pa.table({"doc_id": [page["doc_id"][0].as_py()] * n, "page_number": pa.array([page["page_number"][0].as_py()] * n, pa.int32()), "line_no": pa.array([k + 1 for k in rows], pa.int32()), "text": list(rows.values())})
+        return pa.table({"doc_id": [page["doc_id"][0].as_py()] * n, "page_number": pa.array([page["page_number"][0].as_py()] * n, pa.int32()), "line_no": pa.array(range(1, n + 1), pa.int32()), "text": pa.array(rows, pa.string())})
 
-    rows = fragments.select("doc_id", F.col("page_number").cast("int").alias("page_number"), "text", F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"), F.col("x0").cast("double").alias("x0"))
+    place = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    rows = fragments.select("doc_id", F.col("page_number").cast("int").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"), place("top"), place("bottom"), place("x0"))
     return rows.groupBy("doc_id", "page_number").applyInArrow(run, "doc_id long, page_number int, line_no int, text string")

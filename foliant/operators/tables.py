@@ -101,34 +101,46 @@ def line_arithmetic(rows: DataFrame) -> DataFrame:
     return lines.withColumn("conflict", breaks_tolerance(F.col("quantity") * F.col("price"), F.col("total")))
 
 
-def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:
-    def one(a, b):
-        if a is None or b is None or not len(a) or len(a) != len(b):
-            return 0.0
-        return sum(SequenceMatcher(None, x, y).ratio() if x and y else float(x == y) for x, y in zip(a, b)) / len(a)
+def ratio_of(left: list[str], right: list[str]) -> float:
+    """Mean Ratcliff-Obershelp ratio of two lists of header keys; 0 for lists of different length, or without headers."""
+    if not len(left) or len(left) != len(right):
+        return 0.0
+    return sum(SequenceMatcher(None, x, y).ratio() if x and y else float(x == y) for x, y in zip(left, right)) / len(left)
+
+
+def likeness(left: list[str], right: list[str], left_widths: list[float], right_widths: list[float], tolerance: float = 0.20) -> float:
+    """How alike two tables are: headers count .7 and column widths .3; widths may differ twice as much under nearly equal headers."""
+    ratio = ratio_of(left, right)
+    if not len(left_widths) or len(left_widths) != len(right_widths):
+        return 0.75 * ratio
+    gap = sum(abs(a - b) for a, b in zip(left_widths, right_widths)) / len(left_widths)
+    return round(0.7 * ratio + 0.3 * max(0.0, 1 - gap / (tolerance if ratio > 0.85 else tolerance / 2)), 4) if len(left) == len(right) and len(left) else 0.0
 
-    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
+
+def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([0.0 if a is None or b is None else ratio_of(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
 def header_ratio(left: Column | str, right: Column | str) -> Column:
-    """Mean Ratcliff-Obershelp ratio of two lists of header keys; 0 for lists of different length."""
+    """``ratio_of`` two lists of header keys; 0 for null."""
     return F.pandas_udf(_ratios, DoubleType())(left, right)
 
 
+def table_similarity(left: Column | str, right: Column | str, left_widths: Column | str, right_widths: Column | str) -> Column:
+    """``likeness`` of two tables; 0 for null."""
+
+    def score(a: pd.Series, b: pd.Series, v: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if any(x is None for x in four) else likeness(*four) for four in zip(a, b, v, w)], dtype="float64")
+
+    return F.pandas_udf(score, DoubleType())(left, right, left_widths, right_widths)
+
+
 def cosine(left: Column, right: Column) -> Column:
     """Dot product of two unit vectors; 0 if their lengths differ."""
     dot = F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return F.when((F.size(left) == F.size(right)) & (F.size(left) > 0), dot).otherwise(0.0)
 
 
-def table_similarity(ratio: Column, left: Column, right: Column, tolerance: float = 0.20) -> Column:
-    """Headers count .7 and column widths .3; widths may differ twice as much under nearly equal headers."""
-    gap = F.aggregate(F.zip_with(left, right, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / F.size(left)
-    limit = F.when(ratio > 0.85, tolerance).otherwise(tolerance / 2)
-    score = F.round(0.7 * ratio + 0.3 * F.greatest(F.lit(0.0), 1 - gap / limit), 4)
-    return F.when((F.size(left) != F.size(right)) | (F.size(left) == 0), 0.75 * ratio).otherwise(score)
-
-
 def continued_on_next_page(tables: DataFrame) -> DataFrame:
     """Tables with equal headers on consecutive pages as one: (doc_id, first_page, last_page, n_parts, n_rows).
 

@@ -55,15 +55,6 @@ def golden_scores(spark, d):
     return both.groupBy("source").agg(F.round(F.sum(right) / F.greatest(F.count("*"), F.lit(1)), 6).alias("accuracy"), (F.avg(right) >= 0.9).alias("passed"))
 
 
-def review_tasks(spark, d):
-    """Fields below .70 confidence, with high priority for amounts, and how many a reviewer has left."""
-    rows = table(spark, d, "events").withColumn("score", F.col("value") / 100).filter("score < 0.70")
-    kind = F.when(F.col("event_id") % 4 == 0, "MONEY").otherwise("EMAIL")
-    tasks = rows.select("user_id", "event_id", F.when(kind == "MONEY", "high").otherwise("normal").alias("priority"))
-    done = table(spark, d, "events").filter("event_type = 'purchase'").select("event_id", F.lit(1).alias("verified"))
-    return tasks.join(done, "event_id", "left").groupBy("user_id", "priority").agg(F.count("*").alias("n_tasks"), (F.count("*") - F.count("verified")).alias("remaining"))
-
-
 QUERIES = {
     "jobs_latest": jobs,
     "jobs_recovered": lambda s, d: J.recover(jobs(s, d)),
@@ -74,7 +65,6 @@ QUERIES = {
     "recent_history": recent_history,
     "job_artifact_chain": artifact_chain,
     "golden_scores": golden_scores,
-    "review_tasks": review_tasks,
 }
 
 LOG = """WITH log AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'QUEUED' WHEN 'view' THEN 'PROCESSING' WHEN 'purchase' THEN 'SUCCESS' ELSE 'FAILED' END AS status,
@@ -93,6 +83,4 @@ SQL = {
     "job_artifact_chain": "SELECT c_custkey, count(DISTINCT o_orderkey) AS n_jobs, count(*) AS n_artifacts FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY c_custkey",
     "golden_scores": """SELECT source, round(sum(CASE WHEN quality = CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END THEN 1 ELSE 0 END) / count(*), 6) AS accuracy,
       avg(CASE WHEN quality = CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END THEN 1 ELSE 0 END) >= 0.9 AS passed FROM labels JOIN documents USING (doc_id) GROUP BY source""",
-    "review_tasks": """WITH t AS (SELECT user_id, event_type, CASE WHEN event_id % 4 = 0 THEN 'high' ELSE 'normal' END AS priority FROM events WHERE value / 100 < 0.70)
-      SELECT user_id, priority, count(*) AS n_tasks, count(*) - count_if(event_type = 'purchase') AS remaining FROM t GROUP BY ALL""",
 }

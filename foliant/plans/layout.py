@@ -120,7 +120,7 @@ def overview(spark, d):
     """Label rows of a document and the list of its merged tables: pages, rows without the header, columns."""
     t = folds.merge_continuations(order_tables(spark, d))
     width = F.array_max(F.transform("rows", lambda r: F.size(r)))
-    return t.select("doc_id", F.array_join(F.transform(F.sequence("first_page", "last_page"), lambda p: p.cast("string")), ", ").alias("source_pages"), (F.size("rows") - 1).alias("n_rows"), width.alias("n_columns"))
+    return t.select("doc_id", F.array_join(F.col("source_pages").cast("array<string>"), ", ").alias("source_pages"), (F.size("rows") - 1).alias("n_rows"), width.alias("n_columns"))
 
 
 def job_settings(spark, d):
@@ -145,7 +145,7 @@ QUERIES = {
     "visual_lines": lambda s, d: LY.visual_lines(words(s, d)),
     "merged_cells": merged_cells,
     "continuation_merge": continuations,
-    "table_routes": lambda s, d: folds.route_tables(order_tables(s, d)),
+    "table_routes": lambda s, d: folds.route_tables(order_tables(s, d)).select("doc_id", "page", "place_in_document", "route"),
     "table_structures": structures,
     "golden_cases": golden,
     "golden_dataset": lambda s, d: EV.dataset_score(golden(s, d).withColumn("part", F.col("case_id") % 10), ["part"]),
@@ -187,7 +187,7 @@ SQL = {
       SELECT doc_id, round(0.55 * (doc_id % 101) / 100 + 0.25 * coalesce(s / nullif(n, 0), 0) + 0.20 * least(1.0, s / 30), 6) AS quality FROM t""",
     "median_height": WORDS + "SELECT doc_id, list_sort(list(top))[len(list(top)) // 2 + 1] AS median_height FROM w0 GROUP BY doc_id",
     "table_structures": """WITH o AS (SELECT CASE WHEN o_orderkey % 3 = 1 THEN 'Item|Qty|Amount' ELSE 'Item|Units|' || o_orderpriority END AS h FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem))
-      SELECT '3:' || h AS structure, lower(h) AS signature, count(*) AS n_tables FROM o GROUP BY h""",
+      SELECT '3:' || lower(h) AS structure, lower(h) AS signature, count(*) AS n_tables FROM o GROUP BY h""",
     "golden_cases": GOLDEN + "SELECT * FROM g",
     "golden_dataset": GOLDEN + "SELECT case_id % 10 AS part, count(*) AS n_cases, round(sum(structural_accuracy) / count(*), 4) AS average, sum(structural_accuracy) / count(*) >= 0.9 AS passed FROM g GROUP BY case_id % 10",
     "evidence_coverage": OBJECTS + """, a AS (SELECT doc_id, line_no % 9 <> 0 AS ok FROM lines UNION ALL SELECT doc_id, n_lines > 2 FROM pn), k AS (SELECT doc_id, count_if(ok) AS covered, count(*) AS total FROM a GROUP BY doc_id)

@@ -1,9 +1,12 @@
 """Order-dependent operators on known cases."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from foliant.operators import audit, evaluation, folds, layout
+from foliant.operators import audit, evaluation, folds, layout, tables
+from foliant.plans import layout as layout_plans
 
 
 def test_merged_cells():
@@ -11,25 +14,93 @@ def test_merged_cells():
     assert folds.spans_of([]) == [] and folds.spans_of([["", ""], ["", "x"]]) == []
 
 
-def test_continuations():
+TABLES = "doc_id long, page int, place int, rows array<array<string>>"
+
+
+def merged(spark, *tables):
+    got = folds.merge_continuations(spark.createDataFrame([(1, page, 1, rows) for page, rows in tables], TABLES)).orderBy("whole").collect()
+    return [(g.first_page, g.last_page, [list(r) for r in g.rows]) for g in got]
+
+
+def test_continuations(spark):
     head, other = [["Item", "Amount"], ["A", "10"]], [["Item", "Total"], ["B", "20"]]
-    assert folds.continued([(1, head), (2, [["B", "20"]])]) == [(1, 2, head + [["B", "20"]])]
-    assert folds.continued([(1, head), (2, [[" item ", "AMOUNT"], ["B", "20"]])]) == [(1, 2, head + [["B", "20"]])]
-    assert len(folds.continued([(1, head), (3, other)])) == 2
-    assert len(folds.continued([(1, head), (2, [["one"], ["two"]])])) == 2 and folds.continued([]) == []
+    assert merged(spark, (1, head), (2, [["B", "20"]])) == [(1, 2, head + [["B", "20"]])]
+    assert merged(spark, (1, head), (2, [[" item ", "AMOUNT"], ["B", "20"]])) == [(1, 2, head + [["B", "20"]])]
+    assert len(merged(spark, (1, head), (3, other))) == 2
+    assert len(merged(spark, (1, head), (2, [["one"], ["two"]]))) == 2
+    assert merged(spark, (1, head), (2, [["item", "amount"], ["B", "20"]]), (3, [["C", "30"]]), (5, head)) == [(1, 3, head + [["B", "20"], ["C", "30"]]), (5, 5, head)]
+    assert merged(spark, (1, None), (2, []), (3, [None, [None, "x"]]), (4, [[None, "2"], ["a", None]])) == [(1, 1, []), (2, 2, []), (3, 3, [[], ["", "x"]]), (4, 4, [["", "2"], ["a", ""]])]
+    assert folds.merge_continuations(spark.createDataFrame([], TABLES)).count() == 0
 
 
 def test_likeness_of_skewed_tables():
-    assert folds.likeness(["Description", "Qty", "Weight"], ["Descript.", "Qty", "Weight"], [0.55, 0.25, 0.20], [0.43, 0.32, 0.25]) >= 0.78
-    assert folds.likeness([], [], [], []) == 0.0 and folds.likeness(["a"], ["a"], [], []) == 0.75
+    keys = lambda *names: [n.lower().replace(".", "") for n in names]
+    assert tables.likeness(keys("Description", "Qty", "Weight"), keys("Descript.", "Qty", "Weight"), [0.55, 0.25, 0.20], [0.43, 0.32, 0.25]) >= 0.78
+    assert tables.likeness([], [], [], []) == 0.0 and tables.likeness(["a"], ["a"], [], []) == 0.75
+    assert tables.likeness(["a"], ["a", "b"], [1.0], [0.6, 0.8]) == 0.0
+
+
+def routed(spark, *found):
+    got = folds.route_tables(spark.createDataFrame([(1, k + 1, 1, rows) for k, rows in enumerate(found)], TABLES)).orderBy("place_in_document").collect()
+    return [g.route for g in got]
+
+
+def test_routes(spark):
     first = [["x", "y"], ["1", "2"]]
-    assert folds.routes([first, [["Name", "Total"], ["a", "1"]], [["Name", "Totals"], ["b", "2"]], [["Other", "Thing", "More"]]]) == [None, "2:Name|Total", "2:Name|Total", "3:Other|Thing|More"]
+    assert routed(spark, first, [["Name", "Total"], ["a", "1"]], [["Name", "Totals"], ["b", "2"]], [["Other", "Thing", "More"]]) == [None, "2:name|total", "2:name|total", "3:other|thing|more"]
+    # headers that differ by case alone are one structure, however unlike the widths
+    assert routed(spark, first, [["Name", "Total"], ["a", "1"]], [["NAME", " TOTAL"], ["a very long description of it", "1"]]) == [None, "2:name|total", "2:name|total"]
+    assert routed(spark, first, [], None, [[None, "a"]]) == [None, "0:", "0:", "2:|a"]
+
+
+def plain_parts(tables_):
+    """Continuations by keeping whole tables of rows and measuring them again at every step."""
+    def measured(rows):
+        n = max(map(len, rows), default=0)
+        return folds.unit([sum(len(r[c].strip()) for r in rows if c < len(r)) for c in range(n)])
+
+    def kind(x):
+        x = " ".join(x.split())
+        return "empty" if not x else "number" if re.search(r"[$€£₫%]|\b(VND|USD|EUR)\b", x, re.I) or re.fullmatch(r"[-+]?\d[\d.,]*", x.replace(" ", "")) else "text"
+
+    fold = lambda row: [" ".join(x.split()).lower() for x in row]
+    keys = lambda row: [re.sub("[^a-z0-9]", "", x.lower()) for x in row]
+    out = []
+    for page, rows in tables_:
+        if out and page == out[-1][1] + 1:
+            held = out[-1][2]
+            n = len(held[0])
+            same = fold(held[0]) == fold(rows[0])
+            v, w = measured(held[1:] or held), measured(rows)
+            like = tables.likeness(keys(held[0]), keys(rows[0]), v, w) >= 0.78 or (len(v) == len(w) and sum(a * b for a, b in zip(v, w)) >= 0.82)
+            agree = [kind(a) == kind(b) or "empty" in (kind(a), kind(b)) for a, b in zip((held[1:2] or held)[0], rows[0])]
+            if n > 1 and max(map(len, rows)) == n and (same or (like and sum(agree) / n >= 0.75)):
+                out[-1] = (out[-1][0], page, held + rows[same:])
+                continue
+        out.append((page, page, rows))
+    return out
+
+
+def test_continuations_of_order_tables(spark):
+    rows = layout_plans.order_tables(spark, "/root/testdata/sf0.001").collect()
+    held = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.page)):
+        held.setdefault(r.doc_id, []).append((r.page, [list(x) for x in r.rows]))
+    got = {}
+    for g in folds.merge_continuations(spark.createDataFrame([(r.doc_id, r.page, r.place, r.rows) for r in rows], TABLES)).orderBy("whole").collect():
+        got.setdefault(g.doc_id, []).append((g.first_page, g.last_page, [list(x) for x in g.rows]))
+    want = {doc: plain_parts(t) for doc, t in held.items()}
+    assert got == want and any(a != z for t in want.values() for a, z, _ in t)
 
 
 def test_visual_lines(spark):
     rows = [(1, 1, "Widget", 10.0, 100.0, 112.0), (1, 1, "2", 210.0, 101.0, 112.0), (1, 1, "with premium support", 10.0, 116.0, 128.0), (1, 1, "200", 260.0, 101.0, 112.0), (2, 1, "alone", 0.0, 0.0, 0.0)]
     got = layout.visual_lines(spark.createDataFrame(rows, "doc_id long, page_number int, text string, x0 double, top double, bottom double")).collect()
     assert {(g.doc_id, g.line_no, g.text) for g in got} == {(1, 1, "Widget 2 200"), (1, 2, "with premium support"), (2, 1, "alone")}
+    tied = [(3, 1, t, 5.0, 1.0, b) for t, b in (("b", 9.0), ("a", 9.0), ("c", 8.0))] + [(3, 1, None, None, 2.0, 9.0)]
+    for parts in (1, 3):
+        got = layout.visual_lines(spark.createDataFrame(tied, "doc_id long, page_number int, text string, x0 double, top double, bottom double").repartition(parts)).collect()
+        assert [g.text for g in got] == [" c a b"]
     assert list(layout.cluster_lines(*map(np.array, ([0.0, 30.0], [10.0, 40.0], [5.0, 1.0])))) == [0, 1]
 
 

@@ -1,16 +1,19 @@
 """Every query of the library with an oracle gives what DuckDB gives on the smallest tables."""
 
 import glob
+import importlib
 import os
+import pkgutil
 
 import duckdb
 import pytest
 
-from foliant.plans import documents, invoices, jobs, layout, tables
+import foliant.plans
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = {n: f for m in (documents, invoices, jobs, layout, tables) for n, f in m.QUERIES.items()}
-SQL = {n: t for m in (documents, invoices, jobs, layout, tables) for n, t in m.SQL.items()}
+MODULES = [importlib.import_module(f"foliant.plans.{m.name}") for m in pkgutil.iter_modules(foliant.plans.__path__)]
+QUERIES = {n: f for m in MODULES for n, f in getattr(m, "QUERIES", {}).items()}
+SQL = {n: t for m in MODULES for n, t in getattr(m, "SQL", {}).items()}
 
 
 @pytest.fixture(scope="module")
