@@ -88,15 +88,18 @@ def spans(text: Column, pattern: str) -> Column:
 
 def strict_matches(text: Column) -> Column:
     """Matches of the stricter patterns of which none overlaps another: from the left, the longest at a place, on a tie the labelled one."""
+    def rows(k: int, kind: str, values: Column, label: bool) -> Column:
+        def one(v: Column, n: Column) -> Column:
+            raw = _value(kind, v["value"]) if label else v["value"]
+            return F.struct(v["span"]["start"].alias("start"), (-v["span"]["size"]).alias("less"), F.lit(0 if label else 1).alias("plain"), F.lit(k).alias("pattern_idx"), n.alias("match_idx"), F.lit(kind).alias("entity_type"), raw.alias("raw_value"))
+
+        return F.transform(values, one)
+
     every = []
     for k, (kind, p, g) in enumerate([*PATTERNS, *[(kind, p, 1) for kind, p in LABELLED]]):
         p, g = STRICT.get(kind, (p, g))
-        values = F.arrays_zip(spans(text, p).alias("span"), F.regexp_extract_all(text, F.lit(p), F.lit(g)).alias("value"))
-        label = k >= len(PATTERNS)
-        rows = F.transform(values, lambda v, n, kind=kind, k=k, label=label: F.struct(
-            v["span"]["start"].alias("start"), (-v["span"]["size"]).alias("less"), F.lit(0 if label else 1).alias("plain"), F.lit(k).alias("pattern_idx"), n.alias("match_idx"),
-            F.lit(kind).alias("entity_type"), (_value(kind, v["value"]) if label else v["value"]).alias("raw_value")))
-        every.append(F.when(text.rlike(p), rows).otherwise(F.slice(rows, 1, 0)))
+        found = rows(k, kind, F.arrays_zip(spans(text, p).alias("span"), F.regexp_extract_all(text, F.lit(p), F.lit(g)).alias("value")), k >= len(PATTERNS))
+        every.append(F.when(text.rlike(p), found).otherwise(F.slice(found, 1, 0)))
     taken = F.struct(F.lit(0).alias("end"), F.array().cast(FOUND).alias("out"))
 
     def take(s: Column, m: Column) -> Column:

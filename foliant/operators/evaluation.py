@@ -42,3 +42,68 @@ def case_scores(cases: DataFrame, cells: tuple, spans: tuple, headers: tuple) ->
 def dataset_score(scores: DataFrame, group: list[str], pass_from: float = PASS_FROM) -> DataFrame:
     mean = F.sum("structural_accuracy") / F.greatest(F.count("*"), F.lit(1))
     return scores.groupBy(*group).agg(F.count("*").alias("n_cases"), F.round(mean, 4).alias("average"), (mean >= pass_from).alias("passed"))
+
+
+#: Types of what a golden case holds.
+ROWS, SPANS, HEADERS = "array<array<string>>", "array<struct<row:int,column:int,row_span:int,col_span:int>>", "array<struct<parent:string,child:string>>"
+
+
+def golden_datasets(payloads: DataFrame) -> DataFrame:
+    """(dataset, pass_from, cases, broken) from JSON texts (dataset, payload): an object with ``cases`` and perhaps ``pass_threshold``, or a bare list of cases.
+
+    ``cases`` are variants; ``broken`` says why there are none: the text is no JSON, or neither shape.
+    """
+    v = F.try_parse_json("payload")
+    rows = payloads.select("dataset", v.alias("v"))
+    cases = F.coalesce(F.try_variant_get("v", "$.cases", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
+    of_object = F.try_variant_get("v", "$", "map<string,variant>")
+    cases = F.when(of_object.isNotNull() & ~F.map_contains_key(of_object, "cases"), F.array().cast("array<variant>")).otherwise(cases)
+    rows = rows.select("dataset", "v", cases.alias("cases"), F.coalesce(F.try_variant_get("v", "$.pass_threshold", "double"), F.lit(PASS_FROM)).alias("pass_from"))
+    return rows.select("dataset", "pass_from", "cases", F.when(F.col("v").isNull(), "no JSON").when(F.col("cases").isNull(), "no cases").alias("broken"))
+
+
+def golden_json_cases(datasets: DataFrame) -> DataFrame:
+    """(dataset, case_id, name, expected and actual rows, spans and headers, broken): a row for each case, numbered in its dataset from 1.
+
+    A case that is no object, or one of whose parts can't be read, is broken; what it lacks is empty.
+    """
+    rows = datasets.filter("broken IS NULL").select("dataset", F.posexplode("cases").alias("k", "case"))
+    rows = rows.select("dataset", F.concat("dataset", F.lit("#"), F.col("k") + 1).alias("case_id"), "case")
+    parts, bad = [], F.try_variant_get("case", "$", "map<string,variant>").isNull()
+    for side in ("expected", "actual"):
+        for field, name, kind in (("rows", "rows", ROWS), ("merged_cells", "spans", SPANS), ("header_hierarchy", "headers", HEADERS)):
+            path = f"$.{side}.{field}"
+            value, there = F.try_variant_get("case", path, kind), F.try_variant_get("case", path, "variant")
+            parts.append(F.coalesce(value, F.array().cast(kind)).alias(f"{side}_{name}"))
+            bad = bad | (value.isNull() & there.isNotNull() & ~F.coalesce(F.is_variant_null(there), F.lit(True)))
+        given = F.try_variant_get("case", f"$.{side}", "variant")
+        bad = bad | (given.isNotNull() & F.try_variant_get("case", f"$.{side}", "map<string,variant>").isNull())
+    return rows.select("dataset", "case_id", F.coalesce(F.try_variant_get("case", "$.name", "string"), F.lit("unnamed")).alias("name"), *parts, F.coalesce(bad, F.lit(True)).alias("broken"))
+
+
+def golden_json_scores(cases: DataFrame) -> DataFrame:
+    """The scores of the cases that aren't broken: (dataset, case_id, name, and what case_scores gives)."""
+    good = cases.filter("NOT broken")
+
+    def cells(side):
+        rows = good.select("case_id", F.posexplode(f"{side}_rows").alias("row_idx", "row"))
+        return rows.select("case_id", "row_idx", F.posexplode("row").alias("col_idx", "text"))
+
+    def spans(side):
+        rows = good.select("case_id", F.explode(f"{side}_spans").alias("s"))
+        return rows.select("case_id", "s.row", F.col("s.column").alias("col"), F.coalesce("s.row_span", F.lit(1)).alias("row_span"), F.coalesce("s.col_span", F.lit(1)).alias("col_span"))
+
+    def headers(side):
+        return good.select("case_id", F.explode(f"{side}_headers").alias("h")).select("case_id", F.coalesce("h.parent", F.lit("")).alias("parent"), F.coalesce("h.child", F.lit("")).alias("child"))
+
+    both = [(f("expected"), f("actual")) for f in (cells, spans, headers)]
+    return good.select("dataset", "case_id", "name").join(case_scores(good.select("case_id"), *both), "case_id")
+
+
+def golden_json_results(datasets: DataFrame, scores: DataFrame) -> DataFrame:
+    """(dataset, n_cases, average, passed) of each dataset that isn't broken, by its own threshold."""
+    rows = scores.groupBy("dataset").agg(F.count("*").alias("n_cases"), F.sum(F.round(F.col("structural_accuracy") * 10000).cast("long")).alias("sum"))  # in units of the fourth decimal
+    all_ = datasets.filter("broken IS NULL").select("dataset", "pass_from").join(rows, "dataset", "left").fillna(0, ["n_cases", "sum"])
+    n = F.greatest(F.col("n_cases"), F.lit(1))
+    mean = F.floor((2 * F.col("sum") + n) / (2 * n)) / 10000
+    return all_.select("dataset", "n_cases", mean.alias("average"), (F.col("sum") / n / 10000 >= F.col("pass_from")).alias("passed"))

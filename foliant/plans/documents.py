@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import VOWELS, is_noise
 from foliant.operators import lines as L
+from foliant.operators.clusters import gap_clusters
 from foliant.operators.profile import document_profile, page_signals, processing_plan
 from foliant.sources.tables import table
 
@@ -79,10 +80,8 @@ def split_pages(spark, d):
 
 def similar_lengths(spark, d):
     """Documents in clusters of neighbouring lengths inside their source: a gap above 12 characters starts a cluster."""
-    w = Window.partitionBy("source", "lang").orderBy("n_chars", "doc_id")
-    gap = F.when(F.col("n_chars") - F.lag("n_chars").over(w) > 12, 1).otherwise(0)
-    rows = docs(spark, d).select("doc_id", "source", "lang", "n_chars").withColumn("gap", gap)
-    return rows.select("doc_id", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cluster"))
+    rows = docs(spark, d).select("doc_id", "source", "lang", "n_chars")
+    return gap_clusters(rows, ["source", "lang"], "n_chars", "doc_id").select("doc_id", "cluster")
 
 
 QUERIES = {

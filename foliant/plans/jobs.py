@@ -48,13 +48,6 @@ def artifact_chain(spark, d):
     return joined.groupBy("c_custkey").agg(F.countDistinct("o_orderkey").alias("n_jobs"), F.count("*").alias("n_artifacts"))
 
 
-def golden_scores(spark, d):
-    """Expected against found cells: a document's quality label against a rule on its length."""
-    both = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars", "source"), "doc_id")
-    right = (F.col("quality") == F.when(F.col("n_chars") >= 300, 1).otherwise(0)).cast("int")
-    return both.groupBy("source").agg(F.round(F.sum(right) / F.greatest(F.count("*"), F.lit(1)), 6).alias("accuracy"), (F.avg(right) >= 0.9).alias("passed"))
-
-
 QUERIES = {
     "jobs_latest": jobs,
     "jobs_recovered": lambda s, d: J.recover(jobs(s, d)),
@@ -64,7 +57,6 @@ QUERIES = {
     "best_candidate": best_candidate,
     "recent_history": recent_history,
     "job_artifact_chain": artifact_chain,
-    "golden_scores": golden_scores,
 }
 
 LOG = """WITH log AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'QUEUED' WHEN 'view' THEN 'PROCESSING' WHEN 'purchase' THEN 'SUCCESS' ELSE 'FAILED' END AS status,
@@ -81,6 +73,4 @@ SQL = {
     "best_candidate": "SELECT user_id, event_id, score FROM (SELECT user_id, event_id, round(value) AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(value) DESC, event_id) AS n FROM events) WHERE n = 1",
     "recent_history": "SELECT event_id, event_type AS kind FROM events ORDER BY ts DESC, event_id DESC LIMIT 25",
     "job_artifact_chain": "SELECT c_custkey, count(DISTINCT o_orderkey) AS n_jobs, count(*) AS n_artifacts FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY c_custkey",
-    "golden_scores": """SELECT source, round(sum(CASE WHEN quality = CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END THEN 1 ELSE 0 END) / count(*), 6) AS accuracy,
-      avg(CASE WHEN quality = CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END THEN 1 ELSE 0 END) >= 0.9 AS passed FROM labels JOIN documents USING (doc_id) GROUP BY source""",
 }
