@@ -16,25 +16,40 @@ def box_of_all() -> list[Column]:
     return [F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom")]
 
 
-def word_lines(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
-    """(doc_id, page_number, line_no, text, x0, top, x1, bottom, confidence).
+def line_numbers(top: np.ndarray, gap: float) -> np.ndarray:
+    """The line, from 1, of each word of a page in their order from the top: one that lies more than ``gap`` off the first word of the line begins a new one."""
+    out, anchor, n = np.empty(len(top), np.int32), None, 0
+    for k, t in enumerate(top.tolist()):
+        if anchor is None or abs(t - anchor) > gap:
+            anchor, n = t, n + 1
+        out[k] = n
+    return out
 
-    ``words``: doc_id, page_number, text, x0, top, x1, bottom. Words are taken from the top, then from the left; one that lies more than ``gap`` off
-    the first word of the line (not off the last one) begins a new line. A page's words are one array.
-    """
-    order = F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "bottom", "text")))
-    pages = words.groupBy("doc_id", "page_number").agg(order.alias("words"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("lines"))
 
-    def step(s, w):
-        new = s["anchor"].isNull() | (F.abs(w["top"] - s["anchor"]) > gap)
-        n = s["n"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, w["top"].cast("double")).otherwise(s["anchor"]).alias("anchor"), n.alias("n"), F.concat(s["lines"], F.array(n)).alias("lines"))
+def numbered_words(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
+    """The words (doc_id, page_number, text, x0, top, x1, bottom) with line_no. Words are taken from the top, then from the left; a null place is 0, a null text empty. A page is one group."""
+    sides = ("x0", "top", "x1", "bottom")
+
+    def run(page: pa.Table) -> pa.Table:
+        page = page.sort_by([(c, "ascending") for c in ("top", "x0", "x1", "bottom", "text")])
+        return page.append_column("line_no", pa.array(line_numbers(page["top"].to_numpy(), gap), pa.int32()))
+
+    rows = words.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_number").cast("int").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sides])
+    return rows.groupBy("doc_id", "page_number").applyInArrow(run, "doc_id long, page_number int, text string, x0 double, top double, x1 double, bottom double, line_no int")
 
-    numbered = pages.select("doc_id", "page_number", F.explode(F.arrays_zip("words", F.aggregate("words", start, step)["lines"].alias("line_no"))).alias("w"))
-    rows = numbered.select("doc_id", "page_number", F.col("w.line_no").alias("line_no"), "w.words.*")
+
+def word_lines(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
+    """(doc_id, page_number, line_no, text, x0, top, x1, bottom, confidence): the words of each line (see numbered_words) from the left."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "top", "text"))), lambda w: w["text"]), " ")
-    return rows.groupBy("doc_id", "page_number", "line_no").agg(text.alias("text"), *box_of_all()).withColumn("confidence", F.lit(NATIVE_CONFIDENCE))
+    return numbered_words(words, gap).groupBy("doc_id", "page_number", "line_no").agg(text.alias("text"), *box_of_all()).withColumn("confidence", F.lit(NATIVE_CONFIDENCE))
+
+
+def native_blocks(words: DataFrame, page_lines: DataFrame, gap: float = LINE_GAP) -> DataFrame:
+    """``word_lines``, and for pages without words their text lines (doc_id, page_number, line_no, text), which have no box."""
+    found = word_lines(words, gap)
+    rest = page_lines.filter(F.trim("text") != "").join(words.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti")
+    none = [F.lit(None).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")]
+    return found.unionByName(rest.select("doc_id", F.col("page_number").cast("int").alias("page_number"), F.col("line_no").cast("int").alias("line_no"), F.trim("text").alias("text"), *none, F.lit(NATIVE_CONFIDENCE).alias("confidence")))
 
 
 def token_lines(tokens: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import values as V
 from foliant.functions.text import header_key, sheet_base, sheet_kind
 from foliant.operators import tables as T
+from foliant.operators.headers import similar_headers
 from foliant.sources.tables import table
 
 
@@ -71,11 +72,10 @@ def width_cosine(spark, d):
 
 
 def header_similarity(spark, d):
-    """Part types that nearly share a name, compared once for each distinct pair inside a size."""
-    kinds = table(spark, d, "part").select("p_size", F.split("p_type", " ").alias("h")).distinct()
-    keys = kinds.select("p_size", F.transform("h", header_key).alias("k"))
-    pairs = keys.join(keys.select("p_size", F.col("k").alias("o")), "p_size").filter("k < o").select("k", "o").distinct()
-    return pairs.select(F.array_join("k", " ").alias("left_header"), F.array_join("o", " ").alias("right_header"), T.header_ratio("k", "o").alias("ratio"))
+    """Part types and names that are nearly alike as headers."""
+    p = table(spark, d, "part")
+    kinds = p.select(F.split("p_type", " ").alias("h")).unionByName(p.select(F.split("p_name", " ").alias("h"))).select(F.transform("h", header_key).alias("k"))
+    return similar_headers(kinds, 0.8).select(F.array_join("left", " ").alias("left_header"), F.array_join("right", " ").alias("right_header"), "ratio")
 
 
 def continued(spark, d):
