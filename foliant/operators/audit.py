@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Coverage from which on a document is valid or uncertain; worth of a source; length of a quote; entities that are reviewed first.
+#: Coverage from which on a document is valid or uncertain; length of a quote; entities that are reviewed first.
 VALID_FROM, UNCERTAIN_FROM, QUOTE = 0.95, 0.70, 500
-SOURCE_WORTH = {"native": 1.0, "mixed": 0.75, "scan": 0.55}
 FIRST_REVIEWED = ("MONEY", "INVOICE_NUMBER", "Grand_Total", "Subtotal")
 AUDIT = ("doc_id", "kind", "page_number", "object_id", "raw_value", "confidence", "engine", "evidence")
 
@@ -19,35 +18,12 @@ def evidence(page: Column, object_id: Column, quote: Column, engine: Column) ->
     return F.when(F.trim(quote) != "", F.struct(page.alias("page"), object_id.alias("object_id"), F.substring(quote, 1, QUOTE).alias("quote"), engine.alias("engine")))
 
 
-def coverage(*kinds: DataFrame) -> DataFrame:
-    """(doc_id, covered, total, coverage, status) over objects of all ``kinds`` (doc_id, evidence); nothing at all is invalid."""
-    rows = kinds[0].select("doc_id", "evidence")
-    for k in kinds[1:]:
-        rows = rows.unionByName(k.select("doc_id", "evidence"))
-    share = F.col("covered") / F.greatest(F.col("total"), F.lit(1))
-    out = rows.groupBy("doc_id").agg(F.count("evidence").alias("covered"), F.count("*").alias("total"))
-    return out.withColumn("coverage", F.round(share, 4)).withColumn("status", F.when(share >= VALID_FROM, "valid").when(share >= UNCERTAIN_FROM, "uncertain").otherwise("invalid"))
-
-
 def equal_widths(rows: DataFrame) -> DataFrame:
     """(table_id, n_widths, status): a table whose rows differ in length is uncertain. ``rows``: table_id, cells."""
     n = F.countDistinct(F.size("cells"))
     return rows.groupBy("table_id").agg(n.alias("n_widths"), F.when(n <= 1, "valid").otherwise("uncertain").alias("status"))
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """(doc_id, source_quality, consistency, semantic_quality, overall): the mean of the dimensions that are known.
-
-    ``docs``: doc_id, source_type, ocr_confidence (null: nothing was recognised, which counts as 1), n_valid, n_checks, semantic (null: no entity).
-    """
-    source = F.coalesce(*[F.when(F.col("source_type") == k, v) for k, v in SOURCE_WORTH.items()])
-    checks = F.col("n_valid") / F.nullif(F.col("n_checks"), F.lit(0))
-    dims = F.array_compact(F.array("source_quality", F.coalesce("ocr_confidence", F.lit(1.0)), "consistency", "semantic_quality"))
-    rows = docs.withColumns({"source_quality": source, "consistency": checks, "semantic_quality": F.col("semantic")})
-    overall = F.aggregate(dims, F.lit(0.0), lambda s, x: s + x) / F.size(dims)
-    return rows.select("doc_id", "source_quality", F.round("consistency", 4).alias("consistency"), F.round("semantic_quality", 4).alias("semantic_quality"), F.round(overall, 4).alias("overall"))
-
-
 def diagnostics(blocks: DataFrame, cells: DataFrame, low: float = 0.7) -> DataFrame:
     """Per document its pages, blocks, recognised pages, cells of low confidence and mean confidence of cells.
 
@@ -76,9 +52,3 @@ def audit_rows(order: list[str] | None = None, **kinds: DataFrame) -> DataFrame:
         rows = d.select("doc_id", F.lit(kind).alias("kind"), F.col("page_number").cast("int").alias("page_number"), F.col("object_id").cast("string").alias("object_id"), "raw_value", F.round("confidence", 4).alias("confidence"), "engine", F.to_json("evidence").alias("evidence"), *(order or []))
         out = rows if out is None else out.unionByName(rows)
     return out.select(*AUDIT, *(order or []))
-
-
-def entity_reviews(entities: DataFrame, below: float = 0.70) -> DataFrame:
-    """Entities whose confidence asks for a look; amounts and invoice numbers come first. ``entities``: doc_id, entity_type, raw_value, confidence."""
-    first = F.when(F.col("entity_type").isin(*FIRST_REVIEWED), "high").otherwise("normal")
-    return entities.filter(F.col("confidence") < below).select("doc_id", "entity_type", "raw_value", "confidence", first.alias("priority"))

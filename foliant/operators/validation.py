@@ -146,3 +146,30 @@ def dimensions(found: DataFrame, coverage: DataFrame, known: DataFrame, source:
     known_ = F.array_compact(F.array(F.lit(source), F.lit(ocr), F.lit(layout), "semantic", "consistency", "evidence_coverage"))
     rows = rows.withColumns({"__n": F.size(known_), "__sum": F.aggregate(known_, F.lit(0).cast("long"), lambda s, x: s + F.round(x * 10000).cast("long"))})  # in units of the fourth decimal
     return rows.withColumn("overall", F.expr("(2 * __sum + __n) div (2 * __n)") / 10000).drop("__n", "__sum")
+
+
+def result_metadata(files: DataFrame, tables: DataFrame, cells: DataFrame, known: DataFrame, edges: DataFrame, found: DataFrame, open_tasks: DataFrame, quality: DataFrame) -> DataFrame:
+    """(doc_id, metadata): what a finished job says of a file, as JSON: counts, state, quality, results, tasks, facts and edges.
+
+    ``files``: doc_id, name, page_count; the others as the functions of this module and of provenance give them. A document's facts and edges are part of its one text.
+    """
+    held = lambda rows, c, *fields, order: rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("x")))), lambda r: r["x"]).alias(c))
+    parts = [
+        tables.groupBy("doc_id").agg(F.count("*").alias("tables")), cells.groupBy("doc_id").agg(F.count_if(F.col("confidence") < LOW).alias("low_confidence_count")),
+        held(known, "truth_facts", "fact_id", F.col("entity_type").alias("name"), "raw_value", F.coalesce(F.col("number").cast("string"), "normal_text").alias("normalized_value"), "status", "confidence", "page_number", order=["fact_no"]),
+        held(edges, "truth_graph_edges", "subject", "predicate", "object", "confidence", order=["subject_no", "object_no"]),
+        held(found, "validation_results", "rule", "status", "message", order=["rule", "object_id"]), held(open_tasks, "review_tasks", "task_id", "field", "value", "priority", "confidence", "reason", order=["task_id"]),
+        quality.select("doc_id", F.struct("consistency", "semantic", "evidence_coverage", "overall").alias("quality_dimensions")),
+        known.groupBy("doc_id").agg(F.countDistinct(F.when(F.col("confidence") < LOW, F.col("page_number"))).alias("ocr_pages"))]
+    rows = files.select("doc_id", "name", F.col("page_count").alias("pages"))
+    for p in parts:
+        rows = rows.join(p, "doc_id", "left")
+    rows = rows.fillna(0, ["tables", "low_confidence_count", "ocr_pages"])
+    n = F.coalesce(F.size("review_tasks"), F.lit(0))
+    todo = F.when(F.col("review_tasks").isNotNull(), n).otherwise(0)
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0)
+    listed = lambda c: F.coalesce(F.col(c), F.from_json(F.lit("[]"), next(f.dataType.simpleString() for f in rows.schema.fields if f.name == c))).alias(c)
+    return rows.select("doc_id", F.to_json(F.struct(
+        F.lit(".xlsx").alias("output_extension"), F.sha2("name", 256).alias("source_fingerprint"), "pages", "tables", "ocr_pages", "low_confidence_count",
+        F.when(todo > 0, F.array(F.concat(F.lit("review_required:"), todo))).otherwise(F.array().cast("array<string>")).alias("warnings"), F.when(todo > 0, "review_required").otherwise("ready").alias("document_state"), "quality_dimensions",
+        listed("validation_results"), listed("review_tasks"), size("truth_facts").alias("facts_count"), size("truth_graph_edges").alias("graph_edges_count"), listed("truth_facts"), listed("truth_graph_edges"), (todo > 0).alias("review_required"), F.lit(True).alias("audit_available"))).alias("metadata"))

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foliant.functions.values import mime_type
 from foliant.operators import audit as A
 from foliant.operators import entities as E
 from foliant.operators import folds
@@ -185,7 +186,44 @@ def review_tasks(spark, d):
     return VL.remaining(t, t.filter(F.length("value") % 2 == 0).select("doc_id", "task_id", F.col("value")))
 
 
+def metadata(spark, d):
+    """What a finished job says of each file, as one JSON text, read back as fields."""
+    u = Understood(spark, d)
+    tasks, results, edges = kept(u.tasks()), kept(u.results()), PR.edges(u.facts)
+    rows = VL.result_metadata(u.files, u.tables, u.cells, u.facts, edges, results, tasks, VL.dimensions(results, u.coverage(), u.facts))
+    path = lambda p: F.get_json_object("metadata", f"$.{p}")
+    numbers = ("pages", "tables", "ocr_pages", "low_confidence_count", "facts_count", "graph_edges_count")
+    return rows.select(
+        "doc_id", *[path(c).cast("long").alias(c) for c in numbers], path("document_state").alias("document_state"), path("quality_dimensions.overall").cast("double").alias("overall"), path("review_required").cast("boolean").alias("review_required"),
+        F.json_array_length(path("validation_results")).alias("n_results"), F.json_array_length(path("review_tasks")).alias("n_tasks"), F.json_array_length(path("truth_facts")).alias("n_facts"), path("truth_facts[0].fact_id").alias("first_fact"), path("warnings").alias("warnings"), path("source_fingerprint").alias("fingerprint"))
+
+
+def quality(spark, d):
+    """The dimensions of each file's quality, from the results of its rules, its facts and its evidence."""
+    u = Understood(spark, d)
+    return VL.dimensions(u.results(), u.coverage(), u.facts)
+
+
+def diagnostics(spark, d):
+    """Pages, blocks, tables and recognised pages of each file, and how sure its cells are."""
+    u = Understood(spark, d)
+    rows = A.diagnostics(u.blocks.withColumn("engine", F.when(F.col("engine") == "tesseract", "ocr").otherwise("native")), u.cells)
+    return rows.join(u.tables.groupBy("doc_id").agg(F.count("*").alias("tables")), "doc_id", "left").fillna(0, ["tables"])
+
+
+def artifacts(spark, d):
+    """Files of each customer by kind: what came in and what was made of it."""
+    base = F.substring_index("name", ".", 1)
+    return files(spark, d).select("doc_id", F.explode(F.array("name", F.concat(base, F.lit(".XLSX")), F.concat(base, F.lit("-page-1.txt")), base)).alias("artifact")).select("doc_id", "artifact", mime_type(F.col("artifact")).alias("mime"))
+
+
 QUERIES = {
+    "file_metadata": metadata,
+    "document_quality": quality,
+    "document_diagnostics": diagnostics,
+    "artifact_types": artifacts,
+    "evidence_coverage": lambda s, d: Understood(s, d).coverage().select("doc_id", "coverage", "status", "message"),
+    "entity_reviews": lambda s, d: VL.entity_tasks(Understood(s, d).facts).select("doc_id", "task_id", "field", "value", "priority", "confidence"),
     "workbook_sheets": sheets,
     "workbook_table_cells": table_sheets,
     "audit_kinds": audit_kinds,
@@ -297,6 +335,18 @@ PLACED = """hs AS (SELECT doc_id, kind, g, place, max(gap) + max(r) AS height FR
 """
 
 SQL = {
+    "document_quality": BASE + "SELECT doc_id, c AS consistency, e AS semantic, CAST(1.0 AS DOUBLE) AS evidence_coverage, overall FROM dm",
+    "document_diagnostics": BASE + """SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS blocks, count(DISTINCT CASE WHEN engine = 'tesseract' THEN page END) AS ocr_pages, CAST(0 AS BIGINT) AS low_confidence_cells,
+      CASE WHEN any_value(t.n) > 0 THEN CAST(0.9 AS DOUBLE) END AS cell_confidence, coalesce(any_value(t.n), 0) AS tables FROM b LEFT JOIN (SELECT doc_id, count(*) AS n FROM tb GROUP BY doc_id) t USING (doc_id) GROUP BY doc_id""",
+    "artifact_types": """WITH f AS (SELECT DISTINCT o_custkey AS doc_id, 'customer-' || o_custkey AS b FROM orders)
+      SELECT doc_id, b || '.pdf' AS artifact, 'application/pdf' AS mime FROM f UNION ALL SELECT doc_id, b || '.XLSX', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' FROM f
+      UNION ALL SELECT doc_id, b || '-page-1.txt', 'text/plain' FROM f UNION ALL SELECT doc_id, b, 'application/octet-stream' FROM f""",
+    "evidence_coverage": BASE + "SELECT doc_id, CAST(1.0 AS DOUBLE) AS coverage, status, message FROM res WHERE rule = 'evidence_coverage'",
+    "entity_reviews": BASE + "SELECT doc_id, task_id, field, value, priority, confidence FROM tasks WHERE reason = 'low_confidence'",
+    "file_metadata": BASE + """, x AS (SELECT doc_id, max(page) AS pages, count(DISTINCT CASE WHEN engine = 'tesseract' THEN page END) AS ocr_pages, first(name) AS name FROM b GROUP BY doc_id), nb AS (SELECT doc_id, count(*) AS nb FROM tb GROUP BY doc_id), nr AS (SELECT doc_id, count(*) AS nr FROM res GROUP BY doc_id)
+      SELECT x.doc_id, pages, coalesce(nb, 0) AS tables, ocr_pages, CAST(0 AS BIGINT) AS low_confidence_count, nf AS facts_count, ne AS graph_edges_count, CASE WHEN nt.n > 0 THEN 'review_required' ELSE 'ready' END AS document_state, overall,
+        nt.n > 0 AS review_required, nr AS n_results, nt.n AS n_tasks, nf AS n_facts, 'fact-1' AS first_fact, CASE WHEN nt.n > 0 THEN '["review_required:' || nt.n || '"]' ELSE '[]' END AS warnings, sha256(name) AS fingerprint
+      FROM x LEFT JOIN nb USING (doc_id) JOIN nr USING (doc_id) JOIN nf USING (doc_id) JOIN ne USING (doc_id) JOIN nt USING (doc_id) JOIN dm USING (doc_id)""",
     "fact_graph": BASE + """SELECT doc_id, 'fact-' || no AS fact_id, kind AS entity_type, raw AS raw_value, value, status, conf AS confidence, page AS page_number, 'p' || page || '-b' || line AS block_id, way AS engine,
       '10,' || line * 20 || ',' || (10 + 5 * length(text)) || ',' || (line * 20 + 12) AS bbox FROM ft""",
     "graph_edges": BASE + """SELECT doc_id, 'fact-' || a AS subject, count(*) AS n_edges, min(confidence) AS confidence, array_to_string(list_sort(list_distinct(list('p' || ap || '-b' || al || '>p' || zp || '-b' || zl))), ',') AS blocks FROM ed GROUP BY doc_id, a""",

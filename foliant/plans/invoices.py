@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import values as V
-from foliant.operators import audit as A
 from foliant.operators import entities as E
 from foliant.plans.documents import P, lines
 from foliant.sources.tables import table
@@ -88,12 +87,6 @@ def amount_edges(spark, d):
     return E.amount_edges(E.facts(invoice_entities(spark, d))).groupBy("doc_id").agg(F.count("*").alias("n_edges"), F.min("predicate").alias("predicate"))
 
 
-def entity_reviews(spark, d):
-    """Labelled values of low confidence; how sure a value is depends on its document and kind here."""
-    rows = labelled_values(spark, d).withColumn("confidence", ((F.col("doc_id") + F.length("entity_type")) % 10) / 10)
-    return A.entity_reviews(rows.withColumnRenamed("value", "raw_value").select("doc_id", "entity_type", "raw_value", "confidence"))
-
-
 def vat(spark, d):
     """Subtotal, grand total and rate of each invoice; a missing rate is inferred where it would be 0 to 30 percent."""
     found = E.entities(invoice_lines(spark, d), ("Subtotal", "Grand_Total", "VAT_Rate"))
@@ -124,7 +117,6 @@ QUERIES = {
     "vat_arithmetic": lambda s, d: vat(s, d).select("doc_id", "subtotal", "total", "status"),
     "vat_inference": lambda s, d: vat(s, d).filter("inferred IS NOT NULL").select("doc_id", F.round("inferred", 4).alias("inferred")),
     "conflicting_facts": conflicting_facts,
-    "entity_reviews": entity_reviews,
 }
 
 VAT = INVOICES + """, g AS (SELECT *, CASE WHEN rate IS NULL AND subtotal <> 0 AND total / subtotal - 1 BETWEEN 0 AND 0.30 THEN total / subtotal - 1 END AS inferred FROM v),
@@ -146,8 +138,6 @@ SQL = {
     "entity_emails": P + r""", m AS (SELECT doc_id, page_number, line_no, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS raw_value FROM lines)
         SELECT doc_id, page_number, min(line_no) AS line_no, raw_value FROM m GROUP BY doc_id, page_number, raw_value""",
     "entities_labelled": LABELLED + "SELECT * FROM labelled",
-    "entity_reviews": LABELLED + """SELECT doc_id, entity_type, value AS raw_value, (doc_id + length(entity_type)) % 10 / 10 AS confidence, CASE WHEN entity_type IN ('Grand_Total', 'Subtotal') THEN 'high' ELSE 'normal' END AS priority
-      FROM labelled WHERE (doc_id + length(entity_type)) % 10 < 7""",
     "fact_edges": INVOICES + "SELECT doc_id, CAST(CASE WHEN subtotal = total THEN 1 ELSE 2 END AS BIGINT) AS n_edges, 'has_amount' AS predicate FROM v",
     "vat_arithmetic": VAT + "SELECT doc_id, subtotal, total, status FROM c",
     "vat_inference": VAT + "SELECT doc_id, round(inferred, 4) AS inferred FROM c WHERE inferred IS NOT NULL",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from foliant.functions.values import mime_type, parse_options
+from foliant.functions.values import parse_options
 from foliant.operators import audit as A
 from foliant.operators import evaluation as EV
 from foliant.operators import folds
@@ -37,8 +37,9 @@ def ocr_confidence(spark, d):
 
 
 def text_quality(spark, d):
-    score = LY.ocr_quality((F.col("doc_id") % 101) / 100, F.col("text"))
-    return docs(spark, d).select("doc_id", F.round(score, 6).alias("quality"))
+    """How good the recognised lines of each order look."""
+    rows = LY.token_lines(words(spark, d))
+    return rows.select("doc_id", "block", "line", F.round(LY.ocr_quality(F.col("confidence"), F.col("text")), 6).alias("quality"))
 
 
 def order_tables(spark, d):
@@ -86,18 +87,6 @@ def block_objects(spark, d):
     return rows.withColumn("evidence", A.evidence(F.col("page_number"), F.col("object_id"), quote, F.col("engine"))).withColumn("confidence", (F.length("text") % 97) / 97)
 
 
-def page_objects(spark, d):
-    rows = pages(spark, d).withColumn("object_id", F.concat(F.lit("p"), F.col("page_number").cast("string")))
-    return rows.withColumn("evidence", A.evidence(F.col("page_number"), F.col("object_id"), F.when(F.col("n_lines") > 2, F.col("text")).otherwise(""), F.lit("native")))
-
-
-def document_quality(spark, d):
-    rows = docs(spark, d).select(
-        "doc_id", F.element_at(F.array(*map(F.lit, A.SOURCE_WORTH)), (F.col("doc_id") % 3 + 1).cast("int")).alias("source_type"), F.when(F.col("doc_id") % 3 > 0, (F.col("n_chars") % 100) / 100).alias("ocr_confidence"),
-        (F.col("n_chars") % 5).alias("n_valid"), F.when(F.col("doc_id") % 7 == 0, 0).otherwise(5).alias("n_checks"), F.when(F.col("doc_id") % 4 > 0, (F.col("n_chars") % 10) / 10).alias("semantic"))
-    return A.quality(rows)
-
-
 def audit(spark, d):
     whole = docs(spark, d).select("doc_id", F.lit(None).cast("int").alias("page_number"), F.col("doc_id").cast("string").alias("object_id"), "source", F.lit(1.0).alias("confidence"), F.lit("native").alias("engine"), F.struct(F.col("n_chars").alias("chars")).alias("evidence"))
     return A.audit_rows(document=whole.withColumnRenamed("source", "raw_value"), block=block_objects(spark, d).withColumnRenamed("text", "raw_value"))
@@ -124,16 +113,10 @@ def overview(spark, d):
 
 
 def job_settings(spark, d):
-    """Options given as JSON over defaults; broken JSON changes nothing."""
-    given = F.when(F.col("c_custkey") % 4 == 0, F.lit("{broken")).otherwise(F.concat(F.lit('{"mode":"m'), (F.col("c_custkey") % 3).cast("string"), F.lit('"}')))
-    base = F.create_map(F.lit("mode"), F.lit("auto"), F.lit("include_text"), F.lit("true"))
-    both = A.merged_settings(base, parse_options(given))
-    return table(spark, d, "customer").select("c_custkey", both["mode"].alias("mode"), both["include_text"].alias("include_text"), F.size(both).alias("n_keys"))
-
-
-def artifact_types(spark, d):
-    name = F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, (".pdf", ".XLSX", ".png", ".txt", ".bin"))), (F.col("doc_id") % 5 + 1).cast("int")))
-    return docs(spark, d).select("doc_id", mime_type(name).alias("mime"))
+    """What an event's properties, as JSON, set over defaults; broken JSON changes nothing."""
+    e = table(spark, d, "events").withColumn("given", F.when(F.col("event_id") % 4 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")))
+    both = A.merged_settings(F.create_map(F.lit("mode"), F.lit("auto"), F.lit("k"), F.lit("none")), parse_options(F.col("given")))
+    return e.select("event_id", both["mode"].alias("mode"), both["k"].alias("k"), F.size(both).alias("n_keys"))
 
 
 QUERIES = {
@@ -149,16 +132,12 @@ QUERIES = {
     "table_structures": structures,
     "golden_cases": golden,
     "golden_dataset": lambda s, d: EV.dataset_score(golden(s, d).withColumn("part", F.col("case_id") % 10), ["part"]),
-    "evidence_coverage": lambda s, d: A.coverage(block_objects(s, d), page_objects(s, d)),
     "table_consistency": lambda s, d: A.equal_widths(TP.rows(s, d)),
-    "document_quality": document_quality,
-    "document_diagnostics": lambda s, d: A.diagnostics(block_objects(s, d), block_objects(s, d)),
     "audit_rows": audit,
     "pages_with_stats": pages_with_stats,
     "page_text_choice": page_text_choice,
     "table_overview": overview,
     "job_settings": job_settings,
-    "artifact_types": artifact_types,
 }
 
 WORDS = """WITH RECURSIVE w0 AS (SELECT l_orderkey AS doc_id, CAST(l_quantity AS INTEGER) AS top, CAST(l_partkey % 600 AS INTEGER) AS x0, l_returnflag || l_linenumber || '-' || l_suppkey AS text,
@@ -183,27 +162,19 @@ SQL = {
       SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY top, x0, block, line) AS INTEGER) AS line_no, text, x0, top, x1, bottom, confidence FROM l""",
     "ocr_confidence": WORDS + """, p AS (SELECT doc_id, page, avg(confidence) AS c, bool_or(l_returnflag = 'R') AS used FROM w0 GROUP BY doc_id, page)
       SELECT doc_id, round(coalesce(avg(c) FILTER (used), 1.0), 6) AS confidence, count_if(used) AS n_recognised FROM p GROUP BY doc_id""",
-    "ocr_text_quality": r"""WITH t AS (SELECT doc_id, length(regexp_replace(text, '[\s\x0B]', '', 'g')) AS n, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS s FROM documents)
-      SELECT doc_id, round(0.55 * (doc_id % 101) / 100 + 0.25 * coalesce(s / nullif(n, 0), 0) + 0.20 * least(1.0, s / 30), 6) AS quality FROM t""",
+    "ocr_text_quality": WORDS + r""", l AS (SELECT doc_id, block, line, string_agg(text, ' ' ORDER BY x0, text) AS text, avg(confidence) AS c FROM w0 GROUP BY doc_id, block, line),
+      t AS (SELECT *, length(regexp_replace(text, '[\s\x0B]', '', 'g')) AS n, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS s FROM l)
+      SELECT doc_id, block, line, round(0.55 * c + 0.25 * coalesce(s / nullif(n, 0), 0) + 0.20 * least(1.0, s / 30), 6) AS quality FROM t""",
     "median_height": WORDS + "SELECT doc_id, list_sort(list(top))[len(list(top)) // 2 + 1] AS median_height FROM w0 GROUP BY doc_id",
     "table_structures": """WITH o AS (SELECT CASE WHEN o_orderkey % 3 = 1 THEN 'Item|Qty|Amount' ELSE 'Item|Units|' || o_orderpriority END AS h FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem))
       SELECT '3:' || lower(h) AS structure, lower(h) AS signature, count(*) AS n_tables FROM o GROUP BY h""",
     "golden_cases": GOLDEN + "SELECT * FROM g",
     "golden_dataset": GOLDEN + "SELECT case_id % 10 AS part, count(*) AS n_cases, round(sum(structural_accuracy) / count(*), 4) AS average, sum(structural_accuracy) / count(*) >= 0.9 AS passed FROM g GROUP BY case_id % 10",
-    "evidence_coverage": OBJECTS + """, a AS (SELECT doc_id, line_no % 9 <> 0 AS ok FROM lines UNION ALL SELECT doc_id, n_lines > 2 FROM pn), k AS (SELECT doc_id, count_if(ok) AS covered, count(*) AS total FROM a GROUP BY doc_id)
-      SELECT doc_id, covered, total, round(covered / total, 4) AS coverage, CASE WHEN covered / total >= 0.95 THEN 'valid' WHEN covered / total >= 0.70 THEN 'uncertain' ELSE 'invalid' END AS status FROM k""",
     "table_consistency": "SELECT l_orderkey AS table_id, CASE WHEN count(*) >= 3 THEN 2 ELSE 1 END AS n_widths, CASE WHEN count(*) >= 3 THEN 'uncertain' ELSE 'valid' END AS status FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey",
-    "document_quality": """WITH q AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 ELSE 0.55 END AS s, CASE WHEN doc_id % 3 > 0 THEN (n_chars % 100) / 100 ELSE 1.0 END AS o,
-        CASE WHEN doc_id % 7 > 0 THEN (n_chars % 5) / 5 END AS c, CASE WHEN doc_id % 4 > 0 THEN (n_chars % 10) / 10 END AS e FROM documents)
-      SELECT doc_id, CAST(s AS DOUBLE) AS source_quality, round(c, 4) AS consistency, round(e, 4) AS semantic_quality,
-        round((s + o + coalesce(c, 0) + coalesce(e, 0)) / (2 + CASE WHEN c IS NULL THEN 0 ELSE 1 END + CASE WHEN e IS NULL THEN 0 ELSE 1 END), 4) AS overall FROM q""",
-    "document_diagnostics": OBJECTS + """SELECT doc_id, count(DISTINCT page_number) AS pages, count(*) AS blocks, count(DISTINCT CASE WHEN engine = 'ocr' THEN page_number END) AS ocr_pages,
-      count_if(confidence < 0.7) AS low_confidence_cells, round(avg(confidence), 3) AS cell_confidence FROM b GROUP BY doc_id""",
     "audit_rows": OBJECTS + """SELECT doc_id, 'document' AS kind, CAST(NULL AS INTEGER) AS page_number, CAST(doc_id AS VARCHAR) AS object_id, source AS raw_value, 1.0 AS confidence, 'native' AS engine, '{"chars":' || n_chars || '}' AS evidence FROM documents
       UNION ALL SELECT doc_id, 'block', page_number, object_id, text, round(confidence, 4), engine,
         CASE WHEN quote <> '' THEN CAST(to_json(struct_pack(page := page_number, object_id := object_id, quote := substr(quote, 1, 500), engine := engine)) AS VARCHAR) END FROM b""",
     "pages_with_stats": OBJECTS + "SELECT doc_id, page_number, CASE WHEN n_lines > 3 THEN n_lines * 2 ELSE 0 END AS stat FROM pn",
     "page_text_choice": P + """SELECT doc_id, page_number, CASE page_number % 3 WHEN 0 THEN '~ ' || text WHEN 1 THEN text ELSE text || chr(10) || '~ ' || text END AS text, CASE WHEN page_number % 3 = 1 THEN 'native' ELSE 'ocr' END AS blocks_from FROM pages""",
-    "job_settings": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'auto' ELSE 'm' || (c_custkey % 3) END AS mode, 'true' AS include_text, 2 AS n_keys FROM customer",
-    "artifact_types": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' WHEN 2 THEN 'image/png' WHEN 3 THEN 'text/plain' ELSE 'application/octet-stream' END AS mime FROM documents",
+    "job_settings": """SELECT event_id, 'auto' AS mode, CASE WHEN event_id % 4 = 0 THEN 'none' ELSE json_extract_string(props, '$.k') END AS k, 2 AS n_keys FROM events""",
 }

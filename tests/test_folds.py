@@ -125,8 +125,6 @@ def test_golden_scores(spark):
     assert nothing.structural_accuracy == 0.0
 
 
-def test_reviews_and_settings(spark):
-    rows = spark.createDataFrame([(1, "MONEY", "5 USD", 0.5), (1, "EMAIL", "a@b.c", 0.6), (1, "MONEY", "6 USD", 0.7)], "doc_id int, entity_type string, raw_value string, confidence double")
-    assert {(r.raw_value, r.priority) for r in audit.entity_reviews(rows).collect()} == {("5 USD", "high"), ("a@b.c", "normal")}
+def test_settings(spark):
     both = spark.range(1).select(audit.merged_settings(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"))).alias("m")).first().m
     assert both == {"a": "1", "b": "3"}
