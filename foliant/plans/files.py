@@ -14,6 +14,7 @@ from foliant.operators import folds
 from foliant.operators import provenance as PR
 from foliant.operators import validation as VL
 from foliant.operators import workbook as WB
+from foliant.plans.documents import P
 from foliant.plans.invoices import invoice_lines
 from foliant.sources.kept import kept
 from foliant.sources.tables import table
@@ -334,7 +335,29 @@ PLACED = """hs AS (SELECT doc_id, kind, g, place, max(gap) + max(r) AS height FR
   cell AS (SELECT * FROM pl WHERE v <> '')
 """
 
+#: Entities of documents' lines; RE2 has no look-around, so what stands before an amount is part of the match and not of its group.
+FOUND = r""", every AS (SELECT doc_id, page_number, line_no, 'EMAIL' AS entity_type, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS raw_value FROM lines
+    UNION ALL SELECT doc_id, page_number, line_no, 'URL', unnest(regexp_extract_all(text, 'https?://[^\s]+')) FROM lines
+    UNION ALL SELECT doc_id, page_number, line_no, 'INVOICE_NUMBER', unnest(regexp_extract_all(text, '\b(?:invoice|inv|hoá đơn|hoa don)\s*(?:no|number|#|:)?\s*([A-Z0-9][A-Z0-9/-]{2,})', 1, 'i')) FROM lines
+    UNION ALL SELECT doc_id, page_number, line_no, 'PHONE', unnest(regexp_extract_all(text, '\+?\d[\d ()-]{7,}\d')) FROM lines
+    UNION ALL SELECT doc_id, page_number, line_no, 'DATE', unnest(regexp_extract_all(text, '\b\d{1,4}[/-]\d{1,2}[/-]\d{1,4}\b')) FROM lines
+    UNION ALL SELECT doc_id, page_number, line_no, 'PERCENT', unnest(regexp_extract_all(text, '\b\d+(?:[.,]\d+)?\s?%')) FROM lines
+    UNION ALL SELECT doc_id, page_number, line_no, 'MONEY', unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])((?:\d{1,3}(?:[.,]\d{3})+|\d+)(?:[.,]\d{1,2})?\s?(?:VND|VNĐ|VNn|VNN|USD|EUR|GBP|₫|\$|€|£)\b)', 1)) FROM lines
+    UNION ALL SELECT doc_id, page_number, line_no, kind, CASE WHEN kind = 'Tax_Code' THEN regexp_replace(v, '\D', '', 'g') ELSE trim(v, ' :;,.' || chr(9)) END
+      FROM (SELECT doc_id, page_number, line_no, kind, regexp_extract(text, pattern, 1, 'i') AS v FROM lines, (VALUES
+        ('Invoice_Number', '(?:invoice\s*(?:no|number|#)?|inv\.?|ho[aó]\s*đơn\s*(?:số|so)?)\s*[:#-]?\s*([A-Z0-9][A-Z0-9./-]{2,})'), ('Date', '(?:invoice\s*date|date|ngày|ngay)\s*[:#-]?\s*(\d{1,4}[/-]\d{1,2}[/-]\d{1,4})'),
+        ('Tax_Code', '(?:tax\s*(?:code|id)|mst|mã\s*số\s*thuế|ma\s*so\s*thue)\s*[:#-]?\s*([0-9 -]{8,20})'), ('VAT_Rate', '(?:vat|tax|thuế|thue)\s*(?:rate|%)?\s*[:#-]?\s*(\d{1,2}(?:[.,]\d+)?)\s*%'),
+        ('Subtotal', '(?:subtotal|sub-total|tạm\s*tính|tam\s*tinh)\s*[:#-]?\s*([^\n|]+)'), ('Grand_Total', '(?:grand\s*total|total\s*due|total|tổng\s*cộng|tong\s*cong|tổng\s*tiền|tong\s*tien)\s*[:#-]?\s*([^\n|]+)')) AS p(kind, pattern)
+        WHERE regexp_matches(text, pattern, 'i'))),
+  ent AS (SELECT doc_id, page_number, min(line_no) AS line_no, entity_type, raw_value FROM every GROUP BY doc_id, page_number, entity_type, raw_value)
+"""
+DAY = "strftime(coalesce(try_strptime(raw_value, '%Y-%m-%d'), try_strptime(raw_value, '%d/%m/%Y'), try_strptime(raw_value, '%d-%m-%Y'), try_strptime(raw_value, '%m/%d/%Y')), '%Y-%m-%d')"
+
 SQL = {
+    "entities_documents": P + FOUND + "SELECT * FROM ent",
+    "entity_facts_summary": P + FOUND + ", " + BASE.removeprefix("WITH ") + f""", st AS (SELECT doc_id, entity_type, CASE WHEN entity_type IN ('MONEY', 'Subtotal', 'Grand_Total', 'PERCENT', 'VAT_Rate') OR (entity_type IN ('DATE', 'Date') AND {DAY} <> raw_value) THEN 'NORMALIZED' ELSE 'EXTRACTED' END AS status FROM ent
+        UNION ALL SELECT k, kind, upper(status) FROM f)
+      SELECT entity_type, status, count(*) AS n_facts, count(DISTINCT doc_id) AS n_docs FROM st GROUP BY entity_type, status""",
     "document_quality": BASE + "SELECT doc_id, c AS consistency, e AS semantic, CAST(1.0 AS DOUBLE) AS evidence_coverage, overall FROM dm",
     "document_diagnostics": BASE + """SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS blocks, count(DISTINCT CASE WHEN engine = 'tesseract' THEN page END) AS ocr_pages, CAST(0 AS BIGINT) AS low_confidence_cells,
       CASE WHEN any_value(t.n) > 0 THEN CAST(0.9 AS DOUBLE) END AS cell_confidence, coalesce(any_value(t.n), 0) AS tables FROM b LEFT JOIN (SELECT doc_id, count(*) AS n FROM tb GROUP BY doc_id) t USING (doc_id) GROUP BY doc_id""",

@@ -117,6 +117,9 @@ SQL = {
     "multiline_collapse": CELLS + """, p AS (SELECT *, CASE WHEN row_idx % 10 = 1 THEN 0 ELSE 1 END AS fresh FROM arr),
       g AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY table_id ORDER BY row_idx) AS BIGINT) AS item_no FROM p)
       SELECT table_id, item_no, string_agg(cells[1], chr(10) ORDER BY row_idx) AS description, arg_min(cells[2], row_idx) AS quantity FROM g GROUP BY table_id, item_no""",
+    "typed_cells": CELLS + r""", t AS (SELECT *, regexp_replace(text, '[^0-9,.-]', '', 'g') AS c FROM cells), n AS (SELECT *, CASE WHEN regexp_full_match(c, '[-+]?[0-9][0-9.,]*') THEN CAST(replace(c, ',', '') AS DOUBLE) END AS x FROM t)
+      SELECT table_id, col_idx, round(sum(x), 2) AS total, count_if(x IS NULL) AS n_texts, count_if(regexp_full_match(replace(text, ' ', ''), '[-+]?[0-9][0-9.,]*')) AS n_numbers, count_if(regexp_full_match(replace(text, ' ', ''), '[-+]?[0-9]+([.,][0-9]+)?')) AS n_plain
+      FROM n GROUP BY table_id, col_idx""",
     "header_hierarchy": PARTS + " SELECT table_id, col_idx, last_value(CASE WHEN p_partkey % 3 = 0 THEN p_type END IGNORE NULLS) OVER (PARTITION BY table_id ORDER BY col_idx ROWS UNBOUNDED PRECEDING) AS parent, nullif(trim(p_name), '') AS child FROM p",
     "unique_headers": PARTS + """, b AS (SELECT table_id, col_idx, CASE WHEN p_partkey % 7 = 0 THEN 'Column ' || col_idx ELSE p_type END AS base FROM p),
       r AS (SELECT *, row_number() OVER (PARTITION BY table_id, base ORDER BY col_idx) AS n FROM b)
