@@ -138,14 +138,18 @@ def remaining(open_tasks: DataFrame, verified: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_tasks"), F.count("verified").alias("n_verified"), (F.count("*") - F.count("verified")).alias("remaining"), F.count_if(F.col("priority") == "high").alias("n_high"))
 
 
+def mean_of_four(total: Column, n: Column) -> Column:
+    """A mean to four decimals, halves rounded up, from a sum in units of the fourth decimal: whole numbers, so that it is the same everywhere. Null of nothing."""
+    return F.floor((2 * total + n) / F.nullif(2 * n, F.lit(0))) / 10000
+
+
 def dimensions(found: DataFrame, coverage: DataFrame, known: DataFrame, source: float = 1.0, ocr: float = 1.0, layout: float = 1.0) -> DataFrame:
     """(doc_id, consistency, semantic, evidence_coverage, overall): the share of valid results, the mean confidence of facts, the coverage, and the mean of all six dimensions that are known."""
-    valid = found.groupBy("doc_id").agg(F.round(F.count_if(F.col("status") == "valid") / F.count("*"), 4).alias("consistency"))
-    mean = known.groupBy("doc_id").agg(F.round(F.avg("confidence"), 4).alias("semantic"))
+    valid = found.groupBy("doc_id").agg(mean_of_four(F.count_if(F.col("status") == "valid") * 10000, F.count("*")).alias("consistency"))
+    mean = known.groupBy("doc_id").agg(mean_of_four(F.sum(F.round(F.col("confidence") * 10000).cast("long")), F.count("confidence")).alias("semantic"))
     rows = valid.join(mean, "doc_id", "left").join(coverage.select("doc_id", F.col("coverage").alias("evidence_coverage")), "doc_id", "left").fillna(0.0, ["evidence_coverage"])
     known_ = F.array_compact(F.array(F.lit(source), F.lit(ocr), F.lit(layout), "semantic", "consistency", "evidence_coverage"))
-    rows = rows.withColumns({"__n": F.size(known_), "__sum": F.aggregate(known_, F.lit(0).cast("long"), lambda s, x: s + F.round(x * 10000).cast("long"))})  # in units of the fourth decimal
-    return rows.withColumn("overall", F.expr("(2 * __sum + __n) div (2 * __n)") / 10000).drop("__n", "__sum")
+    return rows.withColumn("overall", mean_of_four(F.aggregate(known_, F.lit(0).cast("long"), lambda s, x: s + F.round(x * 10000).cast("long")), F.size(known_)))
 
 
 def result_metadata(files: DataFrame, tables: DataFrame, cells: DataFrame, known: DataFrame, edges: DataFrame, found: DataFrame, open_tasks: DataFrame, quality: DataFrame) -> DataFrame:

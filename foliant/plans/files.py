@@ -286,7 +286,7 @@ BASE = """WITH o AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) // 100
   bad AS (SELECT DISTINCT doc_id FROM tasks WHERE reason = 'arithmetic_conflict'),
   ft AS (SELECT * REPLACE (CASE WHEN doc_id IN (SELECT doc_id FROM bad) THEN 'conflicting' ELSE status END AS status) FROM f),
   ed AS (SELECT a.doc_id, a.no AS a, z.no AS z, a.page AS ap, a.line AS al, z.page AS zp, z.line AS zl, least(a.conf, z.conf) AS confidence, '[' || a.evidence || ',' || z.evidence || ']' AS evidence FROM f a JOIN f z ON a.doc_id = z.doc_id WHERE a.kind = 'INVOICE_NUMBER' AND z.kind = 'MONEY'),
-  dm AS (SELECT doc_id, c, e, ((2 * (40000 + CAST(round(c * 10000) AS BIGINT) + CAST(round(e * 10000) AS BIGINT)) + 6) // 12) / 10000 AS overall FROM (SELECT doc_id, round(count_if(status = 'valid') / count(*), 4) AS c FROM res GROUP BY doc_id) JOIN (SELECT doc_id, round(avg(conf), 4) AS e FROM f GROUP BY doc_id) USING (doc_id)),
+  dm AS (SELECT doc_id, c, e, ((2 * (40000 + CAST(round(c * 10000) AS BIGINT) + CAST(round(e * 10000) AS BIGINT)) + 6) // 12) / 10000 AS overall FROM (SELECT doc_id, (20000 * count_if(status = 'valid') + count(*)) // (2 * count(*)) / 10000 AS c FROM res GROUP BY doc_id) JOIN (SELECT doc_id, (2 * sum(CAST(round(conf * 10000) AS BIGINT)) + count(*)) // (2 * count(*)) / 10000 AS e FROM f GROUP BY doc_id) USING (doc_id)),
   nt AS (SELECT doc_id, coalesce(n, 0) AS n FROM (SELECT DISTINCT doc_id FROM pg) LEFT JOIN (SELECT doc_id, count(*) AS n FROM tasks GROUP BY doc_id) USING (doc_id)),
   nf AS (SELECT doc_id, count(*) AS nf FROM f GROUP BY doc_id), ne AS (SELECT doc_id, count(*) AS ne FROM ed GROUP BY doc_id),
   au AS (SELECT doc_id, 'document' AS kind, NULL AS page, 'state' AS object_id, CASE WHEN n > 0 THEN 'review_required' ELSE 'ready' END AS raw, overall AS confidence, 'pipeline' AS engine,
