@@ -36,14 +36,14 @@ def delete_on_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files are removed when the application ends.
+    The files are removed when the application ends. ``compression``: the session's, unless given.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     delete_on_exit(spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._foliant_path = path

@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, schedules=RAMPS
     texts; they are joined with it once, by the number of their row.
     """
     own = [F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(docs.columns)]  # whatever their names, they clash with none here
-    rows = stored(docs.select(*own, F.monotonically_increasing_id().alias("__number")))
+    rows = stored(docs.select(*own, F.monotonically_increasing_id().alias("__number")), "zstd")
     needed = [F.col(f"x{docs.columns.index(c)}").alias(c) for c in ("doc_id", "source", "text")]
     plan = plan_mix(rows.select(*needed, "__number"), weights, max_epochs, schedules, keep=["__number"])
     copies = (F.col("epochs") + F.when((F.col("part") * 2 >= F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).cast("int")
