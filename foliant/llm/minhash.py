@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm import tokens
 from foliant.llm.arrow import result, slices
 from foliant.llm.common import WORD, batch_words, gram_hashes, mix, stored
 from foliant.llm.components import components
@@ -81,6 +82,7 @@ def describe(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
+        tokens.forget()  # a worker that lives on holds the vocabulary and pieces of an operator before this one
         for b in slices(batches, "text"):
             flat, n = hashed_sets(b["text"])
             ends = np.cumsum(n)
@@ -109,8 +111,9 @@ def compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("linked", pa.bool_())])
 
     def confirm(batches):
+        tokens.forget()
         held, own = None, set()
-        for b in batches:
+        for b in slices(batches, "text_b"):
             out = []
             for x, y, left, right in zip(*(b[c].to_pylist() for c in ("a", "b", "text_a", "text_b"))):
                 if held != x:

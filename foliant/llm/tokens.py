@@ -182,3 +182,8 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Give back what the worker's encoders hold; those that are needed again load their vocabulary anew."""
+    _ENCODERS.clear()
