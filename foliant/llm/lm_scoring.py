@@ -1,10 +1,14 @@
 """LM scoring by cross-entropy difference.
 
-Two word-bigram models of one form, one of the target texts and one of the background (all documents), share one vocabulary: all
-words of all documents. They are matched: both mix the same estimates with the same weights, whatever their sizes.
+Two word-bigram models of one form, one of the target texts and one of the background (all documents), share one vocabulary, all words of all
+documents, and one base distribution b. They are matched: the background's counts are scaled by s, so that both models have the target's number of tokens.
 
-    u(w)     = (1 - FLOOR) * count(w) / total + FLOOR / types
-    p(w | v) = MIX * pairs(v, w) / count(v) + (1 - MIX) * u(w);     u(w) alone where the model never saw v
+    b(w)     = (1 - FLOOR) * count(w) / total + FLOOR / types                      of all documents
+    u(w)     = (s * count(w) + UNIGRAM * b(w)) / (s * total + UNIGRAM)             s = 1 for the target, its tokens over all tokens for the background
+    p(w | v) = (s * pairs(v, w) + CONTEXT * u(w)) / (s * count(v) + CONTEXT)
+
+So how much a context's own pairs count depends on how often it was seen. A document is never scored by its own counts: they are taken off both models, as far
+as it is in them, and off b. So what a score says is what a text is like, not whether it was among the target texts.
 
 All counts are exact, cover all documents and grow with them. Texts are put into blocks of about BLOCK_BYTES. A block's distinct
 words and pairs, by 64-bit hashes, are sorted and cut into ranges, as many as the corpus has BUCKET_BYTES; a range of all blocks is
@@ -12,8 +16,8 @@ added up in one task, which tells each block the counts of the whole corpus wher
 in its range, so none weighs on one task. A block's texts and counts then meet in one task and give the losses. Nothing is broadcast. A document's score is the mean over its tokens of loss under the target
 minus loss under the background: the lower, the more it is like the target.
 
-Defined results: null and empty texts have 0 tokens and null losses; a target with no texts leaves the uniform
-distribution; repeated rows each get their row; an empty table gives an empty table. Of 10**9 different words and pairs,
+Defined results: null and empty texts have 0 tokens and null losses; a target with no texts leaves the base
+distribution, and differences of 0; repeated rows each get their row; an empty table gives an empty table. Of 10**9 different words and pairs,
 two share a hash with a probability of 3 %; their counts are then added.
 """
 
@@ -30,7 +34,7 @@ from foliant.llm.arrow import slices, sums
 from foliant.llm.common import U64, batch_words, free_shuffles, mix, stored
 
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
-MIX, FLOOR = 0.7, 0.05
+FLOOR, UNIGRAM, CONTEXT = 0.05, 1000.0, 10.0
 #: Stands before the first word of a text.
 BEGIN = U64(0)
 PAIR = U64(0x9FB21C651E98DF25)
@@ -80,7 +84,7 @@ class Grams:
         before, filled = np.concatenate(([BEGIN], token))[: len(token)], np.diff(self.starts) > 0
         before[self.starts[:-1][filled]] = BEGIN
         self.word, self.pair, self.before = key_of_words(token), key_of_pairs(before, token), key_of_words(before)
-        target = self.table["is_target"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        self.target = target = self.table["is_target"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
         begin, wanted = key_of_words(np.array([BEGIN])), np.repeat(target, np.diff(self.starts))
         self.keys, self.n = np.unique(np.concatenate((self.word, self.pair, np.repeat(begin, filled.sum()))), return_counts=True)
         found, n = np.unique(np.concatenate((self.word[wanted], self.pair[wanted], np.repeat(begin, (filled & target).sum()))), return_counts=True)
@@ -143,6 +147,12 @@ def counted(grams: DataFrame) -> DataFrame:
     return grams.groupBy("bucket").applyInArrow(add_up, "block long, bucket int, elsewhere binary, n binary, n_target binary, types long, total long, total_target long")
 
 
+def own_counts(text: np.ndarray, key: np.ndarray, n_keys: int) -> np.ndarray:
+    """How often each token's key occurs in its own text."""
+    _, at, n = np.unique(text * n_keys + key, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 def lm_scores(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per document: doc_id, n_tokens, loss_target, loss_background, loss_difference. ``target_ids``: doc_id of target texts.
 
@@ -167,11 +177,16 @@ def lm_scores(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_B
             here = cuts[bucket] + np.flatnonzero(np.unpackbits(np.frombuffer(more, np.uint8), count=cuts[bucket + 1] - cuts[bucket]))
             n[here], n_target[here] = from_planes(all_, "<i8"), from_planes(all_target, "<i8")
         of_word, of_before, of_pair = (np.searchsorted(g.keys, x) for x in (g.word, g.before, g.pair))
-        n_tokens, losses = np.diff(g.starts), []
-        for count, all_ in ((n_target, total_target), (n, total)):
-            single = (1 - FLOOR) * count[of_word] / all_ + FLOOR / types if all_ else np.full(len(of_word), 1 / max(types, 1))
-            context = count[of_before]
-            p = np.where(context > 0, MIX * count[of_pair] / np.maximum(context, 1) + (1 - MIX) * single, single)
+        n_tokens = np.diff(g.starts)
+        text, size = np.repeat(np.arange(len(n_tokens)), n_tokens), np.repeat(n_tokens, n_tokens)
+        word, pair = own_counts(text, of_word, len(g.keys)), own_counts(text, of_pair, len(g.keys))
+        before = np.concatenate(([1], word))[: len(word)]  # a text's beginning is there once
+        before[g.starts[:-1][n_tokens > 0]] = 1
+        mine, losses = g.target[text], []
+        base = (1 - FLOOR) * (n[of_word] - word) / np.maximum(total - size, 1) + FLOOR / max(types, 1)
+        for count, all_, part, scale in ((n_target, total_target, mine, 1.0), (n, total, 1, total_target / max(total, 1))):
+            single = (scale * (count[of_word] - part * word) + UNIGRAM * base) / (scale * (all_ - part * size) + UNIGRAM)
+            p = (scale * (count[of_pair] - part * pair) + CONTEXT * single) / (scale * (count[of_before] - part * before) + CONTEXT)
             losses.append(sums(-np.log(p), g.starts) / np.maximum(n_tokens, 1))
         none = n_tokens == 0
         return pa.table([g.table["doc_id"], pa.array(n_tokens), *[pa.array(x, mask=none) for x in losses]], schema=schema)

@@ -282,18 +282,25 @@ def test_quality_classifier(spark, empty):
 
 
 def lm_losses(target, rows):
-    """Per row the losses under the target's and all rows' model, by plain counting."""
-    models, types = [], len({w for d in rows for w in d})
-    for own in (target, rows):
-        two, one = collections.Counter(p for d in own for p in zip(["<s>", *d], d)), collections.Counter(w for d in own for w in (["<s>"] if d else []) + d)
-        models.append((two, one, sum(map(len, own))))
-
-    def loss(model, v, w):
-        two, one, total = model
-        single = 0.95 * one[w] / total + 0.05 / types if total else 1 / types
-        return -np.log(0.7 * two[v, w] / one[v] + 0.3 * single if one[v] else single)
-
-    return [[np.mean([loss(m, v, w) for v, w in zip(["<s>", *d], d)]) for m in models] if d else None for d in rows]
+    """Per row the losses under the target's and all rows' model, by plain counting. ``target``: places in ``rows``."""
+    count = lambda ds: (collections.Counter(p for d in ds for p in zip(["<s>", *d], d)), collections.Counter(w for d in ds for w in (["<s>"] if d else []) + d), sum(map(len, ds)))
+    models, types = (count([rows[k] for k in target]), count(rows)), len({w for d in rows for w in d})
+    scales = 1.0, models[0][2] / max(models[1][2], 1)
+    out = []
+    for k, d in enumerate(rows):
+        two, one, _ = own = count([d])
+        losses = []
+        for m, ((pairs, words, total), scale) in enumerate(zip(models, scales)):
+            off = own if m or k in target else (collections.Counter(), collections.Counter(), 0)
+
+            def loss(v, w):
+                base = 0.95 * (models[1][1][w] - one[w]) / max(models[1][2] - len(d), 1) + 0.05 / types
+                single = (scale * (words[w] - off[1][w]) + 1000 * base) / (scale * (total - off[2]) + 1000)
+                return -np.log((scale * (pairs[v, w] - off[0][v, w]) + 10 * single) / (scale * (words[v] - off[1][v]) + 10))
+
+            losses.append(np.mean([loss(v, w) for v, w in zip(["<s>", *d], d)]) if d else None)
+        out.append(losses if d else None)
+    return out
 
 
 @pytest.mark.parametrize("size", [1 << 10, 1 << 24])
@@ -302,12 +309,24 @@ def test_lm_scoring(spark, empty, size):
     text = {r.doc_id: (r.text or "").split() for r in docs.collect()}
     good = {r.doc_id for r in lm_scoring.good_documents(labels).collect()}
     got = {g.doc_id: g for g in lm_scoring.lm_scores(docs, lm_scoring.good_documents(labels), size, size).collect()}
-    for (i, words), want in zip(text.items(), lm_losses([d for i, d in text.items() if i in good], list(text.values()))):
+    for (i, words), want in zip(text.items(), lm_losses({k for k, i in enumerate(text) if i in good}, list(text.values()))):
         g = got.pop(i)
         assert g.n_tokens == len(words) and (g.loss_target, g.loss_background) == (pytest.approx(want) if words else (None, None))
     assert not got and lm_scoring.lm_scores(empty, labels).count() == 0
-    uniform = lm_scoring.lm_scores(docs, labels.select("doc_id").limit(0)).filter("n_tokens > 0").select("loss_target").distinct().collect()
-    assert list({round(r.loss_target, 9) for r in uniform}) == [round(np.log(len({w for d in text.values() for w in d})), 9)]
+    none = lm_scoring.lm_scores(docs, labels.select("doc_id").limit(0)).filter("n_tokens > 0").agg(F.max(F.abs("loss_difference")).alias("most"), F.count("*").alias("n")).head()
+    assert none.most < 1e-9 and none.n == sum(map(bool, text.values()))
+
+
+def test_lm_scoring_tells_good_texts_apart_seen_or_not(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64(F.lit("lm"), "doc_id"), F.lit(2)) == 0
+    scores = lm_scoring.lm_scores(docs, lm_scoring.good_documents(labels).filter(half))
+    rows = scores.join(labels, "doc_id").filter("n_tokens > 20").select("quality", "toxic", half.alias("seen"), "loss_difference").collect()
+    of = lambda *k: np.array([r.loss_difference for r in rows if (r.quality, r.toxic, r.seen) == k])
+    seen, unseen, poor = of(1, 0, True), of(1, 0, False), np.concatenate([of(0, t, s) for t in (0, 1) for s in (True, False)])
+    auc = np.mean([np.mean(unseen < x) + np.mean(unseen == x) / 2 for x in poor])
+    print("medians", np.median(seen), np.median(unseen), np.median(poor), "AUC", auc)
+    assert abs(np.median(seen) - np.median(unseen)) < 0.1 and auc > 0.7
 
 
 def test_lm_scoring_counts_every_pair_and_word(spark):
@@ -316,7 +335,7 @@ def test_lm_scoring_counts_every_pair_and_word(spark):
     rows = [(k, " ".join(f"w{x}" for x in own)) for k, own in enumerate(words)] + [(3, " "), (None, "w1 w2"), (7, "w1\x0bw2")]
     split = [t.split() for _, t in rows]
     assert len({w for d in split for w in d}) > 60_000 and len({p for d in split for p in zip(d, d[1:])}) > 1 << 20
-    want = collections.Counter((i, len(d), *([round(x, 7) for x in loss] if loss else (None, None))) for (i, _), d, loss in zip(rows, split, lm_losses([d for k, d in enumerate(split[:1500]) if k % 3 == 0 and k != 3], split)))
+    want = collections.Counter((i, len(d), *([round(x, 7) for x in loss] if loss else (None, None))) for (i, _), d, loss in zip(rows, split, lm_losses({k for k in range(0, 1500, 3) if k != 3}, split)))
     got = lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in range(0, 1500, 3) if k not in (3, 7)] + [(None,)], "doc_id long"), 1 << 20)
     have = collections.Counter((g.doc_id, g.n_tokens, *([round(g.loss_target, 7), round(g.loss_background, 7)] if g.n_tokens else (None, None))) for g in got.collect())
     assert len(want) == len(have) and all(abs(x[2] - y[2]) < 1e-6 for x, y in zip(sorted(k for k in want if k[1] > 2), sorted(k for k in have if k[1] > 2)))
