@@ -199,19 +199,32 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = END, terminals
     ordered.mapInArrow(shards, SQL_SCHEMA).write.parquet(path)
 
 
-def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of some documents: shards whose range of ids can't hold one are passed over by Parquet's statistics, and only their symbols are expanded."""
-    wanted = sorted(set(doc_ids))
+def id_ranges(ids: np.ndarray, most: int = 64) -> list[tuple[int, int]]:
+    """Sorted ids as at most so many ranges, cut at their widest gaps."""
+    if not len(ids):
+        return []
+    gaps = (ids[1:].astype(np.float64) - ids[:-1].astype(np.float64)) if len(ids) > 1 else np.zeros(0)
+    cut = np.sort(np.argsort(gaps)[::-1][: most - 1]) + 1
+    return [(int(part[0]), int(part[-1])) for part in np.split(ids, cut)]
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """(doc_id, ids) of some documents, null ids too: shards that can't hold one are passed over by Parquet's statistics (see id_ranges), and only wanted documents' symbols are expanded."""
+    wanted = np.unique(np.array([NULL_ID if d is None else d for d in doc_ids], np.int64))
     near = F.lit(False)
-    for d in wanted:
-        near = near | ((F.col("first_id") <= d) & (F.col("last_id") >= d))
+    for low, high in id_ranges(wanted):
+        near = near | ((F.col("first_id") <= high) & (F.col("last_id") >= low))
+    shared = spark.sparkContext.broadcast(wanted)
 
     def look_up(batches):
         for b in batches:
-            for row in b.to_pylist():
-                s = Shard.read(row)
-                here = np.flatnonzero(np.isin(s.doc_ids, wanted))
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[here]), pa.array([s.document(k).astype(np.int32) for k in here], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for k in range(b.num_rows):
+                low, high = (np.searchsorted(shared.value, b[c][k].as_py(), side) for c, side in (("first_id", "left"), ("last_id", "right")))
+                if low == high:
+                    continue
+                s = Shard.read(b.slice(k, 1).to_pylist()[0])
+                here = np.flatnonzero(np.isin(s.doc_ids, shared.value[low:high]))
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[here], mask=s.doc_ids[here] == NULL_ID), pa.array([s.document(k).astype(np.int32) for k in here], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return spark.read.schema(SQL_SCHEMA).parquet(path).filter(near).mapInArrow(look_up, "doc_id long, ids array<int>")
 

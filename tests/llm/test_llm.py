@@ -134,6 +134,16 @@ def test_token_files(spark, docs, rows, empty):
     assert token_files.read(spark, f"{folder}/none").count() == 0
     some = token_files.read_documents(spark, f"{folder}/some", [rows[5][0], rows[12][0], 10**9]).collect()
     assert {(g.doc_id, tuple(g.ids)) for g in some} == {k for k in want if k[0] in (rows[5][0], rows[12][0])}
+    many = token_files.read_documents(spark, f"{folder}/some", [*range(1, 20_000, 2), None]).collect()
+    assert {(g.doc_id, tuple(g.ids)) for g in many} == {k for k in want if k[0] % 2}
+    token_files.write(docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))), f"{folder}/nulls", path, shard_ids=500)
+    lost = collections.Counter((g.doc_id, tuple(g.ids)) for g in token_files.read_documents(spark, f"{folder}/nulls", [None, 6]).collect())
+    expected = collections.Counter()
+    for (i, ids), n in want.items():
+        expected[i if i % 2 == 0 else None, ids] += n if i % 2 or i == 6 else 0
+    assert lost == +expected and lost.total() > 5
+    assert token_files.id_ranges(np.array([1, 2, 3, 50, 51, 900]), 3) == [(1, 3), (50, 51), (900, 900)] and token_files.id_ranges(np.array([], np.int64)) == []
+    assert token_files.read_documents(spark, f"{folder}/some", []).count() == 0
 
 
 def test_pieces_give_the_ids_of_whole_texts():
