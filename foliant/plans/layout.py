@@ -12,6 +12,7 @@ from foliant.operators import folds
 from foliant.operators import layout as LY
 from foliant.plans import tables as TP
 from foliant.plans.documents import P, docs, lines, pages
+from foliant.sources.kept import kept
 from foliant.sources.tables import table
 
 
@@ -70,7 +71,7 @@ def structures(spark, d):
 
 def golden(spark, d):
     """Order tables as golden cases: what was found misses some cells, merged cells and headers."""
-    want = TP.cells(spark, d).withColumnRenamed("table_id", "case_id")
+    want = kept(TP.cells(spark, d).withColumnRenamed("table_id", "case_id"))  # every share reads them
     wrong = (F.col("case_id") + F.col("row_idx") + F.col("col_idx")) % 11 == 0
     found = want.withColumn("text", F.when(wrong, F.concat("text", F.lit("x"))).otherwise(F.concat(F.lit("  "), F.upper("text"))))
     cases = want.select("case_id").distinct()
