@@ -114,3 +114,20 @@ def parse_options(text: Column) -> Column:
     """Options as a map of strings; what isn't a JSON object gives an empty one."""
     broken = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
     return F.when(F.size(broken) > 0, F.from_json(text, "map<string,string>")).otherwise(F.create_map().cast("map<string,string>"))
+
+
+def iso_time(moment: Column) -> Column:
+    """A time (the session's zone is taken to be UTC) in ISO 8601 with its offset; microseconds only where there are some."""
+    whole = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
+    micro = F.date_format(moment, "SSSSSS")
+    return F.concat(whole, F.when(micro != "000000", F.concat(F.lit("."), micro)).otherwise(""), F.lit("+00:00"))
+
+
+def parse_iso(text: Column) -> Column:
+    """The time that an ISO 8601 text with an offset, or with Z, names; null where it is none."""
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?([+-]\d\d:\d\d|Z)$"), F.try_to_timestamp(text))
+
+
+def json_safe(value: Column) -> Column:
+    """A value as JSON with its nulls, whatever is inside; numbers that JSON hasn't (NaN, infinities) become null, dates ISO texts."""
+    return F.regexp_replace(F.to_json(value, {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}), r'(?<=[:\[,])"(?:NaN|Infinity|-Infinity)"(?=[,\]}])', "null")

@@ -25,3 +25,9 @@ def best_of(rows: DataFrame, key: list[str], score: str, order: str) -> DataFram
     """The row with the best score of each key; the first in order on a tie."""
     w = Window.partitionBy(*key).orderBy(F.col(score).desc(), order)
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def job_of(jobs: DataFrame, job_id, owner=None, key: str = "job_id", owner_column: str = "user_id") -> DataFrame:
+    """One job by its id, and only if it is the owner's where one is given; equality filters, which reach the scan."""
+    rows = jobs.filter(F.col(key) == job_id)
+    return rows if owner is None else rows.filter(F.col(owner_column) == owner)

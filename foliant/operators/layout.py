@@ -16,6 +16,13 @@ def box_of_all() -> list[Column]:
     return [F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom")]
 
 
+def box_measures() -> dict[str, Column]:
+    """Width and height of x0, top, x1, bottom, 0 at least, and the box to two decimals as a list."""
+    sides = [F.col(c).cast("double") for c in ("x0", "top", "x1", "bottom")]
+    x0, top, x1, bottom = sides
+    return {"width": F.greatest(F.lit(0.0), x1 - x0), "height": F.greatest(F.lit(0.0), bottom - top), "box": F.array(*[F.round(s, 2) for s in sides])}
+
+
 def line_numbers(top: np.ndarray, gap: float) -> np.ndarray:
     """The line, from 1, of each word of a page in their order from the top: one that lies more than ``gap`` off the first word of the line begins a new one."""
     out, anchor, n = np.empty(len(top), np.int32), None, 0

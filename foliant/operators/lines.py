@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import clean
+from foliant.functions.text import clean, is_noise
 
 LINES_A_PAGE = 40
 
@@ -75,3 +75,12 @@ def page_breaks(lines: DataFrame) -> DataFrame:
     marked = lines.withColumn("new_page", F.coalesce(F.lag("page_number").over(w) != F.col("page_number"), F.lit(True)))
     heads = marked.filter("new_page").select("doc_id", "page_number", "line_no", F.lit(0).alias("kind"), F.concat(F.lit("--- Page "), "page_number", F.lit(" ---")).alias("value"))
     return heads.unionByName(marked.select("doc_id", "page_number", "line_no", F.lit(1).alias("kind"), F.col("text").alias("value")))
+
+
+def flagged_blocks(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (with text) and is_noise, so that what is left out can be looked at; ``filter_blocks`` gives the others."""
+    return blocks.withColumn("is_noise", is_noise(F.col("text")))
+
+
+def filter_blocks(blocks: DataFrame) -> DataFrame:
+    return flagged_blocks(blocks).filter(~F.col("is_noise"))

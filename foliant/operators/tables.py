@@ -62,6 +62,32 @@ def collapse_lines(rows: DataFrame) -> DataFrame:
     return items.select("table_id", "item_no", F.array_join(F.transform("held", lambda r: r["cells"][0]), "\n").alias("description"), F.col("held")[0]["cells"].alias("cells"))
 
 
+def numbered_names(row: Column) -> Column:
+    """Names of a header row: blanks by their place, the second and later ones of a name with a count."""
+    names = F.transform(row, lambda x, k: F.coalesce(F.nullif(clean(x), F.lit("")), F.concat(F.lit("Column "), (k + 1).cast("string"))))
+    many = lambda x, k: F.size(F.filter(F.slice(names, 1, k + 1), lambda y: y == x))
+    return F.transform(names, lambda x, k: F.when(many(x, k) == 1, x).otherwise(F.concat(x, F.lit(" ("), many(x, k).cast("string"), F.lit(")"))))
+
+
+def normalized(rows: DataFrame) -> DataFrame:
+    """Whole tables as they are worked on: (table_id, rows), the header first, its names made unique, then the lines under it.
+
+    ``rows``: table_id, row_idx, cells. Rows are cleaned and filled up, empty ones go; the header is the first of the first three rows that is half full; rows above it and rows that repeat
+    it but for case go; rows with a description alone join the one before.
+    """
+    kept = with_header(pad_rows(rows)).filter("row_idx >= header_idx").withColumn("header", numbered_names(F.col("header")))
+    is_head = F.col("row_idx") == F.col("header_idx")
+    kept = kept.withColumn("cells", F.when(is_head, F.col("header")).otherwise(F.col("cells"))).filter(is_head | (F.transform("cells", F.lower) != F.transform("header", F.lower)))
+    items = collapse_lines(kept.select("table_id", "row_idx", "cells"))
+    row = F.concat(F.array("description"), F.slice("cells", F.lit(2), F.size("cells")))
+    return items.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_no", row.alias("row")))), lambda r: r["row"]).alias("rows"))
+
+
+def header_repeated(rows: Column) -> Column:
+    """Whether a later row of a table (an array of rows, the header first) equals its header."""
+    return F.when(F.size(rows) > 1, F.exists(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(1))), lambda r: r == F.get(rows, F.lit(0)))).otherwise(False)
+
+
 def header_hierarchy(rows: DataFrame) -> DataFrame:
     """Two header rows as cells (table_id, col_idx, parent, child): an empty parent takes the one to its left."""
     w = Window.partitionBy("table_id").orderBy("col_idx").rowsBetween(Window.unboundedPreceding, 0)

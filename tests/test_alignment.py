@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, StringContains
 
-from foliant.functions import page_ranges
+from foliant.functions import page_ranges, values
 from foliant.functions.text import header_key
-from foliant.operators import grids, headers, layout, tables
+from foliant.operators import grids, headers, jobs, layout, lines, profile, tables
 from foliant.plans import tables as table_plans
 from foliant.sources.landing import FilteredLandingReader, LandingSource
 from foliant.sources.tables import table
@@ -125,3 +125,37 @@ def test_page_ranges(spark):
     spark.createDataFrame(rows, "doc_id long, ranges string, n_pages int").createOrReplaceTempView("wanted")
     got = [tuple(r) for r in spark.sql("SELECT * FROM page_ranges(TABLE(wanted)) ORDER BY doc_id, page").collect()]
     assert [g[:2] for g in got] == [(1, 1), (1, 2), (1, 3), (2, None), (4, None), (5, None), (6, None)] and all(g[2] for g in got[3:]) and not any(g[2] for g in got[:3])
+
+
+def test_signals_of_pages(spark):
+    rows = [(1, 1, "x" * 30, 0, 0, 0), (1, 2, "short", 0, None, 9), (1, 3, None, 0, 0, 0), (2, 1, "", 1, 2, 0), (2, 2, "y" * 60, 3, 0, 0)]
+    s = profile.full_signals(spark.createDataFrame(rows, "doc_id int, page_number int, text string, images int, tables int, vectors int"))
+    got = {(r.doc_id, r.page_number): (r.native_text, r.image_heavy, r.blank, r.table_signal, r.warnings, r.ocr_recommended) for r in s.collect()}
+    assert got == {(1, 1): (True, False, False, False, [], False), (1, 2): (False, False, False, True, ["sparse_native_text"], True), (1, 3): (False, False, True, False, ["blank_page"], True),
+                   (2, 1): (False, True, False, True, ["image_heavy"], True), (2, 2): (True, True, False, False, ["image_heavy"], True)}
+    p = {r.doc_id: r for r in profile.full_profile(s).collect()}
+    assert (p[1].source_type, p[1].label, p[1].ocr_page_numbers, p[1].complexity_score, p[1].warnings) == ("mixed", "low", [2, 3], 6 + 5 + 4 + 20, ["low_native_text_quality_on_some_pages"])
+    assert (p[2].label, p[2].score, p[2].warnings) == ("low", 0.0, ["ocr_required_on_image_pages", "low_native_text_quality_on_some_pages"])
+
+
+def test_whole_tables(spark):
+    rows = [(1, 0, [None, " ", ""]), (1, 1, ["title"]), (1, 2, ["Item", "Qty", "Qty", ""]), (1, 3, ["a", "1", None, "x"]), (1, 4, [" more "]), (1, 5, ["ITEM", "QTY", "QTY (2)", "column 4"]), (1, 6, ["b", "2", "3"]), (2, 0, ["one"])]
+    got = {r.table_id: [list(x) for x in r.rows] for r in tables.normalized(spark.createDataFrame(rows, "table_id int, row_idx int, cells array<string>")).collect()}
+    assert got == {1: [["Item", "Qty", "Qty (2)", "Column 4"], ["a\nmore", "1", "", "x"], ["b", "2", "3", ""]], 2: [["one"]]}
+    again = spark.createDataFrame([([["a"], ["b"], ["a"]],), ([["a"]],), ([],)], "rows array<array<string>>").select(tables.header_repeated(F.col("rows")).alias("r")).collect()
+    assert [x.r for x in again] == [True, False, False]
+
+
+def test_times_and_json(spark):
+    d = spark.createDataFrame([("2026-01-02T03:04:05+00:00",), ("2026-01-02T03:04:05.120000+00:00",), ("2026-01-02T05:04:05+02:00",), ("2026-01-02T03:04:05Z",), ("2026-01-02",), ("x",), (None,)], "t string")
+    got = [r.s for r in d.select(values.iso_time(values.parse_iso(F.col("t"))).alias("s")).collect()]
+    assert got == ["2026-01-02T03:04:05+00:00", "2026-01-02T03:04:05.120000+00:00", "2026-01-02T03:04:05+00:00", "2026-01-02T03:04:05+00:00", None, None, None]
+    row = spark.range(1).select(values.json_safe(F.struct(F.lit(float("nan")).alias("a"), F.lit(None).cast("int").alias("b"), F.array(F.lit(1.5), F.lit(float("inf"))).alias("c"), F.lit('say "NaN"').alias("d"))).alias("j")).head()
+    assert row.j == '{"a":null,"b":null,"c":[1.5,null],"d":"say \\"NaN\\""}'
+
+
+def test_flags_and_lookup(spark):
+    b = spark.createDataFrame([(1, "@#$$%^^&&"), (2, "Invoice"), (3, None)], "k int, text string")
+    assert [r.is_noise for r in lines.flagged_blocks(b).orderBy("k").collect()] == [True, False, False] and [r.k for r in lines.filter_blocks(b).orderBy("k").collect()] == [2, 3]
+    j = spark.createDataFrame([("a", "u"), ("b", "v")], "job_id string, user_id string")
+    assert jobs.job_of(j, "a").count() == 1 == jobs.job_of(j, "a", "u").count() and jobs.job_of(j, "a", "v").count() == 0
