@@ -128,3 +128,77 @@ def test_golden_scores(spark):
 def test_settings(spark):
     both = spark.range(1).select(audit.merged_settings(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"))).alias("m")).first().m
     assert both == {"a": "1", "b": "3"}
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def order_tables(spark):
+    return [(r.doc_id, r.page, r.l_orderkey, [list(x) for x in r.rows]) for r in sorted(layout_plans.order_tables(spark, FOLDER).collect(), key=lambda r: (r.doc_id, r.page))]
+
+
+def test_overview_of_order_tables(spark):
+    held = {}
+    for doc, page, _, rows in order_tables(spark):
+        held.setdefault(doc, []).append((page, rows))
+    want = sorted((doc, ", ".join(map(str, range(a, z + 1))), len(rows) - 1, max(map(len, rows))) for doc, t in held.items() for a, z, rows in plain_parts(t))
+    assert sorted((r.doc_id, r.source_pages, r.n_rows, r.n_columns) for r in layout_plans.overview(spark, FOLDER).collect()) == want
+
+
+def test_routes_of_order_tables(spark):
+    keys = lambda row: [re.sub("[^a-z0-9]", "", x.lower()) for x in row]
+    width = lambda rows: folds.unit([sum(len(r[c].strip()) for r in rows) for c in range(3)])
+    want, groups, first = [], {}, {}
+    for doc, page, _, rows in order_tables(spark):
+        if first.setdefault(doc, page) == page:
+            want.append((doc, page, None))
+            continue
+        for name, other in groups.setdefault(doc, {}).items():
+            if tables.likeness(keys(other[0]), keys(rows[0]), width(other[1:] or other), width(rows[1:] or rows)) >= 0.78:
+                break
+        else:
+            name = "3:" + "|".join(" ".join(x.split()).lower() for x in rows[0])
+            groups[doc].setdefault(name, rows)
+        want.append((doc, page, name))
+    got = sorted(((r.doc_id, r.page, r.route) for r in layout_plans.QUERIES["table_routes"](spark, FOLDER).collect()), key=lambda r: r[:2])
+    assert got == want and len({r for *_, r in want}) > 5
+
+
+def test_merged_cells_of_order_tables(spark):
+    want = set()
+    for _, _, order, rows in order_tables(spark):
+        taken, at = set(), {(r, c): x for r, row in enumerate(rows) for c, x in enumerate(row)}
+        free = lambda r, c: (r, c) in at and not at[r, c] and (r, c) not in taken
+        for (r, c), x in sorted(at.items()):
+            if x:
+                n, m = 1, 1
+                while free(r, c + n):
+                    n += 1
+                while all(free(r + m, c + k) for k in range(n)):
+                    m += 1
+                if n * m > 1:
+                    want.add((order, r, c, m, n))
+                    taken |= {(r + i, c + k) for i in range(m) for k in range(n)}
+    assert {tuple(r) for r in layout_plans.merged_cells(spark, FOLDER).collect()} == want and want
+
+
+def test_visual_lines_of_order_words(spark):
+    pages = {}
+    for w in layout_plans.words(spark, FOLDER).select("doc_id", "top", "x0", "bottom", "text").collect():
+        pages.setdefault(w.doc_id, []).append(tuple(w)[1:])
+    want = set()
+    for doc, words in pages.items():
+        words.sort()
+        near, held = max(2.0, sorted(max(1.0, b - t) for t, _, b, _ in words)[len(words) // 2] * 0.45), []
+        for t, x, b, text in words:
+            centre = lambda line: sum((u + v) / 2 for u, _, v, _ in line) / len(line)
+            def overlap(line):
+                low, high = min(u for u, *_ in line), max(v for _, _, v, _ in line)
+                return max(0.0, min(high, b) - max(low, t)) / max(1.0, min(high - low, b - t))
+            fits = [line for line in held if overlap(line) >= 0.35 or abs(centre(line) - (t + b) / 2) <= near]
+            if fits:
+                min(fits, key=lambda line: abs(centre(line) - (t + b) / 2)).append((t, x, b, text))
+            else:
+                held.append([(t, x, b, text)])
+        want |= {(doc, 1, n, " ".join(w[3] for w in sorted(line, key=lambda w: w[1]))) for n, line in enumerate(held, 1)}
+    assert {tuple(r) for r in layout_plans.QUERIES["visual_lines"](spark, FOLDER).collect()} == want
