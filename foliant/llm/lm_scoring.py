@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from foliant.llm.arrow import slices, sums
 from foliant.llm.common import U64, batch_words, free_shuffles, mix, stored
 
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
 FLOOR, UNIGRAM, CONTEXT = 0.05, 1000.0, 10.0
+#: Tokens that are scored together.
+CHUNK = 1 << 16
 #: Stands before the first word of a text.
 BEGIN = U64(0)
 PAIR = U64(0x9FB21C651E98DF25)
@@ -142,6 +144,7 @@ def counted(grams: DataFrame) -> DataFrame:
             more = all_[mine] > n[start : start + len(part)]
             out.append((block, bucket, np.packbits(more).tobytes(), planes(all_[mine[more]]), planes(all_target[mine[more]]), *facts))
             facts, start = (0, 0, 0), start + len(part)
+        pa.default_memory_pool().release_unused()
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
     return grams.groupBy("bucket").applyInArrow(add_up, "block long, bucket int, elsewhere binary, n binary, n_target binary, types long, total long, total_target long")
@@ -153,6 +156,25 @@ def own_counts(text: np.ndarray, key: np.ndarray, n_keys: int) -> np.ndarray:
     return n[at]
 
 
+def losses(g: Grams, n: np.ndarray, n_target: np.ndarray, sizes: tuple[int, int, int], first: int, last: int) -> list[np.ndarray]:
+    """Mean losses under the target and under the background of the block's texts from ``first`` to before ``last``. ``n``, ``n_target``: counts of g.keys; ``sizes``: types, tokens, target tokens."""
+    types, total, total_target = sizes
+    starts = g.starts[first : last + 1]
+    own = slice(starts[0], starts[-1])
+    of_word, of_before, of_pair = (np.searchsorted(g.keys, x[own]) for x in (g.word, g.before, g.pair))
+    n_tokens = np.diff(starts)
+    text, size = np.repeat(np.arange(last - first), n_tokens), np.repeat(n_tokens, n_tokens)
+    word, pair = own_counts(text, of_word, len(g.keys)), own_counts(text, of_pair, len(g.keys))
+    before = np.concatenate(([1], word))[: len(word)]  # a text's beginning is there once
+    before[(starts[:-1] - starts[0])[n_tokens > 0]] = 1
+    base, out = (1 - FLOOR) * (n[of_word] - word) / np.maximum(total - size, 1) + FLOOR / max(types, 1), []
+    for count, all_, part, scale in ((n_target, total_target, g.target[first:last][text], 1.0), (n, total, 1, total_target / max(total, 1))):
+        single = (scale * (count[of_word] - part * word) + UNIGRAM * base) / (scale * (all_ - part * size) + UNIGRAM)
+        p = (scale * (count[of_pair] - part * pair) + CONTEXT * single) / (scale * (count[of_before] - part * before) + CONTEXT)
+        out.append(sums(-np.log(p), starts - starts[0]) / np.maximum(n_tokens, 1))
+    return out
+
+
 def lm_scores(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per document: doc_id, n_tokens, loss_target, loss_background, loss_difference. ``target_ids``: doc_id of target texts.
 
@@ -176,20 +198,13 @@ def lm_scores(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_B
         for bucket, more, all_, all_target in zip(*(found[c].to_pylist() for c in ("bucket", "elsewhere", "n", "n_target"))):
             here = cuts[bucket] + np.flatnonzero(np.unpackbits(np.frombuffer(more, np.uint8), count=cuts[bucket + 1] - cuts[bucket]))
             n[here], n_target[here] = from_planes(all_, "<i8"), from_planes(all_target, "<i8")
-        of_word, of_before, of_pair = (np.searchsorted(g.keys, x) for x in (g.word, g.before, g.pair))
         n_tokens = np.diff(g.starts)
-        text, size = np.repeat(np.arange(len(n_tokens)), n_tokens), np.repeat(n_tokens, n_tokens)
-        word, pair = own_counts(text, of_word, len(g.keys)), own_counts(text, of_pair, len(g.keys))
-        before = np.concatenate(([1], word))[: len(word)]  # a text's beginning is there once
-        before[g.starts[:-1][n_tokens > 0]] = 1
-        mine, losses = g.target[text], []
-        base = (1 - FLOOR) * (n[of_word] - word) / np.maximum(total - size, 1) + FLOOR / max(types, 1)
-        for count, all_, part, scale in ((n_target, total_target, mine, 1.0), (n, total, 1, total_target / max(total, 1))):
-            single = (scale * (count[of_word] - part * word) + UNIGRAM * base) / (scale * (all_ - part * size) + UNIGRAM)
-            p = (scale * (count[of_pair] - part * pair) + CONTEXT * single) / (scale * (count[of_before] - part * before) + CONTEXT)
-            losses.append(sums(-np.log(p), g.starts) / np.maximum(n_tokens, 1))
+        edges = np.unique(np.append(np.searchsorted(g.starts, np.arange(0, g.starts[-1], CHUNK)), len(n_tokens)))
+        parts = [losses(g, n, n_target, (types, total, total_target), a, z) for a, z in zip(edges[:-1], edges[1:])]
+        both = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0)] * 2
         none = n_tokens == 0
-        return pa.table([g.table["doc_id"], pa.array(n_tokens), *[pa.array(x, mask=none) for x in losses]], schema=schema)
+        pa.default_memory_pool().release_unused()
+        return pa.table([g.table["doc_id"], pa.array(n_tokens), *[pa.array(x, mask=none) for x in both]], schema=schema)
 
     scored = blocks.groupBy("block").cogroup(whole.drop("types", "total", "total_target").groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double")
     return scored.withColumn("loss_difference", F.col("loss_target") - F.col("loss_background"))
