@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: the score from which on a data set passes.
 PASS_FROM = 0.9
@@ -14,29 +17,34 @@ def normal(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")))
 
 
-def share_found(expected: DataFrame, found: DataFrame, keys: list[str], out: str, distinct: bool = True) -> DataFrame:
-    """(case_id, out): the share of a case's expected rows that ``found`` has too, over 1 at least."""
-    left = expected.select("case_id", *keys)
-    left = left.distinct() if distinct else left
-    right = found.select("case_id", *keys).distinct().withColumn("__hit", F.lit(1))
-    return left.join(right, ["case_id", *keys], "left").groupBy("case_id").agg((F.count("__hit") / F.greatest(F.count("*"), F.lit(1))).alias(out))
-
-
-def cell_accuracy(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """``expected``, ``found``: case_id, row_idx, col_idx, text."""
-    both = [d.withColumn("text", normal(F.col("text"))) for d in (expected, found)]
-    return share_found(*both, ["row_idx", "col_idx", "text"], "cell_accuracy", distinct=False)
+def exact_key(columns: list[str], rows: DataFrame) -> Column:
+    """The values of ``columns`` as one text, other values another text."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    part = lambda c: F.concat(F.length(c).cast("string"), F.lit("="), F.col(c)) if isinstance(kinds[c], StringType) else F.col(c).cast("string")
+    return F.concat_ws(":", *[F.coalesce(part(c), F.lit("-")) for c in columns])
 
 
 def case_scores(cases: DataFrame, cells: tuple, spans: tuple, headers: tuple) -> DataFrame:
-    """Per case the three shares and their mean; each pair is (expected, found). A share of nothing expected is 0."""
-    parts = [cell_accuracy(*cells), share_found(*spans, ["row", "col", "row_span", "col_span"], "merged_cell_recall"), share_found(*headers, ["parent", "child"], "header_accuracy", distinct=False)]
-    names = ["cell_accuracy", "merged_cell_recall", "header_accuracy"]
-    rows = cases.select("case_id")
-    for p in parts:
-        rows = rows.join(p, "case_id", "left")
-    rows = rows.select("case_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
-    return rows.select("case_id", *[F.round(n, 4).alias(n) for n in names], F.round(sum((F.col(n) for n in names[1:]), F.col(names[0])) / 3, 4).alias("structural_accuracy"))
+    """Per case the shares of its expected rows that were found too, and their mean; each pair is (expected, found). A share of nothing expected is 0.
+
+    ``cases``: case_id, each once; ``cells``: case_id, row_idx, col_idx, text. Spans count once, cells and headers as often as they are expected; a null is like nothing.
+    Expected and found rows meet in a sum by case and key, so that nothing is joined or broadcast.
+    """
+    cells = tuple(d.withColumn("text", normal(F.col("text"))) for d in cells)
+    shares = (("cell_accuracy", cells, ["row_idx", "col_idx", "text"], False), ("merged_cell_recall", spans, ["row", "col", "row_span", "col_span"], True), ("header_accuracy", headers, ["parent", "child"], False))
+    names = [name for name, *_ in shares]
+    rows = cases.select("case_id", F.lit(-1).alias("part"), F.lit("").alias("key"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("hit"))
+    for k, (_, pair, keys, _) in enumerate(shares):
+        known = reduce(Column.__and__, [F.col(c).isNotNull() for c in keys])
+        for d, wanted in zip(pair, (True, False)):
+            d = d.filter("case_id IS NOT NULL")
+            rows = rows.unionByName(d.select("case_id", F.lit(k).alias("part"), exact_key(keys, d).alias("key"), F.lit(int(wanted)).cast("long").alias("n"), F.lit(False).alias("hit") if wanted else known.alias("hit")))
+    # dealt by case once, which both sums go by
+    rows = rows.repartition("case_id").groupBy("case_id", "part", "key").agg(F.sum("n").alias("n"), F.max("hit").alias("hit"))
+    own = lambda k, once: F.when(F.col("part") == k, F.least("n", F.lit(1)) if once else F.col("n"))
+    share = lambda k, once: F.coalesce(F.sum(F.when(F.col("hit"), own(k, once))), F.lit(0)) / F.greatest(F.sum(own(k, once)), F.lit(1))
+    rows = rows.groupBy("case_id").agg(F.max(F.col("part") == -1).alias("asked"), *[share(k, once).alias(name) for k, (name, _, _, once) in enumerate(shares)])
+    return rows.filter("asked").select("case_id", *[F.round(n, 4).alias(n) for n in names], F.round(sum((F.col(n) for n in names[1:]), F.col(names[0])) / 3, 4).alias("structural_accuracy"))
 
 
 def dataset_score(scores: DataFrame, group: list[str], pass_from: float = PASS_FROM) -> DataFrame:
@@ -97,7 +105,8 @@ def golden_json_scores(cases: DataFrame) -> DataFrame:
         return good.select("case_id", F.explode(f"{side}_headers").alias("h")).select("case_id", F.coalesce("h.parent", F.lit("")).alias("parent"), F.coalesce("h.child", F.lit("")).alias("child"))
 
     both = [(f("expected"), f("actual")) for f in (cells, spans, headers)]
-    return good.select("dataset", "case_id", "name").join(case_scores(good.select("case_id"), *both), "case_id")
+    # cases are many, however small their file: no side may be broadcast
+    return good.select("dataset", "case_id", "name").hint("merge").join(case_scores(good.select("case_id"), *both), "case_id")
 
 
 def golden_json_results(datasets: DataFrame, scores: DataFrame) -> DataFrame:
