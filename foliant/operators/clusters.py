@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.grouped import map_groups
 from foliant.sources.kept import kept
 
 #: Fixed value: how far apart neighbours may be.
@@ -41,7 +42,7 @@ def gap_clusters(rows: DataFrame, group: list[str], value: str, order: str, tole
 
 def dense_runs(x: np.ndarray, tolerance: float, min_samples: int) -> np.ndarray:
     """The cluster of each of the sorted values: a value stays in the cluster before it if that has ``min_samples`` values within the tolerance below it, or a mean within it."""
-    out, start, low, total, now = np.zeros(len(x), np.int64), 0, 0, 0.0, 0
+    x, out, start, low, total, now = x.tolist(), [0] * len(x), 0, 0, 0.0, 0
     for k in range(len(x)):
         if k > start:
             low = max(low, start)
@@ -51,7 +52,7 @@ def dense_runs(x: np.ndarray, tolerance: float, min_samples: int) -> np.ndarray:
                 start, total, now = k, 0.0, now + 1
         total += x[k]
         out[k] = now
-    return out
+    return np.array(out, np.int64)
 
 
 def dense_clusters(rows: DataFrame, group: str, value: str, order: str, tolerance: float = TOLERANCE, min_samples: int = 1) -> DataFrame:
@@ -62,10 +63,11 @@ def dense_clusters(rows: DataFrame, group: str, value: str, order: str, toleranc
     if min_samples < 1:
         raise ValueError("min_samples is 1 at least")
 
-    def run(page: pa.Table) -> pa.Table:
-        page = page.sort_by([(value, "ascending"), (order, "ascending")])
-        return page.append_column("cluster", pa.array(dense_runs(page[value].to_numpy(), tolerance, min_samples), pa.int64()))
+    def run(pages: pa.Table, starts: np.ndarray) -> pa.Table:
+        x = pages[value].to_numpy()
+        found = [dense_runs(x[a:z], tolerance, min_samples) for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(x)])]
+        return pages.append_column("cluster", pa.array(np.concatenate(found), pa.int64()))
 
     held = rows.select(group, F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
     kinds = dict(held.dtypes)
-    return held.groupBy(group).applyInArrow(run, f"`{group}` {kinds[group]}, `{order}` long, `{value}` double, cluster long")
+    return map_groups(held, [group], [value, order], run, f"`{group}` {kinds[group]}, `{order}` long, `{value}` double, cluster long")

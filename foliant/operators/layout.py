@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.grouped import map_groups
+
 #: How far a word may lie from the first of its line; confidence of text that was no image.
 LINE_GAP, NATIVE_CONFIDENCE = 4.0, 0.98
+#: Fragments up to which a page is worked on as plain numbers.
+SMALL_PAGE = 64
 
 
 def box_of_all() -> list[Column]:
@@ -25,24 +31,25 @@ def box_measures() -> dict[str, Column]:
 
 def line_numbers(top: np.ndarray, gap: float) -> np.ndarray:
     """The line, from 1, of each word of a page in their order from the top: one that lies more than ``gap`` off the first word of the line begins a new one."""
-    out, anchor, n = np.empty(len(top), np.int32), None, 0
-    for k, t in enumerate(top.tolist()):
+    out, anchor, n = [], None, 0
+    for t in top.tolist():
         if anchor is None or abs(t - anchor) > gap:
             anchor, n = t, n + 1
-        out[k] = n
-    return out
+        out.append(n)
+    return np.array(out, np.int32)
 
 
 def numbered_words(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
     """The words (doc_id, page_number, text, x0, top, x1, bottom) with line_no. Words are taken from the top, then from the left; a null place is 0, a null text empty. A page is one group."""
     sides = ("x0", "top", "x1", "bottom")
 
-    def run(page: pa.Table) -> pa.Table:
-        page = page.sort_by([(c, "ascending") for c in ("top", "x0", "x1", "bottom", "text")])
-        return page.append_column("line_no", pa.array(line_numbers(page["top"].to_numpy(), gap), pa.int32()))
+    def run(pages: pa.Table, starts: np.ndarray) -> pa.Table:
+        top = pages["top"].to_numpy()
+        found = [line_numbers(top[a:z], gap) for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(top)])]
+        return pages.append_column("line_no", pa.array(np.concatenate(found), pa.int32()))
 
     rows = words.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_number").cast("int").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sides])
-    return rows.groupBy("doc_id", "page_number").applyInArrow(run, "doc_id long, page_number int, text string, x0 double, top double, x1 double, bottom double, line_no int")
+    return map_groups(rows, ["doc_id", "page_number"], ["top", "x0", "x1", "bottom", "text"], run, "doc_id long, page_number int, text string, x0 double, top double, x1 double, bottom double, line_no int")
 
 
 def word_lines(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
@@ -88,6 +95,8 @@ def cluster_lines(top: np.ndarray, bottom: np.ndarray, x0: np.ndarray, tolerance
     """
     height, centre = np.maximum(1.0, bottom - top), (top + bottom) / 2
     near = max(2.0, float(np.sort(height)[len(height) // 2]) * 0.45) if tolerance is None else tolerance
+    if len(top) <= SMALL_PAGE:
+        return _few_lines(top, bottom, x0, height, centre, near)
     line = np.empty(len(top), np.int64)
     low, high, total, n = (np.empty(len(top)) for _ in range(4))
     used = 0
@@ -107,23 +116,43 @@ def cluster_lines(top: np.ndarray, bottom: np.ndarray, x0: np.ndarray, tolerance
     return line
 
 
+def _few_lines(top: np.ndarray, bottom: np.ndarray, x0: np.ndarray, height: np.ndarray, centre: np.ndarray, near: float) -> np.ndarray:
+    """The same lines on plain numbers, which are quicker than arrays of a few of them."""
+    line, lines = [0] * len(top), []  # a line: its top, bottom, sum of centres, fragments
+    t, b, h, c = top.tolist(), bottom.tolist(), height.tolist(), centre.tolist()
+    for k in np.lexsort((x0, top)).tolist():
+        best, at = math.inf, None
+        for j, (low, high, total, n) in enumerate(lines):
+            off = abs(total / n - c[k])
+            if off < best and (off <= near or max(0.0, min(high, b[k]) - max(low, t[k])) / max(1.0, min(high - low, h[k])) >= 0.35):
+                best, at = off, j
+        if at is None:
+            line[k] = len(lines)
+            lines.append((t[k], b[k], c[k], 1))
+        else:
+            low, high, total, n = lines[at]
+            lines[at] = (min(low, t[k]), max(high, b[k]), total + c[k], n + 1)
+            line[k] = at
+    return np.array(line, np.int64)
+
+
 def visual_lines(fragments: DataFrame, tolerance: float | None = None) -> DataFrame:
     """(doc_id, page_number, line_no, text): fragments of a page in lines whose centres move with what joins them; one group is a page.
 
     Fragments on one place are taken by their lower edge, then by their text; a null text is empty, a null place is 0.
     """
 
-    def run(page: pa.Table) -> pa.Table:
-        page = page.sort_by([(c, "ascending") for c in ("top", "x0", "bottom", "text")])  # fragments on one place have an order of their own
-        top, bottom, x0 = (page[c].to_numpy() for c in ("top", "bottom", "x0"))
-        line = cluster_lines(top, bottom, x0, tolerance)
-        order = np.lexsort((np.arange(len(x0)), x0, line))
-        ends = np.flatnonzero(np.diff(line[order], append=-1)) + 1
-        text, begin = page["text"].take(pa.array(order)).to_pylist(), np.concatenate(([0], ends[:-1]))
-        rows = [" ".join(text[a:z]) for a, z in zip(begin.tolist(), ends.tolist())]
-        n = len(rows)
-        return pa.table({"doc_id": [page["doc_id"][0].as_py()] * n, "page_number": pa.array([page["page_number"][0].as_py()] * n, pa.int32()), "line_no": pa.array(range(1, n + 1), pa.int32()), "text": pa.array(rows, pa.string())})
+    def run(pages: pa.Table, starts: np.ndarray) -> pa.Table:
+        top, bottom, x0 = (pages[c].to_numpy() for c in ("top", "bottom", "x0"))
+        line = np.concatenate([cluster_lines(top[a:z], bottom[a:z], x0[a:z], tolerance) for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(top)])])
+        page = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(top)))
+        order = np.lexsort((np.arange(len(x0)), x0, line, page))
+        begins = np.flatnonzero((np.diff(line[order], prepend=-1) != 0) | (np.diff(page[order], prepend=-1) != 0))
+        text = pages["text"].take(pa.array(order)).to_pylist()
+        rows = [" ".join(text[a:z]) for a, z in zip(begins.tolist(), [*begins[1:].tolist(), len(text)])]
+        first = pa.array(starts[page[order][begins]])
+        return pa.table({"doc_id": pages["doc_id"].take(first), "page_number": pages["page_number"].take(first), "line_no": pa.array(line[order][begins] + 1, pa.int32()), "text": pa.array(rows, pa.string())})
 
     place = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
-    rows = fragments.select("doc_id", F.col("page_number").cast("int").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"), place("top"), place("bottom"), place("x0"))
-    return rows.groupBy("doc_id", "page_number").applyInArrow(run, "doc_id long, page_number int, line_no int, text string")
+    rows = fragments.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_number").cast("int").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"), place("top"), place("bottom"), place("x0"))
+    return map_groups(rows, ["doc_id", "page_number"], ["top", "x0", "bottom", "text"], run, "doc_id long, page_number int, line_no int, text string")
