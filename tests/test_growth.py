@@ -2,6 +2,8 @@
 
 import numpy as np
 
+import __spark_entry__ as entry
+
 from foliant.operators import clusters, folds, layout
 from foliant.operators import evaluation as EV
 
@@ -57,3 +59,10 @@ def test_few_fragments_as_many(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(layout, "SMALL_PAGE", 0)
             assert layout.cluster_lines(top, bottom, x0).tolist() == few.tolist()
+
+
+def test_coverage_is_of_documents(spark):
+    d = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{d}/documents.parquet").filter("text IS NOT NULL").count()
+    rows = entry.queries()["evidence_coverage"](spark, d)
+    assert n * 0.9 <= rows.count() <= n and rows.filter("covered < total").count() > 0
