@@ -3,9 +3,11 @@
 import numpy as np
 
 import __spark_entry__ as entry
+from foliant.functions import values
 
 from foliant.operators import clusters, folds, layout
 from foliant.operators import evaluation as EV
+from foliant.plans import files
 
 
 def plan(rows):
@@ -66,3 +68,12 @@ def test_coverage_is_of_documents(spark):
     n = spark.read.parquet(f"{d}/documents.parquet").filter("text IS NOT NULL").count()
     rows = entry.queries()["evidence_coverage"](spark, d)
     assert n * 0.9 <= rows.count() <= n and rows.filter("covered < total").count() > 0
+
+
+def test_facts_stay_where_their_lines_are(spark):
+    assert plan(files.Understood(spark, "/root/testdata/sf0.001").found_facts()).count("Exchange") == 1
+
+
+def test_dates_of_each_notation(spark):
+    rows = spark.createDataFrame([("2024-1-2",), ("2/1/2024",), ("02-01-2024",), ("01/13/2024",), ("1/2-3",), (None,)], "t string")
+    assert [str(r.d) for r in rows.select(values.parse_date(rows.t).alias("d")).collect()] == ["2024-01-02", "2024-01-02", "2024-01-02", "2024-01-13", "None", "None"]
