@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -9,17 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from foliant.functions.text import clean, header_key
+from foliant.functions.text import clean, header_key, let
 from foliant.functions.values import breaks_tolerance, parse_money
 
 
 def pad_rows(rows: DataFrame) -> DataFrame:
     """Clean every cell and fill rows up to the table's widest; rows without text go. ``rows``: table_id, row_idx, cells."""
-    width = F.max(F.size("cells")).over(Window.partitionBy("table_id"))
-    cells = F.transform("cells", clean)
-    rows = rows.withColumn("width", width).withColumn("cells", cells)
+    # cells are cleaned below the window and looked at above it, where the optimizer can't clean them twice; its order is that of later steps
+    table = Window.partitionBy("table_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("cells", F.transform("cells", clean)).withColumn("width", F.max(F.size("cells")).over(table))
     filled = F.concat("cells", F.array_repeat(F.lit(""), F.col("width") - F.size("cells")))
-    return rows.withColumn("cells", filled).filter(F.exists("cells", lambda x: x != "")).drop("width")
+    return rows.filter(F.exists("cells", lambda x: x != "")).withColumn("cells", F.when(F.size("cells") < F.col("width"), filled).otherwise(F.col("cells"))).drop("width")
 
 
 def unique_headers(cells: DataFrame) -> DataFrame:
@@ -43,9 +44,17 @@ def with_header(rows: DataFrame) -> DataFrame:
     return rows.withColumn("header", F.first(F.when(F.col("row_idx") == F.col("header_idx"), F.col("cells")), ignorenulls=True).over(table))
 
 
+def of_header(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` of ``with_header`` with what is worked out of their table's header, once for each table, at the header's own row."""
+    own = F.when(F.col("row_idx") == F.col("header_idx"), value)
+    return rows.withColumn(name, F.first(own, ignorenulls=True).over(Window.partitionBy("table_id")))
+
+
 def drop_repeated_headers(rows: DataFrame) -> DataFrame:
     """Rows from the header on, without later rows that equal it but for case."""
-    again = F.transform("cells", F.lower) == F.transform("header", F.lower)
+    first = lambda c: F.lower(F.get(c, F.lit(0)))
+    # the first cell decides for almost all rows
+    again = first("cells").eqNullSafe(first("header")) & (F.transform("cells", F.lower) == F.transform("header", F.lower))
     kept = with_header(rows).filter((F.col("row_idx") == F.col("header_idx")) | ((F.col("row_idx") > F.col("header_idx")) & ~again))
     return kept.drop("header", "header_idx")
 
@@ -64,9 +73,13 @@ def collapse_lines(rows: DataFrame) -> DataFrame:
 
 def numbered_names(row: Column) -> Column:
     """Names of a header row: blanks by their place, the second and later ones of a name with a count."""
-    names = F.transform(row, lambda x, k: F.coalesce(F.nullif(clean(x), F.lit("")), F.concat(F.lit("Column "), (k + 1).cast("string"))))
-    many = lambda x, k: F.size(F.filter(F.slice(names, 1, k + 1), lambda y: y == x))
-    return F.transform(names, lambda x, k: F.when(many(x, k) == 1, x).otherwise(F.concat(x, F.lit(" ("), many(x, k).cast("string"), F.lit(")"))))
+    named = F.transform(row, lambda x, k: F.coalesce(F.nullif(clean(x), F.lit("")), F.concat(F.lit("Column "), (k + 1).cast("string"))))
+
+    def counted(names: Column) -> Column:
+        many = lambda x, k: F.size(F.filter(F.slice(names, 1, k + 1), lambda y: y == x))
+        return F.transform(names, lambda x, k: let(many(x, k), lambda n: F.when(n == 1, x).otherwise(F.concat(x, F.lit(" ("), n.cast("string"), F.lit(")")))))
+
+    return let(named, counted)
 
 
 def normalized(rows: DataFrame) -> DataFrame:
@@ -75,8 +88,8 @@ def normalized(rows: DataFrame) -> DataFrame:
     ``rows``: table_id, row_idx, cells. Rows are cleaned and filled up, empty ones go; the header is the first of the first three rows that is half full; rows above it and rows that repeat
     it but for case go; rows with a description alone join the one before.
     """
-    kept = with_header(pad_rows(rows)).filter("row_idx >= header_idx").withColumn("header", numbered_names(F.col("header")))
     is_head = F.col("row_idx") == F.col("header_idx")
+    kept = of_header(with_header(pad_rows(rows)).filter("row_idx >= header_idx"), "header", numbered_names(F.col("header")))
     kept = kept.withColumn("cells", F.when(is_head, F.col("header")).otherwise(F.col("cells"))).filter(is_head | (F.transform("cells", F.lower) != F.transform("header", F.lower)))
     items = collapse_lines(kept.select("table_id", "row_idx", "cells"))
     row = F.concat(F.array("description"), F.slice("cells", F.lit(2), F.size("cells")))
@@ -115,15 +128,21 @@ ROLES = {"quantity": ("qty", "quantity", "soluong"), "price": ("unitprice", "pri
 
 def role_column(header: Column, role: str) -> Column:
     """Place, from 0, of the first header of a role; a header may have several roles; null if none has it."""
-    is_role = lambda x: F.greatest(*[header_key(x).contains(a) for a in ROLES[role]])
+    is_role = lambda x: let(header_key(x), lambda key: F.greatest(*[key.contains(a) for a in ROLES[role]]))
     return F.array_min(F.transform(header, lambda x, k: F.when(is_role(x), k)))
 
 
+def role_numbers(cells: Column, place: Callable[[str], Column]) -> Column:
+    """Rows (a column for each role) for ``inline``: the amounts at the roles' places, if all of them are numbers. A filter on columns would have the optimizer read amounts twice."""
+    numbers = F.struct(*[parse_money(F.get(cells, place(r))).alias(r) for r in ROLES])
+    return F.filter(F.array(numbers), lambda n: n["quantity"].isNotNull() & n["price"].isNotNull() & n["total"].isNotNull())
+
+
 def line_arithmetic(rows: DataFrame) -> DataFrame:
     """Per line under a table's header whether quantity times price is its total: (table_id, row_idx, quantity, price, total, conflict)."""
-    under = with_header(rows).filter("row_idx > header_idx")
-    roles = under.select("table_id", "row_idx", "cells", *[role_column(F.col("header"), r).alias(r) for r in ROLES]).dropna(subset=list(ROLES))
-    lines = roles.select("table_id", "row_idx", *[parse_money(F.get("cells", F.col(r))).alias(r) for r in ROLES]).dropna(subset=list(ROLES))
+    roles = F.struct(*[role_column(F.col("header"), r).alias(r) for r in ROLES])
+    under = of_header(with_header(rows), "roles", roles).filter("row_idx > header_idx").dropna(subset=[f"roles.{r}" for r in ROLES])
+    lines = under.select("table_id", "row_idx", F.inline(role_numbers(F.col("cells"), lambda r: F.col(f"roles.{r}"))))
     return lines.withColumn("conflict", breaks_tolerance(F.col("quantity") * F.col("price"), F.col("total")))
 
 

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from foliant.functions import values as V
 from foliant.functions.text import header_key, sheet_base, sheet_kind
 from foliant.operators import tables as T
+from foliant.operators.grouped import dealt
 from foliant.operators.headers import similar_headers
+from foliant.sources.kept import kept
 from foliant.sources.tables import table
 
 
 def lines(spark, d):
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_retailprice")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
-    return table(spark, d, "lineitem").join(part, "l_partkey").withColumn("n", F.row_number().over(order))
+    return dealt(table(spark, d, "lineitem").join(part, "l_partkey"), "l_orderkey").withColumn("n", F.row_number().over(order))
 
 
 def rows(spark, d):
@@ -30,8 +32,8 @@ def rows(spark, d):
 
 
 def cells(spark, d):
-    kept = T.drop_repeated_headers(T.pad_rows(rows(spark, d)))
-    return kept.select("table_id", "row_idx", F.posexplode("cells").alias("col_idx", "text"))
+    held = T.drop_repeated_headers(T.pad_rows(rows(spark, d)))
+    return held.select("table_id", "row_idx", F.posexplode("cells").alias("col_idx", "text"))
 
 
 def multiline_collapse(spark, d):
@@ -66,7 +68,7 @@ def unique_headers(spark, d):
 
 def width_cosine(spark, d):
     """Each table's widths against those of the next order's table."""
-    v = T.width_vectors(cells(spark, d)).groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "width"))), lambda x: x["width"]).alias("v"))
+    v = kept(T.width_vectors(cells(spark, d)).groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "width"))), lambda x: x["width"]).alias("v")))  # both sides read it
     other = v.select((F.col("table_id") - 1).alias("table_id"), F.col("v").alias("w"))
     return v.join(other, "table_id").select("table_id", F.round(T.cosine(F.col("v"), F.col("w")), 6).alias("similarity"))
 

@@ -24,3 +24,17 @@ def test_spans_of_texts_that_hold_the_mark(spark):
     rows = spark.createDataFrame([("ab1c22",), ("1",), ("",), ("x",), (f"{E.MARK}1{E.MARK}{E.MARK}23",), ("7 é 8",)], "t string")
     got = [[tuple(s) for s in r.s] for r in rows.select(E.spans(F.col("t"), r"\d+").alias("s")).collect()]
     assert got == [[(2, 1), (4, 2)], [(0, 1)], [], [], [(1, 1), (4, 2)], [(0, 1), (4, 1)]]
+
+
+@pytest.mark.parametrize("name", ["typed_cells", "line_item_arithmetic", "multiline_collapse", "table_quality", "column_width_vectors", "whole_tables"])
+def test_cells_are_cleaned_once_and_tables_dealt(spark, name):
+    shown = plan(entry.queries()[name](spark, FOLDER))
+    assert "REPARTITION_BY_NUM" in shown
+    below = [x for x in shown.splitlines() if "exists(" in x and "Filter" in x]
+    assert below and not any("regexp_replace" in x for x in below)
+
+
+def test_roles_are_read_once_a_table(spark):
+    shown = plan(entry.queries()["line_item_arithmetic"](spark, FOLDER)).splitlines()
+    assert not any("Filter" in x and "try_cast" in x for x in shown)
+    assert sum("unitprice" in x for x in shown) == 1
