@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from foliant.operators import entities as E
+from foliant.plans import files
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -38,3 +39,21 @@ def test_roles_are_read_once_a_table(spark):
     shown = plan(entry.queries()["line_item_arithmetic"](spark, FOLDER)).splitlines()
     assert not any("Filter" in x and "try_cast" in x for x in shown)
     assert sum("unitprice" in x for x in shown) == 1
+
+
+@pytest.mark.parametrize("name", ["noise_lines", "kept_lines", "text_with_placeholder"])
+def test_documents_are_dealt_before_noise_is_looked_for(spark, name):
+    assert "REPARTITION_BY_NUM" in plan(entry.queries()[name](spark, FOLDER))
+
+
+def test_files_are_read_without_joining_orders_to_themselves(spark):
+    assert "Join" not in plan(files.blocks(spark, FOLDER))
+
+
+def test_results_work_out_amounts_only_and_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(files, "kept", lambda rows, keep=files.kept: written.append(plan(rows)) or keep(rows))
+    rows = entry.queries()["validation_results"](spark, FOLDER)
+    assert sum("Subtotal" in x and "REPARTITION_BY_NUM" in x for x in written) > 0
+    assert not any("EMAIL" in x for x in [*written, plan(rows)])
+    assert "subtotal" in plan(rows) and "rlike" not in plan(rows).lower()
