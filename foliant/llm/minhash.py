@@ -6,9 +6,9 @@ give candidates: a pair at the similarity 0.85 shares no band with probability (
 
 Documents with equal shingle sets (by a 128-bit hash of the sorted 64-bit hashes: two different sets among 10**9 meet with a
 probability below 10**-9, given that no shingles do) are one class. In each bucket the classes are compared with one hub, the class with most
-bucket neighbours, on their full shingle sets. Where a bucket still holds several components, the classes whose shingles
-could allow a link are compared across components. The bound is exact: two classes share at most the lesser of what each
-has in common with a hub, and outside the hub at most the lesser number of shingles that some other candidate has too.
+bucket neighbours, on their full shingle sets. Where a bucket still holds several components, classes are compared across
+components by the shingles in which they differ from the hub: few, and a link between classes of which one isn't linked with
+the hub needs a good part of them in common. Pairs meet under their rarest differences only, and no link is lost.
 
 Defined results: null and empty texts have no shingles and are linked with nothing, not even each other; a text of fewer
 words than a shingle is one shingle; repeated rows each get their row, in one component; a null id is the
@@ -103,6 +103,13 @@ def describe(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, id long, th long, n_shingles long, set_hash binary, bands array<long>")
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, text_a, text_b) for pairs (a, b) of classes."""
+    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    with_a = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return with_a.select("a", "b", "text_a", "text_b")
+
+
 def compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes with the number of shingles they share, and whether that makes a link; ``texts`` has id and text.
 
@@ -123,9 +130,7 @@ def compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 out.append((x, y, both, 100 * both >= percent * (len(own) + len(other) - both)))
             yield result(schema, *zip(*out)) if out else pa.RecordBatch.from_pylist([], schema=schema)
 
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_a = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long, both long, linked boolean")
+    return with_texts(pairs, texts).mapInArrow(confirm, "a long, b long, both long, linked boolean")
 
 
 def shingle_rows(texts: DataFrame) -> DataFrame:
@@ -139,6 +144,61 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, shingle long")
 
 
+def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, differing) for pairs of classes: the hashes of the shingles that one of the two has and the other has not."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("differing", pa.list_(pa.int64()))])
+
+    def sets_of(text: pa.Array) -> list[np.ndarray]:
+        flat, n = hashed_sets(text)
+        return np.split(flat, np.cumsum(n)[:-1])
+
+    def run(batches):
+        tokens.forget()
+        for b in slices(batches, "text_b"):
+            left = b["text_a"].dictionary_encode()
+            hubs, others = sets_of(left.dictionary), sets_of(b["text_b"])
+            yield result(schema, b["a"], b["b"], [np.setxor1d(hubs[k], o, assume_unique=True).view(np.int64) for k, o in zip(left.indices.to_pylist(), others)])
+
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long, differing array<long>")
+
+
+def differing_alike(around: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes around one hub, of which at least one isn't in the hub's component, that could still be linked.
+
+    ``around``: hub, hub_size, id, n_shingles, component, out (not in the hub's component), most (shingles that another open class has), both (those the hub has).
+    With d for the number of shingles in which a class differs from the hub and o for those in which two classes differ from it alike,
+    x and y are linked if d(x) + d(y) - 2 o <= (100 - percent) / (100 + percent) * (n(x) + n(y)). So o has a least value for each class,
+    a higher one against a class that isn't linked with the hub, and two classes differ alike in one of the first d - o + 1 of their
+    differences at least, in any one order; here those come first in which few classes differ.
+    """
+    above, below = 100 + percent, 100 - percent
+    d = F.col("n_shingles") + F.col("hub_size") - 2 * F.col("both")
+    least = lambda numerator, by: F.greatest(F.lit(1), F.ceil(numerator / by))
+    rows = around.withColumn("d", d).withColumn("need", least(F.col("d") * percent - F.col("n_shingles") * below, percent))
+    rows = rows.withColumn("need_out", F.greatest("need", least(F.col("d") * above + (F.col("hub_size") - F.col("n_shingles")) * below + 1, 2 * above)))
+    alike = F.col("most") - F.col("both") + F.col("hub_size") - F.col("both")
+    rows = stored(rows.withColumn("out", F.col("out") & (alike >= F.col("need"))).withColumn("other", alike >= F.col("need_out")).filter("out OR other"))
+    apart = differences(rows.select(F.col("hub").alias("a"), F.col("id").alias("b")), texts).select(F.col("a").alias("hub"), F.col("b").alias("id"), F.explode("differing").alias("shingle"))
+    apart = stored(apart)
+    often = apart.groupBy("hub", "shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    ordered = apart.join(often, ["hub", "shingle"]).groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("differing"))
+    ordered = stored(rows.join(ordered, ["hub", "id"]).withColumn("size", F.size("differing")))
+
+    def first(side: str, need: str, prefix: str = "") -> DataFrame:
+        mine = ordered.filter(f"{side} AND size >= {need}").withColumn("key", F.explode(F.expr(f"slice(differing, 1, CAST(size - {need} + 1 AS INT))")))
+        return mine.select("hub", F.col("key.shingle").alias("shingle"), *[F.col(c).alias(prefix + c) for c in ("id", "component", "n_shingles", "d", "size")])
+
+    alike = F.least("size", "o_size")
+    possible = 2 * above * alike >= above * (F.col("d") + F.col("o_d")) - below * (F.col("n_shingles") + F.col("o_n_shingles"))
+    met = first("out", "need").join(first("other", "need_out", "o_"), ["hub", "shingle"]).filter((F.col("component") != F.col("o_component")) & possible)
+    met = stored(met.select("hub", F.col("id").alias("x"), F.col("o_id").alias("y"), F.col("d").alias("x_d"), F.col("o_d").alias("y_d"), F.col("n_shingles").alias("x_n"), F.col("o_n_shingles").alias("y_n")).distinct())
+    # how many differences they really have in common
+    sets = ordered.select("hub", "id", F.col("differing.shingle").alias("s"))
+    both = met.join(sets.withColumnsRenamed({"id": "x", "s": "x_s"}), ["hub", "x"]).join(sets.withColumnsRenamed({"id": "y", "s": "y_s"}), ["hub", "y"])
+    both = both.filter(2 * above * F.size(F.array_intersect("x_s", "y_s")) >= above * (F.col("x_d") + F.col("y_d")) - below * (F.col("x_n") + F.col("y_n")))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def class_links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(id, component) of classes that are linked with others. ``classes``: id (a number of its own), rep (id and th of its text), n_shingles, bands."""
     keys = classes.select("id", F.posexplode("bands").alias("band", "key"))
@@ -162,34 +222,19 @@ def class_links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     spread = named.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("band", "key")
     still = stored(named.join(spread, ["band", "key"]))
     # what a class can share at most: shingles that some other open class has too
-    open_texts = texts.join(still.select("id").distinct(), "id", "left_semi")
-    rows = shingle_rows(open_texts)
-    shared = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    total = classes.select("id", "n_shingles").join(still.select("id").distinct(), "id", "left_semi")
+    open_ids = still.select("id").distinct()
+    open_texts = texts.join(open_ids, "id", "left_semi")
+    shared = shingle_rows(open_texts).groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    total = classes.select("id", "n_shingles").join(open_ids, "id", "left_semi")
     alone = shared.filter("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    # of its open hubs, a class's own reference is the one with most neighbours; near copies of one text mostly have the same
-    to_hub = tested.select(F.col("a").alias("hub"), F.col("b").alias("id"), "both")
-    degrees = ranked.select(F.col("id").alias("hub"), "degree").distinct().join(still.select("hub").distinct(), "hub", "left_semi")
-    reference = degrees.join(to_hub, "hub").groupBy("id").agg(F.max_by(F.struct("hub", "both"), F.struct("degree", "hub")).alias("ref"))
     bound = total.join(alone, "id", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
-    alive = bound.filter(F.col("most") * 100 >= F.col("n_shingles") * percent).join(reference, "id", "left")
-    alive = stored(alive.select("id", "n_shingles", "most", F.coalesce("ref.hub", "id").alias("ref"), F.coalesce("ref.both", "n_shingles").alias("ref_both")))
-    hub_of = still.filter("id = hub").select("band", "key", F.col("component").alias("hub_component"))
-    able = still.join(alive, "id").join(hub_of, ["band", "key"]).join(to_hub, ["hub", "id"], "left").withColumn("both", F.coalesce("both", "n_shingles"))
-    able = stored(able.select("band", "key", "id", "hub", "component", "hub_component", "n_shingles", "most", "both", "ref", "ref_both"))
-    out = able.filter("component <> hub_component")
-    other = able.filter("id <> hub").select("band", "key", *[F.col(c).alias(f"o_{c}") for c in ("id", "component", "n_shingles", "most", "both", "ref", "ref_both")])
-
-    def enough(common: str):
-        """Whether two classes could be linked, by what they share with one open hub (column ``common``)."""
-        inside = F.least(common, f"o_{common}")
-        beside = F.greatest(F.lit(0), F.least(F.col("most") - F.col(common), F.col("o_most") - F.col(f"o_{common}")))
-        shared = F.least(inside + beside, "n_shingles", "o_n_shingles")
-        return shared * 100 >= (F.col("n_shingles") + F.col("o_n_shingles") - shared) * percent
-
-    possible = (F.col("component") != F.col("o_component")) & enough("both") & ((F.col("ref") != F.col("o_ref")) | enough("ref_both"))
-    across = out.join(other, ["band", "key"]).filter(possible)
-    across = across.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+    alive = bound.filter(F.col("most") * 100 >= F.col("n_shingles") * percent).select("id", "n_shingles", "most")
+    to_hub = tested.select(F.col("a").alias("hub"), F.col("b").alias("id"), "both")
+    hub_of = still.filter("id = hub").select("hub", F.col("component").alias("hub_component")).distinct()
+    hub_size = total.select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_size"))
+    around = still.filter("id <> hub").select("hub", "id", "component").distinct()
+    around = around.join(alive, "id").join(to_hub, ["hub", "id"]).join(hub_of.join(hub_size, "hub"), "hub").withColumn("out", F.col("component") != F.col("hub_component"))
+    across = differing_alike(around, texts, percent)
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(compared(across.join(done, ["a", "b"], "left_anti"), texts, percent).filter("linked").select("a", "b"))
     if rest.isEmpty():

@@ -187,6 +187,36 @@ def test_near_copies(docs, rows, empty):
     assert minhash.near_copies(empty).count() == 0
 
 
+def many_near_copies():
+    """150 copies of one text with up to five changes each (some changes are the same ones, some copies end earlier), around the limit."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(140)]
+    out = []
+    for k in range(150):
+        text = list(words)
+        for at in rng.sample(range(140), rng.randint(1, 5)):
+            text[at] = rng.choice([f"x{k}-{at}", f"x{k}-{at}", f"y{at}", ""])
+        out.append(" ".join(w for w in text[: rng.choice([140, 140, 140, 132])] if w))
+    return out
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_copies_in_one_large_group(spark, monkeypatch, percent):
+    texts = many_near_copies()
+    sets, root = [frozenset(minhash.shingles(t)) for t in texts], list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    given, compared = [], minhash.compared
+    monkeypatch.setattr(minhash, "compared", lambda pairs, *more: given.append(pairs.count()) or compared(pairs, *more))
+    docs = spark.createDataFrame([(k, t, None, "x") for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {g.doc_id: g.component_id for g in minhash.near_copies(docs, percent).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
+    assert len(given) == 2 and given[1] <= len(links)  # only pairs that are linked are left for the second comparison
+
+
 def test_near_copies_of_null_and_reused_ids(spark):
     rng = random.Random(9)
     base = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(150)) for _ in range(8)]
