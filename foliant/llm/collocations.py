@@ -7,10 +7,12 @@ A word's hash is a difference of prefix polynomials over the bytes of its text,
    and sorts them; ranges of fingerprints, as many as the corpus has BUCKET_BYTES, travel as packed rows whose pointer is the block. A
    range's sums tell each block, a bit for each of its fingerprints, which ones occur LEAST times or more in the corpus.
 2. The same for three and four words, only where every phrase of two words inside is frequent: no other one can be frequent.
-3. Each block goes back to its text: the places of frequent fingerprints are compared by the words that stand there, those that differ
-   are told apart, and phrases become text only now. Spark adds them up by text. So fingerprints select, and counts are of texts: a
-   collision can only let an infrequent phrase come this far, where its true count drops it.
-4. Cuts, containment and ranks are joins and sums on the frequent phrases. A language's first ones are ranked in two levels, so that no
+3. A range also tells one block of each frequent fingerprint its count in the corpus, and this block alone gives the phrase as text. So rows are
+   as many as there are frequent phrases, in however many blocks they occur.
+4. Counts are of texts: all blocks compare the words at the places of a frequent fingerprint, and each adds up its counts, times a second hash of
+   the words, less the told counts times the same. Over all blocks this gives 0 unless two phrases have one fingerprint; then all
+   blocks give their phrases, those that differ are told apart, and Spark adds them up by text.
+5. Cuts, containment and ranks are joins and sums on the frequent phrases. A language's first ones are ranked in two levels, so that no
    language meets in one task.
 
 Defined results: null and empty texts have no words; a null language is ``und``; repeated rows count again; ties are broken down to the
@@ -46,7 +48,7 @@ LOWER[65:91] += 32
 BASES = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
 CHUNK = 1 << 16
 GRAM_SCHEMA = "bucket int, block long, keys binary, n binary"
-MASK_SCHEMA = "block long, bucket int, level int, often binary"
+MASK_SCHEMA = "block long, bucket int, level int, often binary, named binary, total binary"
 SHARES = 64
 
 
@@ -158,38 +160,53 @@ def packed_grams(number: int, grams: list[tuple[np.ndarray, np.ndarray]], bucket
 
 
 def often(grams: DataFrame, level: int, least: int) -> DataFrame:
-    """(block, bucket, level, often): a bit for each of a block's fingerprints in a range, set where all blocks together have ``least`` of it."""
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("level", pa.int32()), ("often", pa.binary())])
+    """(block, bucket, level, often, named, total): a bit for each of a block's fingerprints in a range, set where all blocks together have ``least`` of it.
+
+    ``named`` has a bit for each of these frequent ones, set in one block only, and ``total`` has how many all blocks have of each of those.
+    """
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("level", pa.int32()), ("often", pa.binary()), ("named", pa.binary()), ("total", pa.binary())])
 
     def add_up(rows: pa.Table) -> pa.Table:
         parts = [np.cumsum(from_planes(x, "<u8"), dtype=U64) for x in rows["keys"].to_pylist()]
         n = np.concatenate([from_planes(x, "<u4") for x in rows["n"].to_pylist()])
         keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-        good, out, start = np.bincount(at, n) >= least, [], 0
+        total, out, start = np.bincount(at, n), [], 0
+        good, seen = total >= least, np.zeros(len(keys), bool)
         for block, bucket, part in zip(rows["block"].to_pylist(), rows["bucket"].to_pylist(), parts):
-            out.append((block, bucket, level, np.packbits(good[at[start : start + len(part)]]).tobytes()))
+            own = at[start : start + len(part)]
+            bits = good[own]
+            own = own[bits]
+            new = ~seen[own]
+            seen[own] = True
+            out.append((block, bucket, level, np.packbits(bits).tobytes(), np.packbits(new).tobytes(), planes(total[own[new]].astype("<u8"))))
             start += len(part)
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
     return grams.groupBy("bucket").applyInArrow(add_up, MASK_SCHEMA)
 
 
-def flags(grams: list[tuple[np.ndarray, np.ndarray]], masks: pa.Table, buckets: int) -> list[np.ndarray]:
-    """For each place of ``grams`` whether its fingerprint is frequent, from the block's masks."""
+def found(grams: list[tuple[np.ndarray, np.ndarray]], masks: pa.Table, buckets: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The places of ``grams`` that have a frequent fingerprint, it, and its count where this block names it (elsewhere 0), from the block's masks."""
     keys = np.unique(np.concatenate([k for _, k in grams]))
-    edge, good = cuts(keys, buckets), np.zeros(len(keys), bool)
-    for bucket, bits in zip(masks["bucket"].to_pylist(), masks["often"].to_pylist()):
+    edge, good, total = cuts(keys, buckets), np.zeros(len(keys), bool), np.zeros(len(keys), U64)
+    for bucket, bits, named, n in zip(*(masks[c].to_pylist() for c in ("bucket", "often", "named", "total"))):
         good[edge[bucket] : edge[bucket + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=edge[bucket + 1] - edge[bucket])
-    return [good[np.searchsorted(keys, k)] if len(keys) else np.zeros(0, bool) for _, k in grams]
+        own = edge[bucket] + np.flatnonzero(good[edge[bucket] : edge[bucket + 1]])
+        total[own[np.unpackbits(np.frombuffer(named, np.uint8), count=len(own)).astype(bool)]] = from_planes(n, "<u8")
+    out = []
+    for at, key in grams:
+        number = np.searchsorted(keys, key)
+        f = good[number] if len(keys) else np.zeros(0, bool)
+        out.append((at[f], key[f], total[number[f]]))
+    return out
 
 
 def frequent(t: Text, masks: pa.Table, buckets: int) -> tuple[list, list]:
     """The frequent ones of the first level, and all candidates of the second."""
-    one_two = first_level(t)
-    found = flags(one_two, masks.filter(pc.equal(masks["level"], 1)), buckets)
+    short = found(first_level(t), masks.filter(pc.equal(masks["level"], 1)), buckets)
     pairs = np.zeros(len(t.hash), bool)
-    pairs[one_two[1][0]] = found[1]
-    return [(at[f], key[f]) for (at, key), f in zip(one_two, found)], second_level(t, pairs)
+    pairs[short[1][0]] = True
+    return short, second_level(t, pairs)
 
 
 def told_apart(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,20 +219,33 @@ def told_apart(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarr
         key = np.where(other, mix(key, 41), key)
 
 
-def phrase_rows(t: Text, grams: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.RecordBatch]:
-    """(lang, n_words, phrase, f): the phrases of the block's frequent fingerprints, and with n_words 0 the words of each language."""
-    out, coded = [], t.words()
+def phrase_rows(t: Text, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], by_text: bool = False) -> list[pa.RecordBatch]:
+    """(lang, n_words, phrase, f): the phrases that this block names, with their counts in the corpus (``by_text``: all its frequent ones, with its own counts).
+
+    With n_words 0 the words of each language, with -1 (unless ``by_text``) what gives 0 over all blocks, modulo 2**64, if no fingerprint has two phrases.
+    """
+    out, coded, left_over = [], t.words(), np.zeros(1, U64)
     ids = coded.indices.to_numpy()
     schema = pa.schema([("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
-    for n, (at, key) in enumerate(grams, 1):
+    second = np.fromiter((xxhash.xxh3_64_intdigest(w, 1) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), U64, len(coded.dictionary))
+    for n, (at, key, total) in enumerate(grams, 1):
         if len(at):
             first, f = told_apart(key, np.stack([t.lang[at], *[ids[at + k] for k in range(n)]], axis=1))
+            if not by_text:
+                check = t.of_lang[t.lang[at[first]]]
+                for k in range(n):
+                    check = mix(check ^ second[ids[at[first] + k]], n)
+                left_over += ((f.astype(U64) - total[first]) * check).sum(dtype=U64)
+                first = first[total[first] > 0]
+                f = total[first].astype(np.int64)
             words = [coded.dictionary.take(pa.array(ids[at[first] + k])) for k in range(n)]
             phrase = words[0] if n == 1 else pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string()))
             columns = [t.langs.take(pa.array(t.lang[at[first]])), pa.array(np.full(len(first), n, np.int32)), phrase.cast(pa.string()), pa.array(f)]
             out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
-    total = np.bincount(t.lang, minlength=len(t.langs))
-    out.append(pa.RecordBatch.from_arrays([t.langs, pa.array(np.zeros(len(total), np.int32)), pa.nulls(len(total), pa.string()), pa.array(total)], schema=schema))
+    sums = np.bincount(t.lang, minlength=len(t.langs))
+    out.append(pa.RecordBatch.from_arrays([t.langs, pa.array(np.zeros(len(sums), np.int32)), pa.nulls(len(sums), pa.string()), pa.array(sums)], schema=schema))
+    if not by_text:
+        out.append(pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.array(left_over.view(np.int64))], schema=schema))
     return out
 
 
@@ -236,8 +266,11 @@ def text_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(pack, "block long, size long, rows binary")
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """A stored table (lang, n_words, phrase, f) of the words and phrases that occur ``least`` times or more; n_words 0: all words of a language."""
+def phrase_counts(docs: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, by_text: bool = False) -> DataFrame:
+    """A stored table (lang, n_words, phrase, f) of the words and phrases that occur ``least`` times or more; n_words 0: all words of a language.
+
+    ``by_text``: all blocks give all their frequent phrases at once, as they do where two phrases have one fingerprint.
+    """
     blocks = stored(text_blocks(docs, block_bytes))
     buckets = (blocks.agg(F.sum("size")).head()[0] or 0) // bucket_bytes + 1
 
@@ -250,19 +283,25 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_
         _, longer = frequent(Text(own["rows"][0].as_buffer()), masks, buckets)
         return pa.Table.from_batches([packed_grams(own["block"][0].as_py(), longer, buckets)])
 
-    def phrases(own: pa.Table, masks: pa.Table) -> pa.Table:
+    def phrases(own: pa.Table, masks: pa.Table, by_text: bool) -> pa.Table:
         t = Text(own["rows"][0].as_buffer())
         short, longer = frequent(t, masks, buckets)
-        found = flags(longer, masks.filter(pc.equal(masks["level"], 2)), buckets)
-        return pa.Table.from_batches(phrase_rows(t, short + [(at[f], key[f]) for (at, key), f in zip(longer, found)]))
+        return pa.Table.from_batches(phrase_rows(t, short + found(longer, masks.filter(pc.equal(masks["level"], 2)), buckets), by_text))
 
     masks = stored(often(blocks.mapInArrow(count, GRAM_SCHEMA), 1, least))
     free_shuffles(docs.sparkSession)
     more = stored(often(blocks.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(count_longer, GRAM_SCHEMA), 2, least))
     free_shuffles(docs.sparkSession)
-    both = masks.unionByName(more)
-    rows = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(phrases, "lang string, n_words int, phrase string, f long")
-    out = stored(rows.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("n_words") == 0)))
+    pairs = blocks.groupBy("block").cogroup(masks.unionByName(more).groupBy("block"))
+    row = "lang string, n_words int, phrase string, f long"
+    if not by_text:
+        named = stored(pairs.applyInArrow(lambda own, m: phrases(own, m, False), row))
+        left_over = named.filter("n_words = -1").agg(F.sum(F.col("f").cast("decimal(38,0)"))).head()[0] or 0
+        by_text = int(left_over) % (1 << 64) != 0
+        out = named.filter("n_words > 0").unionByName(named.filter("n_words = 0").groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f")))
+    if by_text:
+        rows = pairs.applyInArrow(lambda own, m: phrases(own, m, True), row)
+        out = stored(rows.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("n_words") == 0)))
     discard(blocks, masks, more)
     return out
 

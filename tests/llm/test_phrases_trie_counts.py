@@ -72,6 +72,31 @@ def test_colliding_fingerprints_are_told_apart():
     assert sorted((tuple(words[k]), c) for k, c in zip(first, n)) == [((0, 1), 2), ((0, 2), 2), ((3, 4), 1), ((5, 6), 1)]
 
 
+def test_phrases_are_counted_once_and_told_apart_by_text(spark, docs, monkeypatch):
+    """In however many blocks a phrase occurs, one of them gives it; a fingerprint of two phrases doesn't go unseen."""
+    counts = [collocations.phrase_counts(docs, 3, 1 << 9, 1 << 9, by_text) for by_text in (False, True)]
+    quick, slow = (sorted(map(tuple, c.filter("n_words > 0").collect())) for c in counts)
+    assert quick == slow and len(slow) > 20
+
+    def block(*texts):
+        rows = collocations.packed([pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": list(texts)})], 0, 0)
+        return collocations.Text(rows["rows"][0].as_buffer())
+
+    def given(blocks):
+        totals, out = collections.Counter(int(k) for t in blocks for k in t.grams(2)[1]), []
+        for t in blocks:
+            at, key = t.grams(2)
+            none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            out += [r for b in collocations.phrase_rows(t, [none, (at, key, np.array([totals[int(k)] for k in key], np.uint64))]) for r in b.to_pylist()]
+            totals = collections.Counter()  # the first block has named them all
+        return [(r["phrase"], r["f"]) for r in out if r["n_words"] > 0], sum(r["f"] for r in out if r["n_words"] == -1) % (1 << 64)
+
+    assert given([block("a b", "a b"), block("a b")]) == ([("a b", 3)], 0)
+    grams = collocations.Text.grams
+    monkeypatch.setattr(collocations.Text, "grams", lambda t, n: (grams(t, n)[0], np.full(len(grams(t, n)[1]), 5, np.uint64)))
+    assert given([block("a b", "a b"), block("a c")])[1] != 0
+
+
 def test_prefix_polynomials():
     rng = np.random.default_rng(1)
     v = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
